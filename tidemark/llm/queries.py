@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from . import suffix_dedup
+import public_tokenizers
+
+from . import bpe, packing, simhash, suffix_dedup
 from .common import table
 
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
 QUERIES = {
+    "op3_bpe_codec": lambda spark, d: bpe.op3(table(spark, d, "documents"), VOCABULARY),
+    "op6_simhash_near_dedup": lambda spark, d: simhash.op6(table(spark, d, "documents")),
     "op8_suffix_array_dedup": lambda spark, d: suffix_dedup.op8(table(spark, d, "documents")),
+    "op9_packing": lambda spark, d: packing.pack(table(spark, d, "documents"), VOCABULARY),
 }
 
 ORACLE_SQL: dict[str, str] = {}
