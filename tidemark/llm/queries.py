@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, packing, simhash, suffix_dedup
+from . import bpe, embedding_dedup, packing, simhash, suffix_dedup
 from .common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -13,6 +13,7 @@ QUERIES = {
     "op3_bpe_codec": lambda spark, d: bpe.op3(table(spark, d, "documents"), VOCABULARY),
     "op6_simhash_near_dedup": lambda spark, d: simhash.op6(table(spark, d, "documents")),
     "op8_suffix_array_dedup": lambda spark, d: suffix_dedup.op8(table(spark, d, "documents")),
+    "op10_embedding_near_dedup": lambda spark, d: embedding_dedup.op10(table(spark, d, "embeddings")),
     "op9_packing": lambda spark, d: packing.pack(table(spark, d, "documents"), VOCABULARY),
 }
 
