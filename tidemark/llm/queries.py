@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, embedding_dedup, packing, simhash, suffix_dedup
+from . import bpe, embedding_dedup, packing, quality, simhash, suffix_dedup
 from .common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 QUERIES = {
+    "op1_quality_classifier": lambda spark, d: quality.op1(table(spark, d, "documents"), table(spark, d, "labels")),
     "op3_bpe_codec": lambda spark, d: bpe.op3(table(spark, d, "documents"), VOCABULARY),
     "op6_simhash_near_dedup": lambda spark, d: simhash.op6(table(spark, d, "documents")),
     "op8_suffix_array_dedup": lambda spark, d: suffix_dedup.op8(table(spark, d, "documents")),
