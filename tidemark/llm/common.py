@@ -86,6 +86,24 @@ def keyed(docs: DataFrame, name: str = "_key") -> DataFrame:
     return settle(numbered(docs, order, name))
 
 
+def fold(docs: DataFrame) -> DataFrame:
+    """``docs`` as doc_id, text and _rest, a struct of all other columns: names in it can't clash with ours."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*others, *([] if others else [F.lit(0).alias("_")])).alias("_rest"))
+
+
+def unfold(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of the table that was folded, in its order; n_chars counts the text as it is now."""
+
+    def column(c):
+        if c in ("doc_id", "text"):
+            return F.col(c)
+        old = F.col("_rest").getField(c)
+        return (F.length("text").cast(df.schema["_rest"].dataType[c].dataType) if c == "n_chars" else old).alias(c)
+
+    return df.select(*(column(c) for c in columns))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected ``edges`` (a long, b long): rows (node, root), root the smallest node.
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import keyed, numbered, settle
+from .common import fold, keyed, numbered, settle, unfold
 
 MIN_LINES = 2
 _BLANKS = " \t\x0b\x0c\r"
@@ -91,8 +91,8 @@ class _Delete:
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
-def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """``docs`` with the later copies deleted from its text, and _lines, _deleted, _runs (of deleted lines)."""
+def _deleted(docs: DataFrame, min_lines: int) -> DataFrame:
+    """``docs`` (doc_id, text, maybe _rest) without the later copies in its text, and _lines, _deleted, _runs."""
     own = keyed(docs)
     gone = deleted_lines(own.select("_key", "text"), min_lines).withColumnRenamed("gone", "_gone")
     schema = StructType([*docs.schema.fields])
@@ -101,9 +101,14 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     return own.join(gone, "_key", "left").select(*docs.columns, "_gone").mapInArrow(_Delete(), schema)
 
 
+def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+    """``docs`` with the later copies deleted from its text (and n_chars, where it is there, counted again)."""
+    return unfold(_deleted(fold(docs), min_lines), docs.columns)
+
+
 def op4(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_deleted, n_runs, kept_sha256 (null texts: of the empty text)."""
-    return dedup_lines(docs.select("doc_id", "text")).select(
+    return _deleted(docs.select("doc_id", "text"), MIN_LINES).select(
         "doc_id",
         F.col("_lines").alias("n_lines"),
         F.col("_deleted").alias("n_deleted"),

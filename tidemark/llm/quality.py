@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .common import fold, unfold
+
 BLOCK, BLOCKS, SAMPLE, DICTIONARY, LEVEL = 2048, 3000, 6000, 112_640, 3
 FOLDS, THRESHOLD = 5, 0.3
 FEATURES = 5
@@ -204,7 +206,8 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that the classifier fitted on ``labels`` does not reject."""
-    return scored(docs, fit(docs, labels)).where(F.col("_score") >= threshold).drop("_score")
+    own = fold(docs)
+    return unfold(scored(own, fit(own, labels)).where(F.col("_score") >= threshold), docs.columns)
 
 
 def op1(docs: DataFrame, labels: DataFrame) -> DataFrame:

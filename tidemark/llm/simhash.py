@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, settle
+from .common import components, fold, keyed, settle, unfold
 
 WIDTHS = (13, 13, 13, 13, 12)
 SEGMENTS = len(WIDTHS)
@@ -143,6 +143,14 @@ def grouped(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
     return prints.join(classes, "_fp")
 
 
+def one_of_each(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
+    """The rows of ``docs`` that come first, by doc_id, in their group of near-duplicates."""
+    own = keyed(fold(docs))
+    groups = grouped(own.select(F.col("_key").alias("doc_id"), "text"), words)
+    first = groups.where(F.col("doc_id") == F.col("_component")).select(F.col("doc_id").alias("_key"))
+    return unfold(own.join(first, "_key", "left_semi"), docs.columns)
+
+
 def op6(docs: DataFrame) -> DataFrame:
     """The contract's columns: doc_id, fingerprint, component_id."""
     out = grouped(docs.select("doc_id", "text"))

@@ -20,7 +20,7 @@ at equal anchors can share a window, and the windows of one anchor make one run
 
 Edge cases: null and short texts (under ``length`` bytes) lose nothing; repeated rows and repeated or
 null doc_ids are separate documents, ordered by doc_id (nulls first), then text; extra columns,
-whatever their names, are left alone by ``removed_spans``; an empty table gives an empty result.
+whatever their names, pass through; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,8 +31,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import keyed, settle
+from .common import fold, keyed, settle, unfold
 from .rolling import PIECE, U, common_extension, mix, rolling
 
 LENGTH, GRAM, CHUNK = 100, 32, 1024
@@ -76,27 +77,41 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk
     )
 
 
-def dedup_substrings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``docs`` with _kept (binary, the bytes left), _n_bytes, _n_removed, _n_spans."""
+def _removed(docs: DataFrame, length: int) -> DataFrame:
+    """``docs`` (doc_id, text, maybe _rest) with _kept (binary, the bytes left), _n_bytes, _n_removed, _n_spans."""
     own = keyed(docs)
     spans = removed_spans(own, length)
-    schema = own.drop("_key").schema
-    out = own.join(spans, "_key", "left").drop("_key")
-    for name, kind in (("_kept", "binary"), ("_n_bytes", "long"), ("_n_removed", "long"), ("_n_spans", "long")):
-        schema = schema.add(name, _type(kind))
-    return out.mapInArrow(_cut, schema)
+    schema = StructType([*docs.schema.fields]).add("_kept", "binary")
+    for name in ("_n_bytes", "_n_removed", "_n_spans"):
+        schema = schema.add(name, "long")
+    return own.join(spans, "_key", "left").select(*docs.columns, "spans").mapInArrow(_cut, schema)
+
+
+def dedup_substrings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``docs`` with the repeated bytes cut from its text; bytes of a character that a cut has split go too.
 
+    A null text stays null; n_chars, where it is there, is counted again.
+    """
+    cut = _removed(fold(docs), length)
+    # Texts that lose nothing stay as they are; of the others, what is left of a split character is dropped.
+    texts = cut.select("doc_id", "text", "_rest", "_kept", "_n_removed").mapInArrow(_as_text, cut.select("doc_id", "text", "_rest").schema)
+    return unfold(texts, docs.columns)
 
-def _type(name: str):
-    from pyspark.sql.types import BinaryType, LongType
 
-    return {"binary": BinaryType(), "long": LongType()}[name]
+def _as_text(batches):
+    for batch in batches:
+        text = [
+            raw.decode("utf-8", "ignore") if n else own
+            for own, raw, n in zip(*(batch.column(i).to_pylist() for i in (1, 3, 4)))
+        ]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(text, pa.string()), batch.column(2)], names=["doc_id", "text", "_rest"]
+        )
 
 
 def op8(docs: DataFrame) -> DataFrame:
     """The contract's columns: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    out = dedup_substrings(docs.select("doc_id", "text"))
-    return out.select(
+    return _removed(docs.select("doc_id", "text"), LENGTH).select(
         "doc_id",
         F.col("_n_bytes").alias("n_bytes"),
         F.col("_n_removed").alias("n_removed"),
