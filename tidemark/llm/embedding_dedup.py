@@ -158,16 +158,17 @@ class _Compare:
         x, y = np.nonzero(near)
         if not len(x):
             return
-        lists = [np.frombuffer(r, np.int64) for r in rows.column(8).to_pylist()]
-        wide = np.full((len(lists), max(map(len, lists))), -1)
-        for i, own in enumerate(lists):
-            own = own[own < filter_]
-            wide[i, : len(own)] = own
-        wide = wide[:, : max(1, int((wide >= 0).sum(axis=1).max()))]
-        first = np.ones(len(x), bool)  # no smaller filter has both
-        for s in range(0, len(x), 50_000):
-            u, v = wide[x[s : s + 50_000]], wide[y[s : s + 50_000]]
-            first[s : s + 50_000] = ~((u[:, :, None] == v[:, None, :]) & (u >= 0)[:, :, None]).any(axis=(1, 2))
+        # A pair counts here if no smaller filter has both: products of the members' incidence with those filters.
+        lists = [own[own < filter_] for own in (np.frombuffer(r, np.int64) for r in rows.column(8).to_pylist())]
+        member = np.repeat(np.arange(len(lists)), [len(own) for own in lists])
+        _, column = np.unique(np.concatenate(lists), return_inverse=True)
+        shared = np.zeros(near.shape, bool)
+        for s in range(0, int(column.max(initial=-1)) + 1, 2048):
+            here = (column >= s) & (column < s + 2048)
+            incidence = np.zeros((len(lists), 2048), np.float32)
+            incidence[member[here], column[here] - s] = 1
+            shared |= incidence @ incidence.T > 0
+        first = ~shared[x, y]
         links = np.bincount(x, weights=size[y] * first, minlength=len(cid)).astype(np.int64)
         least = cid.copy()
         while True:
