@@ -45,12 +45,11 @@ def _reach(steps: DataFrame, seeds: DataFrame) -> DataFrame:
     """Rows (rev) reached from ``seeds`` (rev) over ``steps`` (at, to), seeds included."""
     steps = settle(steps.distinct())
     seen = frontier = settle(seeds.select("rev").distinct())
-    while True:
+    while not frontier.isEmpty():
         met = frontier.join(steps, F.col("rev") == F.col("at")).select(F.col("to").alias("rev")).distinct()
         frontier = settle(met.join(seen, "rev", "left_anti"))
-        if frontier.isEmpty():
-            return seen
-        seen = settle(seen.unionAll(frontier))
+        seen = seen.unionAll(frontier)  # of settled tables, so its plan stays a list of scans
+    return seen
 
 
 def ancestors(edges: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -114,16 +113,17 @@ def ranks(nodes: DataFrame, edges: DataFrame, check: bool = True) -> DataFrame:
     links = settle(edges.select("rev", "down").distinct())
     out, depth = left.limit(0).withColumn("depth", F.lit(0)), 0
     while True:
-        free = settle(left.join(links.select("rev").distinct(), "rev", "left_anti").withColumn("depth", F.lit(depth)))
+        bare = left.join(links.select("rev").distinct(), "rev", "left_anti").join(out.select("rev"), "rev", "left_anti")
+        free = settle(bare.withColumn("depth", F.lit(depth)))
         if free.isEmpty():
             break
-        out = settle(out.unionByName(free))
-        left = settle(left.join(free, "rev", "left_anti"))
+        out = out.unionAll(free)
         links = settle(links.join(free.select(F.col("rev").alias("down")), "down", "left_anti").select("rev", "down"))
         depth += 1
+    left = left.join(out, "rev", "left_anti")
     if check and not left.isEmpty():
         raise CycleError(f"revisions form a cycle, among them {sorted(r[0] for r in left.limit(3).collect())}")
-    return out.unionByName(left.withColumn("depth", F.lit(None).cast("int")))
+    return out.unionAll(left.withColumn("depth", F.lit(None).cast("int")))
 
 
 def cycle_members(nodes: DataFrame, edges: DataFrame) -> DataFrame:
