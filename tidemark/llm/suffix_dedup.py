@@ -77,14 +77,17 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk
     )
 
 
-def _removed(docs: DataFrame, length: int) -> DataFrame:
-    """``docs`` (doc_id, text, maybe _rest) with _kept (binary, the bytes left), _n_bytes, _n_removed, _n_spans."""
+def _removed(docs: DataFrame, length: int, as_text: bool = False) -> DataFrame:
+    """``docs`` (doc_id, text, maybe _rest) with _kept (binary, the bytes left), _n_bytes, _n_removed, _n_spans.
+
+    ``as_text``: only ``docs`` with its text cut. Texts that lose nothing stay as they are.
+    """
     own = keyed(docs)
     spans = removed_spans(own, length)
-    schema = StructType([*docs.schema.fields]).add("_kept", "binary")
-    for name in ("_n_bytes", "_n_removed", "_n_spans"):
-        schema = schema.add(name, "long")
-    return own.join(spans, "_key", "left").select(*docs.columns, "spans").mapInArrow(_cut, schema)
+    schema = StructType([*docs.schema.fields])
+    for name, kind in () if as_text else (("_kept", "binary"), ("_n_bytes", "long"), ("_n_removed", "long"), ("_n_spans", "long")):
+        schema = schema.add(name, kind)
+    return own.join(spans, "_key", "left").select(*docs.columns, "spans").mapInArrow(_Cut(as_text), schema)
 
 
 def dedup_substrings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -92,21 +95,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     A null text stays null; n_chars, where it is there, is counted again.
     """
-    cut = _removed(fold(docs), length)
-    # Texts that lose nothing stay as they are; of the others, what is left of a split character is dropped.
-    texts = cut.select("doc_id", "text", "_rest", "_kept", "_n_removed").mapInArrow(_as_text, cut.select("doc_id", "text", "_rest").schema)
-    return unfold(texts, docs.columns)
-
-
-def _as_text(batches):
-    for batch in batches:
-        text = [
-            raw.decode("utf-8", "ignore") if n else own
-            for own, raw, n in zip(*(batch.column(i).to_pylist() for i in (1, 3, 4)))
-        ]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(text, pa.string()), batch.column(2)], names=["doc_id", "text", "_rest"]
-        )
+    return unfold(_removed(fold(docs), length, as_text=True), docs.columns)
 
 
 def op8(docs: DataFrame) -> DataFrame:
@@ -133,25 +122,34 @@ def merged(spans) -> tuple[np.ndarray, np.ndarray]:
     return start[new], reach[last]
 
 
-def _cut(batches):
-    for batch in batches:
-        names = batch.schema.names
-        at, text = names.index("spans"), batch.column(names.index("text")).to_pylist()
-        kept, total, gone, runs = [], [], [], []
-        for value, spans in zip(text, batch.column(at).to_pylist()):
-            raw = (value or "").encode()
-            start, end = merged(spans or ())
-            edges = [0, *np.stack([start, end], 1).ravel().tolist(), len(raw)]
-            kept.append(b"".join(raw[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2)))
-            total.append(len(raw))
-            gone.append(int((end - start).sum()))
-            runs.append(len(start))
-        columns = [batch.column(i) for i in range(len(names)) if i != at]
-        kinds = [pa.int64()] * 3
-        yield pa.RecordBatch.from_arrays(
-            [*columns, pa.array(kept, pa.binary()), *(pa.array(x, k) for x, k in zip((total, gone, runs), kinds))],
-            names=[*(n for n in names if n != "spans"), "_kept", "_n_bytes", "_n_removed", "_n_spans"],
-        )
+class _Cut:
+    def __init__(self, as_text: bool):
+        self.as_text = as_text
+
+    def __call__(self, batches):
+        for batch in batches:
+            names = batch.schema.names
+            at, text_at = names.index("spans"), names.index("text")
+            kept, total, gone, runs = [], [], [], []
+            for value, spans in zip(batch.column(text_at).to_pylist(), batch.column(at).to_pylist()):
+                raw = (value or "").encode()
+                start, end = merged(spans or ())
+                edges = [0, *np.stack([start, end], 1).ravel().tolist(), len(raw)]
+                left = b"".join(raw[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2))
+                # A split character's other bytes can't stay in a text.
+                kept.append((left.decode("utf-8", "ignore") if len(start) else value) if self.as_text else left)
+                total.append(len(raw))
+                gone.append(int((end - start).sum()))
+                runs.append(len(start))
+            columns = dict(zip(names, batch.columns))
+            del columns["spans"]
+            if self.as_text:
+                columns["text"] = pa.array(kept, pa.string())
+            else:
+                columns["_kept"] = pa.array(kept, pa.binary())
+                for n, x in (("_n_bytes", total), ("_n_removed", gone), ("_n_spans", runs)):
+                    columns[n] = pa.array(x, pa.int64())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
 def _batch(**columns: np.ndarray) -> pa.RecordBatch:
