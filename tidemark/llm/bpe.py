@@ -31,10 +31,8 @@ from pyspark.sql import DataFrame
 
 #: Fixed value: the word pattern of the byte-level pre-tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Encoded text pieces that a worker remembers at most, twice.
-REMEMBERED = 400_000
 #: Arcs kept in the table at most.
-ARCS = 2_000_000
+ARCS = 400_000
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -44,41 +42,80 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Automaton:
+class Vocabulary:
+    """A byte-level BPE vocabulary: labels by id, merges, and encoding of texts by pieces that are remembered."""
+
+    #: Encoded text pieces that a worker remembers at most, twice.
+    remembered = 150_000
+
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = _byte_alphabet()
         vocab = spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        size = max([*vocab.values(), *self.special.values()]) + 1
-        self.labels: list[bytes] = [b""] * size
+        self.labels: list[bytes] = [b""] * (max([*vocab.values(), *self.special.values()]) + 1)
         for token, i in vocab.items():
             if token not in self.special:
                 self.labels[i] = bytes(letters[c] for c in token)
         for token, i in self.special.items():
             self.labels[i] = token.encode()
-        never = len(spec["model"]["merges"])
+        plain = set(self.special.values())
+        self.ids = {label: i for i, label in enumerate(self.labels) if i not in plain}
+        pairs = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
+        self.merges = [(vocab[u], vocab[v], vocab[u + v]) for u, v in pairs]
+        self.splitter = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def joined(self, pieces: list[str]) -> list[bytes]:
+        """The pieces' ids as little-endian 16-bit numbers."""
+        raise NotImplementedError
+
+    def encode(self, text: str | None) -> bytes:
+        """Ids of a whole text as little-endian 16-bit numbers."""
+        if not text:
+            return b""
+        if self.splitter is None or not self.splitter.search(text):
+            return self._plain(text)
+        parts, at = [], 0
+        for m in self.splitter.finditer(text):
+            parts += [self._plain(text[at : m.start()]), np.uint16(self.special[m[0]]).tobytes()]
+            at = m.end()
+        return b"".join([*parts, self._plain(text[at:])])
+
+    def _plain(self, text: str) -> bytes:
+        # A space before a non-space always begins a word: pieces between such spaces are independent.
+        if _ODD_SPACE.search(text):
+            pieces = [p for p in _BEFORE_WORD.split(text) if p]
+        else:
+            first, *rest = text.split(" ")
+            pieces = [" " + p for p in rest]
+            if first:
+                pieces.insert(0, first)
+        return b"".join(self.joined(pieces))
+
+    def decode(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.labels.__getitem__, ids))
+
+
+class Automaton(Vocabulary):
+    remembered = 400_000
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        size, never = len(self.labels), len(self.merges)
         self.made = [never] * size  # rank of the merge that makes a label
         self.left, self.right = [-1] * size, [-1] * size
         self.cut: dict[int, int] = {}  # label << 16 | label: rank at which the gadget takes this arc away
-        for rank, merge in enumerate(spec["model"]["merges"]):
-            u, v = (vocab[x] for x in (merge.split(" ") if isinstance(merge, str) else merge))
-            uv = vocab["".join(merge.split(" ") if isinstance(merge, str) else merge)]
+        for rank, (u, v, uv) in enumerate(self.merges):
             self.left[uv], self.right[uv], self.made[uv] = u, v, rank
             self.cut[u << 16 | v] = rank
-        self.ids = {label: i for i, label in enumerate(self.labels) if self.left[i] >= 0 or len(label) == 1}
         self.arcs: dict[int, bool] = {}
         self.step: dict[int, int] = {}  # trie of labels: node << 8 | byte: node
         self.ends = [-1]
-        for i in range(256):
-            self._add(vocab[next(c for c, b in letters.items() if b == i)])
-        for i, left in enumerate(self.left):
-            if left >= 0:
-                self._add(i)
-        self.splitter = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        for i in self.ids.values():
+            self._add(i)
 
     def _add(self, token: int) -> None:
         node = 0
@@ -155,7 +192,6 @@ class Automaton:
         return out
 
     def _known(self, piece: str) -> bytes:
-        """Ids of a piece of text as little-endian 16-bit numbers."""
         out = self.older.get(piece)
         if out is None:
             words = _pattern().findall(piece)
@@ -169,33 +205,12 @@ class Automaton:
         """Memory of two generations, so that it stays bounded."""
         if len(piece) <= 64:
             self.words[piece] = ids
-            if len(self.words) >= REMEMBERED:
+            if len(self.words) >= self.remembered:
                 self.older, self.words = self.words, {}
 
-    def encode(self, text: str | None) -> bytes:
-        """Ids of a whole text as little-endian 16-bit numbers."""
-        if not text:
-            return b""
-        if self.splitter is None or not self.splitter.search(text):
-            return self._plain(text)
-        parts, at = [], 0
-        for m in self.splitter.finditer(text):
-            parts += [self._plain(text[at : m.start()]), np.uint16(self.special[m[0]]).tobytes()]
-            at = m.end()
-        return b"".join([*parts, self._plain(text[at:])])
-
-    def _plain(self, text: str) -> bytes:
-        # A space before a non-space always begins a word: pieces between such spaces are independent.
+    def joined(self, pieces: list[str]) -> list[bytes]:
         get, known = self.words.get, self._known  # at a change of generation, get goes on with what is then the older
-        if _ODD_SPACE.search(text):
-            pieces = _BEFORE_WORD.split(text)
-        else:
-            first, *rest = text.split(" ")
-            pieces = [first, *(" " + p for p in rest)]
-        return b"".join([get(p) or known(p) for p in pieces if p])
-
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.labels.__getitem__, ids))
+        return [get(p) or known(p) for p in pieces]
 
 
 _ODD_SPACE = re.compile(r" (?:\s|\Z)")
@@ -256,6 +271,14 @@ class _Decode:
             )
 
 
+class _Both:
+    def __init__(self, first, second):
+        self.first, self.second = first, second
+
+    def __call__(self, batches):
+        return self.second(self.first(batches))
+
+
 def _replaced(df: DataFrame, name: str, *new: tuple[str, str]):
     from pyspark.sql.types import StructType
 
@@ -281,7 +304,10 @@ def decode_digests(encoded: DataFrame, path: str) -> DataFrame:
 
 def op3(docs: DataFrame, path: str) -> DataFrame:
     """The contract's columns: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    out = decode_digests(encode(docs.select("doc_id", "text"), path), path)
+    encode_, decode_ = _Encode(path), _Decode(path)
+    own = docs.select("doc_id", "text")
+    new = ("_n_tokens", "long"), ("_ids_sha256", "string"), ("_decoded_sha256", "string")
+    out = own.mapInArrow(_Both(encode_, decode_), _replaced(own, "text", *new))  # one worker a task, not two
     return out.selectExpr(
         "doc_id", "_n_tokens as n_tokens", "_ids_sha256 as ids_sha256", "_decoded_sha256 as decoded_sha256"
     )

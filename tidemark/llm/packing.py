@@ -12,20 +12,69 @@ columns are left out; an empty table gives no pieces.
 
 from __future__ import annotations
 
+import functools
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import automaton
+from .bpe import PATTERN, Vocabulary
 from .common import settle
 
 SEQUENCE, SEPARATOR = 2048, 1
 
 
+class Ranked(Vocabulary):
+    """Pieces that are not remembered are encoded by tiktoken, from the same merges and pattern, all of a text at once."""
+
+    remembered = 300_000
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        # Ids in the order of the merges are what it takes as ranks.
+        self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=self.ids, special_tokens={})
+        self.sizes = np.array([len(x) for x in self.labels])
+
+    def joined(self, pieces: list[str]) -> list[bytes]:
+        new, older = self.words, self.older
+        out = [new.get(p) for p in pieces]
+        gaps = [i for i, ids in enumerate(out) if ids is None]
+        unknown = {}
+        for i in gaps:
+            p = pieces[i]
+            if (ids := older.get(p)) is None:
+                unknown[p] = len(unknown)
+            else:
+                new[p] = ids
+        if unknown:
+            # In this order too, a piece begins with a space before a non-space, or begins the text.
+            ids = np.array(self.encoding.encode_ordinary("".join(unknown)), "<u2")
+            want = np.cumsum([len(p) if p.isascii() else len(p.encode()) for p in unknown])
+            ends = np.searchsorted(np.cumsum(self.sizes[ids]), want) + 1
+            raw, at = ids.tobytes(), 0
+            for p, end in zip(unknown, (2 * ends).tolist()):
+                new[p] = raw[at:end]
+                at = end
+        for i in gaps:
+            out[i] = new[pieces[i]]
+        for p in unknown:
+            if len(p) > 64:  # rare ones, which would fill the memory
+                del new[p]
+        if len(new) >= self.remembered:
+            self.older, self.words = new, {}
+        return out
+
+
+@functools.cache
+def ranked(path: str) -> Ranked:
+    """One encoder for each worker and vocabulary."""
+    return Ranked(path)
+
+
 class _Stream:
     """Documents to their ids and place in the partition's stream."""
 
@@ -33,7 +82,7 @@ class _Stream:
         self.path, self.separator = path, separator
 
     def __call__(self, batches):
-        encode, end = automaton(self.path).encode, np.uint16(self.separator).tobytes()
+        encode, end = ranked(self.path).encode, np.uint16(self.separator).tobytes()
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
             ids = [encode(x.as_py()) + end for x in batch.column(1)]
