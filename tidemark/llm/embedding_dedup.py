@@ -249,6 +249,24 @@ def op10(embeddings: DataFrame) -> DataFrame:
     return near_duplicates(embeddings).withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
+#: All pairs of a label; components by reachability.
+ORACLE = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_count(embedding) = len(embedding)
+    AND len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding) AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT DISTINCT a AS origin, a AS node FROM links UNION SELECT r.origin, l.b FROM reach r JOIN links l ON l.a = r.node),
+least AS (SELECT origin, min(node) AS component_id FROM reach GROUP BY origin),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(component_id, e.vec_id) AS component_id,
+       coalesce(component_id, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN counts ON counts.a = e.vec_id LEFT JOIN least ON least.origin = e.vec_id
+"""
+
+
 def brute_force(rows: list[tuple], cosine: float = COSINE) -> list[tuple]:
     """near_duplicates for a small fixture of (vec_id, embedding, label): all pairs."""
     def good(v, label):

@@ -25,4 +25,7 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op2_chat_formatting": chat.ORACLE,
     "op4_line_dedup": line_dedup.ORACLE,
+    "op7_url_filters": url_filter.ORACLE,
+    "op8_suffix_array_dedup": suffix_dedup.ORACLE,
+    "op10_embedding_near_dedup": embedding_dedup.ORACLE,
 }

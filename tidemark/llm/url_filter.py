@@ -114,3 +114,39 @@ def judged(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
         "page_id", "host", "path", "rule",
         F.coalesce("verdict", F.when(F.col("blocked"), "block").otherwise("allow")).alias("verdict"),
     )
+
+
+#: Mining by counting every token set of every basket, which the few tokens of a URL allow.
+ORACLE = r"""
+WITH rest AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
+parts AS (
+  SELECT page_id, translate(regexp_extract(r, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+ruled AS (
+  SELECT *, CASE WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/en/1%' THEN 'example.org/en/1'
+                 WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/es/%' THEN 'example.org/es/'
+                 WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/fr/%' THEN 'com/fr/'
+                 WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/de/%' THEN 'com/de/'
+                 WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/%' THEN 'org/' END AS rule,
+         string_split(host, '.') AS l, list_filter(string_split(regexp_replace(path, '[0-9]+', '#', 'g'), '/'), lambda x: x <> '') AS s
+  FROM parts),
+tokened AS (
+  SELECT page_id, host, path, rule, CASE WHEN host = '' THEN [] ELSE list_sort(list_distinct(list_filter([
+    'tld=' || l[-1], CASE WHEN len(l) > 1 THEN 'site=' || l[-2] || '.' || l[-1] END, CASE WHEN len(l) > 2 THEN 'sub=' || l[1] END,
+    CASE WHEN len(s) > 0 THEN 'p1=' || s[1] END, CASE WHEN len(s) > 1 THEN 'p2=' || s[2] END, 'depth=' || len(s)], lambda x: x IS NOT NULL))) END AS t
+  FROM ruled),
+outcome AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+baskets AS (SELECT t, bad FROM tokened JOIN outcome ON page_id = doc_id WHERE len(t) > 0),
+sets AS (SELECT list_filter(t, lambda x, i: (m >> (i - 1)) & 1 = 1) AS c, bad FROM (SELECT t, bad, unnest(range(1, (1 << len(t))::BIGINT)) AS m FROM baskets)),
+mined AS (
+  SELECT c FROM sets GROUP BY c
+  HAVING sum(bad) >= ceil(0.002 * (SELECT count(*) FROM baskets)) AND sum(bad) > 0 AND sum(bad) / count(*) >= 0.5),
+hits AS (
+  SELECT DISTINCT t FROM (
+    SELECT t, list_filter(t, lambda x, i: (m >> (i - 1)) & 1 = 1) AS c
+    FROM (SELECT t, unnest(range(1, (1 << len(t))::BIGINT)) AS m FROM (SELECT DISTINCT t FROM tokened WHERE rule IS NULL AND len(t) > 0))) JOIN mined USING (c))
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN hits.t IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
+FROM tokened LEFT JOIN hits ON tokened.t = hits.t
+"""
