@@ -29,6 +29,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import small_batches
+
 #: Fixed value: the word pattern of the byte-level pre-tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Arcs kept in the table at most.
@@ -293,7 +295,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     from pyspark.sql.types import BinaryType, StructField, StructType
 
     schema = StructType([StructField("_ids", BinaryType()) if f.name == "text" else f for f in docs.schema.fields])
-    return docs.mapInArrow(_Encode(path), schema)
+    return small_batches(docs).mapInArrow(_Encode(path), schema)
 
 
 def decode_digests(encoded: DataFrame, path: str) -> DataFrame:
@@ -305,7 +307,7 @@ def decode_digests(encoded: DataFrame, path: str) -> DataFrame:
 def op3(docs: DataFrame, path: str) -> DataFrame:
     """The contract's columns: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     encode_, decode_ = _Encode(path), _Decode(path)
-    own = docs.select("doc_id", "text")
+    own = small_batches(docs.select("doc_id", "text"))
     new = ("_n_tokens", "long"), ("_ids_sha256", "string"), ("_decoded_sha256", "string")
     out = own.mapInArrow(_Both(encode_, decode_), _replaced(own, "text", *new))  # one worker a task, not two
     return out.selectExpr(

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import settle, small_batches
 
 ROW, DEEP = 192, 3
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -208,7 +208,7 @@ class _ReadBack:
 
 def interleaved(pages: DataFrame) -> DataFrame:
     """``pages`` (page_id, html) to page_id, elements."""
-    return pages.select("page_id", "html").mapInArrow(_Parse(), f"{pages.select('page_id').schema.simpleString()[7:-1].replace(':', ' ')}, elements {ELEMENTS}")
+    return small_batches(pages).select("page_id", "html").mapInArrow(_Parse(), f"{pages.select('page_id').schema.simpleString()[7:-1].replace(':', ' ')}, elements {ELEMENTS}")
 
 
 def media_features(store: DataFrame) -> DataFrame:
@@ -227,7 +227,7 @@ def resolve(references: DataFrame, features: DataFrame) -> DataFrame:
 def op5(docs: DataFrame) -> DataFrame:
     """The contract's columns: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature; then pos, caption."""
     schema = f"doc_id long, n_bytes long, refs {ELEMENTS}, digest string, media binary"
-    stored = settle(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_Compose(), schema))
+    stored = settle(small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(_Compose(), schema))
     features = media_features(stored.where("media is not null"))
     refs = stored.select("doc_id", "n_bytes", F.explode("refs").alias("x")).select("doc_id", "n_bytes", "x.pos", "x.caption", "x.ref")
     return resolve(refs, features).select(

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import PATTERN, Vocabulary
-from .common import settle
+from .common import settle, small_batches
 
 SEQUENCE, SEPARATOR = 2048, 1
 
@@ -131,7 +131,7 @@ class _Cut:
 def pack(docs: DataFrame, path: str, length: int = SEQUENCE, separator: int = SEPARATOR, with_ids: bool = False) -> DataFrame:
     """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; and ids (binary, 32-bit) if asked for."""
     stream = settle(
-        docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+        small_batches(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(
             _Stream(path, separator), "doc_id long, ids binary, part int, end long"
         )
     )

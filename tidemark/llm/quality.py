@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import fold, unfold
+from .common import fold, small_batches, unfold
 
 BLOCK, BLOCKS, SAMPLE, DICTIONARY, LEVEL = 2048, 3000, 6000, 112_640, 3
 FOLDS, THRESHOLD = 5, 0.3
@@ -174,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     order = F.xxhash64("doc_id")
     chosen = [known.where(F.col("quality") == q).orderBy(order, "doc_id").limit(sample) for q in (0, 1)]
     chosen = F.broadcast(chosen[0].unionAll(chosen[1]).withColumn("half", F.shiftrightunsigned(order, 7) % 2))
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id")  # twice ``sample`` small rows are broadcast
+    rows = small_batches(docs).select("doc_id", "text").join(chosen, "doc_id")  # twice ``sample`` small rows are broadcast
     blocks = (
         rows.where("half = 0").select("doc_id", "text", "quality")
         .mapInArrow(_Blocks(), "quality int, place string, block binary")
@@ -201,7 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with _score (0 to 1)."""
-    return docs.mapInArrow(_Score(model), StructType([*docs.schema.fields]).add("_score", "double"))
+    return small_batches(docs).mapInArrow(_Score(model), StructType([*docs.schema.fields]).add("_score", "double"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

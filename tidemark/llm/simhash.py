@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, fold, keyed, settle, unfold
+from .common import components, fold, keyed, settle, small_batches, unfold
 
 WIDTHS = (13, 13, 13, 13, 12)
 SEGMENTS = len(WIDTHS)
@@ -73,7 +73,7 @@ class _Fingerprints:
 def fingerprints(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
     """``docs`` without its text, with _fp."""
     schema = docs.drop("text").schema.add("_fp", "long")
-    return docs.mapInArrow(_Fingerprints(words), schema)
+    return small_batches(docs).mapInArrow(_Fingerprints(words), schema)
 
 
 def _segment(fp, i: int):

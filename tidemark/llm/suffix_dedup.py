@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import fold, keyed, settle, unfold
+from .common import fold, keyed, settle, small_batches, unfold
 from .rolling import PIECE, U, common_extension, mix, rolling
 
 LENGTH, GRAM, CHUNK = 100, 32, 1024
@@ -44,7 +44,7 @@ ROWS = "kind int, key long, pos long, n long, off int, mh long, h1 long, h2 long
 
 def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk: int = CHUNK) -> DataFrame:
     """Of ``docs`` (_key long unique, text string): rows (_key, spans array<struct<pos,n>>), unmerged spans to remove."""
-    texts = docs.select("_key", "text")
+    texts = small_batches(docs.select("_key", "text"))
     rows = texts.mapInArrow(_Scan(length, gram), ROWS)
     found = settle(
         rows.repartition("mh")
