@@ -36,7 +36,7 @@ from pyspark.sql.types import StructType
 from .common import fold, keyed, settle, small_batches, unfold
 from .rolling import PIECE, U, common_extension, mix, rolling
 
-LENGTH, GRAM, CHUNK = 100, 32, 1024
+LENGTH, GRAM, CHUNK = 100, 32, 256
 SPAN, RUN, WINDOW = 1, 2, 3
 
 ROWS = "kind int, key long, pos long, n long, off int, mh long, h1 long, h2 long"
