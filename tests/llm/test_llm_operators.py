@@ -415,10 +415,11 @@ def passages(n=700):
     return data
 
 
-@pytest.mark.parametrize("chunk", [1024, 3])
-def test_substrings_brute_force(spark, monkeypatch, chunk):
+@pytest.mark.parametrize("chunk, hot", [(1024, 4096), (3, 4096), (3, 2), (1024, 20)])
+def test_substrings_brute_force(spark, monkeypatch, chunk, hot):
     spans = suffix_dedup.removed_spans
-    monkeypatch.setattr(suffix_dedup, "removed_spans", lambda docs, length: spans(docs, length, chunk=chunk))
+    monkeypatch.setattr(suffix_dedup, "SHARE", 1 << 20)
+    monkeypatch.setattr(suffix_dedup, "removed_spans", lambda docs, length: spans(docs, length, chunk=chunk, hot=hot))
     data = passages()
     assert got(suffix_dedup.op8(spark.createDataFrame(data, DOC).repartition(5))) == sorted(suffix_dedup.brute_force(data), key=str)
 

@@ -10,7 +10,10 @@ at equal anchors can share a window, and the windows of one anchor make one run
    buffer keep the earliest only; the others are removed spans already. That bounds what one hot
    passage sends on by the number of buffers.
 2. One shuffle by anchor gram brings runs together in order; copies of a run become spans. Runs that
-   alone have their anchor gram are done: no other window can equal theirs.
+   alone have their anchor gram are done: no other window can equal theirs. Anchors at the edge of a
+   common passage have other bytes around them in each document; a pass before counts the runs in
+   ``BUCKETS`` hash buckets of grams, and buckets of over ``hot`` runs and one in ``SHARE`` of all are
+   dealt to several tasks by the hash of the run's bytes, each part a cut group of step 3.
 3. For the rest (a few in a hundred), the bytes are fetched and sorted as suffixes from the anchor in
    each group, by a mergesort whose comparisons find the common extension by binary search on prefix
    hashes. Longest-common-prefix intervals, split by the hash of what lies left of the anchor, are
@@ -38,18 +41,40 @@ from .rolling import PIECE, U, common_extension, mix, rolling
 
 LENGTH, GRAM, CHUNK = 100, 32, 256
 SPAN, RUN, WINDOW = 1, 2, 3
+#: Buckets of anchor grams that are counted; a bucket is hot with over HOT runs that are one in SHARE or more of all.
+BUCKETS, HOT, SHARE = 1 << 16, 4096, 4096
 
 ROWS = "kind int, key long, pos long, n long, off int, mh long, h1 long, h2 long"
 
 
-def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk: int = CHUNK) -> DataFrame:
+def _hot_buckets(texts: DataFrame, length: int, gram: int, hot: int) -> DataFrame:
+    """Hot buckets of anchor grams, at most ``SHARE`` rows: bucket, salts (parts to deal it to)."""
+    counts = settle(
+        texts.mapInArrow(_Heat(_Scan(length, gram)), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    )
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return counts.where((F.col("n") > hot) & (F.col("n") * SHARE >= total)).select(
+        "bucket", F.ceil(F.col("n") / hot).cast("long").alias("salts")
+    )
+
+
+def removed_spans(
+    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk: int = CHUNK, hot: int = HOT
+) -> DataFrame:
     """Of ``docs`` (_key long unique, text string): rows (_key, spans array<struct<pos,n>>), unmerged spans to remove."""
     texts = small_batches(docs.select("_key", "text"))
-    rows = texts.mapInArrow(_Scan(length, gram), ROWS)
+    buckets = _hot_buckets(texts, length, gram, hot)
+    rows = (
+        texts.mapInArrow(_Scan(length, gram), ROWS)
+        .withColumn("bucket", F.col("mh").bitwiseAND(F.lit(BUCKETS - 1)))
+        .join(F.broadcast(buckets), "bucket", "left")  # at most SHARE rows
+        .withColumn("salt", F.coalesce(F.pmod("h2", "salts") + 1, F.lit(0)).cast("long"))
+        .drop("bucket", "salts")
+    )
     found = settle(
-        rows.repartition("mh")
-        .sortWithinPartitions("mh", "h1", "h2", "key", "pos")
-        .mapInArrow(_Copies(length, chunk), ROWS + ", chunk int")
+        rows.repartition("mh", "salt")
+        .sortWithinPartitions("mh", "salt", "h1", "h2", "key", "pos")
+        .mapInArrow(_Copies(length, chunk), ROWS + ", chunk long")
     )
     wanted = (
         found.where(F.col("kind") == RUN)
@@ -58,7 +83,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk
     )
     runs = texts.join(wanted, texts["_key"] == wanted["key"]).select("key", "text", "runs")
     compared = settle(
-        runs.mapInArrow(_Fetch(length), "mh long, chunk int, key long, pos long, n int, off int, bytes binary")
+        runs.mapInArrow(_Fetch(length), "mh long, chunk long, key long, pos long, n int, off int, bytes binary")
         .repartition("mh", "chunk")
         .sortWithinPartitions("mh", "chunk", "key", "pos")
         .mapInArrow(_Compare(length, chunk), ROWS)
@@ -67,7 +92,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk
         compared.where(F.col("kind") == WINDOW)
         .repartition("h1")
         .sortWithinPartitions("h1", "h2", "key", "pos")
-        .mapInArrow(_Copies(length, chunk, windows=True), ROWS + ", chunk int")
+        .mapInArrow(_Copies(length, chunk, windows=True), ROWS + ", chunk long")
     )
     spans = [x.where(F.col("kind") == SPAN).select("key", "pos", "n") for x in (found, compared, late)]
     return (
@@ -153,7 +178,7 @@ class _Cut:
 
 
 def _batch(**columns: np.ndarray) -> pa.RecordBatch:
-    kinds = {"kind": np.int32, "off": np.int32, "chunk": np.int32}
+    kinds = {"kind": np.int32, "off": np.int32}
     size = max(len(x) for x in columns.values() if isinstance(x, np.ndarray))
     full = {k: x if isinstance(x, np.ndarray) else np.full(size, x) for k, x in columns.items()}
     arrays = [
@@ -233,6 +258,20 @@ class _Scan:
             yield _batch(kind=SPAN, key=key, pos=pos, n=n, off=0, mh=mix(mix(key.astype(U)) + pos.astype(U)), h1=0, h2=0)
 
 
+class _Heat:
+    """Texts to the number of their runs in each bucket of anchor grams."""
+
+    def __init__(self, scan: _Scan):
+        self.scan = scan
+
+    def __call__(self, batches):
+        n = np.zeros(BUCKETS, np.int64)
+        for rows in self.scan(batches):
+            n += np.bincount(rows.column("mh").to_numpy() & (BUCKETS - 1), minlength=BUCKETS)
+        bucket = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(n[bucket])], names=["bucket", "n"])
+
+
 class _Copies:
     """Sorted runs (or windows): all but the first of each content become spans; others of a shared anchor go on.
 
@@ -253,22 +292,24 @@ class _Copies:
             if not size:
                 continue
             group = c["h1" if self.windows else "mh"]
-            before = last or (None, None, None)
+            salt = np.zeros(size, np.int64) if self.windows else c["salt"]
+            before = last or (None, None, None, None)
             fresh = np.empty(size, bool)  # a new group
-            fresh[0], fresh[1:] = group[0] != before[0], group[1:] != group[:-1]
+            fresh[0] = (group[0], salt[0]) != before[:2]
+            fresh[1:] = (group[1:] != group[:-1]) | (salt[1:] != salt[:-1])
             new = fresh.copy()  # a new content
-            new[0] |= (c["h1"][0], c["h2"][0]) != before[1:]
+            new[0] |= (c["h1"][0], c["h2"][0]) != before[2:]
             new[1:] |= (c["h1"][1:] != c["h1"][:-1]) | (c["h2"][1:] != c["h2"][:-1])
             if len(copy := np.flatnonzero(~new)):
                 yield _batch(
                     kind=SPAN, key=c["key"][copy], pos=c["pos"][copy], n=c["n"][copy] + self.length - 1,
                     off=0, mh=0, h1=0, h2=0, chunk=0,
                 )
-            last = (group[-1], c["h1"][-1], c["h2"][-1])
+            last = (group[-1], salt[-1], c["h1"][-1], c["h2"][-1])
             if self.windows or not new.any():
                 continue
             at = np.flatnonzero(new)
-            g = group[at]
+            parted = salt[at] > 0
             start = np.maximum.accumulate(np.where(fresh[at], np.arange(len(at)), 0))
             nth = np.arange(len(at)) - start
             if not fresh[at[0]]:
@@ -277,11 +318,12 @@ class _Copies:
                 if held is not None:
                     yield held
                     held = None
-            go = nth > 0
-            go[:-1] |= g[1:] == g[:-1]
+            go = (nth > 0) | parted  # a part of a hot bucket can't tell whether its grams are alone
+            go[:-1] |= ~fresh[at][1:]
+            part = np.where(parted, (salt[at] << 24) + 1, 0) + nth // self.chunk
             out = {k: c[k][at] for k in ("key", "pos", "n", "off", "mh", "h1", "h2")}
             if go.any():
-                yield _batch(kind=RUN, **{k: v[go] for k, v in out.items()}, chunk=(nth // self.chunk)[go])
+                yield _batch(kind=RUN, **{k: v[go] for k, v in out.items()}, chunk=part[go])
             held = None if go[-1] else _batch(kind=RUN, **{k: v[-1:] for k, v in out.items()}, chunk=np.zeros(1, int))
             count = int(nth[-1]) + 1
 
@@ -309,7 +351,7 @@ class _Fetch:
 
     @staticmethod
     def batch(rows):
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
         names = ["mh", "chunk", "key", "pos", "n", "off", "bytes"]
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=names)
 
