@@ -415,15 +415,25 @@ def passages(n=700):
     return data
 
 
-@pytest.mark.parametrize("chunk, hot", [(1024, 4096), (3, 4096), (3, 2), (1024, 20)])
-def test_substrings_brute_force(spark, monkeypatch, chunk, hot):
-    spans = suffix_dedup.removed_spans
-    monkeypatch.setattr(suffix_dedup, "SHARE", 1 << 20)
-    monkeypatch.setattr(suffix_dedup, "removed_spans", lambda docs, length: spans(docs, length, chunk=chunk, hot=hot))
+@pytest.mark.parametrize("group, few", [(2048, 256), (3, 1 << 30), (3, 2), (2, 20)])
+def test_substrings_brute_force(spark, monkeypatch, group, few):
+    """Groups of any size and any choice of common grams give the same result."""
+    monkeypatch.setattr(suffix_dedup, "GROUP", group)
+    monkeypatch.setattr(suffix_dedup, "FEW", few)
     data = passages()
     assert got(suffix_dedup.op8(spark.createDataFrame(data, DOC).repartition(5))) == sorted(suffix_dedup.brute_force(data), key=str)
 
 
+def test_substrings_thue_morse(spark):
+    """Texts whose polynomial hashes modulo 2^64 collide: the string of two letters and its complement."""
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    data = [(1, word), (2, other), (3, "c" + word[:1024] + "d" + other[:1024]), (4, word[512:640] + other[700:900] + "e" * 150)]
+    assert got(suffix_dedup.op8(spark.createDataFrame(data, DOC))) == sorted(suffix_dedup.brute_force(data), key=str)
+
+
 def test_substrings_long_text_in_parts(monkeypatch):
     """A text longer than a buffer is scanned in overlapping parts: same runs of windows, each window once."""
     monkeypatch.setattr(suffix_dedup, "PIECE", 1 << 12)
@@ -438,13 +448,20 @@ def test_substrings_long_text_in_parts(monkeypatch):
 
 
 def test_substrings_collisions(monkeypatch):
-    """Without usable hashes the bytes decide."""
+    """Where all polynomial hashes are equal the bytes decide."""
     import pyarrow as pa
 
-    compare = suffix_dedup._Compare(100, 1024)
-    a, b = b"x" * 40 + b"q" * 80, b"x" * 40 + b"q" * 60 + b"z" * 20
-    out = list(compare.by_bytes(range(2), np.array([1, 2]), np.array([0, 0]), np.array([21, 21]), [a, b]))
-    assert [r["pos"] for r in pa.Table.from_batches(out).to_pylist()] == [0]
+    compare = suffix_dedup._Compare(100)
+    a, b, c = b"x" * 40 + b"q" * 80, b"x" * 40 + b"q" * 60 + b"z" * 20, b"y" * 19 + b"x" + b"q" * 80
+    rows = suffix_dedup._Fetch.batch([(5, k, 0, n, 20, v) for k, n, v in ((1, 21, a), (2, 21, b), (3, 1, c), (4, 21, a))])
+    right = pa.Table.from_batches(compare([rows])).to_pylist()
+    monkeypatch.setattr(suffix_dedup.rolling(1), "of", lambda prefix, start, end: np.zeros(len(start), np.uint64))
+    wrong = pa.Table.from_batches(compare([rows])).to_pylist()
+
+    def bytes_of(spans):
+        return {(r["key"], p) for r in spans for p in range(r["pos"], r["pos"] + r["n"])}
+
+    assert bytes_of(right) == bytes_of(wrong) == {(2, p) for p in range(100)} | {(4, p) for p in range(120)}
 
 
 def test_substrings_edges(spark):

@@ -15,15 +15,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows of an Arrow batch where texts are sent to Python: their bytes, not their number, fill memory.
+#: Rows of the slices in which texts are worked on in Python. Spark bounds the bytes of a batch (64 MB).
 BATCH = 2000
 
 
+def sliced(batches):
+    """The rows of ``batches``, ``BATCH`` at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, BATCH):
+            yield batch.slice(i, BATCH)
+
+
 def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, with its session's Arrow batches held to ``BATCH`` rows, as Spark bounds them by rows only."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name)) <= BATCH:
-        conf.set(name, BATCH)
     return df
 
 

@@ -1,29 +1,35 @@
 """Suffix-array dedup: remove every byte covered by a passage of ``length`` bytes that starts earlier.
 
 Method: hash-compared suffix sort. Sorting a suffix for every byte would shuffle many times the
-input, so suffixes are sorted at *anchors*: the leftmost smallest of the hashed ``gram``-byte grams
-of each ``length``-byte window. Equal windows have equal anchors at equal places, so only suffixes
-at equal anchors can share a window, and the windows of one anchor make one run of bytes.
-
-1. Each task hashes its texts (prefix polynomial hashes), finds anchors, and writes one row for each
-   run: hash of the anchor gram, two hashes of the run's bytes. Copies of a run within a task's
-   buffer keep the earliest only; the others are removed spans already. That bounds what one hot
-   passage sends on by the number of buffers.
-2. One shuffle by anchor gram brings runs together in order; copies of a run become spans. Runs that
-   alone have their anchor gram are done: no other window can equal theirs. Anchors at the edge of a
-   common passage have other bytes around them in each document; a pass before counts the runs in
-   ``BUCKETS`` hash buckets of grams, and buckets of over ``hot`` runs and one in ``SHARE`` of all are
-   dealt to several tasks by the hash of the run's bytes, each part a cut group of step 3.
-3. For the rest (a few in a hundred), the bytes are fetched and sorted as suffixes from the anchor in
+input, so suffixes are sorted at *anchors*: of the hashed ``gram``-byte grams of each ``length``-byte
+window the rarest, then smallest, then leftmost. Equal windows have equal anchors at equal places, so
+only suffixes at equal anchors can share a window, and the windows of one anchor make one run of bytes.
+
+1. A pass over all texts counts grams in ``BUCKETS`` hash buckets; grams of crowded buckets are common,
+   in three steps of eight times. A window has a common anchor only if it has no rarer gram: one that
+   reaches beyond a widespread passage is anchored outside it, and what keeps a common anchor are, but
+   for odd texts, true copies. Counts steer how rows are dealt out and never what is removed.
+2. Each task hashes its texts (prefix polynomial hashes), finds anchors, and writes one row for each
+   run: hash of the anchor gram, digest of the run's bytes. Copies of a run in one buffer of a task, and
+   at common anchors in all of a task, keep the earliest only; the others are removed spans already.
+3. One shuffle by anchor gram (common ones salted by content) brings runs together in order; copies of
+   a run become spans. Runs that alone have their anchor gram are done: no other window can equal theirs.
+4. For the rest (a few in a hundred), the bytes are fetched and sorted as suffixes from the anchor in
    each group, by a mergesort whose comparisons find the common extension by binary search on prefix
    hashes. Longest-common-prefix intervals, split by the hash of what lies left of the anchor, are
-   the sets of equal windows; matches are verified byte for byte. Groups are cut into chunks of
-   ``chunk`` runs; what stays first in a chunk of a cut group meets the other chunks in a shuffle by
-   the window's 128-bit hash.
+   the sets of equal windows. Order, prefixes and matches are verified byte for byte.
+5. Groups of more than ``group`` runs of different content are not sorted as they are. Their windows are
+   parted by the anchor's place in them into halves, whose windows share more bytes than the gram: these
+   are the new anchor, and step 3 follows. After log2(length - gram + 1) such rounds at most the anchor is
+   the whole window, and its group is copies. No group is too large for a task, and no pair is written.
+
+Equal runs are told by 128 bits of BLAKE2b, a cryptographic digest, and not compared on their bytes.
+Polynomial hashes, which odd texts can make collide, only place rows, and their verdicts are verified.
 
 Edge cases: null and short texts (under ``length`` bytes) lose nothing; repeated rows and repeated or
-null doc_ids are separate documents, ordered by doc_id (nulls first), then text; extra columns,
-whatever their names, pass through; an empty table gives an empty result.
+null doc_ids are separate documents, ordered by doc_id (nulls first), then a hash of the text; very long
+texts go through in overlapping parts (their spans, as their text, are one row); extra columns, whatever
+their names, pass through; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,70 +42,69 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import fold, keyed, settle, small_batches, unfold
+from .common import fold, keyed, settle, sliced, unfold
 from .rolling import PIECE, U, common_extension, mix, rolling
 
-LENGTH, GRAM, CHUNK = 100, 32, 256
-SPAN, RUN, WINDOW = 1, 2, 3
-#: Buckets of anchor grams that are counted; a bucket is hot with over HOT runs that are one in SHARE or more of all.
-BUCKETS, HOT, SHARE = 1 << 16, 4096, 4096
+LENGTH, GRAM, GROUP = 100, 32, 2048
+SPAN, RUN = 1, 2
+#: Buckets of grams that are counted. Common are those of CROWDED times the mean and of FEW grams or more.
+BUCKETS, CROWDED, FEW = 1 << 21, 6, 256
+#: Contents at common anchors that a task remembers; parts that one common anchor is dealt to.
+SEEN, SALTS = 1 << 16, 64
 
-ROWS = "kind int, key long, pos long, n long, off int, mh long, h1 long, h2 long"
+ROWS = "kind int, key long, pos long, n long, off int, salt int, mh long, h1 long, h2 long"
+RUNS = "mh long, key long, pos long, n int, off int, bytes binary"
 
 
-def _hot_buckets(texts: DataFrame, length: int, gram: int, hot: int) -> DataFrame:
-    """Hot buckets of anchor grams, at most ``SHARE`` rows: bucket, salts (parts to deal it to)."""
-    counts = settle(
-        texts.mapInArrow(_Heat(_Scan(length, gram)), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    )
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    return counts.where((F.col("n") > hot) & (F.col("n") * SHARE >= total)).select(
-        "bucket", F.ceil(F.col("n") / hot).cast("long").alias("salts")
-    )
+def _ranks(texts: DataFrame, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Common buckets of grams, at most BUCKETS / CROWDED, and how common (1 to 3)."""
+    counts = settle(texts.mapInArrow(_Heat(_Scan(length, gram)), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")))
+    total = counts.where("bucket < 0").select("n").first()
+    least = max(FEW, CROWDED * (total.n if total else 0) // BUCKETS)
+    found = counts.where((F.col("bucket") >= 0) & (F.col("n") >= least)).collect()
+    bucket = np.fromiter((r.bucket for r in found), np.int32, len(found))
+    n = np.fromiter((r.n for r in found), np.int64, len(found))
+    return bucket, (1 + (n >= 8 * least) + (n >= 64 * least)).astype(np.uint8)
+
+
+def _copies(rows: DataFrame, length: int) -> DataFrame:
+    """Of ``rows`` (ROWS): spans of copies, and runs whose gram others have too."""
+    dealt = rows.repartition("mh", "salt").sortWithinPartitions("mh", "salt", "h1", "h2", "key", "pos")
+    return settle(dealt.mapInArrow(_Copies(length), ROWS))
+
 
+def _fetched(texts: DataFrame, runs: DataFrame, step, schema: str) -> DataFrame:
+    """``step`` over the texts with their runs of ``runs``."""
+    wanted = runs.groupBy("key").agg(F.collect_list(F.struct("pos", "n", "off", "mh")).alias("runs"))
+    return texts.join(wanted, texts["_key"] == wanted["key"]).select("key", "text", "runs").mapInArrow(step, schema)
 
-def removed_spans(
-    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk: int = CHUNK, hot: int = HOT
-) -> DataFrame:
+
+def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int | None = None) -> DataFrame:
     """Of ``docs`` (_key long unique, text string): rows (_key, spans array<struct<pos,n>>), unmerged spans to remove."""
-    texts = small_batches(docs.select("_key", "text"))
-    buckets = _hot_buckets(texts, length, gram, hot)
-    rows = (
-        texts.mapInArrow(_Scan(length, gram), ROWS)
-        .withColumn("bucket", F.col("mh").bitwiseAND(F.lit(BUCKETS - 1)))
-        .join(F.broadcast(buckets), "bucket", "left")  # at most SHARE rows
-        .withColumn("salt", F.coalesce(F.pmod("h2", "salts") + 1, F.lit(0)).cast("long"))
-        .drop("bucket", "salts")
-    )
-    found = settle(
-        rows.repartition("mh", "salt")
-        .sortWithinPartitions("mh", "salt", "h1", "h2", "key", "pos")
-        .mapInArrow(_Copies(length, chunk), ROWS + ", chunk long")
-    )
-    wanted = (
-        found.where(F.col("kind") == RUN)
-        .groupBy("key")
-        .agg(F.collect_list(F.struct("pos", "n", "off", "mh", "chunk")).alias("runs"))
-    )
-    runs = texts.join(wanted, texts["_key"] == wanted["key"]).select("key", "text", "runs")
-    compared = settle(
-        runs.mapInArrow(_Fetch(length), "mh long, chunk long, key long, pos long, n int, off int, bytes binary")
-        .repartition("mh", "chunk")
-        .sortWithinPartitions("mh", "chunk", "key", "pos")
-        .mapInArrow(_Compare(length, chunk), ROWS)
-    )
-    late = (
-        compared.where(F.col("kind") == WINDOW)
-        .repartition("h1")
-        .sortWithinPartitions("h1", "h2", "key", "pos")
-        .mapInArrow(_Copies(length, chunk, windows=True), ROWS + ", chunk long")
-    )
-    spans = [x.where(F.col("kind") == SPAN).select("key", "pos", "n") for x in (found, compared, late)]
-    return (
-        spans[0].unionAll(spans[1]).unionAll(spans[2])
-        .groupBy(F.col("key").alias("_key"))
-        .agg(F.collect_list(F.struct("pos", "n")).alias("spans"))
-    )
+    group = group or GROUP
+    texts = docs.select("_key", "text")
+    found = _copies(texts.mapInArrow(_Scan(length, gram, _ranks(texts, length, gram)), ROWS), length)
+    spans, width = [], length - gram + 1  # places an anchor can have in a window
+    while True:
+        spans.append(found.where(F.col("kind") == SPAN))
+        runs = found.where(F.col("kind") == RUN).select("key", "pos", "n", "off", "mh")
+        sizes = runs.groupBy("mh").agg(F.count(F.lit(1)).alias("c"))
+        crowded = settle(sizes.where(F.col("c") > group).select("mh"))
+        more = not crowded.isEmpty()
+        few = runs
+        if more or len(spans) > 1:
+            few = runs.join(settle(sizes.where(F.col("c").between(2, group)).select("mh")), "mh", "left_semi")
+        sorted_ = _fetched(texts, few, _Fetch(length), RUNS).repartition("mh").sortWithinPartitions("mh", "key", "pos")
+        spans.append(settle(sorted_.mapInArrow(_Compare(length), "key long, pos long, n long")))
+        if not more:
+            break
+        half = 1 << max(0, width.bit_length() - 2)  # powers of two: classes of a round lie in those before
+        parted = _fetched(texts, runs.join(crowded, "mh", "left_semi"), _Part(length, length - gram + 1, half), ROWS)
+        found, width = _copies(parted, length), half
+    union = spans[0].select("key", "pos", "n")
+    for x in spans[1:]:
+        union = union.unionAll(x.select("key", "pos", "n"))
+    return union.groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("pos", "n")).alias("spans"))
 
 
 def _removed(docs: DataFrame, length: int, as_text: bool = False) -> DataFrame:
@@ -152,7 +157,7 @@ class _Cut:
         self.as_text = as_text
 
     def __call__(self, batches):
-        for batch in batches:
+        for batch in sliced(batches):
             names = batch.schema.names
             at, text_at = names.index("spans"), names.index("text")
             kept, total, gone, runs = [], [], [], []
@@ -177,24 +182,39 @@ class _Cut:
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
-def _batch(**columns: np.ndarray) -> pa.RecordBatch:
-    kinds = {"kind": np.int32, "off": np.int32}
+def _batch(**columns) -> pa.RecordBatch:
+    """Columns of ROWS as numbers or arrays."""
     size = max(len(x) for x in columns.values() if isinstance(x, np.ndarray))
-    full = {k: x if isinstance(x, np.ndarray) else np.full(size, x) for k, x in columns.items()}
-    arrays = [
-        pa.array(x.view(np.int64) if x.dtype == U else x.astype(kinds.get(k, np.int64))) for k, x in full.items()
-    ]
-    return pa.RecordBatch.from_arrays(arrays, names=list(full))
+    names, kinds = zip(*(x.split() for x in ROWS.split(", ")))
+    arrays = []
+    for name, kind in zip(names, kinds):
+        x = columns[name]
+        x = x if isinstance(x, np.ndarray) else np.full(size, x)
+        arrays.append(pa.array(x.view(np.int64) if x.dtype == U else x.astype(np.int32 if kind == "int" else np.int64)))
+    return pa.RecordBatch.from_arrays(arrays, names=list(names))
 
 
 class _Scan:
-    """Texts to runs of windows with one anchor, and spans of runs copied within a buffer."""
+    """Texts to runs of windows with one anchor, and spans of runs copied within a buffer (at common anchors: within a task)."""
 
-    def __init__(self, length: int, gram: int):
-        self.length, self.gram = length, gram
+    def __init__(self, length: int, gram: int, common: tuple[np.ndarray, np.ndarray] | None = None):
+        self.length, self.gram, self.common = length, gram, common
 
     def __call__(self, batches):
-        for batch in batches:
+        rank = np.zeros(BUCKETS, np.uint8)
+        if self.common is not None:
+            rank[self.common[0]] = self.common[1]
+        seen: dict[bytes, tuple] = {}
+        for buf, lens, keys, base in self.pieces(batches):
+            yield from self.runs(buf, lens, keys, base, rank, seen)
+        if seen:
+            key, pos, n, off, mh = (np.array(x) for x in zip(*seen.values()))
+            h1, h2 = _digests(b"".join(seen))
+            yield _batch(kind=0, key=key, pos=pos, n=n, off=off, salt=1 + h2 % SALTS, mh=mh, h1=h1, h2=h2)
+
+    def pieces(self, batches):
+        """Buffers of PIECE bytes at most: (bytes, lengths of its texts, their keys, place of the first byte in its text)."""
+        for batch in sliced(batches):
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             texts = batch.column(1).cast(pa.large_binary())
             offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
@@ -206,24 +226,28 @@ class _Scan:
             while i < len(keys):
                 j = int(np.searchsorted(offsets, offsets[i] + PIECE, "right")) - 1
                 if j > i:
-                    yield from self.runs(data[offsets[i] : offsets[j]], np.diff(offsets[i : j + 1]), keys[i:j], 0)
+                    yield data[offsets[i] : offsets[j]], np.diff(offsets[i : j + 1]), keys[i:j], 0
                     i = j
                     continue
                 step = PIECE - self.length + 1  # a long text in overlapping parts: each window lies in one
                 for s in range(0, int(offsets[i + 1] - offsets[i]), step):
                     part = data[offsets[i] + s : min(offsets[i] + s + PIECE, offsets[i + 1])]
-                    yield from self.runs(part, np.array([len(part)]), keys[i : i + 1], s)
+                    yield part, np.array([len(part)]), keys[i : i + 1], s
                 i += 1
 
-    def runs(self, buf, lens, keys, base):
+    def grams(self, buf):
+        r = rolling(1)
+        p = r.prefix(buf)
+        return mix((p[self.gram :] - p[: -self.gram]) * r.inverse[: len(buf) - self.gram + 1])
+
+    def runs(self, buf, lens, keys, base, rank, seen):
         length, width = self.length, self.length - self.gram + 1
         if len(buf) < length:
             return
-        r1, r2 = rolling(1), rolling(2)
-        p1, p2 = r1.prefix(buf), r2.prefix(buf)
         low = U(PIECE - 1)
-        grams = mix((p1[self.gram :] - p1[: -self.gram]) * r1.inverse[: len(buf) - self.gram + 1])
-        least = (grams & ~low) | np.arange(len(grams), dtype=U)
+        grams = self.grams(buf)
+        common = rank[(grams & U(BUCKETS - 1)).astype(np.int64)]
+        least = (((grams >> U(2)) | (common.astype(U) << U(62))) & ~low) | np.arange(len(grams), dtype=U)
         d = 1
         while 2 * d <= width:
             least = np.minimum(least[:-d], least[d:])
@@ -239,93 +263,120 @@ class _Scan:
         start, n = w[first], np.diff(np.append(first, len(w)))
         anchor, doc = anchor[first], doc[first]
         end = start + n + length - 1
-        h1, h2 = r1.of(p1, start, end), r2.of(p2, start, end)
+        h1, h2 = _contents(buf.tobytes(), start, end)
         text_at = np.cumsum(lens) - lens
         key, pos = keys[doc], start - text_at[doc] + base
         order = np.lexsort((pos, key, h2, h1))
-        same = (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])
         copy = np.zeros(len(order), bool)
-        copy[order[1:][same]] = True
-        k = ~copy
-        yield _batch(
-            kind=0, key=key[k], pos=pos[k], n=n[k], off=(anchor - start)[k], mh=grams[anchor][k], h1=h1[k], h2=h2[k]
-        )
-        if copy.any():
-            key, pos, end = key[copy], pos[copy], (pos + n + length - 1)[copy]
-            new = np.concatenate([[True], (key[1:] != key[:-1]) | (pos[1:] > end[:-1])])
-            last = np.append(np.flatnonzero(new)[1:], len(new)) - 1
-            key, pos, n = key[new], pos[new], end[last] - pos[new]
-            yield _batch(kind=SPAN, key=key, pos=pos, n=n, off=0, mh=mix(mix(key.astype(U)) + pos.astype(U)), h1=0, h2=0)
+        copy[order[1:]] = (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])
+        gone = [(key[copy], pos[copy], (pos + n + length - 1)[copy])]
+        out = {"key": key, "pos": pos, "n": n, "off": anchor - start, "mh": grams[anchor].view(np.int64)}
+        if len(hot := np.flatnonzero(~copy & (common[anchor] > 0))):
+            stay, late = [], []
+            names = np.stack([h1[hot], h2[hot]], 1).tobytes()
+            for i, row in enumerate(zip(*(x[hot].tolist() for x in out.values()))):
+                name = names[16 * i : 16 * i + 16]
+                old = seen.get(name)
+                if old is None:
+                    if len(seen) < SEEN:
+                        seen[name] = row
+                    else:
+                        stay.append(hot[i])
+                    continue
+                seen[name] = min(row, old)  # by key, then pos
+                late.append(max(row, old))
+            if late:
+                k, p, m, *_ = (np.array(x) for x in zip(*sorted(late)))
+                gone.append((k, p, p + m + length - 1))
+            go = np.array(stay, np.int64)
+            if len(go):
+                yield _batch(kind=0, **{k: v[go] for k, v in out.items()}, salt=1 + h2[go] % SALTS, h1=h1[go], h2=h2[go])
+        if len(k := np.flatnonzero(~copy & (common[anchor] == 0))):
+            yield _batch(kind=0, **{c: v[k] for c, v in out.items()}, salt=0, h1=h1[k], h2=h2[k])
+        for key, pos, end in gone:  # in order: runs that meet become one span
+            if len(key):
+                new = np.concatenate([[True], (key[1:] != key[:-1]) | (pos[1:] > end[:-1])])
+                last = np.append(np.flatnonzero(new)[1:], len(new)) - 1
+                key, pos, n = key[new], pos[new], end[last] - pos[new]
+                deal = mix(mix(key.astype(U)) + pos.astype(U))
+                yield _batch(kind=SPAN, key=key, pos=pos, n=n, off=0, salt=0, mh=deal, h1=0, h2=0)
+
+
+def _digests(joined: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(joined, np.int64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
+def _contents(raw: bytes, start, end) -> tuple[np.ndarray, np.ndarray]:
+    """Digests of raw[start:end] as two numbers each."""
+    digest = hashlib.blake2b
+    return _digests(b"".join([digest(raw[i:j], digest_size=16).digest() for i, j in zip(start.tolist(), end.tolist())]))
 
 
 class _Heat:
-    """Texts to the number of their runs in each bucket of anchor grams."""
+    """Texts to the number of their grams in each crowded bucket, and in bucket -1 in all."""
 
     def __init__(self, scan: _Scan):
         self.scan = scan
 
     def __call__(self, batches):
-        n = np.zeros(BUCKETS, np.int64)
-        for rows in self.scan(batches):
-            n += np.bincount(rows.column("mh").to_numpy() & (BUCKETS - 1), minlength=BUCKETS)
-        bucket = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(n[bucket])], names=["bucket", "n"])
+        n = np.zeros(BUCKETS, np.int32)
+        for buf, *_ in self.scan.pieces(batches):
+            if len(buf) >= self.scan.gram:
+                n += np.bincount((self.scan.grams(buf) & U(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS).astype(np.int32)
+        total = int(n.sum())
+        # What is common in all has over twice this task's mean in some: buckets below that are not worth a row.
+        bucket = np.flatnonzero(n > 2 * total // BUCKETS + 8)
+        columns = [np.append(bucket, -1).astype(np.int32), np.append(n[bucket], total).astype(np.int64)]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["bucket", "n"])
 
 
 class _Copies:
-    """Sorted runs (or windows): all but the first of each content become spans; others of a shared anchor go on.
+    """Sorted runs: all but the first of each content become spans; others of a shared anchor go on.
 
-    Holds one row between batches, however large a group is.
+    Holds one row between batches, however large a group is. A part of a salted group can't tell whether
+    its anchor is shared, so all its contents go on.
     """
 
-    def __init__(self, length: int, chunk: int, windows: bool = False):
-        self.length, self.chunk, self.windows = length, chunk, windows
+    def __init__(self, length: int):
+        self.length = length
 
     def __call__(self, batches):
-        last, held, count = None, None, 0
+        last, held = None, None
         for batch in batches:
             c = {k: batch.column(i).to_numpy() for i, k in enumerate(batch.schema.names)}
             if len(done := np.flatnonzero(c["kind"] == SPAN)):
-                yield _batch(kind=SPAN, **{k: c[k][done] for k in ("key", "pos", "n")}, off=0, mh=0, h1=0, h2=0, chunk=0)
+                yield _batch(kind=SPAN, **{k: c[k][done] for k in ("key", "pos", "n")}, off=0, salt=0, mh=0, h1=0, h2=0)
                 c = {k: v[c["kind"] != SPAN] for k, v in c.items()}
             size = len(c["key"])
             if not size:
                 continue
-            group = c["h1" if self.windows else "mh"]
-            salt = np.zeros(size, np.int64) if self.windows else c["salt"]
-            before = last or (None, None, None, None)
-            fresh = np.empty(size, bool)  # a new group
-            fresh[0] = (group[0], salt[0]) != before[:2]
-            fresh[1:] = (group[1:] != group[:-1]) | (salt[1:] != salt[:-1])
-            new = fresh.copy()  # a new content
-            new[0] |= (c["h1"][0], c["h2"][0]) != before[2:]
-            new[1:] |= (c["h1"][1:] != c["h1"][:-1]) | (c["h2"][1:] != c["h2"][:-1])
+            names = ("mh", "salt", "h1", "h2")
+            before = last or (None,) * 4
+            fresh, new = np.zeros(size, bool), np.zeros(size, bool)  # a new group, a new content
+            fresh[0] = (c["mh"][0], c["salt"][0]) != before[:2]
+            for k in names[:2]:
+                fresh[1:] |= c[k][1:] != c[k][:-1]
+            new[0] = tuple(c[k][0] for k in names) != before
+            for k in names:
+                new[1:] |= c[k][1:] != c[k][:-1]
             if len(copy := np.flatnonzero(~new)):
                 yield _batch(
                     kind=SPAN, key=c["key"][copy], pos=c["pos"][copy], n=c["n"][copy] + self.length - 1,
-                    off=0, mh=0, h1=0, h2=0, chunk=0,
+                    off=0, salt=0, mh=0, h1=0, h2=0,
                 )
-            last = (group[-1], salt[-1], c["h1"][-1], c["h2"][-1])
-            if self.windows or not new.any():
-                continue
+            last = tuple(c[k][-1] for k in names)
             at = np.flatnonzero(new)
-            parted = salt[at] > 0
-            start = np.maximum.accumulate(np.where(fresh[at], np.arange(len(at)), 0))
-            nth = np.arange(len(at)) - start
-            if not fresh[at[0]]:
-                carried = np.cumsum(fresh[at]) == 0
-                nth[carried] += count
-                if held is not None:
-                    yield held
-                    held = None
-            go = (nth > 0) | parted  # a part of a hot bucket can't tell whether its grams are alone
+            if not len(at):
+                continue
+            if held is not None and not fresh[at[0]]:
+                yield held
+            go = ~fresh[at] | (c["salt"][at] > 0)
             go[:-1] |= ~fresh[at][1:]
-            part = np.where(parted, (salt[at] << 24) + 1, 0) + nth // self.chunk
-            out = {k: c[k][at] for k in ("key", "pos", "n", "off", "mh", "h1", "h2")}
+            out = {k: c[k][at] for k in ("key", "pos", "n", "off", "salt", "mh", "h1", "h2")}
             if go.any():
-                yield _batch(kind=RUN, **{k: v[go] for k, v in out.items()}, chunk=part[go])
-            held = None if go[-1] else _batch(kind=RUN, **{k: v[-1:] for k, v in out.items()}, chunk=np.zeros(1, int))
-            count = int(nth[-1]) + 1
+                yield _batch(kind=RUN, **{k: v[go] for k, v in out.items()})
+            held = None if go[-1] else _batch(kind=RUN, **{k: v[-1:] for k, v in out.items()})
 
 
 class _Fetch:
@@ -335,15 +386,12 @@ class _Fetch:
         self.length = length
 
     def __call__(self, batches):
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for key, text, runs in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 raw = text.encode()
-                rows += [
-                    (x["mh"], x["chunk"], key, x["pos"], x["n"], x["off"], raw[x["pos"] : x["pos"] + x["n"] + self.length - 1])
-                    for x in runs
-                ]
-                if len(rows) >= 50_000:
+                rows += [(x["mh"], key, x["pos"], x["n"], x["off"], raw[x["pos"] : x["pos"] + x["n"] + self.length - 1]) for x in runs]
+                if len(rows) >= 20_000:
                     yield self.batch(rows)
                     rows = []
             if rows:
@@ -351,23 +399,57 @@ class _Fetch:
 
     @staticmethod
     def batch(rows):
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-        names = ["mh", "chunk", "key", "pos", "n", "off", "bytes"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+        names = ["mh", "key", "pos", "n", "off", "bytes"]
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=names)
 
 
+class _Part:
+    """Texts and runs of crowded anchors to runs of fewer places of the anchor: those that all windows in a class of ``half`` places share."""
+
+    def __init__(self, length: int, places: int, half: int):
+        self.length, self.places, self.half = length, places, half
+
+    def __call__(self, batches):
+        for batch in sliced(batches):
+            rows, names = [], []
+            for key, text, runs in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                raw = text.encode()
+                for x in runs:
+                    anchor = x["pos"] + x["off"]
+                    low = x["off"] - x["n"] + 1
+                    for c in range(low // self.half, x["off"] // self.half + 1):
+                        lo, hi = c * self.half, min((c + 1) * self.half, self.places) - 1  # windows start so far before the anchor
+                        name = raw[anchor - lo : anchor + self.length - hi]
+                        lo, hi = max(lo, low), min(hi, x["off"])
+                        body = raw[anchor - hi : anchor - lo + self.length]
+                        names.append(hashlib.blake2b(name, digest_size=8, salt=c.to_bytes(4)).digest() + hashlib.blake2b(body, digest_size=16).digest())
+                        rows.append((key, anchor - hi, hi - lo + 1, hi))
+                if len(rows) >= 20_000:
+                    yield self.batch(rows, names)
+                    rows, names = [], []
+            if rows:
+                yield self.batch(rows, names)
+
+    @staticmethod
+    def batch(rows, names):
+        key, pos, n, off = (np.array(x) for x in zip(*rows))
+        mh, h1, h2 = np.frombuffer(b"".join(names), np.int64).reshape(-1, 3).T
+        return _batch(kind=0, key=key, pos=pos, n=n, off=off, salt=1 + h2 % SALTS, mh=mh, h1=h1, h2=h2)
+
+
 class _Compare:
-    """Runs of a shared anchor gram, group by group: suffix sort, common-prefix intervals, spans."""
+    """Runs of a shared anchor, group by group: suffix sort, common-prefix intervals, spans (key, pos, n)."""
 
-    def __init__(self, length: int, chunk: int):
-        self.length, self.chunk = length, chunk
+    def __init__(self, length: int):
+        self.length = length
 
     def __call__(self, batches):
         rest = None
-        for batch in batches:
+        for batch in sliced(batches):
             whole = pa.Table.from_batches([batch] if rest is None else [rest, batch]).combine_chunks().to_batches()[0]
-            mh, chunk = whole.column(0).to_numpy(), whole.column(1).to_numpy()
-            cut = np.flatnonzero((mh != mh[-1]) | (chunk != chunk[-1]))
+            mh = whole.column(0).to_numpy()
+            cut = np.flatnonzero(mh != mh[-1])
             cut = int(cut[-1]) + 1 if len(cut) else 0  # the last group may go on
             rest = whole.slice(cut)
             if cut:
@@ -377,15 +459,15 @@ class _Compare:
 
     def groups(self, batch):
         length = self.length
-        mh, chunk, key, pos, n, off = (batch.column(i).to_numpy().astype(np.int64) for i in range(6))
-        raw = batch.column(6).to_pylist()
+        mh, key, pos, n, off = (batch.column(i).to_numpy().astype(np.int64) for i in range(5))
+        raw = batch.column(5).to_pylist()
         size = np.array([len(x) for x in raw], dtype=np.int64)
         text = b"".join(raw)
         begin = np.cumsum(size) - size
-        r1, r2 = rolling(1), rolling(2)
+        r = rolling(1)
         buf = np.frombuffer(text, np.uint8)
-        p1 = r1.prefix(buf)
-        new = np.concatenate([[True], (mh[1:] != mh[:-1]) | (chunk[1:] != chunk[:-1])])
+        prefix = r.prefix(buf)
+        new = np.concatenate([[True], mh[1:] != mh[:-1]])
         group = np.cumsum(new) - 1
         count = np.bincount(group)
         first = np.flatnonzero(new)
@@ -394,7 +476,7 @@ class _Compare:
         def order(a, b):
             """-1, 0, 1 as the suffix of run a is less, equal, greater than that of run b."""
             most = np.minimum(right[a], right[b])
-            same = common_extension(r1, p1, anchor[a], anchor[b], most)
+            same = common_extension(r, prefix, anchor[a], anchor[b], most)
             out = np.sign(right[a] - right[b])
             differ = np.flatnonzero(same < most)
             x, y = a[differ], b[differ]
@@ -407,58 +489,59 @@ class _Compare:
         lcp = np.zeros(len(by), dtype=np.int64)
         near = np.flatnonzero(group[by][1:] == group[by][:-1])
         a, b = by[near], by[near + 1]
-        lcp[near + 1] = common_extension(r1, p1, anchor[a], anchor[b], np.minimum(right[a], right[b]))
+        lcp[near + 1] = common_extension(r, prefix, anchor[a], anchor[b], np.minimum(right[a], right[b]))
+
+        # Neighbours that are in order and have the common prefix claimed make the whole order right.
+        def in_order(x, n, y, m, same):
+            if text[x : x + same] != text[y : y + same]:
+                return False
+            return n == same or m > same and text[x + same] < text[y + same]
+
+        ends = (v.tolist() for v in (anchor[a], right[a], anchor[b], right[b], lcp[near + 1]))
+        true = np.fromiter((in_order(*v) for v in zip(*ends)), bool, len(near))
+        collided = set(group[a[~true]].tolist())
 
-        last_d = int(off.max())
         firsts = []  # of each window (run, d): the run that has it first
-        for d in range(last_d + 1):
+        for d in range(int(off.max()) + 1):
             has = (off >= d) & (off - n < d)
             interval = np.cumsum(lcp < length - d)
             at = np.flatnonzero(has[by])
             if not len(at):
                 continue
             run, interval = by[at], interval[at]
-            left = r1.of(p1, anchor[run] - d, anchor[run])
+            left = r.of(prefix, anchor[run] - d, anchor[run])
             o = np.lexsort((run, left, interval))  # rows come in (key, pos) order within a group
             run, interval, left = run[o], interval[o], left[o]
             fresh = np.concatenate([[True], (interval[1:] != interval[:-1]) | (left[1:] != left[:-1])])
             head = run[np.maximum.accumulate(np.where(fresh, np.arange(len(run)), 0))]
-            firsts.append((run, np.full(len(run), d), head))
+            later = np.flatnonzero(run != head)
+            firsts.append((run[later], np.full(len(later), d), head[later]))
         run, d, head = (np.concatenate(x) for x in zip(*firsts))
-        cut_up = (count[group] >= self.chunk) | (chunk > 0)
-        if len(stay := np.flatnonzero((run == head) & cut_up[run])):
-            p2 = r2.prefix(buf)
-            s = anchor[run[stay]] - d[stay]
-            h1, h2 = r1.of(p1, s, s + length), r2.of(p2, s, s + length)
-            who = run[stay]
-            yield _batch(kind=WINDOW, key=key[who], pos=pos[who] + off[who] - d[stay], n=1, off=0, mh=0, h1=h1, h2=h2)
-        gone = np.flatnonzero(run != head)
-        if not len(gone):
-            return
-        run, d, head = run[gone], d[gone], head[gone]
         o = np.lexsort((d, head, run))
         run, d, head = run[o], d[o], head[o]
-        new = np.concatenate([[True], (run[1:] != run[:-1]) | (head[1:] != head[:-1]) | (d[1:] != d[:-1] + 1)])
-        tail = np.append(np.flatnonzero(new)[1:], len(new)) - 1
-        run, head, low, high = run[new], head[new], d[new], d[tail]
-        true = np.fromiter(
-            (
-                text[x - h : x - l + length] == text[y - h : y - l + length]
-                for x, y, l, h in zip(*(z.tolist() for z in (anchor[run], anchor[head], low, high)))
-            ),
-            bool,
-            len(run),
-        )
-        if not true.all():  # hashes collided: these groups again by their bytes
-            bad = np.unique(group[run[~true]])
-            true &= ~np.isin(group[run], bad)
-            for g in bad.tolist():
-                yield from self.by_bytes(range(first[g], first[g] + count[g]), key, pos, n, raw)
-        run, low, high = run[true], low[true], high[true]
         if len(run):
-            yield _batch(
-                kind=SPAN, key=key[run], pos=pos[run] + off[run] - high, n=high - low + length, off=0, mh=0, h1=0, h2=0
+            new = np.concatenate([[True], (run[1:] != run[:-1]) | (head[1:] != head[:-1]) | (d[1:] != d[:-1] + 1)])
+            tail = np.append(np.flatnonzero(new)[1:], len(new)) - 1
+            run, head, low, high = run[new], head[new], d[new], d[tail]
+            true = np.fromiter(
+                (
+                    text[x - h : x - l + length] == text[y - h : y - l + length]
+                    for x, y, l, h in zip(*(z.tolist() for z in (anchor[run], anchor[head], low, high)))
+                ),
+                bool,
+                len(run),
             )
+            collided |= set(group[run[~true]].tolist())
+        for g in collided:  # hashes collided: these groups again by their bytes
+            yield from self.by_bytes(range(first[g], first[g] + count[g]), key, pos, n, raw)
+        if len(run):
+            ok = ~np.isin(group[run], list(collided))
+            run, low, high = run[ok], low[ok], high[ok]
+            yield self.spans(key[run], pos[run] + off[run] - high, high - low + length)
+
+    @staticmethod
+    def spans(*columns):
+        return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in columns], names=["key", "pos", "n"])
 
     def by_bytes(self, runs, key, pos, n, raw):
         """The same for one group without hashes, for the case that they collide."""
@@ -467,11 +550,10 @@ class _Compare:
             for p in range(int(n[i])):
                 w = raw[i][p : p + self.length]
                 if w in seen:
-                    out.append((int(key[i]), int(pos[i]) + p))
+                    out.append((int(key[i]), int(pos[i]) + p, self.length))
                 seen.add(w)
         if out:
-            k, p = (np.array(x, dtype=np.int64) for x in zip(*out))
-            yield _batch(kind=SPAN, key=k, pos=p, n=np.full(len(k), self.length), off=0, mh=0, h1=0, h2=0)
+            yield self.spans(*zip(*out))
 
     @staticmethod
     def mergesort(group, first, count, order):
