@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, fold, keyed, settle, small_batches, unfold
+from .common import components, settle, sliced
 
 WIDTHS = (13, 13, 13, 13, 12)
 SEGMENTS = len(WIDTHS)
@@ -47,7 +47,11 @@ def fingerprint(text: str | None, words: int = SHINGLE) -> int:
         shingles = [b" ".join(found)]
     else:
         shingles = map(b" ".join, zip(*(found[i:] for i in range(words))))
-    h = np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), np.uint64)
+    return bits(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), np.uint64))
+
+
+def bits(h: np.ndarray) -> int:
+    """The fingerprint of hashes ``h``: bits that over half of them have set."""
     ones = np.zeros(64, dtype=np.int64)
     for i in range(0, len(h), 1 << 16):  # a long text in parts
         part = h[i : i + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8)
@@ -62,7 +66,7 @@ class _Fingerprints:
         self.words = words
 
     def __call__(self, batches):
-        for batch in batches:
+        for batch in sliced(batches):
             at = batch.schema.names.index("text")
             fps = np.fromiter((fingerprint(x.as_py(), self.words) for x in batch.column(at)), np.uint64, len(batch))
             columns = [c for i, c in enumerate(batch.columns) if i != at]
@@ -73,7 +77,7 @@ class _Fingerprints:
 def fingerprints(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
     """``docs`` without its text, with _fp."""
     schema = docs.drop("text").schema.add("_fp", "long")
-    return small_batches(docs).mapInArrow(_Fingerprints(words), schema)
+    return docs.mapInArrow(_Fingerprints(words), schema)
 
 
 def _segment(fp, i: int):
@@ -143,14 +147,6 @@ def grouped(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
     return prints.join(classes, "_fp")
 
 
-def one_of_each(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs`` that come first, by doc_id, in their group of near-duplicates."""
-    own = keyed(fold(docs))
-    groups = grouped(own.select(F.col("_key").alias("doc_id"), "text"), words)
-    first = groups.where(F.col("doc_id") == F.col("_component")).select(F.col("doc_id").alias("_key"))
-    return unfold(own.join(first, "_key", "left_semi"), docs.columns)
-
-
 def op6(docs: DataFrame) -> DataFrame:
     """The contract's columns: doc_id, fingerprint, component_id."""
     out = grouped(docs.select("doc_id", "text"))
