@@ -9,6 +9,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_paths: dict[str, SparkSession] = {}
+
 
 @functools.cache
 def _own_folder() -> str:
@@ -16,26 +18,47 @@ def _own_folder() -> str:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a folder of our own only where it names none (local tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    """The shared folder the cluster names. A session in one process (tests) may do without; a cluster may not."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder
+    master = spark.sparkContext.master
+    if master.startswith("local") and not master.startswith("local-cluster"):
+        return _own_folder()
+    raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
 
 
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it back.
 
-    The files survive lost executors. They go when the driver's Python ends.
+    The files survive lost executors. They go when ``forget`` is told so, else when the driver's Python ends.
     """
     spark = df.sparkSession
     path = f"{scratch(spark).rstrip('/')}/tidemark-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_forget, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    _paths[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled = path
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete the files of settled ``frames``, which nothing may read any more."""
+    for df in frames:
+        _delete(getattr(df, "_settled", None))
 
 
-def _forget(spark: SparkSession, path: str) -> None:
+def _delete(path: str | None) -> None:
+    spark = _paths.pop(path, None)
+    if spark is None:
+        return
     try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
     except Exception:  # the session has ended before us; its folder is the cluster's to clean
         pass
+
+
+@atexit.register
+def _forget_all() -> None:
+    for path in list(_paths):
+        _delete(path)
