@@ -74,11 +74,46 @@ def test_quality_held_out_accuracy(spark):
     out = QUERIES["op1_quality_classifier"](spark, sf)
     assert out.count() == documents(spark, sf).count()
     labels = spark.read.parquet(f"{sf}/labels.parquet")
-    held = out.join(labels, "doc_id").where("held_out")
-    n, right = held.count(), held.where("predicted = quality").count()
-    assert right / n > 0.97
-    assert held.where("quality = 1 and predicted = 0").count() / n < 0.01
-    assert held.where("quality = 0 and predicted = 1").count() < 0.2 * held.where("quality = 0").count()
+    held = out.join(labels, "doc_id").where("held_out").select("score", "predicted", "quality").toPandas()
+    assert (held.predicted == held.quality).mean() > 0.98
+    assert ((held.quality == 1) & (held.predicted == 0)).mean() < 0.01
+    assert ((held.quality == 0) & (held.predicted == 1)).sum() < 0.12 * (held.quality == 0).sum()
+    # calibrated: the mean square error is small, and scores add up to the labels in the parts above and below one half
+    assert ((held.score - held.quality) ** 2).mean() < 0.02
+    for part in (held[held.score < 0.5], held[held.score >= 0.5]):
+        assert abs(part.score.mean() - part.quality.mean()) < 0.05
+
+
+def test_quality_brute_force(spark):
+    """Each score again: compressed sizes by plain calls, differences, and the curve term by term."""
+    import math
+
+    import zstandard
+
+    model = quality.fit(documents(spark), spark.read.parquet(f"{SF}/labels.parquet"))
+    out = {r.doc_id: r._score for r in quality.scored(documents(spark), model).collect()}
+
+    def size(part, dictionary):
+        own = {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
+        z = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False, write_dict_id=False, **own)
+        return len(z.compress(part))
+
+    def score(text):
+        raw, x = text.encode(), []
+        sums = {}
+        for n in (2048, 256):
+            parts = [raw[i : i + n] for i in range(0, len(raw), n)]
+            g, b, p = ([size(part, d) for part in parts] for d in (model.good, model.bad, b""))
+            sums[n] = sum(g)
+            x += [(sum(b) - sum(g)) / max(sum(b), sum(g)), min((v - u) / max(u, v) for u, v in zip(g, b)), (sum(p) - sum(g)) / max(sum(p), sum(g))]
+        x.append((sums[256] - sums[2048]) / max(sums.values()))
+        z = [2 * (min(max(v, lo), hi) - lo) / max(hi - lo, 1e-9) - 1 for v, lo, hi in zip(x, model.low, model.high)]
+        return 1 / (1 + math.exp(-sum(w * v for w, v in zip(model.weights, [1, *z, *(v * v for v in z)]))))
+
+    short = [(i, t) for i, t in texts(spark) if t and len(t) < 3000][:25]
+    assert len(short) == 25
+    for i, t in short:
+        assert abs(out[i] - score(t)) < 0.02  # a dictionary that is digested in advance may differ by a byte
 
 
 def test_quality_folds_and_scores(spark):
@@ -95,6 +130,8 @@ def test_quality_edges(spark):
     model = quality.fit(documents(spark), labels)
     assert len({r._score for r in quality.scored(docs.where("doc_id = 2"), model).collect()}) == 1
     assert quality.scored(docs.limit(0), model).count() == 0
+    assert quality.op1(docs.limit(0), labels).count() == 0
+    assert quality.op1(clashing(spark), labels).columns[:4] == ["doc_id", "held_out", "score", "predicted"]
     kept = quality.accepted(clashing(spark), spark.createDataFrame([(5, None), (7, 2)], "doc_id long, quality int"))
     assert kept.columns == clashing(spark).columns and kept.count() == 5
 

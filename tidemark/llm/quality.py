@@ -2,17 +2,21 @@
 
 Two zstandard dictionaries are trained, on texts labelled good and on texts labelled bad. Each whole
 text is compressed in blocks with either; the normalised difference of the compressed sizes,
-(bad - good) / max(bad, good), says to which kind it is closer. A logistic curve over that difference
-(of the whole text and of its worst block), the compression ratios and the log length turns it into
-a calibrated probability of label 1.
+(bad - good) / max(bad, good), says to which kind it is closer. A logistic curve turns it into a
+calibrated probability of label 1. It is taken of the text and of its worst block, for large and for
+small blocks, and beside it the same difference between no dictionary and the good one, and between
+small and large blocks (how far the text repeats itself). Nothing but such differences, held to the
+range they were fitted on, and their squares go into the score: no length, no ratio to the raw size.
 
 Bounds: at most ``SAMPLE`` labelled documents of each class are used, those with the smallest hash of
 their id; half of them give the dictionaries (at most ``BLOCKS`` blocks of ``BLOCK`` bytes a class
 come to the driver), the other half the curve (a few numbers a document come to the driver). Classes
 are weighted by their counts over all labels.
 
-Edge cases: null texts count as empty; an empty text has difference 0 and ratio 1 and gets a score
-like any other; repeated rows get the same score; a null doc_id counts as held out; labels other than
+Edge cases: null texts count as empty; an empty text has difference 0 and gets a score
+like any other; repeated rows get the same score (of rows
+with one labelled doc_id the fit takes one text); extra columns pass through; an empty table gives an
+empty result; a null doc_id counts as held out; labels other than
 0 and 1 are left out, of several labels of a document the smallest counts; without labels of both
 classes the score is the share of label 1 (0.5 without any).
 """
@@ -20,7 +24,6 @@ classes the score is the share of label 1 (0.5 without any).
 from __future__ import annotations
 
 import functools
-import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,11 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import fold, small_batches, unfold
+from .common import fold, sliced, unfold
 
 BLOCK, BLOCKS, SAMPLE, DICTIONARY, LEVEL = 2048, 3000, 6000, 112_640, 3
 FOLDS, THRESHOLD = 5, 0.3
-FEATURES = 5
+SMALL = 256
+FEATURES = 7
+COLUMNS = "abcdefg"
 
 
 @dataclass(frozen=True)
@@ -51,27 +56,36 @@ class Model:
 
 @functools.cache
 def _compressor(dictionary: bytes):
+    settings = {"level": LEVEL, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
+    if not dictionary:
+        return zstandard.ZstdCompressor(**settings)
     own = zstandard.ZstdCompressionDict(dictionary)
     own.precompute_compress(level=LEVEL)
-    return zstandard.ZstdCompressor(
-        level=LEVEL, dict_data=own, write_content_size=False, write_checksum=False, write_dict_id=False
-    )
+    return zstandard.ZstdCompressor(dict_data=own, **settings)
+
+
+def difference(x: int, y: int) -> float:
+    """Normalised difference of two compressed sizes: over 0 if the first is smaller."""
+    return (y - x) / max(x, y)
 
 
 def features(text: str | None, good: bytes, bad: bytes) -> tuple[float, ...]:
-    """Difference of the text, least difference of a block, ratio of the text, least ratio of a block, log length."""
+    """For BLOCK and SMALL blocks: difference of good and bad, the least one of a block, that of good and none; then of BLOCK and SMALL."""
     raw = (text or "").encode()
     if not raw:
-        return 0.0, 0.0, 1.0, 1.0, 0.0
-    g, b = _compressor(good).compress, _compressor(bad).compress
-    all_g = all_b = best = 0
-    worst, least = 1.0, 2.0
-    for i in range(0, len(raw), BLOCK):
-        part = raw[i : i + BLOCK]
-        x, y = len(g(part)), len(b(part))
-        all_g, all_b, best = all_g + x, all_b + y, best + min(x, y)
-        worst, least = min(worst, (y - x) / max(x, y)), min(least, min(x, y) / len(part))
-    return (all_b - all_g) / max(all_b, all_g), worst, best / len(raw), least, math.log(len(raw))
+        return (0.0,) * FEATURES
+    kinds = [_compressor(x).compress for x in (good, bad, b"")]
+    out, wholes = [], []
+    for size in (BLOCK, SMALL):
+        sums, worst = [0, 0, 0], 1.0
+        for i in range(0, len(raw), size):
+            part = raw[i : i + size]
+            x, y, z = (len(f(part)) for f in kinds)
+            sums = [sums[0] + x, sums[1] + y, sums[2] + z]
+            worst = min(worst, difference(x, y))
+        out += [difference(sums[0], sums[1]), worst, difference(sums[0], sums[2])]
+        wholes.append(sums[0])
+    return *out, difference(*wholes)
 
 
 def _design(x: np.ndarray, low, high) -> np.ndarray:
@@ -111,7 +125,7 @@ class _Blocks:
     """Labelled texts to at most four blocks of each, spread over the text."""
 
     def __call__(self, batches):
-        for batch in batches:
+        for batch in sliced(batches):
             kind, order, block = [], [], []
             for i, text, quality in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 raw = (text or "").encode()
@@ -131,10 +145,10 @@ class _Features:
         self.good, self.bad = good, bad
 
     def __call__(self, batches):
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [features(x.as_py(), self.good, self.bad) for x in batch.column(0)]
             columns = [pa.array(c, pa.float64()) for c in np.array(rows).reshape(-1, FEATURES).T]
-            yield pa.RecordBatch.from_arrays([batch.column(1), *columns], names=["quality", *"abcde"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), *columns], names=["quality", *COLUMNS])
 
 
 class _Score:
@@ -145,7 +159,7 @@ class _Score:
 
     def __call__(self, batches):
         m = self.model
-        for batch in batches:
+        for batch in sliced(batches):
             if m.weights:
                 text = batch.column(batch.schema.names.index("text"))
                 x = np.array([features(v.as_py(), m.good, m.bad) for v in text]).reshape(-1, FEATURES)
@@ -174,7 +188,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     order = F.xxhash64("doc_id")
     chosen = [known.where(F.col("quality") == q).orderBy(order, "doc_id").limit(sample) for q in (0, 1)]
     chosen = F.broadcast(chosen[0].unionAll(chosen[1]).withColumn("half", F.shiftrightunsigned(order, 7) % 2))
-    rows = small_batches(docs).select("doc_id", "text").join(chosen, "doc_id")  # twice ``sample`` small rows are broadcast
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id")  # twice ``sample`` small rows are broadcast
+    rows = rows.groupBy("doc_id", "quality", "half").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     blocks = (
         rows.where("half = 0").select("doc_id", "text", "quality")
         .mapInArrow(_Blocks(), "quality int, place string, block binary")
@@ -185,10 +200,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         dictionaries[q] = _dictionary([bytes(r["block"]) for r in own.select("block").collect()])
     if not all(dictionaries.values()):
         return Model(constant=counts[1] / sum(counts.values()))
-    schema = "quality int, " + ", ".join(f"{c} double" for c in "abcde")
+    schema = "quality int, " + ", ".join(f"{c} double" for c in COLUMNS)
     points = np.array(
         rows.where("half = 1").select("text", "quality").mapInArrow(_Features(dictionaries[1], dictionaries[0]), schema)
-        .orderBy("quality", *"abcde").collect(), dtype=np.float64,
+        .orderBy("quality", *COLUMNS).collect(), dtype=np.float64,
     ).reshape(-1, 1 + FEATURES)
     y, x = points[:, 0], points[:, 1:]
     if len(np.unique(y)) < 2:
@@ -201,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with _score (0 to 1)."""
-    return small_batches(docs).mapInArrow(_Score(model), StructType([*docs.schema.fields]).add("_score", "double"))
+    return docs.mapInArrow(_Score(model), StructType([*docs.schema.fields]).add("_score", "double"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
