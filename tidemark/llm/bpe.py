@@ -29,7 +29,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import sliced
 
 #: Fixed value: the word pattern of the byte-level pre-tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -243,7 +243,7 @@ class _Encode:
 
     def __call__(self, batches):
         encode = automaton(self.path).encode
-        for batch in batches:
+        for batch in sliced(batches):
             at = batch.schema.names.index("text")
             ids = pa.array([encode(x.as_py()) for x in batch.column(at)], pa.binary())
             yield batch.set_column(at, "_ids", ids)
@@ -257,7 +257,7 @@ class _Decode:
 
     def __call__(self, batches):
         decode, digits = automaton(self.path).decode, _digits().__getitem__
-        for batch in batches:
+        for batch in sliced(batches):
             at = batch.schema.names.index("_ids")
             n, digest, decoded = [], [], []
             for raw in batch.column(at):
@@ -295,7 +295,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     from pyspark.sql.types import BinaryType, StructField, StructType
 
     schema = StructType([StructField("_ids", BinaryType()) if f.name == "text" else f for f in docs.schema.fields])
-    return small_batches(docs).mapInArrow(_Encode(path), schema)
+    return docs.mapInArrow(_Encode(path), schema)
 
 
 def decode_digests(encoded: DataFrame, path: str) -> DataFrame:
@@ -307,7 +307,7 @@ def decode_digests(encoded: DataFrame, path: str) -> DataFrame:
 def op3(docs: DataFrame, path: str) -> DataFrame:
     """The contract's columns: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     encode_, decode_ = _Encode(path), _Decode(path)
-    own = small_batches(docs.select("doc_id", "text"))
+    own = docs.select("doc_id", "text")
     new = ("_n_tokens", "long"), ("_ids_sha256", "string"), ("_decoded_sha256", "string")
     out = own.mapInArrow(_Both(encode_, decode_), _replaced(own, "text", *new))  # one worker a task, not two
     return out.selectExpr(

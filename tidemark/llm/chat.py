@@ -3,12 +3,14 @@
 Services often log a conversation again after each turn. A rolling hash of each prefix of turns tells
 which logged conversations are prefixes of longer ones: a turn's hash covers its place, role and text,
 and a prefix's hash is the sum of its turns' hashes, in four 32-bit lanes, so that it comes from
-running sums. Those are taken in two passes, within blocks of ``BLOCK`` turn numbers and over the
-blocks' totals, so that one very long conversation is spread over many tasks. Equal conversations are
-one group (the smallest conv_id stays), and an anti-join drops the groups that are proper prefixes.
-Both sides have one row for each distinct prefix, however many conversations share it.
+running sums. Turns are placed by one range-partitioned sort of all of them, so that neither a long
+conversation nor one whose turn numbers are null or equal is a group of its own; sums are taken in
+two passes, within blocks of ``BLOCK`` turns and over the blocks' totals. Equal conversations are one
+group (the smallest conv_id stays), and an anti-join drops the groups that are proper prefixes.
+Both sides have one row for each distinct prefix, however many conversations share it. Prefixes are
+told by 128 bits of hash and their length, not compared turn by turn.
 
-What stays is rendered in ChatML, a row for each block of a conversation.
+What stays is rendered in ChatML, a row for each ``BLOCK`` turns of a conversation, by position.
 
 Edge cases: repeated rows (same conv_id, turn, role and text) count once; turns with the same number
 are ordered by role, then text; null turns come first, null conv_ids are one conversation, null roles
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import numbered, settle
 
 BLOCK = 256
 LANES = ["l0", "l1", "l2", "l3"]
@@ -30,15 +32,11 @@ LANES = ["l0", "l1", "l2", "l3"]
 def turns(conversations: DataFrame) -> DataFrame:
     """conv_id, block, pos (1-based in the conversation), role, text, and the rolling prefix lanes."""
     own = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text").distinct()
-    own = own.withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 62))))
-    inside = Window.partitionBy("conv_id", "block").orderBy(
-        F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first()
-    )
-    own = settle(own.withColumn("nth", F.row_number().over(inside)))
-    sizes = own.groupBy("conv_id", "block").agg(F.count(F.lit(1)).alias("size"))
-    own = own.join(_before(sizes, ["size"]), _same_block(), "inner").select(
-        own["conv_id"], own["block"], "role", "text", (F.col("nth") + F.col("size_before")).alias("pos")
-    )
+    own = settle(numbered(own, [F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "role", "text")], "place"))
+    first = settle(own.groupBy(F.col("conv_id").alias("own_conv")).agg(F.min("place").alias("first")))
+    pos = F.col("place") - F.col("first") + 1
+    own = own.join(first, F.col("conv_id").eqNullSafe(F.col("own_conv"))).select("conv_id", "role", "text", pos.alias("pos"))
+    own = own.withColumn("block", F.floor((F.col("pos") - 1) / BLOCK))
     whole = [F.isnull("role"), F.isnull("text"), F.col("pos"), F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))]
     own = own.withColumn("a", F.xxhash64(*whole)).withColumn("b", F.xxhash64(F.lit("b"), *whole))
     low = F.lit((1 << 32) - 1)
@@ -118,5 +116,5 @@ SELECT p.conv_id, min(pos) - 1 AS part_start, count(*) AS part_turns, n_turns, n
        string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), ''
                   ORDER BY pos) AS text
 FROM placed p JOIN kept k ON p.conv_id = k.conv_id
-GROUP BY p.conv_id, floor(turn / 256), n_turns, n_copies
+GROUP BY p.conv_id, floor((pos - 1) / 256), n_turns, n_copies
 """

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import functools
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import forget, settle
+
+__all__ = ["components", "fold", "forget", "keyed", "numbered", "settle", "sliced", "table", "unfold"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -26,41 +25,6 @@ def sliced(batches):
             yield batch.slice(i, BATCH)
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    return df
-
-
-@functools.cache
-def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="tidemark-")
-
-
-def scratch(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a folder of our own only where it names none (local tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder and read it back.
-
-    The files survive lost executors. They go when the driver's Python ends.
-    """
-    spark = df.sparkSession
-    path = f"{scratch(spark).rstrip('/')}/tidemark-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_forget, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _forget(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session has ended before us; its folder is the cluster's to clean
-        pass
-
-
 def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
     """``df`` with a gapless 0-based rank in the given order, without a single-task sort.
 
@@ -73,8 +37,6 @@ def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
         .withColumn("_part", F.spark_partition_id())
         .withColumn("_seq", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     )
-    from pyspark.sql import Window
-
     starts = (
         parts.groupBy("_part")
         .agg(F.count(F.lit(1)).alias("_n"))
@@ -124,7 +86,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star rounds: each is a min per node and a join on it. The minima
     are settled first, so that the join is between two plain shuffles, which Spark can split for a
-    node with very many neighbours. Nodes without edges are not listed.
+    node with very many neighbours; a round's tables go when the next one is written. Nodes without
+    edges are not listed.
     """
     pairs = settle(_ordered(edges))
     seen = None
@@ -133,10 +96,12 @@ def components(edges: DataFrame) -> DataFrame:
         low = settle(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = settle(_ordered(large))
-        low = settle(large.groupBy("a").agg(F.min("b").alias("m")))
-        small = large.join(low, "a").select("a", "b", "m")
+        lower = settle(large.groupBy("a").agg(F.min("b").alias("m")))
+        small = large.join(lower, "a").select("a", "b", "m")
         small = small.select("a", F.col("m").alias("b")).union(small.select(F.col("b").alias("a"), F.col("m").alias("b")))
-        pairs = settle(_ordered(small))
+        after = settle(_ordered(small))
+        forget(pairs, low, large, lower)
+        pairs = after
         now = pairs.agg(
             F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
         ).first()
@@ -145,7 +110,9 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
     roots = pairs.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
     centres = pairs.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-    return settle(roots.union(centres))
+    out = settle(roots.union(centres))
+    forget(pairs)
+    return out
 
 
 def _ordered(edges: DataFrame) -> DataFrame:

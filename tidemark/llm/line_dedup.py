@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import fold, keyed, numbered, settle, small_batches, unfold
+from .common import fold, keyed, numbered, settle, sliced, unfold
 
 MIN_LINES = 2
 _BLANKS = " \t\x0b\x0c\r"
@@ -65,7 +65,7 @@ class _Delete:
     """Batches with a column ``gone`` to the text without those lines, and the numbers of lines and runs."""
 
     def __call__(self, batches):
-        for batch in batches:
+        for batch in sliced(batches):
             names = batch.schema.names
             at, gone_at = names.index("text"), names.index("_gone")
             texts, total, gone_n, runs = [], [], [], []
@@ -93,7 +93,7 @@ class _Delete:
 
 def _deleted(docs: DataFrame, min_lines: int) -> DataFrame:
     """``docs`` (doc_id, text, maybe _rest) without the later copies in its text, and _lines, _deleted, _runs."""
-    own = keyed(small_batches(docs))
+    own = keyed(docs)
     gone = deleted_lines(own.select("_key", "text"), min_lines).withColumnRenamed("gone", "_gone")
     schema = StructType([*docs.schema.fields])
     for name in ("_lines", "_deleted", "_runs"):

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import PATTERN, Vocabulary
-from .common import settle, small_batches
+from .common import settle, sliced
 
 SEQUENCE, SEPARATOR = 2048, 1
 
@@ -84,7 +84,7 @@ class _Stream:
     def __call__(self, batches):
         encode, end = ranked(self.path).encode, np.uint16(self.separator).tobytes()
         part, at = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in sliced(batches):
             ids = [encode(x.as_py()) + end for x in batch.column(1)]
             ends = at + np.cumsum([len(x) // 2 for x in ids], dtype=np.int64)
             if len(ids):
@@ -102,7 +102,7 @@ class _Cut:
         self.length, self.with_ids = length, with_ids
 
     def __call__(self, batches):
-        for batch in batches:
+        for batch in sliced(batches):
             doc, start, size, crc, total, place, piece_ids = [], [], [], [], [], [], []
             for i, raw, at in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 ids = np.frombuffer(raw, "<u2").astype("<u4")
@@ -131,7 +131,7 @@ class _Cut:
 def pack(docs: DataFrame, path: str, length: int = SEQUENCE, separator: int = SEPARATOR, with_ids: bool = False) -> DataFrame:
     """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; and ids (binary, 32-bit) if asked for."""
     stream = settle(
-        small_batches(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(
+        docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
             _Stream(path, separator), "doc_id long, ids binary, part int, end long"
         )
     )
@@ -148,7 +148,7 @@ def sequences(pieces: DataFrame, length: int = SEQUENCE, pad: int = 0) -> DataFr
     """Pieces with ids to sequence_id, tokens (array of ``length`` ids, padded), n (ids that are no padding)."""
 
     def build(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             ids, tokens = batch.column(1).to_pylist(), []
             for parts in ids:
                 own = b"".join(x["ids"] for x in parts)

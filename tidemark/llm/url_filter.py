@@ -107,8 +107,8 @@ def judged(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
     own = with_rule(with_parts(pages.select("page_id", "url")), rules)
     own = settle(own.select("page_id", "host", "path", "rule", "verdict", tokens().alias("t")))
     mined = mine(own, labels)
-    own = own.withColumn("key", F.when(F.isnull("verdict"), F.array_join("t", " ")))
-    sets = settle(own.where("key <> ''").groupBy("key").agg(F.first("t").alias("t")))
+    own = own.withColumn("key", F.when(F.isnull("verdict"), F.col("t")))  # the tokens themselves: joined, different ones could look alike
+    sets = settle(own.where("size(key) > 0").select("key", F.col("key").alias("t")).distinct())
     blocked = settle(blocked_sets(sets, mined)).withColumn("blocked", F.lit(True))
     return own.join(blocked, "key", "left").select(
         "page_id", "host", "path", "rule",
