@@ -332,16 +332,32 @@ def test_simhash_brute_force(spark, monkeypatch, dense):
         own[i % len(own)] = f"zz{i}"
         data.append((10_000 + i, " ".join(own)))
     data += [(20_000, None), (20_001, ""), (20_002, "one two")]
-    assert got(simhash.op6(spark.createDataFrame(data, DOC))) == sorted(simhash.brute_force(data), key=str)
+    out = got(simhash.op6(spark.createDataFrame(data, DOC)))
+    assert out == sorted(simhash.brute_force(data), key=str)
+    assert {i: fp for i, fp, _ in out} == {i: f"{plain_fingerprint(t):016x}" for i, t in data}
 
 
-def test_pigeonring_is_complete(spark):
+def plain_fingerprint(text):
+    """The contract's fingerprint, written apart: bit by bit."""
+    import re
+
+    import xxhash
+
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall("[^\x20\x09-\x0D]+", lower)
+    runs = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+    h = [xxhash.xxh64(x.encode(), seed=42).intdigest() for x in runs]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+@pytest.mark.parametrize("m", [5, 7, 9, 15])
+def test_pigeonring_is_complete(spark, m):
     rnd = random.Random(2)
     base = [rnd.getrandbits(64) for _ in range(40)]
     near = {b ^ (1 << rnd.randrange(64)) ^ (1 << rnd.randrange(64)) for b in base}
     all_ = sorted({*base, *near})
     signed = [(x - (1 << 64) if x >> 63 else x,) for x in all_]
-    edges = simhash.links(spark.createDataFrame(signed, "fp long"))
+    edges = simhash.links(spark.createDataFrame(signed, "fp long"), m)
     ours = {frozenset((r.a % (1 << 64), r.b % (1 << 64))) for r in edges.collect()}
     want = {frozenset((x, y)) for x in all_ for y in all_ if x < y and (x ^ y).bit_count() <= 2}
     assert ours == want

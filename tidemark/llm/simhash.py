@@ -1,16 +1,23 @@
 """SimHash near-duplicates by pigeonring filtering.
 
-A fingerprint is split into ``SEGMENTS`` rings of consecutive bits. If two fingerprints differ in at
-most ``bits`` bits, then somewhere on the ring a chain of segments starts whose every prefix of k
-segments differs in at most k * bits / SEGMENTS bits (the strong form of the pigeonring principle).
-With 5 segments and 2 bits the budgets are 0, 0, 1, 1, 2: the first two segments of the chain are
-equal. They are the join key (26 of 64 bits); the rest of the chain is checked on the candidates
-before the full Hamming distance.
-
-A key shared by more than ``DENSE`` fingerprints is not expanded into pairs. There, each fingerprint
-also goes under itself with at most one of the other bits flipped: two fingerprints at distance 2 or
-less share such a key, and any two that share one are at distance 2 or less, so that each key links
-its members to the smallest of them. That is exact and linear.
+A fingerprint is split into a ring of m segments of consecutive bits. If two fingerprints differ in at
+most ``BITS`` bits, then somewhere on the ring a chain of segments starts whose every prefix of k
+segments differs in at most k * BITS / m bits (the strong form of the pigeonring principle). The first
+segments of the chain, whose budget is below one bit, are equal: they are the join key. The rest of the
+chain is checked on the candidates before the full Hamming distance.
+
+With 5 segments the key has two of them, about 26 of 64 bits; with 9, four and 28 bits; with 15, seven and
+30 bits. More fingerprints take more segments (``segments``), so that a key tells them apart however large
+the table is, for as many rows a fingerprint as segments.
+
+A key shared by more than ``DENSE`` fingerprints, which then is a crowd of alike texts, is not expanded into
+pairs. There, each fingerprint also goes under itself with at most one of the other bits flipped: two
+fingerprints at distance 2 or less share such a key, and any two that share one are at distance 2 or
+less, so that each key links its members to the smallest of them. That is exact and linear.
+
+Edge cases: null texts and those without words have fingerprint zero and are linked like any other; repeated
+rows fall into one component; very long texts are hashed in parts; a null doc_id is the smallest of a
+component only where all are null; extra columns are left out; an empty table gives an empty result.
 
 Equal fingerprints are one node. Components come from ``common.components``.
 """
@@ -27,9 +34,6 @@ from pyspark.sql import functions as F
 
 from .common import components, settle, sliced
 
-WIDTHS = (13, 13, 13, 13, 12)
-SEGMENTS = len(WIDTHS)
-STARTS = tuple(sum(WIDTHS[:i]) for i in range(SEGMENTS))
 BITS = 2
 SHINGLE = 3
 DENSE = 32
@@ -80,19 +84,53 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
     return docs.mapInArrow(_Fingerprints(words), schema)
 
 
-def _segment(fp, i: int):
-    return F.shiftrightunsigned(fp, STARTS[i % SEGMENTS]).bitwiseAND(F.lit((1 << WIDTHS[i % SEGMENTS]) - 1))
+def segments(count: int) -> int:
+    """Segments of the ring for so many distinct fingerprints: keys of random ones stay sparse."""
+    return next((m for m, most in ((5, 1 << 28), (9, 1 << 31)) if count < most), 15)
+
+
+class _Ring:
+    """Bits of a fingerprint as a ring of ``m`` segments."""
+
+    def __init__(self, m: int):
+        self.m = m
+        self.widths = [64 * (i + 1) // m - 64 * i // m for i in range(m)]
+        self.starts = [64 * i // m for i in range(m)]
+        self.held = next(k for k in range(1, m + 1) if (k + 1) * BITS >= m)  # segments with a budget below one bit
 
+    def segment(self, fp, i: int):
+        i %= self.m
+        return F.shiftrightunsigned(fp, self.starts[i]).bitwiseAND(F.lit((1 << self.widths[i]) - 1))
 
-def links(fps: DataFrame) -> DataFrame:
+    def key(self, fp, i: int):
+        out = F.lit(0).cast("long")
+        for j in range(i, i + self.held):
+            out = F.shiftleft(out, self.widths[j % self.m]).bitwiseOR(self.segment(fp, j))
+        return out
+
+    def chain(self, differ, i: int):
+        """The budgets of the longer prefixes of the chain from segment i."""
+        total, out = F.lit(0), F.lit(True)
+        for k in range(self.held + 1, self.m):
+            total = total + F.bit_count(self.segment(differ, i + k - 1))
+            out = out & (total <= k * BITS // self.m)
+        return out
+
+    def flips(self, i: int) -> list:
+        """One-bit flips outside the segments that members of a key share."""
+        held = {j % self.m for j in range(i, i + self.held)}
+        bits = [self.starts[j] + b for j in range(self.m) if j not in held for b in range(self.widths[j])]
+        return [F.lit(((1 << b) + (1 << 63)) % (1 << 64) - (1 << 63)).cast("long") for b in bits]
+
+
+def links(fps: DataFrame, m: int | None = None) -> DataFrame:
     """Of distinct fingerprints ``fps`` (fp long): links (a, b), enough to connect all that differ in ``BITS`` bits or fewer.
 
     Every link is a true one; in sparse keys all true ones are there, in dense keys a star for each flip key.
     """
-    keys = [
-        F.struct(F.lit(i).alias("ring"), F.shiftleft(_segment(F.col("fp"), i), 13).bitwiseOR(_segment(F.col("fp"), i + 1)).alias("key"))
-        for i in range(SEGMENTS)
-    ]
+    m = m or segments(fps.count())
+    ring = _Ring(m)
+    keys = [F.struct(F.lit(i).alias("ring"), ring.key(F.col("fp"), i).alias("key")) for i in range(m)]
     ringed = settle(fps.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.ring", "k.key"))
     counts = settle(ringed.groupBy("ring", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
     shared = settle(ringed.join(counts, ["ring", "key"]))
@@ -101,9 +139,8 @@ def links(fps: DataFrame) -> DataFrame:
     near = few.select("ring", "key", F.col("fp").alias("other"))
     differ = F.col("fp").bitwiseXOR(F.col("other"))
     chain = F.lit(False)
-    for i in range(SEGMENTS):  # prefixes of 3 and 4 segments from ring i may differ in 1 bit
-        parts = [F.bit_count(_segment(differ, i + j)) for j in range(4)]
-        chain = F.when(F.col("ring") == i, (parts[2] <= 1) & (parts[2] + parts[3] <= 1)).otherwise(chain)
+    for i in range(m):
+        chain = F.when(F.col("ring") == i, ring.chain(differ, i)).otherwise(chain)
     sparse = (
         few.join(near, ["ring", "key"])
         .where((F.col("fp") < F.col("other")) & chain & (F.bit_count(differ) <= BITS))
@@ -111,7 +148,7 @@ def links(fps: DataFrame) -> DataFrame:
     )
 
     dense = shared.where(F.col("size") > DENSE).select("ring", "key", "fp")
-    flips = [F.when(F.col("ring") == i, F.array(F.lit(0).cast("long"), *_masks(i))) for i in range(SEGMENTS)]
+    flips = [F.when(F.col("ring") == i, F.array(F.lit(0).cast("long"), *ring.flips(i))) for i in range(m)]
     flipped = (
         dense.withColumn("flip", F.explode(F.coalesce(*flips)))
         .withColumn("at", F.col("fp").bitwiseXOR(F.col("flip")))
@@ -125,13 +162,6 @@ def links(fps: DataFrame) -> DataFrame:
     return sparse.unionAll(stars).distinct()
 
 
-def _masks(ring: int) -> list:
-    """One-bit flips outside the two segments that members of a key share."""
-    held = {(ring % SEGMENTS), (ring + 1) % SEGMENTS}
-    bits = [STARTS[i] + j for i in range(SEGMENTS) if i not in held for j in range(WIDTHS[i])]
-    return [F.lit(((1 << b) + (1 << 63)) % (1 << 64) - (1 << 63)).cast("long") for b in bits]
-
-
 def grouped(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
     """``docs`` (doc_id, text and others): doc_id and other columns but text, _fp, _component (smallest doc_id reachable).
 
