@@ -259,11 +259,45 @@ def test_lines_brute_force(spark):
         data.append((i * 8 % 301, None if rnd.random() < 0.03 else "\n".join(rnd.choice(["", " \t", *"abcdefghijk"]) for _ in range(n))))
     df = spark.createDataFrame(data, DOC)
     assert got(line_dedup.op4(df)) == sorted(line_dedup.brute_force(data), key=str)
-    for m in (1, 3, 5):
+    for m in (1, 4):
         ours = line_dedup._deleted(df, m).select("doc_id", "_lines", "_deleted", "_runs", F.sha2(F.coalesce("text", F.lit("")), 256))
         assert got(ours) == sorted(line_dedup.brute_force(data, m), key=str)
 
 
+def test_line_runs_brute_force(spark):
+    """Open intervals with their lengths and copies, by comparing all suffixes."""
+    rnd = random.Random(5)
+    block = [f"line {i}" for i in range(11)]
+    data = [(i, "\n".join(block[rnd.randrange(4) :][: rnd.randint(1, 9)] + [rnd.choice("abc") for _ in range(rnd.randint(0, 6))])) for i in range(60)]
+    df = spark.createDataFrame(data, "_key long, text string")
+    found = line_dedup.repeated_runs(df)[0].collect()
+    ours = {(r.head._key, r.head.seq, r.len, r.n) for r in found}
+    suffixes = [(i, s, tuple(t.split("\n")[s:])) for i, t in data for s in range(len(t.split("\n")))]
+    want, depth = set(), 2
+    while depth <= 16:
+        groups = {}
+        for i, s, run in suffixes:
+            if len(run) >= depth:
+                groups.setdefault(run[:depth], []).append((i, s, run))
+        for g in groups.values():
+            length = depth
+            while len({run[: length + 1] for *_, run in g}) == 1 and len(g[0][2]) > length and all(len(r[2]) > length for r in g):
+                length += 1
+            if len(g) > 1 and length < 2 * depth:
+                want.add((*min((i, s) for i, s, _ in g), length, len(g)))
+        depth *= 2
+    assert ours == want and max(r[2] for r in want) > 7
+
+
+def test_lines_long(spark):
+    """A long line goes also where it repeats alone; short ones stay."""
+    long = " ".join(f"w{i}" for i in range(50))
+    data = [(1, f"a\n{long}\nb"), (2, f"c\n{long}\nd"), (3, long[4:]), (4, f"x\n{long[4:]}"), (5, "a\nq")]
+    out = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(data, DOC)).collect()}
+    assert out == {1: data[0][1], 2: "c\nd", 3: data[2][1], 4: data[3][1], 5: "a\nq"}
+    assert got(line_dedup.op4(spark.createDataFrame(data, DOC))) == sorted(line_dedup.brute_force(data), key=str)
+
+
 def test_lines_edges(spark):
     out = line_dedup.dedup_lines(clashing(spark))
     assert out.columns == clashing(spark).columns
@@ -587,6 +621,10 @@ def test_pipeline(spark):
             if pair in seen:
                 gone |= {at[s], at[s + 1]}
             seen.add(pair)
+        for k in at:
+            if own[k] in seen and len(own[k].split()) >= 50:
+                gone.add(k)
+            seen.add(own[k])
         lines.append((i, "\n".join(x for k, x in enumerate(own) if k not in gone)))
     roots = set(near_dedup.brute_force(lines))
     seen, kept = set(), {}
