@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import forget, settle
+from ..sources.scratch import forget, settle, settled
 
-__all__ = ["components", "fold", "forget", "keyed", "numbered", "settle", "sliced", "table", "unfold"]
+__all__ = ["components", "fold", "forget", "keyed", "numbered", "settle", "settled", "sliced", "table", "unfold"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,6 +91,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     pairs = settle(_ordered(edges))
     seen = None
+    state = F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")
     while True:
         both = pairs.select("a", "b").union(pairs.select(F.col("b"), F.col("a")))
         low = settle(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
@@ -99,12 +100,10 @@ def components(edges: DataFrame) -> DataFrame:
         lower = settle(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(lower, "a").select("a", "b", "m")
         small = small.select("a", F.col("m").alias("b")).union(small.select(F.col("b").alias("a"), F.col("m").alias("b")))
-        after = settle(_ordered(small))
+        written = Observation()
+        after = settle(_ordered(small).observe(written, *state))
         forget(pairs, low, large, lower)
-        pairs = after
-        now = pairs.agg(
-            F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
-        ).first()
+        pairs, now = after, written.get
         if now == seen:
             break
         seen = now
