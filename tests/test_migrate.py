@@ -3,7 +3,7 @@ from __future__ import annotations
 from tidemark.operators import ops
 from tidemark.plans.diff import compare
 from tidemark.plans.migrate import by_reference, changes
-from tidemark.queries import ACTUAL, DESIRED
+from tidemark.queries import declared
 from tidemark.sources.catalog import Database
 from tidemark.spec import Catalog, Column, Constraint, Index, Table
 
@@ -17,13 +17,14 @@ def test_tables_after_what_they_refer_to():
 
 
 def test_plan_of_the_fixture(spark):
-    plan = changes(spark, ACTUAL, DESIRED)
+    actual, desired = declared(spark, "/root/testdata/sf0.001")
+    plan = changes(spark, actual, desired, compare_defaults=True)
     assert [type(o).__name__ for o in plan] == [
-        "CreateTable", "Batch", "AddConstraint", "Batch", "AddConstraint", "DropIndex", "Batch", "DropTable",
+        "CreateTable", "DropIndex", "Batch", "AddConstraint", "TableComment", "DropConstraint", "AddConstraint", "TableComment", "DropTable",
     ]
     back = ops.reversed_all(plan)
     assert isinstance(back[0], ops.CreateTable) and isinstance(back[-1], ops.DropTable)
-    assert changes(spark, ACTUAL, ACTUAL) == []
+    assert changes(spark, actual, actual) == []
 
 
 def test_plan_carried_out(spark):

@@ -4,9 +4,9 @@ import pytest
 
 from tidemark.operators import ops
 from tidemark.operators.rewrite import Rewrite
-from tidemark.operators.validate import check_violations, foreign_violations, primary_violations, report, unique_violations
+from tidemark.operators.validate import check_violations, exclude_violations, foreign_violations, primary_violations, report, unique_violations
 from tidemark.sources.catalog import Database, ValidationError
-from tidemark.spec import Catalog, Column, Constraint, Index, Table
+from tidemark.spec import Catalog, Column, Constraint, Index, Storage, Table
 
 
 @pytest.fixture
@@ -137,10 +137,10 @@ def test_report_of_unconstrained_table(spark):
 @pytest.fixture
 def database(spark):
     db = Database(spark)
-    for t in ("acct", "acct2", "owner", "acct__new"):
+    for t in ("acct", "acct2", "owner", "owner2", "acct__new"):
         spark.sql(f"DROP TABLE IF EXISTS {t}")
     yield db
-    for t in ("acct", "acct2", "owner", "acct__new"):
+    for t in ("acct", "acct2", "owner", "owner2", "acct__new"):
         spark.sql(f"DROP TABLE IF EXISTS {t}")
 
 
@@ -198,6 +198,130 @@ def test_foreign_key(spark, database):
         database.run(ops.DropConstraint("acct", "fk"))
 
 
+def test_rewrite_keeps_storage(spark, database):
+    storage = Storage("orc", ("p",), properties=(("note", "x"),))
+    table = Table("acct", (Column("p", "string"), Column("a", "int"), Column("b", "varchar(5)", comment="c")), storage=storage)
+    database.run(ops.CreateTable(table), ops.Execute("INSERT INTO acct (a, b, p) VALUES (1, 'x', 'u'), (2, 'y', 'v')"))
+    database.run(ops.Batch("acct", (ops.AlterColumn("acct", "a", new_name="z", type="bigint"), ops.AlterColumn("acct", "p", new_name="q"))))
+    now = database.reflect("acct")
+    assert (now.storage.provider, now.storage.partitions, now.storage.properties) == ("orc", ("q",), (("note", "x"),))
+    assert [(c.name, c.type) for c in now.columns] == [("z", "bigint"), ("b", "varchar(5)"), ("q", "string")]
+    assert {tuple(r) for r in spark.table("acct").collect()} == {(1, "x", "u"), (2, "y", "v")}
+    database.run(ops.DropColumn("acct", "q"))
+    assert database.reflect("acct").storage.partitions == ()
+    spark.sql("DROP TABLE acct")
+    spark.sql("CREATE TABLE acct (k INT, v STRING) USING parquet CLUSTERED BY (k) SORTED BY (v) INTO 3 BUCKETS")
+    database.run(ops.AlterColumn("acct", "k", new_name="kk"))
+    assert database.reflect("acct").storage.buckets == (3, ("kk",), ("v",))
+
+
+def test_kept_constraints_are_checked_again(spark, database):
+    table = Table("acct", (Column("id", "int"), Column("t", "string")))
+    database.run(ops.CreateTable(table), ops.BulkInsert(table, ({"id": 1, "t": "1a"}, {"id": 2, "t": "1b"})), ops.unique("uq", "acct", ["t"]))
+    with pytest.raises(ValidationError, match="uq"):
+        database.run(ops.AlterColumn("acct", "t", type="int", mode="prefix"))
+    assert database.reflect("acct").column("t").type == "string" and spark.table("acct").count() == 2
+    database.run(ops.DropConstraint("acct", "uq"), ops.check("ck", "acct", "length(t) = 2"))
+    with pytest.raises(ValidationError, match="ck"):
+        database.run(ops.AlterColumn("acct", "t", type="int", mode="prefix"))
+    database.run(ops.CreateIndex("acct", Index("ix", ("id",), True)))
+    with pytest.raises(ValidationError, match="ix"):
+        database.run(ops.AlterColumn("acct", "id", type="int", using="0"))
+
+
+def test_checks_follow_columns(spark, database):
+    key = ops.exclude("ex", "acct", "id", ("y", "~2"), ("g", "="), where="y > 0")
+    table = Table("acct", tuple(Column(c, "int") for c in ("id", "y", "g", "h")))
+    database.run(ops.CreateTable(table), ops.BulkInsert(table, ({"id": 1, "y": 1, "g": 1, "h": 1}, {"id": 2, "y": 9, "g": 1, "h": 2})))
+    database.run(ops.check("ck", "acct", "y >= 0 and h > 0"), ops.check("ck2", "acct", "'y' <> 'h' and g > 0"), key)
+    database.run(ops.AlterColumn("acct", "y", new_name="new y"))
+    found = {c.name: c for c in database.reflect("acct").constraints}
+    assert found["ck"].condition == "`new y` >= 0 and h > 0" and found["ck2"].condition == "'y' <> 'h' and g > 0"
+    assert found["ex"].elements == (("`new y`", "~2"), ("g", "=")) and found["ex"].where == "`new y` > 0"
+    assert report(database.reflect("acct"), database.data()).where("violations > 0").count() == 0
+    database.run(ops.DropColumn("acct", "h"))
+    assert {c.name for c in database.reflect("acct").constraints} == {"ck2", "ex"}
+
+
+def test_foreign_keys_of_others_follow(spark, database):
+    owner, acct = Table("owner", (Column("k", "int"), Column("n", "int"))), Table("acct", (Column("id", "int"), Column("o", "int")))
+    database.run(ops.CreateTable(owner), ops.CreateTable(acct), ops.BulkInsert(owner, ({"k": 1, "n": 1},)), ops.BulkInsert(acct, ({"id": 1, "o": 1},)))
+    database.run(ops.foreign_key("fk", "acct", "owner", ["o"], ["k"]), ops.AlterColumn("owner", "k", new_name="kk"))
+    assert database.reflect("acct").constraints[0].refers == ("owner", ("kk",))
+    with pytest.raises(ValidationError, match="fk"):
+        database.run(ops.AlterColumn("owner", "kk", type="int", using="kk + 1"))
+    with pytest.raises(ValueError, match="can't be dropped"):
+        database.run(ops.DropColumn("owner", "kk"))
+    database.run(ops.RenameTable("owner", "owner2"))
+    assert database.reflect("acct").constraints[0].refers == ("owner2", ("kk",))
+
+
+def test_inverses_on_the_catalog(spark, database):
+    table = Table("acct", (Column("a", "int"), Column("b", "string", False), Column("c", "int")))
+    database.run(ops.CreateTable(table))
+    drop = database.known(ops.DropColumn("acct", "b"))
+    database.run(drop, drop.reverse())  # empty, so it may be NOT NULL again
+    assert database.reflect("acct").columns == table.columns
+    database.run(ops.BulkInsert(table, ({"a": 1, "b": "x", "c": 2},)))
+    database.run(drop)
+    with pytest.raises(ValidationError, match="nulls"):
+        database.run(drop.reverse())
+    database.run(ops.AddColumn("acct", table.columns[1], behind="a", fill="'y'"))
+    batch = database.known(ops.Batch("acct", (
+        ops.DropColumn("acct", "b", fill="'z'"), ops.DropColumn("acct", "a"), ops.AlterColumn("acct", "c", new_name="d", type="bigint"),
+    ), ()))
+    database.run(batch)
+    assert spark.table("acct").collect() == [(2,)]
+    database.run(batch.reverse())
+    assert database.reflect("acct").columns == table.columns and spark.table("acct").collect() == [(None, "z", 2)]
+
+
+def test_catalog_frame_and_filters(spark, database):
+    table = Table("acct", (Column("a", "int", False), Column("b", "array<struct<x:int,y:string>>")), indexes=(Index("ix", ("a",)),))
+    database.run(ops.CreateTable(table), ops.CreateTable(Table("owner", (Column("k", "int"),))))
+    rows = {tuple(r) for r in database.columns().where("table_name in ('acct', 'owner')").select("table_name", "column_name", "type", "nullable").collect()}
+    assert rows == {("acct", "a", "integer", False), ("acct", "b", "array", True), ("owner", "k", "integer", True)}
+    got = database.catalog(only=lambda kind, name: kind != "index" and name.partition(".")[0] == "acct")
+    assert [t.name for t in got.tables] == ["acct"] and got["acct"].indexes == () and len(got["acct"].columns) == 2
+
+
+def test_rewrite_of_a_declared_table(spark, database):
+    table = Table("acct", (Column("a", "int"), Column("b", "int")))
+    database.run(ops.CreateTable(table), ops.BulkInsert(table, ({"a": 1, "b": 2},)))
+    given = Table("acct", table.columns, (Constraint("ck", "check", condition="b > 0"),))
+    database.rewrite(ops.Batch("acct", (ops.AlterColumn("acct", "b", new_name="c"),)), given)
+    assert database.reflect("acct").constraints[0].condition == "`c` > 0"
+
+
+def test_exclusion(spark):
+    import random
+
+    rnd = random.Random(7)
+    rows = [(i, rnd.randrange(3), rnd.uniform(0, 60), 10.0 ** rnd.uniform(-2, 1.6), rnd.uniform(0, 9)) for i in range(220)]
+    rows += [(500, None, 1.0, 1.0, 1.0), (501, 1, None, 1.0, 2.0), (502, 1, 5.0, 0.0, None)]
+    df = spark.createDataFrame(rows, "id int, g int, low double, width double, v double")
+
+    def pairs(test):
+        whole = [r for r in rows if None not in r]
+        return {(a[0], b[0]) for a in whole for b in whole if a[0] < b[0] and test(a, b)}
+
+    meets = lambda a, b: a[2] < b[2] + b[3] and b[2] < a[2] + a[3]
+    near = lambda i, w: lambda a, b: abs(a[i] - b[i]) <= w
+
+    def found(*elements):
+        out = [tuple(r) for r in exclude_violations(df.where("g is not null and low is not null and v is not null"), "id", elements).collect()]
+        assert len(out) == len(set(out))
+        return set(out)
+
+    assert found(("low, low + width", "&&")) == pairs(meets)
+    assert found((("low", "low + greatest(width, 0)"), "&&"), ("g", "=")) == pairs(lambda a, b: meets(a, b) and a[1] == b[1])
+    assert found(("low", "~2"), ("v", "~1")) == pairs(lambda a, b: near(2, 2)(a, b) and near(4, 1)(a, b))
+    assert found(("low, low + width", "&&"), ("v", "~0.5")) == pairs(lambda a, b: meets(a, b) and near(4, 0.5)(a, b))
+    assert {500, 501, 502}.isdisjoint({x for r in exclude_violations(df, "id", (("low, low + width", "&&"), ("g", "="))).collect() for x in r})
+    with pytest.raises(ValueError, match="to look others up by"):
+        exclude_violations(df, "id", ())
+
+
 def test_bulk_insert_of_nothing(spark, database):
     table = Table("acct", (Column("id", "int"),))
     database.run(ops.CreateTable(table), ops.BulkInsert(table, ()))

@@ -3,7 +3,18 @@ from __future__ import annotations
 import pytest
 
 from tidemark.plans import graph
-from tidemark.plans.versions import History, Migrator, Revision, RevisionError, VersionTable
+from tidemark.plans.versions import (
+    CycleError,
+    DependencyCycleError,
+    DependencyLoopError,
+    History,
+    LoopError,
+    Migrator,
+    RangeError,
+    Revision,
+    RevisionError,
+    VersionTable,
+)
 
 
 def history(*rows):
@@ -14,6 +25,7 @@ def plain(**parents):
     return history(*((r, p.split(), (), ()) for r, p in parents.items()))
 
 
+# Graphs whose orders and heads are known.
 DIAMOND = plain(a="", b1="a", b2="a", c="b1 b2", d="c")
 BRANCHES = plain(a="", b1="a", b2="a", cb1="b1", cb2="b2", d1cb1="cb1", d2cb1="cb1", d1cb2="cb2", d2cb2="cb2", d3cb2="cb2", d1d2cb2="d1cb2 d2cb2")
 
@@ -65,6 +77,56 @@ def test_bad_graphs():
         plain(**{"a-b": ""})
 
 
+def test_kinds_of_bad_graphs():
+    with pytest.raises(RevisionError, match="more than once"):
+        History([Revision("a"), Revision("a")])
+    with pytest.raises(CycleError) as e:
+        plain(a="b", b="a")
+    assert not isinstance(e.value, DependencyCycleError)
+    with pytest.raises(DependencyCycleError):
+        history(("a", [], ["b"], []), ("b", ["a"], [], []))
+    with pytest.raises(LoopError):
+        plain(a="a")
+    with pytest.raises(DependencyLoopError):
+        history(("a", [], ["a"], []))
+
+
+def test_ranges():
+    assert BRANCHES.between("d1d2cb2", "b2") == ["d1d2cb2", "d1cb2", "d2cb2", "cb2"]
+    assert BRANCHES.between("cb2", "b2", inclusive=True) == ["cb2", "b2"]
+    with pytest.raises(RangeError):
+        BRANCHES.between("d1d2cb2", "cb1")
+    assert BRANCHES.between("cb2", "cb1", implicit_base=True) == ["cb2", "b2"]
+
+
+def test_stamps():
+    two = plain(a1="", a2="a1", b1="", b2="b1", c="a2 b2")
+    assert two.stamped(["a1"], "b1") == ["a1", "b1"]
+    assert two.stamped(["a2", "b1"], "a1") == ["b1", "a1"]
+    assert two.stamped(["a2", "b1"], "c") == ["c"]
+    assert two.stamped(["a2", "b1"], "base") == []
+    assert set(two.stamped([], "heads")) == {"c"}
+    assert two.stamped(["c"], "a2") == ["a2"]
+
+
+def test_added_revision():
+    h = DIAMOND.added(Revision("e", ("d",)))
+    assert h.heads() == ["e"] and DIAMOND.heads() == ["d"]
+    with pytest.raises(RevisionError, match="more than once"):
+        h.added(Revision("e", ("c",)))
+    assert h.added(Revision("e", ("c",)), instead=True).heads() == ["d", "e"]
+
+
+@pytest.mark.parametrize("steps, heads", [  # fixed values: steps of a version table and the heads after them
+    (["+a"], {"a"}), (["+a", "+b"], {"b"}), (["+a", "-a"], set()), (["+a", "+b", "+c", "+d", "+e1", "+e2"], {"b", "e1", "e2"}),
+])
+def test_version_transitions(steps, heads):
+    h, now = plain(a="", b="a", c="", d="c", e1="d", e2="d"), []
+    for s in steps:
+        now = h.heads_after(now, [s[1:]] if s[0] == "+" else [], [s[1:]] if s[0] == "-" else [])
+    assert set(now) == heads
+
+
 def test_plans_and_heads():
     assert DIAMOND.upgrade(["a"], "head")[-2:] == ["c", "d"]
     assert DIAMOND.downgrade(["d"], "a") [:2] == ["d", "c"]
@@ -122,6 +184,31 @@ def test_cycles_in_frames(spark):
     assert sorted(r[0] for r in graph.cycle_members(nodes, edges).collect()) == ["a", "b"]
 
 
+def test_large_graph(spark):
+    """A graph of some hundred revisions against plain loops."""
+    import random
+
+    rnd = random.Random(5)
+    parents = {f"r{i}": {f"r{rnd.randrange(max(0, i - 9), i)}" for _ in range(rnd.choice((1, 1, 2)))} if i else set() for i in range(200)}
+    edges = spark.createDataFrame([(r, p, "down") for r, ps in parents.items() for p in ps], "rev string, down string, kind string")
+    nodes = spark.createDataFrame([(r,) for r in parents], "rev string")
+    above, depth = {}, {}
+    for r, ps in parents.items():
+        above[r] = set(ps).union(*(above[p] for p in ps))
+        depth[r] = 1 + max((depth[p] for p in ps), default=-1)
+    assert {tuple(r) for r in graph.closure(edges).collect()} == {(r, a) for r in parents for a in above[r]}
+    out = graph.topological(nodes, edges).collect()
+    assert {r["rev"]: r["depth"] for r in out} == depth
+    assert [r["rev"] for r in sorted(out, key=lambda r: r["place"])] == sorted(parents, key=lambda r: (depth[r], r))
+    assert sorted(r["place"] for r in out) == list(range(1, 201))
+    some = nodes.where("rev in ('r20', 'r40', 'r41', 'r199')")
+    names = ("r20", "r40", "r41", "r199")
+    want = {r for r in names if not any(r in above[o] for o in names)}
+    assert {r["rev"] for r in graph.branch_heads(edges, some).collect()} == want
+    stamped = graph.stamped(edges, some, nodes.where("rev = 'r40'"))
+    assert {r["rev"] for r in stamped.collect()} == {"r40"} | {r for r in names if r not in above["r40"] and "r40" not in above[r]}
+
+
 def test_normalized(spark):
     rows = [("a2", "a1"), ("a3", "a2"), ("b2", "b1"), ("b3", "b2"), ("b4", "b3")]
     edges = [(a, b, "down") for a, b in rows] + [("b2", "a3", "dep"), ("b4", "a3", "dep")]

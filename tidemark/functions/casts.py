@@ -52,6 +52,27 @@ def slug(text: Column, length: int = 40) -> Column:
     return F.when(F.length(joined) > length, cut).otherwise(joined)
 
 
+def revision_id(*key: Column) -> Column:
+    """Twelve hexadecimal digits that depend on the key alone, so that a plan run again gives the same ids; without a key random ones."""
+    whole = F.sha2(F.concat_ws("\x1f", *(F.coalesce(k.cast("string"), F.lit("\x1e")) for k in key)), 256) if key else F.replace(F.expr("uuid()"), F.lit("-"))
+    return F.right(whole, F.lit(12))
+
+
+def stamp_parts(moment: Column, zone: str = "UTC") -> dict[str, Column]:
+    """epoch, year, month, day, hour, minute and second of a timestamp without zone that is UTC, as seen in ``zone``."""
+    local = F.convert_timezone(F.lit("UTC"), F.lit(zone), moment)
+    parts = {n: getattr(F, n)(local) for n in ("year", "month", "day", "hour", "minute", "second")}
+    return {"epoch": F.unix_seconds(moment.cast("timestamp")), **parts}
+
+
+def file_name(rev: Column, text: Column, moment: Column, zone: str = "UTC", length: int = 40) -> Column:
+    """yyyy_mm_dd_hhmm-rev_slug."""
+    p = stamp_parts(moment, zone)
+    two = lambda n: F.lpad(p[n].cast("string"), 2, "0")
+    day = F.concat_ws("_", F.lpad(p["year"].cast("string"), 4, "0"), two("month"), two("day"), F.concat(two("hour"), two("minute")))
+    return F.concat(day, F.lit("-"), rev, F.lit("_"), slug(text, length))
+
+
 _BAD_ID = re.compile(r"[@+:\-]")
 
 

@@ -53,6 +53,22 @@ def literal(value) -> str:
     return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _storage_sql(t: Table) -> str:
+    own, listed = t.storage, lambda names: ", ".join(f"`{n}`" for n in names)
+    pairs = lambda items: ", ".join(f"{literal(k)} = {literal(v)}" for k, v in items)
+    out = f" USING {own.provider}"
+    if own.options:
+        out += f" OPTIONS ({pairs(own.options)})"
+    if own.partitions:
+        out += f" PARTITIONED BY ({listed(own.partitions)})"
+    if own.buckets:
+        number, columns, by = own.buckets
+        out += f" CLUSTERED BY ({listed(columns)})" + (f" SORTED BY ({listed(by)})" if by else "") + f" INTO {number} BUCKETS"
+    if own.properties:
+        out += f" TBLPROPERTIES ({pairs(own.properties)})"
+    return out
+
+
 @dataclass(frozen=True)
 class CreateTable(Operation):
     table: Table
@@ -68,7 +84,7 @@ class CreateTable(Operation):
         body = ", ".join(map(_column_sql, self.table.columns))
         comment = f" COMMENT {literal(self.table.comment)}" if self.table.comment else ""
         guard = "IF NOT EXISTS " if self.if_not_exists else ""
-        return [f"CREATE TABLE {guard}{self.table.key} ({body}) USING parquet{comment}"]
+        return [f"CREATE TABLE {guard}{self.table.key} ({body}){_storage_sql(self.table)}{comment}"]
 
 
 @dataclass(frozen=True)
@@ -111,7 +127,7 @@ class AddColumn(Operation):
     if_not_exists: bool = False
 
     def reverse(self):
-        return DropColumn(self.table, self.column.name, old=self.column)
+        return DropColumn(self.table, self.column.name, old=self.column, behind=self.behind, fill=self.fill)
 
     def diff(self):
         return ("add_column", self.table, self.column.name)
@@ -122,20 +138,27 @@ class AddColumn(Operation):
     def change(self, rewrite):
         if self.if_not_exists and self.column.name in rewrite.columns:
             return rewrite
-        return rewrite.add(self.column, before=self.before, behind=self.behind, fill=self.fill)
+        return rewrite.add(self.column, before=self.before, behind=self.behind, fill=self.fill, strict=False)
 
 
 @dataclass(frozen=True)
 class DropColumn(Operation):
+    """The inverse puts the column back behind ``behind`` (empty: in front) and gives its rows ``fill``, else the default.
+
+    What the rows held is gone: a column that may not be null and has neither can come back to an empty table only.
+    """
+
     table: str
     name: str
     if_exists: bool = False
     old: Column | None = None
+    behind: str | None = None
+    fill: str | None = None
 
     def reverse(self):
         if self.old is None:
             raise Irreversible(f"the definition of {self.table}.{self.name} is not known")
-        return AddColumn(self.table, self.old)
+        return AddColumn(self.table, self.old, behind=self.behind, fill=self.fill)
 
     def diff(self):
         return ("remove_column", self.table, self.name)
@@ -362,14 +385,18 @@ class Execute(Operation):
 
 @dataclass(frozen=True)
 class Batch(Operation):
-    """Changes of one table's columns (and constraints), done together in one rewrite."""
+    """Changes of one table's columns (and constraints), done together in one rewrite.
+
+    ``order``: the columns before, which the inverse puts back in that order.
+    """
 
     table: str
     changes: tuple[Operation, ...]
     reordering: tuple[tuple[str, ...], ...] = field(default=())
+    order: tuple[str, ...] = ()
 
     def reverse(self):
-        return Batch(self.table, tuple(c.reverse() for c in reversed(self.changes)))
+        return Batch(self.table, tuple(c.reverse() for c in reversed(self.changes)), (self.order,) if self.order else ())
 
     def diff(self):
         return tuple(c.diff() for c in self.changes)

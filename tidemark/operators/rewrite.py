@@ -38,12 +38,14 @@ class Rewrite:
             raise KeyError(f"table {self.table.name} has no column {name}")
         return self.columns[name]
 
-    def add(self, column: Column, *, before: str | None = None, behind: str | None = None, fill: str | None = None) -> Rewrite:
-        """Old rows get ``fill`` (SQL over the old row), else the default, else null."""
+    def add(
+        self, column: Column, *, before: str | None = None, behind: str | None = None, fill: str | None = None, strict: bool = True
+    ) -> Rewrite:
+        """Old rows get ``fill`` (SQL over the old row), else the default, else null; not ``strict``: nulls are looked for when it runs."""
         if column.name in self.columns:
             raise ValueError(f"column {column.name} is there already")
         value = fill if fill is not None else column.default
-        if value is None and not column.nullable:
+        if strict and value is None and not column.nullable:
             raise ValueError(f"column {column.name} may not be null and has no default for the rows there are")
         self.columns[column.name] = column
         self.values[column.name] = (F.expr(value) if value is not None else F.lit(None)).cast(column.type)

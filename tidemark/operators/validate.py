@@ -49,35 +49,77 @@ def check_violations(df: DataFrame, condition: str) -> DataFrame:
 def exclude_violations(df: DataFrame, key: str, elements, where: str | None = None) -> DataFrame:
     """Pairs (left_key, right_key) of rows for which all of the elements' operators hold.
 
-    Equalities are join keys. A nearness ("~n") or an interval overlap ("&&") becomes an equality of
-    grid cells: each row is in its own cell or cells, so that no pair is looked for across the table.
+    ``elements`` are (expression, operator): "=", "~n" (numbers closer than n), or "&&" (open intervals that
+    overlap; the expression is a pair of expressions or "low, high"). Equalities are join keys, and of the
+    others the first becomes one: a number lies in a cell of width n and looks into the cells beside it. An
+    interval has a level, its length as a power of two, and lies in the two cells of that width at most that it
+    meets. It looks for others of its own level there, and for longer ones in the cells of each longer level
+    that there is: so a pair meets in one cell of the longer one's level, or in two at most, and counts in the
+    first. Rows with a null in an element clash with none. A constraint of "&&" on empty intervals never fails.
     """
     own = df if where is None else df.where(where)
-    fields, keys, rest = [F.col(key).alias("key")], [], []
-    cells = F.array(F.lit(0).cast("bigint"))
-    near = cells
+    fields, keys, rest, cell = [F.col(f"`{key}`").alias("key")], [], [], None
     for i, (text, operator) in enumerate(elements):
         if operator == "=":
             fields.append(F.expr(text).alias(f"e{i}"))
             keys.append(f"e{i}")
         elif operator.startswith("~"):
             width = float(operator[1:])
-            cell = F.floor(F.expr(text) / width)
             fields.append(F.expr(text).alias(f"e{i}"))
-            cells, near = F.array(cell), F.array(cell - 1, cell, cell + 1)
             rest.append(lambda i=i, width=width: F.abs(F.col(f"l.e{i}") - F.col(f"r.e{i}")) <= width)
+            if cell is None and width > 0:
+                cell = ("near", i, width)
         elif operator == "&&":
-            low, high = (F.expr(x) for x in text.split(","))
-            fields += [low.alias(f"low{i}"), high.alias(f"high{i}")]
+            low, high = text.rsplit(",", 1) if isinstance(text, str) else text
+            fields += [F.expr(low).alias(f"low{i}"), F.expr(high).alias(f"high{i}")]
             rest.append(lambda i=i: (F.col(f"l.low{i}") < F.col(f"r.high{i}")) & (F.col(f"r.low{i}") < F.col(f"l.high{i}")))
+            cell = cell or ("meet", i, None)
         else:
             raise ValueError(f"operator {operator}")
-    left = own.select(*fields, F.explode(cells).alias("cell")).alias("l")
-    right = own.select(*fields, F.explode(near).alias("cell")).alias("r")
-    same = reduce(and_, (F.col(f"l.{k}") == F.col(f"r.{k}") for k in [*keys, "cell"]))
-    hit = reduce(and_, (r() for r in rest), F.lit(True))
-    return left.join(right, same & hit & (F.col("l.key") < F.col("r.key"))).select(
-        F.col("l.key").alias("left_key"), F.col("r.key").alias("right_key")
+    if not keys and cell is None:
+        raise ValueError("an exclusion needs an element to look others up by: =, ~ or &&")
+    own = own.select(*fields)
+    left = right = own.withColumns({"level": F.lit(0), "cell": F.lit(0).cast("bigint")})
+    first = F.lit(True)
+    if cell and cell[0] == "near":
+        at = F.floor(F.col(f"e{cell[1]}") / cell[2])
+        left = own.withColumns({"level": F.lit(0), "cell": at})
+        right = own.withColumn("level", F.lit(0)).withColumn("cell", F.explode(F.array(at - 1, at, at + 1)))
+    elif cell:
+
+        def number(c):
+            kind = own.schema[c].dataType.typeName()
+            if kind.startswith("timestamp"):
+                return F.unix_micros(F.col(c).cast("timestamp")).cast("double")
+            return (F.unix_date(c) if kind == "date" else F.col(c)).cast("double")
+
+        placed = own.withColumns({"_low": number(f"low{cell[1]}"), "_high": number(f"high{cell[1]}")}).where("_low < _high")
+        placed = placed.withColumn("level", F.ceil(F.log2(F.col("_high") - F.col("_low"))).cast("int"))
+        levels = sorted(r[0] for r in placed.select("level").distinct().collect())  # lengths that are powers of two: some tens
+        side = F.array(*(F.lit(n) for n in levels)) if levels else F.array().cast("array<int>")
+
+        def cells(n):
+            size = F.pow(F.lit(2.0), n)
+            return F.transform(
+                F.sequence(F.floor(F.col("_low") / size), F.ceil(F.col("_high") / size) - 1), lambda c: F.struct(n.alias("level"), c.alias("cell"))
+            )
+
+        left = placed.withColumn("at", F.explode(cells(F.col("level")))).withColumns({"cell": F.col("at.cell")})
+        longer = F.filter(side, lambda n: n >= F.col("level"))
+        right = placed.withColumn("at", F.explode(F.flatten(F.transform(longer, cells)))).withColumns(
+            {"own": F.col("level"), "level": F.col("at.level"), "cell": F.col("at.cell")}
+        )
+        size = F.pow(F.lit(2.0), F.col("l.level"))
+        first = F.col("l.cell") == F.greatest(F.floor(F.col("l._low") / size), F.floor(F.col("r._low") / size))
+        # of two of one level each would find the other
+        first = first & ((F.col("r.own") < F.col("l.level")) | (F.col("l.key") < F.col("r.key")))
+    left, right = left.alias("l"), right.alias("r")
+    joined = [*keys, *(["level", "cell"] if cell else [])]
+    same = reduce(and_, (F.col(f"l.{k}") == F.col(f"r.{k}") for k in joined))
+    hit = reduce(and_, (r() for r in rest), F.lit(True)) & first
+    apart = (F.col("l.key") != F.col("r.key")) if cell and cell[0] == "meet" else (F.col("l.key") < F.col("r.key"))
+    return left.join(right, same & hit & apart).select(
+        F.least("l.key", "r.key").alias("left_key"), F.greatest("l.key", "r.key").alias("right_key")
     )
 
 

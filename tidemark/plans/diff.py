@@ -2,16 +2,20 @@
 
 A catalog is ``columns`` (tbl, col, type, nullable, default, comment) and ``objects`` (tbl, kind, name,
 signature), kind one of index, unique, foreign, check. A diff is rows (kind, tbl, object, old, new).
-Renames look like drop and add; primary keys are not compared; checks are compared by name only.
+Renames look like drop and add; primary keys are not compared; checks are compared by name only. Foreign
+keys are alike if both ends and their options are; "NO ACTION" is the default and counts as no option.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.casts import plain_default, types_differ
-from ..spec import Catalog
+from ..spec import Catalog, Constraint
 
 COLUMNS = "tbl string, col string, type string, nullable boolean, default string, comment string"
 OBJECTS = "tbl string, kind string, name string, signature string"
@@ -31,12 +35,37 @@ def objects_of(spark: SparkSession, catalog: Catalog) -> DataFrame:
             if c.kind == "unique":
                 rows.append((t.key, "unique", c.name, ",".join(sorted(c.columns))))
             elif c.kind == "foreign":
-                rows.append((t.key, "foreign", c.name, f"{','.join(c.columns)}->{c.refers[0]}({','.join(c.refers[1])})"))
+                rows.append((t.key, "foreign", c.name, foreign_signature(c)))
             elif c.kind == "check":
                 rows.append((t.key, "check", c.name, c.name))
     return spark.createDataFrame(rows, OBJECTS)
 
 
+def foreign_signature(c: Constraint) -> str:
+    options = sorted(f" {k.lower()} {v.lower()}" for k, v in c.options if v.lower() != "no action")
+    return f"{','.join(c.columns)}->{c.refers[0]}({','.join(c.refers[1])})" + "".join(options)
+
+
+def filtered(catalog: Catalog, only: Callable[[str, str], bool]) -> Catalog:
+    """Without what ``only(kind, name)`` says no to; kind is schema, table, column, index or constraint (the last three by ``table.name``)."""
+    out = []
+    for t in catalog.tables:
+        if (t.schema and not only("schema", t.schema)) or not only("table", t.key):
+            continue
+        own = {k: tuple(x for x in items if only(k, f"{t.key}.{x.name}")) for k, items in (
+            ("column", t.columns), ("constraint", t.constraints), ("index", t.indexes))}
+        out.append(replace(t, columns=own["column"], constraints=own["constraint"], indexes=own["index"]))
+    return Catalog(tuple(out))
+
+
+def comments(spark: SparkSession, actual: Catalog, desired: Catalog) -> DataFrame:
+    """add_table_comment (also where another was there) and remove_table_comment, of tables that both have."""
+    own = lambda c, name: spark.createDataFrame([(t.key, t.comment or None) for t in c.tables], f"tbl string, {name} string")
+    both = own(actual, "a").join(own(desired, "d"), "tbl").where(~F.col("a").eqNullSafe(F.col("d")))
+    kind = F.when(F.isnull("d"), "remove_table_comment").otherwise("add_table_comment")
+    return both.select(*_row(kind, None, F.col("a"), F.col("d")))
+
+
 def _row(kind, object_, old, new):
     kind = F.lit(kind) if isinstance(kind, str) else kind
     text = [(F.lit(None) if x is None else x).cast("string") for x in (object_, old, new)]
@@ -100,9 +129,11 @@ def objects(actual: DataFrame, desired: DataFrame) -> DataFrame:
     return found.select(*_row(F.col("x.verb"), F.col("id"), F.col("x.old"), F.col("x.new")))
 
 
-def compare(spark: SparkSession, actual: Catalog, desired: Catalog, **options) -> DataFrame:
-    """The whole diff. Objects of tables that are added or removed as a whole are not listed."""
+def compare(spark: SparkSession, actual: Catalog, desired: Catalog, *, only: Callable[[str, str], bool] | None = None, **options) -> DataFrame:
+    """The whole diff, of what ``only`` lets through. Objects of tables that are added or removed as a whole are not listed."""
+    if only is not None:
+        actual, desired = filtered(actual, only), filtered(desired, only)
     ac, dc = columns_of(spark, actual), columns_of(spark, desired)
     changed = tables(ac, dc)
-    found = objects(objects_of(spark, actual), objects_of(spark, desired)).join(changed.select("tbl"), "tbl", "left_anti")
+    found = comments(spark, actual, desired).unionByName(objects(objects_of(spark, actual), objects_of(spark, desired))).join(changed.select("tbl"), "tbl", "left_anti")
     return changed.unionByName(columns(ac, dc, **options)).unionByName(found)

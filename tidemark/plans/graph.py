@@ -2,15 +2,22 @@
 
 kind is ``down`` for versioned edges and ``dep`` for dependencies. Closures are loops of a frontier
 joined with the edges, an anti-join with what has been seen, and a lineage cut; so diamonds don't
-multiply paths, and the work of a round is that of its frontier.
+multiply paths, and the work of a round is that of its frontier. Only ``closure`` makes all pairs; the
+other questions are asked from their seeds, or by peeling.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import settle
+from ..functions.numbering import numbered
+from ..sources.scratch import forget, settle, settled
+
+#: Rounds after which the tables of what has been seen become one.
+MERGE = 8
 
 
 class CycleError(ValueError):
@@ -41,15 +48,22 @@ def merge_points(edges: DataFrame) -> DataFrame:
     return versioned(edges).groupBy("rev").agg(F.countDistinct("down").alias("n")).where("n > 1")
 
 
-def _reach(steps: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Rows (rev) reached from ``seeds`` (rev) over ``steps`` (at, to), seeds included."""
+def _reach(steps: DataFrame, seeds: DataFrame, *origin: str) -> DataFrame:
+    """Rows (rev) reached from ``seeds`` (rev) over ``steps`` (at, to), seeds included; for each value of ``origin`` apart."""
+    key = ["rev", *origin]
     steps = settle(steps.distinct())
-    seen = frontier = settle(seeds.select("rev").distinct())
-    while not frontier.isEmpty():
-        met = frontier.join(steps, F.col("rev") == F.col("at")).select(F.col("to").alias("rev")).distinct()
-        frontier = settle(met.join(seen, "rev", "left_anti"))
-        seen = seen.unionAll(frontier)  # of settled tables, so its plan stays a list of scans
-    return seen
+    frontier, n = settled(seeds.select(*key).distinct())
+    seen = [frontier]
+    while n:
+        met = frontier.join(steps, F.col("rev") == F.col("at")).select(F.col("to").alias("rev"), *origin).distinct()
+        frontier, n = settled(met.join(reduce(DataFrame.unionAll, seen), key, "left_anti"))
+        seen.append(frontier)
+        if len(seen) > MERGE:
+            one = settle(reduce(DataFrame.unionAll, seen))
+            forget(*seen[:-1])
+            seen = [one]
+    forget(steps)
+    return reduce(DataFrame.unionAll, seen)
 
 
 def ancestors(edges: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -66,16 +80,21 @@ def lineage(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """All pairs (rev, up) with up a proper ancestor: path lengths double in each round."""
-    pairs = settle(edges.select("rev", F.col("down").alias("up")).distinct())
-    size = pairs.count()
+    """All pairs (rev, up) with up a proper ancestor: as many as there are, in log2(depth) rounds.
+
+    A round adds the ways on by 2^k steps, and finds the ways of 2^(k+1) steps for the next.
+    """
+    pairs, size = settled(edges.select("rev", F.col("down").alias("up")).distinct())
+    jumps = pairs
     while True:
-        more = pairs.join(pairs.select(F.col("rev").alias("up"), F.col("up").alias("above")), "up")
-        pairs = settle(pairs.unionByName(more.select("rev", F.col("above").alias("up"))).distinct())
-        now = pairs.count()
+        on = jumps.select(F.col("rev").alias("up"), F.col("up").alias("above"))
+        more = pairs.join(on, "up").select("rev", F.col("above").alias("up"))
+        all_, now = settled(pairs.unionByName(more).distinct())
         if now == size:
-            return pairs
-        size = now
+            return all_
+        further = settle(jumps.join(on, "up").select("rev", F.col("above").alias("up")).distinct())
+        forget(pairs, jumps)
+        pairs, jumps, size = all_, further, now
 
 
 def upgrade_set(edges: DataFrame, current: DataFrame, target: DataFrame) -> DataFrame:
@@ -91,17 +110,42 @@ def downgrade_set(edges: DataFrame, applied_heads: DataFrame, target: DataFrame)
 
 def branch_heads(edges: DataFrame, targets: DataFrame) -> DataFrame:
     """Those of ``targets`` that are no ancestor of another of them."""
-    above = closure(edges).join(targets.select("rev"), "rev", "left_semi").select(F.col("up").alias("rev")).distinct()
-    return targets.select("rev").join(above, "rev", "left_anti")
+    parents = edges.join(targets.select("rev"), "rev", "left_semi").select(F.col("down").alias("rev"))
+    return targets.select("rev").join(ancestors(edges, parents), "rev", "left_anti")
 
 
 def normalized(edges: DataFrame) -> DataFrame:
     """``edges`` without the dependencies that a versioned ancestor has already."""
     deps = edges.where("kind = 'dep'")
-    inherited = (
-        closure(versioned(edges)).join(deps.select(F.col("rev").alias("up"), "down"), "up").select("rev", "down").distinct()
-    )
-    return versioned(edges).unionByName(deps.join(inherited, ["rev", "down"], "left_anti"))
+    own = versioned(edges)
+    seeds = own.join(deps.select("rev").distinct(), "rev").select(F.col("rev").alias("origin"), F.col("down").alias("rev"))
+    above = _reach(own.select(F.col("rev").alias("at"), F.col("down").alias("to")), seeds, "origin")
+    inherited = above.join(deps.select("rev", "down"), "rev").select(F.col("origin").alias("rev"), "down").distinct()
+    return own.unionByName(deps.join(inherited, ["rev", "down"], "left_anti"))
+
+
+def _peeled(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rev, depth by peeling off what has no parents left; and the links (rev, down) that can't be peeled.
+
+    Every revision that is left has a link left, so links alone are kept from round to round.
+    """
+    links = settle(edges.select("rev", "down").distinct())
+    free, n = settled(nodes.select("rev").distinct().join(links.select("rev").distinct(), "rev", "left_anti"))
+    levels, depth = [free.withColumn("depth", F.lit(0))], 0
+    tables = [free]
+    while n:
+        depth += 1
+        rest = settle(links.join(free.select(F.col("rev").alias("down")), "down", "left_anti").select("rev", "down"))
+        free, n = settled(links.select("rev").distinct().join(rest.select("rev").distinct(), "rev", "left_anti"))
+        forget(links)
+        links = rest
+        levels.append(free.withColumn("depth", F.lit(depth)))
+        tables.append(free)
+        if len(levels) > MERGE:
+            one = settle(reduce(DataFrame.unionAll, levels))
+            forget(*tables[:-1])
+            levels, tables = [one], [one, free]
+    return reduce(DataFrame.unionAll, levels), links
 
 
 def ranks(nodes: DataFrame, edges: DataFrame, check: bool = True) -> DataFrame:
@@ -109,31 +153,24 @@ def ranks(nodes: DataFrame, edges: DataFrame, check: bool = True) -> DataFrame:
 
     What can't be peeled lies on or above a cycle: an error, or without ``check`` rows of null depth.
     """
-    left = settle(nodes.select("rev").distinct())
-    links = settle(edges.select("rev", "down").distinct())
-    out, depth = left.limit(0).withColumn("depth", F.lit(0)), 0
-    while True:
-        bare = left.join(links.select("rev").distinct(), "rev", "left_anti").join(out.select("rev"), "rev", "left_anti")
-        free = settle(bare.withColumn("depth", F.lit(depth)))
-        if free.isEmpty():
-            break
-        out = out.unionAll(free)
-        links = settle(links.join(free.select(F.col("rev").alias("down")), "down", "left_anti").select("rev", "down"))
-        depth += 1
-    left = left.join(out, "rev", "left_anti")
+    out, links = _peeled(edges, nodes)
+    left = links.select("rev").distinct()
     if check and not left.isEmpty():
         raise CycleError(f"revisions form a cycle, among them {sorted(r[0] for r in left.limit(3).collect())}")
     return out.unionAll(left.withColumn("depth", F.lit(None).cast("int")))
 
 
 def cycle_members(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Revisions that are their own ancestor."""
-    return closure(edges).where("rev = up").select("rev")
+    """Revisions that are their own ancestor: of what can be peeled from neither end, mostly nothing, the closure tells."""
+    left = _peeled(edges, nodes)[1]
+    turned = left.select(F.col("down").alias("rev"), F.col("rev").alias("down"))
+    core = _peeled(turned, turned.select("rev").union(turned.select("down")))[1]
+    return closure(core.select(F.col("down").alias("rev"), F.col("rev").alias("down"))).where("rev = up").select("rev")
 
 
 def topological(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """rev, depth, place: an order in which every revision comes after its ancestors (ties by rev)."""
-    return ranks(nodes, edges).withColumn("place", F.row_number().over(Window.orderBy("depth", "rev")))
+    return numbered(ranks(nodes, edges), ["depth", "rev"], "place")
 
 
 def walk(edges: DataFrame, start: DataFrame, steps: int) -> DataFrame:
@@ -167,13 +204,17 @@ def label_members(edges: DataFrame, labels: DataFrame) -> DataFrame:
     one parent at most: not past a branch point or a merge point.
     """
     own = versioned(edges)
-    pairs = closure(own)
-    down = pairs.join(labels.select(F.col("rev").alias("up"), "label"), "up").select("rev", "label")
+    down = _reach(own.select(F.col("down").alias("at"), F.col("rev").alias("to")), labels, "label")
     narrow = own.join(branch_points(edges).select(F.col("rev").alias("down")), "down", "left_anti").join(
         merge_points(edges).select("rev"), "rev", "left_anti"
     )
-    up = closure(narrow).join(labels, "rev").select(F.col("up").alias("rev"), "label")
-    return labels.select("rev", "label").union(down).union(up).distinct()
+    up = _reach(narrow.select(F.col("rev").alias("at"), F.col("down").alias("to")), labels, "label")
+    return down.union(up).select("rev", "label").distinct()
+
+
+def stamped(edges: DataFrame, current: DataFrame, target: DataFrame) -> DataFrame:
+    """The version table's rows after ``target`` (rev) is recorded: heads on its line of descent go, other branches stay."""
+    return current.select("rev").join(lineage(edges, target), "rev", "left_anti").union(target.select("rev")).distinct()
 
 
 def heads_after(edges: DataFrame, current: DataFrame, added: DataFrame | None = None, removed: DataFrame | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 from ..operators import ops
 from ..spec import Catalog, Table
-from .diff import compare
+from .diff import compare, foreign_signature
 
 
 def by_reference(tables: list[Table]) -> list[Table]:
@@ -42,9 +42,11 @@ def changes(spark: SparkSession, actual: Catalog, desired: Catalog, **options) -
 
 def _altered(old: Table, new: Table, rows) -> list[ops.Operation]:
     columns, before, after, altered = [], [], [], defaultdict(dict)
-    for r in sorted(rows, key=lambda r: (r["kind"], r["object"])):
+    for r in sorted(rows, key=lambda r: (r["kind"], r["object"] or "")):
         kind, name = r["kind"], r["object"]
-        if kind == "add_column":
+        if kind.endswith("_table_comment"):
+            after.append(ops.TableComment(new.key, new.comment, old.comment))
+        elif kind == "add_column":
             columns.append(ops.AddColumn(new.key, new.column(name)))
         elif kind == "remove_column":
             columns.append(ops.DropColumn(new.key, name, old=old.column(name)))
@@ -64,4 +66,4 @@ def _altered(old: Table, new: Table, rows) -> list[ops.Operation]:
 
 
 def _signature(c) -> str | None:
-    return f"{','.join(c.columns)}->{c.refers[0]}({','.join(c.refers[1])})" if c.refers else None
+    return foreign_signature(c) if c.refers else None

@@ -19,6 +19,26 @@ class RevisionError(ValueError):
     pass
 
 
+class RangeError(RevisionError):
+    """The ends of a range are on no line of descent."""
+
+
+class CycleError(RevisionError):
+    """Revisions are their own ancestors."""
+
+
+class DependencyCycleError(CycleError):
+    """They are so by their dependencies only."""
+
+
+class LoopError(RevisionError):
+    """A revision names itself as what it follows."""
+
+
+class DependencyLoopError(LoopError):
+    """A revision names itself as what it depends on."""
+
+
 @dataclass(frozen=True)
 class Revision:
     rev: str
@@ -30,14 +50,18 @@ class Revision:
 
     def __post_init__(self):
         check_revision_id(self.rev)
-        if self.rev in self.down or self.rev in self.depends:
-            raise RevisionError(f"revision {self.rev} refers to itself")
+        if self.rev in self.down:
+            raise LoopError(f"revision {self.rev} follows itself")
+        if self.rev in self.depends:
+            raise DependencyLoopError(f"revision {self.rev} depends on itself")
 
 
 class History:
     def __init__(self, revisions: Iterable[Revision]):
         self.revisions: dict[str, Revision] = {}
         for r in revisions:
+            if r.rev in self.revisions:
+                raise RevisionError(f"revision {r.rev} is there more than once")
             self.revisions[r.rev] = r
         labelled: dict[str, str] = {}
         for r in self.revisions.values():
@@ -54,7 +78,18 @@ class History:
                 if p not in self.revisions:
                     raise RevisionError(f"revision {p}, which {r} refers to, is not there")
         if len(self.order(self.revisions)) < len(self.revisions):
-            raise RevisionError("revisions form a cycle")
+            whole = self.parents
+            self.parents = {r.rev: list(r.down) for r in self.revisions.values()}
+            plain = len(self.order(self.revisions)) == len(self.revisions)
+            self.parents = whole
+            left = sorted(set(self.revisions) - set(self.order(self.revisions)))
+            raise (DependencyCycleError if plain else CycleError)(f"revisions form a cycle, among {', '.join(left[:5])}")
+
+    def added(self, revision: Revision, *, instead: bool = False) -> History:
+        """With one more revision, or, if ``instead``, with this one for the one of its id."""
+        if instead:
+            return History([revision if r.rev == revision.rev else r for r in self.revisions.values()])
+        return History([*self.revisions.values(), revision])
 
     def heads(self) -> list[str]:
         below = {d for r in self.revisions.values() for d in r.down}
@@ -149,6 +184,36 @@ class History:
             raise RevisionError(f"ambiguous step: {', '.join(steps)}")
         return steps
 
+    def lineage(self, revs: Iterable[str]) -> set[str]:
+        revs = list(revs)
+        return self.ancestors(revs) | self.descendants(revs)
+
+    def between(self, upper: str, lower: str, *, inclusive: bool = False, implicit_base: bool = False) -> list[str]:
+        """Revisions above ``lower`` up to ``upper``, descendants first; an error if ``lower`` is no ancestor of ``upper``.
+
+        ``implicit_base``: other branches that ``upper`` needs too, from their bases on; nothing is an error then.
+        """
+        top, bottom = self.resolve(upper), self.resolve(lower)
+        want = self.ancestors(top)
+        if not implicit_base and (lost := [r for r in bottom if r not in want]):
+            raise RangeError(f"{lost[0]} is no ancestor of {upper}")
+        have = self.ancestors(bottom)
+        if bottom and not implicit_base:
+            want &= self.descendants(bottom)
+        return self.order((want - have) | (set(bottom) if inclusive else set()))
+
+    def stamped(self, current: Iterable[str], target: str) -> list[str]:
+        """The heads after ``target`` is recorded: it stands for those on its line of descent, other branches stay."""
+        current = list(current)
+        to = self.resolve(target, current)
+        label, at, _ = target.rpartition("@")
+        if to:
+            near = self.lineage(to)
+        else:
+            near = self.on_branch(label) if at else set(self.revisions)
+        stay = [r for r in current if r not in near]
+        return stay + [r for r in to if not (self.descendants([r]) - {r}) & set(to)]
+
     def upgrade(self, current: Iterable[str], target: str) -> list[str]:
         """What to run, in order."""
         current = list(current)
@@ -164,7 +229,7 @@ class History:
         if to:
             gone = (self.descendants(to) - set(to)) & applied
             if not gone and not set(to) & set(current):
-                raise RevisionError(f"{target} is no ancestor of what is applied")
+                raise RangeError(f"{target} is no ancestor of what is applied")
         else:
             gone = applied & (self.on_branch(label) if at else applied)
             gone = self.descendants(gone) & applied if at else gone
@@ -234,6 +299,6 @@ class Migrator:
         return undo
 
     def stamp(self, target: str) -> None:
-        """Record revisions as applied without running them."""
+        """Record revisions as applied without running them; heads of other branches stay."""
         current = self.versions.heads()
-        self.versions.write(self.history.resolve(target, current), current)
+        self.versions.write(self.history.stamped(current, target), current)

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+from contextlib import contextmanager
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.casts import slug, types_differ
+from .functions.casts import file_name, revision_id, slug, stamp_parts, types_differ
 from .operators import ops, validate
 from .operators.rewrite import Rewrite
 from .plans import diff, graph
-from .sources.catalog import bulk_rows
-from .spec import Catalog, Column, Constraint, Index, Table
+from .sources.catalog import Database, ValidationError, bulk_rows
+from .sources.scratch import settle
+from .spec import Catalog, Column, Constraint, Index, Storage, Table
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -160,10 +165,11 @@ def validate_foreign_key(spark, d):
     return validate.foreign_violations(read(spark, d, "orders"), ["o_custkey"], read(spark, d, "customer"), ["c_custkey"])
 
 
-@query("SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey < 1000) GROUP BY 1")
+@query("""SELECT k AS l_partkey, count(*) AS n FROM (SELECT CASE WHEN l_partkey % 7 = 3 THEN -l_partkey ELSE l_partkey END AS k FROM lineitem)
+WHERE k NOT IN (SELECT p_partkey FROM part) GROUP BY 1""")
 def validate_foreign_key_violation(spark, d):
-    parts = read(spark, d, "part").where("p_partkey < 1000")
-    return validate.foreign_violations(read(spark, d, "lineitem"), ["l_partkey"], parts, ["p_partkey"])
+    key = F.expr("CASE WHEN l_partkey % 7 = 3 THEN -l_partkey ELSE l_partkey END").alias("l_partkey")
+    return validate.foreign_violations(read(spark, d, "lineitem").select(key), ["l_partkey"], read(spark, d, "part"), ["p_partkey"])
 
 
 @query("SELECT l_orderkey, l_linenumber, l_discount FROM lineitem WHERE NOT (l_discount BETWEEN 0 AND 0.05)")
@@ -189,9 +195,9 @@ def validate_exclude_interval(spark, d):
 UNION ALL SELECT 'orders.o_orderstatus', 'not_null', count(*) FILTER (WHERE o_orderstatus IS NULL) FROM orders
 UNION ALL SELECT 'pk', 'primary', count(*) FROM (SELECT o_orderkey FROM orders GROUP BY 1 HAVING count(*) > 1)
 UNION ALL SELECT 'uq', 'unique', count(*) FROM (SELECT o_custkey, o_orderdate FROM orders GROUP BY 1, 2 HAVING count(*) > 1)
-UNION ALL SELECT 'fk', 'foreign', count(*) FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 > 0))""")
+UNION ALL SELECT 'fk', 'foreign', count(*) FROM (SELECT DISTINCT k FROM (SELECT CASE WHEN o_custkey % 3 = 1 THEN -o_custkey ELSE o_custkey END AS k FROM orders) WHERE k NOT IN (SELECT c_custkey FROM customer))""")
 def validate_report(spark, d):
-    orders = read(spark, d, "orders")
+    orders = read(spark, d, "orders").withColumn("o_custkey", F.expr("CASE WHEN o_custkey % 3 = 1 THEN -o_custkey ELSE o_custkey END"))
     columns = tuple(Column(c.name, c.type, c.name != "o_orderstatus") for c in Table.of("orders", orders).columns)
     table = Table("orders", columns, (
         Constraint("ck_price", "check", condition="o_totalprice > 1000"),
@@ -199,17 +205,17 @@ def validate_report(spark, d):
         Constraint("uq", "unique", ("o_custkey", "o_orderdate")),
         Constraint("fk", "foreign", ("o_custkey",), ("customer", ("c_custkey",))),
     ))
-    return validate.report(table, {"orders": orders, "customer": read(spark, d, "customer").where("c_custkey % 3 > 0")})
+    return validate.report(table, {"orders": orders, "customer": read(spark, d, "customer")})
 
 
-# revision graph: a binary tree of 63 revisions over part keys with second parents and dependencies
+# revision graph: a binary tree over all part keys with second parents and dependencies
 
 _EDGES = """edges AS (
   SELECT CAST(p_partkey AS VARCHAR) AS rev, CAST(CAST(floor((p_partkey - 1) / 2) AS BIGINT) AS VARCHAR) AS down, 'down' AS kind
-  FROM part WHERE p_partkey BETWEEN 1 AND 63
-  UNION ALL SELECT CAST(p_partkey AS VARCHAR), CAST(p_partkey - 4 AS VARCHAR), 'down' FROM part WHERE p_partkey BETWEEN 12 AND 63 AND p_partkey % 9 = 3
-  UNION ALL SELECT CAST(p_partkey AS VARCHAR), CAST(p_partkey - 7 AS VARCHAR), 'dep' FROM part WHERE p_partkey BETWEEN 8 AND 63 AND p_partkey % 5 = 0),
-nodes AS (SELECT CAST(p_partkey AS VARCHAR) AS rev FROM part WHERE p_partkey BETWEEN 0 AND 63)"""
+  FROM part WHERE p_partkey >= 1
+  UNION ALL SELECT CAST(p_partkey AS VARCHAR), CAST(p_partkey - 4 AS VARCHAR), 'down' FROM part WHERE p_partkey >= 12 AND p_partkey % 9 = 3
+  UNION ALL SELECT CAST(p_partkey AS VARCHAR), CAST(p_partkey - 7 AS VARCHAR), 'dep' FROM part WHERE p_partkey >= 8 AND p_partkey % 5 = 0),
+nodes AS (SELECT CAST(p_partkey AS VARCHAR) AS rev FROM part)"""
 
 
 def _reach_sql(name: str, seeds: str, upward: bool = True, kinds: str = "") -> str:
@@ -218,7 +224,7 @@ def _reach_sql(name: str, seeds: str, upward: bool = True, kinds: str = "") -> s
 
 
 def _graph(spark, d):
-    part = read(spark, d, "part").where("p_partkey between 0 and 63").select(F.col("p_partkey").alias("k"))
+    part = read(spark, d, "part").select(F.col("p_partkey").alias("k"))
     text = lambda c: c.cast("string")
     down = part.where("k >= 1").select(text(F.col("k")).alias("rev"), text(F.floor((F.col("k") - 1) / 2)).alias("down"), F.lit("down").alias("kind"))
     second = part.where("k >= 12 and k % 9 = 3").select(text(F.col("k")), text(F.col("k") - 4), F.lit("down"))
@@ -310,11 +316,13 @@ def dag_topological_rank(spark, d):
     return graph.topological(*_graph(spark, d))
 
 
-@query("SELECT unnest(['b', 'c', 'd']) AS rev")
+@query("SELECT CAST(p_partkey AS VARCHAR) AS rev FROM part WHERE p_partkey // 10 % 3 = 0")
 def dag_cycle_check(spark, d):
-    rows = [("b", "a", "down"), ("c", "b", "down"), ("d", "c", "down"), ("b", "d", "down"), ("e", "d", "down")]
-    edges = spark.createDataFrame(rows, "rev string, down string, kind string")
-    return graph.cycle_members(_revs(spark, *"abcde"), edges)
+    """Chains of ten revisions, every third of which is closed to a ring."""
+    part = read(spark, d, "part").select(F.col("p_partkey").alias("k"))
+    down = F.when(F.col("k") % 10 < 9, F.col("k") + 1).when(F.floor(F.col("k") / 10) % 3 == 0, F.col("k") - 9)
+    edges = part.select(F.col("k").cast("string").alias("rev"), down.cast("string").alias("down"), F.lit("down").alias("kind"))
+    return graph.cycle_members(part.select(F.col("k").cast("string").alias("rev")), edges.where("down is not null"))
 
 
 @query(f"""WITH {_EDGES} SELECT DISTINCT c.down AS rev FROM edges a JOIN edges b ON a.down = b.rev JOIN edges c ON b.down = c.rev
@@ -366,36 +374,157 @@ def version_state_unmerge(spark, d):
     return graph.heads_after(_graph(spark, d)[1], _revs(spark, "12"), removed=_revs(spark, "12"))
 
 
+@query(f"""WITH RECURSIVE {_EDGES}, {_reach_sql('a', "'6'")}, {_reach_sql('b', "'6'", False)}
+SELECT '6' AS rev UNION SELECT rev FROM (SELECT unnest(['8', '14', '33']) AS rev) WHERE rev NOT IN (SELECT rev FROM a) AND rev NOT IN (SELECT rev FROM b)""")
+def version_state_stamp(spark, d):
+    """Stamping one branch leaves the heads of the others."""
+    return graph.stamped(_graph(spark, d)[1], _revs(spark, "8", "14", "33"), _revs(spark, "6"))
+
+
+# tables of the session catalog: each query makes its own, changes it, keeps the rows and drops it
+
+
+@contextmanager
+def _made(spark, d, name, *, of=None, **more):
+    """A database and a table in it with the rows of a driver table."""
+    df = read(spark, d, name) if of is None else of
+    db, key = Database(spark), f"tidemark_{uuid.uuid4().hex}"
+    table = replace(Table.of(key, df), **more)
+    try:
+        db.run(ops.CreateTable(table))
+        df.select(*spark.table(key).columns).write.insertInto(key)
+        yield db, key
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {key}")
+
+
+@query("""SELECT o_orderkey, o_totalprice AS price, o_orderstatus, 'orc' AS provider, 'o_orderstatus' AS partitioned_by, 'kept' AS note FROM orders""")
+def swap_partitioned(spark, d):
+    """Move-and-copy of a partitioned ORC table with a property."""
+    storage = Storage("orc", ("o_orderstatus",), properties=(("note", "kept"),))
+    with _made(spark, d, "orders", storage=storage) as (db, t):
+        gone = ("o_custkey", "o_orderdate", "o_orderpriority")
+        db.run(ops.Batch(t, (ops.AlterColumn(t, "o_totalprice", new_name="price"), *(ops.DropColumn(t, c) for c in gone))))
+        now = db.reflect(t).storage
+        facts = {"provider": now.provider, "partitioned_by": ",".join(now.partitions), "note": dict(now.properties).get("note")}
+        return settle(spark.table(t).withColumns({k: F.lit(v) for k, v in facts.items()}))
+
+
+@query("""SELECT c_custkey, c_name, true AS refused FROM customer""")
+def batch_retype_unique(spark, d):
+    """A retyping that would break a UNIQUE is refused, and the table stays as it was."""
+    names = read(spark, d, "customer").select("c_custkey", F.col("c_name"), F.concat(F.col("c_custkey") % 10, F.lit("-"), "c_name").alias("code"))
+    with _made(spark, d, "customer", of=names) as (db, t):
+        db.run(ops.unique("uq", t, ["code"]))
+        try:
+            db.run(ops.AlterColumn(t, "code", type="int", mode="prefix"))
+            refused = False
+        except ValidationError:
+            refused = True
+        whole = db.reflect(t).column("code").type == "string"
+        return settle(spark.table(t).select("c_custkey", "c_name", F.lit(refused and whole).alias("refused")))
+
+
+@query("""SELECT 'ck_balance' AS name, 'check' AS kind, count(*) FILTER (WHERE NOT s_acctbal > 0) AS violations FROM supplier
+UNION ALL SELECT 'pk', 'primary', 0""")
+def drop_column_check(spark, d):
+    """Checks follow a renamed column and go with a dropped one; the report runs on what is left."""
+    with _made(spark, d, "supplier", constraints=(
+        Constraint("ck_balance", "check", condition="s_acctbal > 0 or s_acctbal is null"), Constraint("ck_name", "check", condition="length(s_name) > 0"),
+        Constraint("pk", "primary", ("s_suppkey",)),
+    )) as (db, t):
+        db.run(ops.Batch(t, (ops.AlterColumn(t, "s_acctbal", new_name="balance"), ops.DropColumn(t, "s_name"))))
+        return settle(validate.report(db.reflect(t), {t: spark.table(t)}))
+
+
+@query("""SELECT n_nationkey, 'unknown' AS n_name, n_regionkey FROM nation""")
+def inverse_round_trip(spark, d):
+    """A batch and its inverse: columns and their order are back, dropped values come from the fill."""
+    with _made(spark, d, "nation") as (db, t):
+        batch = db.known(ops.Batch(t, (
+            ops.AlterColumn(t, "n_regionkey", new_name="region", type="bigint"), ops.DropColumn(t, "n_name", fill="'unknown'"),
+            ops.AddColumn(t, Column("extra", "int", False, "1"), behind="n_nationkey"),
+        ), (("n_nationkey", "extra", "region"),)))
+        before = [(c.name, c.type) for c in db.reflect(t).columns]
+        db.run(batch)
+        db.run(batch.reverse())
+        assert [(c.name, c.type) for c in db.reflect(t).columns] == before
+        return settle(spark.table(t))
+
+
+@query("""SELECT r_regionkey, r_name FROM region UNION ALL SELECT r_regionkey + 100, upper(r_name) FROM region""")
+def execute_statement(spark, d):
+    """A statement of the user's own among the operations."""
+    with _made(spark, d, "region") as (db, t):
+        db.run(ops.Execute(f"INSERT INTO {t} SELECT r_regionkey + 100, upper(r_name) FROM {t}"))
+        return settle(spark.table(t))
+
+
+@query("""SELECT column_name, ordinal_position::INTEGER - 1 AS place,
+  CASE data_type WHEN 'BIGINT' THEN 'long' WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'integer' WHEN 'DOUBLE' THEN 'double' END AS type,
+  column_name <> 's_suppkey' AS nullable FROM information_schema.columns WHERE table_name = 'supplier'""")
+def catalog_columns(spark, d):
+    """The columns of a database's tables from one statement."""
+    df = read(spark, d, "supplier")
+    columns = tuple(Column(f.name, f.dataType.simpleString(), f.name != "s_suppkey") for f in df.schema.fields)
+    with _made(spark, d, "supplier", columns=columns) as (db, t):
+        return settle(db.columns().where(F.col("table_name") == t).select("column_name", F.col("place").cast("int"), "type", "nullable"))
+
+
 # schema diff
 
-ACTUAL = Catalog((
-    Table("user", (Column("id", "int", False), Column("name", "varchar(50)"), Column("a1", "string"), Column("pw", "varchar(50)")),
-          indexes=(Index("pw_idx", ("pw",)),)),
-    Table("address", (Column("id", "int", False), Column("email_address", "varchar(100)", False, comment="mail"))),
-    Table("order", (Column("order_id", "int", False), Column("amount", "decimal(8,2)", False, "0")),
-          (Constraint("ck_order_amount", "check", condition="amount >= 0"),)),
-    Table("extra", (Column("x", "char(1)"), Column("uid", "int"))),
-))
-DESIRED = Catalog((
-    Table("user", (Column("id", "int", False), Column("name", "varchar(50)", False), Column("a1", "string", True, "'x'"))),
-    Table("address", (Column("id", "int", False), Column("email_address", "varchar(100)", False), Column("street", "varchar(50)")),
-          (Constraint("uq_email", "unique", ("email_address",)),)),
-    Table("order", (Column("order_id", "int", False), Column("amount", "decimal(10,2)", True, "0"), Column("user_id", "int")),
-          (Constraint("ck_order_amount", "check", condition="amount > -1"), Constraint("fk_user", "foreign", ("user_id",), ("user", ("id",))))),
-    Table("item", (Column("id", "int", False), Column("description", "varchar(100)"), Column("order_id", "int"))),
-))
-
-
-@query("""SELECT * FROM (VALUES
- ('add_table', 'item', NULL, NULL, NULL), ('remove_table', 'extra', NULL, NULL, NULL),
- ('add_column', 'address', 'street', NULL, 'varchar(50)'), ('modify_comment', 'address', 'email_address', 'mail', NULL),
- ('add_constraint', 'address', 'uq_email', NULL, 'email_address'), ('add_column', 'order', 'user_id', NULL, 'int'),
- ('add_fk', 'order', 'user_id->user(id)', NULL, 'user_id->user(id)'), ('modify_type', 'order', 'amount', 'decimal(8,2)', 'decimal(10,2)'),
- ('modify_nullable', 'order', 'amount', 'false', 'true'), ('modify_nullable', 'user', 'name', 'true', 'false'),
- ('modify_default', 'user', 'a1', NULL, '''x'''), ('remove_column', 'user', 'pw', 'varchar(50)', NULL),
- ('remove_index', 'user', 'pw_idx', 'False:pw', NULL)) t(kind, tbl, object, old, new)""")
+
+def declared(spark, d) -> tuple[Catalog, Catalog]:
+    """Tables as they are, with objects beside them, and what they are to become: made from one another."""
+    have = {t: Table.of(t, read(spark, d, t)) for t in ("customer", "supplier", "nation")}
+    customer = replace(
+        have["customer"], comment="buyers", indexes=(Index("ix_segment", ("c_mktsegment",)),),
+        constraints=(Constraint("fk_nation", "foreign", ("c_nationkey",), ("nation", ("n_nationkey",)), options=(("ON DELETE", "NO ACTION"),)),
+                     Constraint("ck_balance", "check", condition="c_acctbal >= 0")),
+    )
+    supplier = replace(have["supplier"], constraints=(Constraint("fk_home", "foreign", ("s_nationkey",), ("nation", ("n_nationkey",))),))
+    wanted = {
+        "c_acctbal": lambda c: replace(c, type="decimal(12,2)", default="0"), "c_name": lambda c: replace(c, nullable=False, comment="full name"),
+    }
+    columns = tuple(wanted.get(c.name, lambda c: c)(c) for c in customer.columns if c.name != "c_mktsegment")
+    after = replace(
+        customer, columns=(*columns, Column("since", "date")), comment=None, indexes=(),
+        constraints=(replace(customer.constraints[0], options=()), replace(customer.constraints[1], condition="c_acctbal > -1"),
+                     Constraint("uq_name", "unique", ("c_name",))),
+    )
+    cascades = replace(supplier.constraints[0], options=(("ON DELETE", "CASCADE"),))
+    moved = replace(supplier, comment="sellers", constraints=(cascades,))
+    return Catalog((customer, supplier, have["nation"])), Catalog((after, moved, Table("contract", (Column("id", "int"),))))
+
+
+@query(r"""WITH c AS (SELECT column_name AS col, table_name AS tbl FROM information_schema.columns)
+SELECT 'add_table' AS kind, 'contract' AS tbl, NULL AS object, NULL AS old, NULL AS new
+UNION ALL SELECT DISTINCT 'remove_table', tbl, NULL, NULL, NULL FROM c WHERE tbl = 'nation'
+UNION ALL SELECT 'remove_column', tbl, col, 'string', NULL FROM c WHERE tbl = 'customer' AND col LIKE '%segment'
+UNION ALL SELECT 'modify_type', tbl, col, 'double', 'decimal(12,2)' FROM c WHERE tbl = 'customer' AND col LIKE '%acctbal'
+UNION ALL SELECT 'modify_default', tbl, col, NULL, '0' FROM c WHERE tbl = 'customer' AND col LIKE '%acctbal'
+UNION ALL SELECT 'modify_nullable', tbl, col, 'true', 'false' FROM c WHERE tbl = 'customer' AND col LIKE '%\_name' ESCAPE '\'
+UNION ALL SELECT 'modify_comment', tbl, col, NULL, 'full name' FROM c WHERE tbl = 'customer' AND col LIKE '%\_name' ESCAPE '\'
+UNION ALL SELECT * FROM (VALUES ('add_column', 'customer', 'since', NULL, 'date'), ('remove_table_comment', 'customer', NULL, 'buyers', NULL),
+ ('add_table_comment', 'supplier', NULL, NULL, 'sellers'), ('remove_index', 'customer', 'ix_segment', 'False:c_mktsegment', NULL),
+ ('add_constraint', 'customer', 'uq_name', NULL, 'c_name'),
+ ('remove_fk', 'supplier', 's_nationkey->nation(n_nationkey)', 's_nationkey->nation(n_nationkey)', NULL),
+ ('add_fk', 'supplier', 's_nationkey->nation(n_nationkey) on delete cascade', NULL, 's_nationkey->nation(n_nationkey) on delete cascade')) v""")
 def diff_catalogs(spark, d):
-    return diff.compare(spark, ACTUAL, DESIRED, compare_defaults=True)
+    return diff.compare(spark, *declared(spark, d), compare_defaults=True)
+
+
+@query("""SELECT 'modify_comment' AS kind, 'customer' AS tbl, column_name AS object, NULL AS old, 'full name' AS new FROM information_schema.columns WHERE column_name = 'c_name'
+UNION ALL SELECT 'modify_nullable', 'customer', column_name, 'true', 'false' FROM information_schema.columns WHERE column_name = 'c_name'
+UNION ALL SELECT 'remove_table_comment', 'customer', NULL, 'buyers', NULL""")
+def diff_filtered(spark, d):
+    """Only one table, without some of its columns and all of its objects."""
+    hidden = {"customer.c_acctbal", "customer.c_mktsegment", "customer.since"}
+
+    def only(kind, name):
+        return kind in ("table", "column") and name.startswith("customer") and name not in hidden
+
+    return diff.compare(spark, *declared(spark, d), only=only)
 
 
 @query("""WITH a AS (SELECT * FROM (VALUES ('part', 'p_partkey', 'bigint'), ('part', 'p_name', 'varchar(20)'), ('part', 'p_color', 'string'), ('old', 'x', 'int')) t(tbl, col, type)),
@@ -417,12 +546,14 @@ def diff_reflected(spark, d):
     return diff.compare(spark, actual, desired)
 
 
+# Pairs of type texts, and whether they count as different.
 _TYPES = [
     ("VARCHAR(30)", "VARCHAR(30)", False), ("VARCHAR(30)", "VARCHAR(40)", True), ("VARCHAR(30)", "INT", True),
     ("VARCHAR(30)", "VARCHAR", False), ("TEXT", "VARCHAR(255)", True), ("DECIMAL(10,5)", "DECIMAL(10,6)", True),
-    ("DECIMAL(10,5)", "DECIMAL(10)", False), ("DECIMAL(10,2)", "NUMERIC(10)", False), ("DECIMAL(10,5)", "NUMERIC(10,5)", False),
-    ("DECIMAL(10,5)", "NUMERIC(12,5)", True), ("DECIMAL(10,5)", "TIMESTAMP", True), ("NUMERIC", "NUMERIC(scale=5)", False),
-    ("INT", "INT", False), ("BIGINT", "INT", True), ("BIGINT", "SMALLINT", True), ("INT", "VARCHAR", True),
+    ("DECIMAL(10,5)", "DECIMAL(10)", False), ("DECIMAL(10)", "DECIMAL(10,5)", False), ("DECIMAL(10,2)", "NUMERIC(10)", False),
+    ("DECIMAL(10,5)", "NUMERIC(10,5)", False), ("DECIMAL(10,5)", "NUMERIC(12,5)", True), ("DECIMAL(10,5)", "TIMESTAMP", True),
+    ("NUMERIC", "NUMERIC(scale=5)", False), ("INT", "INT", False), ("BIGINT", "INT", True), ("BIGINT", "BIGINT", False),
+    ("BIGINT", "SMALLINT", True), ("INT", "SMALLINT", True), ("INT", "VARCHAR", True),
 ]
 
 
@@ -436,3 +567,14 @@ def type_equivalence(spark, d):
 FROM (SELECT p_partkey, lower(array_to_string(regexp_extract_all(p_type || ' - ' || p_brand, '\\w+'), '_')) AS s FROM part)""")
 def slug_names(spark, d):
     return read(spark, d, "part").select("p_partkey", slug(F.concat("p_type", F.lit(" - "), "p_brand"), 12).alias("slug"))
+
+
+@query("""SELECT event_id, epoch(ts)::BIGINT AS epoch, right(sha256(event_id::VARCHAR || chr(31) || event_type), 12) AS rev,
+  strftime(ts - INTERVAL 5 HOUR, '%Y_%m_%d_%H%M') || '-' || right(sha256(event_id::VARCHAR || chr(31) || event_type), 12) || '_' || lower(event_type) AS name FROM events""")
+def revision_names(spark, d):
+    """Ids and file names of revisions, their time in a zone five hours behind."""
+    rev = revision_id(F.col("event_id"), F.col("event_type"))
+    return read(spark, d, "events").select(
+        "event_id", stamp_parts(F.col("ts"))["epoch"].alias("epoch"), rev.alias("rev"),
+        file_name(rev, F.col("event_type"), F.col("ts"), "-05:00").alias("name"),
+    )

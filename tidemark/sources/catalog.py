@@ -1,24 +1,29 @@
 """Tables of the session catalog: reading their definition, and running change operations on them.
 
 What Spark can do in place is done so (create, drop, rename a table, defaults, comments, columns that
-are appended and may be null). All else is move-and-copy: the new rows are written to a staging table,
-then the old table is dropped and the staging table renamed. Constraints and indexes are properties of
-the table, as the session catalog has none; what a constraint demands is validated before it is kept.
-The swap is not atomic: if renaming fails after the drop, the rows are in the staging table that the
-error names.
+are appended and may be null). All else is move-and-copy: the new rows are written to a staging table
+of the same format, partitions, buckets, options and properties, then the old table is dropped and the
+staging table renamed. Constraints and indexes are properties of the table, as the session catalog has
+none; what a constraint demands is validated on the new rows wherever a change could break it. Checks and
+exclusions follow renamed columns and go with dropped ones, and so do foreign keys of other tables, except
+that a column which another table refers to can't be dropped. The swap is not atomic: if renaming fails
+after the drop, the rows are in the staging table that the error names.
 """
 
 from __future__ import annotations
 
 import json
 from dataclasses import asdict, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions.names import references, renamed
 from ..operators import ops
 from ..operators.rewrite import Rewrite
 from ..operators.validate import violations
-from ..spec import Column, Constraint, Index, Table
+from ..spec import Catalog, Column, Constraint, Index, Storage, Table
 
 PROPERTY = "tidemark.objects"
 
@@ -37,22 +42,91 @@ class Database:
         return sorted(t.name for t in self.spark.catalog.listTables(database) if not t.isTemporary)
 
     def reflect(self, name: str) -> Table:
-        properties = {r["key"]: r["value"] for r in self.spark.sql(f"SHOW TBLPROPERTIES {name}").collect()}
-        stored = json.loads(properties.get(PROPERTY, "{}"))
-        constraints = tuple(
-            Constraint(
-                c["name"], c["kind"], tuple(c["columns"]), c["refers"] and (c["refers"][0], tuple(c["refers"][1])),
-                c["condition"], tuple(map(tuple, c["elements"])), c["where"], tuple(map(tuple, c["options"])),
-            )
-            for c in stored.get("constraints", ())
-        )
-        indexes = tuple(Index(i["name"], tuple(i["columns"]), i["unique"]) for i in stored.get("indexes", ()))
-        comment = self.spark.catalog.getTable(name).description
+        """Everything from one statement; char and varchar lengths, which it leaves out, from the table's schema."""
+        facts = json.loads(self.spark.sql(f"DESCRIBE TABLE EXTENDED {name} AS JSON").first()[0])
+        properties = dict(facts.get("table_properties", {}))
+        stored = json.loads(properties.pop(PROPERTY, "{}"))
         strict = set(stored.get("not_null", ()))
         columns = [Column.of(f) for f in self.spark.table(name).schema.fields]
+        buckets = None
+        if facts.get("num_buckets"):
+            buckets = int(facts["num_buckets"]), tuple(facts.get("bucket_columns", ())), tuple(facts.get("sort_columns", ()))
+        storage = Storage(
+            facts.get("provider", "parquet"), tuple(facts.get("partition_columns", ())), buckets,
+            tuple(sorted(facts.get("storage_properties", {}).items())), tuple(sorted(properties.items())),
+        )
+        constraints, indexes = _objects(stored)
         return Table(
-            name, tuple(replace(c, nullable=c.name not in strict) for c in columns), constraints, indexes, comment or None
+            name, tuple(replace(c, nullable=c.name not in strict) for c in columns), constraints, indexes,
+            facts.get("comment") or None, storage=storage,
+        )
+
+    def catalog(self, database: str | None = None, only=lambda kind, name: True) -> Catalog:
+        """All tables; ``only`` (kind: table, column, index or constraint; name: of columns and so on ``table.name``) leaves some out."""
+        prefix = f"{database}." if database else ""
+        found = []
+        for name in self.tables(database):
+            if not only("table", name):
+                continue
+            t = self.reflect(prefix + name)
+            own = lambda kind, items: tuple(x for x in items if only(kind, f"{name}.{x.name}"))  # noqa: B023, E731
+            found.append(replace(
+                t, columns=own("column", t.columns), constraints=own("constraint", t.constraints), indexes=own("index", t.indexes)
+            ))
+        return Catalog(tuple(found))
+
+    def columns(self, database: str | None = None) -> DataFrame:
+        """One row a column of every table of a database (table_name, provider, place, column_name, type, nullable), from one statement.
+
+        The listing has every table's definition as text; it is taken apart by DataFrame functions. Lengths of
+        char and varchar columns are not in it.
+        """
+        listed = self.spark.sql(f"SHOW TABLE EXTENDED {f'IN {database} ' if database else ''}LIKE '*'").where("not isTemporary")
+        lines = F.regexp_extract_all("information", F.lit(r"(?m)^ \|-- (.*)$"), 1)
+        rows = listed.select(
+            F.col("tableName").alias("table_name"),
+            F.regexp_extract("information", r"(?m)^Provider: (.*)$", 1).alias("provider"),
+            F.get_json_object(F.regexp_extract("information", rf"{PROPERTY}=(\{{.*?\}})[,\]]", 1), "$.not_null").alias("strict"),
+            F.posexplode(lines).alias("place", "line"),
         )
+        name = F.regexp_extract("line", r"^(.*): [^:]*$", 1)
+        return rows.select(
+            "table_name", "provider", "place", name.alias("column_name"),
+            F.regexp_extract("line", r": (\S+) \(nullable", 1).alias("type"),
+            (~F.coalesce(F.array_contains(F.from_json("strict", "array<string>"), name), F.lit(False))).alias("nullable"),
+        )
+
+    def known(self, o: ops.Operation) -> ops.Operation:
+        """``o`` with the definitions and places that its inverse needs, as they are now."""
+        if isinstance(o, ops.DropTable):
+            return replace(o, old=self.reflect(o.table))
+        if isinstance(o, ops.Batch):
+            t = self.reflect(o.table)
+            rewrite, changes = Rewrite(t), []
+            for c in o.changes:
+                if isinstance(c, ops.DropColumn | ops.AlterColumn):
+                    c = replace(c, old=rewrite.columns.get(c.name))
+                elif isinstance(c, ops.DropConstraint):
+                    c = replace(c, old=next((x for x in t.constraints if x.name == c.name), None))
+                elif isinstance(c, ops.DropIndex):
+                    c = replace(c, old=next((x for x in t.indexes if x.name == c.name), None))
+                if not isinstance(c, _OBJECTS):
+                    c.change(rewrite)
+                changes.append(c)
+            return replace(o, changes=tuple(changes), order=tuple(c.name for c in t.columns))
+        if not isinstance(o, ops.DropColumn | ops.AlterColumn | ops.DropConstraint | ops.DropIndex | ops.TableComment):
+            return o
+        t = self.reflect(o.table)
+        if isinstance(o, ops.TableComment):
+            return replace(o, old=t.comment)
+        if isinstance(o, ops.DropConstraint | ops.DropIndex):
+            have = t.constraints if isinstance(o, ops.DropConstraint) else t.indexes
+            return replace(o, old=next((x for x in have if x.name == o.name), None))
+        o = replace(o, old=t.column(o.name))
+        place = [c.name for c in t.columns].index(o.name)
+        if isinstance(o, ops.DropColumn) and 0 < place < len(t.columns) - 1:
+            o = replace(o, behind=t.columns[place - 1].name)
+        return o
 
     def data(self) -> dict[str, DataFrame]:
         return _Lazy(self.spark)
@@ -83,8 +157,28 @@ class Database:
             self.spark.sql(s)
 
     def _renametable(self, o: ops.RenameTable) -> None:
+        children = self._children(o.table)
         for s in o.sql():
             self.spark.sql(s)
+        self._follow(children, o.table, o.new, {})
+
+    def _children(self, parent: str) -> list[Table]:
+        """Tables with a foreign key to ``parent`` (itself left out)."""
+        found = []
+        for name in self.tables(parent.rpartition(".")[0] or None):
+            name = f"{parent.rpartition('.')[0]}.{name}" if "." in parent else name
+            t = self.reflect(name)
+            if name != parent and any(c.refers and c.refers[0] == parent for c in t.constraints):
+                found.append(t)
+        return found
+
+    def _follow(self, children: list[Table], old: str, new: str, names: dict[str, str]) -> None:
+        """Foreign keys of ``children`` to ``old``, with its and its columns' new names."""
+        for t in children:
+            refers = lambda c: (new, tuple(names.get(x, x) for x in c.refers[1]))
+            after = tuple(replace(c, refers=refers(c)) if c.refers and c.refers[0] == old else c for c in t.constraints)
+            if after != t.constraints:
+                self._keep_objects(replace(t, constraints=after))
 
     def _addcolumn(self, o: ops.AddColumn) -> None:
         t = self.reflect(o.table)
@@ -125,9 +219,11 @@ class Database:
 
     @staticmethod
     def _validate_nulls(t: Table, df: DataFrame) -> None:
-        for c in t.columns:
-            if not c.nullable and not df.where(f"`{c.name}` is null").isEmpty():
-                raise ValidationError(f"{t.key}.{c.name} may not be null and has nulls")
+        strict = [c.name for c in t.columns if not c.nullable]
+        if strict:  # one pass for all columns
+            counts = df.agg(*(F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in strict)).first()
+            if bad := [c for c in strict if counts[c]]:
+                raise ValidationError(f"{t.key}.{bad[0]} may not be null and has {counts[bad[0]]} nulls")
 
     def _dropconstraint(self, o: ops.DropConstraint) -> None:
         t = self.reflect(o.table)
@@ -164,23 +260,41 @@ class Database:
     def _execute(self, o: ops.Execute) -> None:
         self.spark.sql(o.statement)
 
-    def _batch(self, o: ops.Batch) -> None:
-        """All column changes in one rewrite; constraints are checked on the new rows before the swap."""
-        old = self.reflect(o.table)
+    def _batch(self, o: ops.Batch, source: Table | None = None) -> None:
+        """All column changes in one rewrite; what they touch is checked on the new rows before the swap.
+
+        ``source``: the table's definition, if it is not to be read from the catalog.
+        """
+        old = source or self.reflect(o.table)
         rewrite = o.change(Rewrite(old))
-        new = carried(old, o, rewrite.result())
+        names = followed(old, o)
+        new = carried(old, o, rewrite.result(), names)
+        children = self._children(o.table)
+        for t in children:
+            for c in t.constraints:
+                if c.refers and c.refers[0] == o.table and (lost := [x for x in c.refers[1] if x not in names]):
+                    raise ValueError(f"{t.key}.{c.name} refers to {o.table}.{lost[0]}, which can't be dropped")
         staging = f"{o.table}__new"[-120:]
         self.spark.sql(f"DROP TABLE IF EXISTS {staging}")
         try:
             for s in ops.CreateTable(replace(new, name=staging)).sql():
                 self.spark.sql(s)
-            rewrite.apply(self.spark.table(o.table)).write.insertInto(staging)
+            places = self.spark.table(staging).columns  # partition columns come last
+            rewrite.apply(self.spark.table(o.table)).select(*(f"`{c}`" for c in places)).write.insertInto(staging)
             rows = self.spark.table(staging)
             self._validate_nulls(new, rows)
-            data = {**{c.refers[0]: self.spark.table(c.refers[0]) for c in new.constraints if c.refers}, new.key: rows}
-            for c in new.constraints:
-                if c not in old.constraints and not violations(c, new, data).isEmpty():
-                    raise ValidationError(f"{o.table} would violate {c.name}")
+            fresh = touched(o, new)
+            data = _Lazy(self.spark)
+            data[new.key] = rows
+            asked = [*new.constraints, *(Constraint(i.name, "unique", i.columns) for i in new.indexes if i.unique)]
+            for c in asked:
+                if uses(c, new) & fresh or c not in old.constraints and c.name not in {i.name for i in old.indexes}:
+                    self._demand(c, new, data)
+            for t in children:
+                for c in t.constraints:
+                    if c.refers and c.refers[0] == o.table and {names[x] for x in c.refers[1]} & fresh:
+                        moved = replace(c, refers=(new.key, tuple(names[x] for x in c.refers[1])))
+                        self._demand(moved, t, data)
         except Exception:
             self.spark.sql(f"DROP TABLE IF EXISTS {staging}")
             raise
@@ -190,6 +304,31 @@ class Database:
         except Exception as e:
             raise RuntimeError(f"{o.table} was dropped; its rows are in {staging}") from e
         self._keep_objects(new)
+        self._follow(children, o.table, o.table, names)
+
+    def rewrite(self, o: ops.Batch, source: Table | None = None) -> None:
+        """``o`` by move-and-copy, with the definition of the table as the caller gives it (constraints it has, storage)."""
+        self._batch(o, source)
+
+    @staticmethod
+    def _demand(c: Constraint, t: Table, data) -> None:
+        bad = violations(c, t, data)
+        if not bad.isEmpty():
+            raise ValidationError(f"{t.key} would violate {c.name}, for example {bad.first()}")
+
+
+_OBJECTS = (ops.AddConstraint, ops.DropConstraint, ops.CreateIndex, ops.DropIndex)
+
+
+def _objects(stored: dict) -> tuple[tuple[Constraint, ...], tuple[Index, ...]]:
+    constraints = tuple(
+        Constraint(
+            c["name"], c["kind"], tuple(c["columns"]), c["refers"] and (c["refers"][0], tuple(c["refers"][1])),
+            c["condition"], tuple(map(tuple, c["elements"])), c["where"], tuple(map(tuple, c["options"])),
+        )
+        for c in stored.get("constraints", ())
+    )
+    return constraints, tuple(Index(i["name"], tuple(i["columns"]), i["unique"]) for i in stored.get("indexes", ()))
 
 
 class _Lazy(dict):
@@ -203,20 +342,62 @@ class _Lazy(dict):
         return self.spark.table(name)
 
 
-def carried(old: Table, batch: ops.Batch, new: Table) -> Table:
-    """Constraints and indexes after a batch: those whose columns went go, renamed columns are followed, new ones come."""
+def followed(old: Table, batch: ops.Batch) -> dict[str, str]:
+    """The names after a batch of the columns that stay."""
     names = {c.name: c.name for c in old.columns}
     for o in batch.changes:
         if isinstance(o, ops.AlterColumn) and o.new_name:
             names = {k: o.new_name if v == o.name else v for k, v in names.items()}
         elif isinstance(o, ops.DropColumn):
             names = {k: v for k, v in names.items() if v != o.name}
+    return names
+
+
+def touched(batch: ops.Batch, new: Table) -> set[str]:
+    """Columns of the new table whose values are not simply those of the old one."""
+    out: set[str] = set()
+    for o in batch.changes:
+        if isinstance(o, ops.AddColumn):
+            out.add(o.column.name)
+        elif isinstance(o, ops.DropColumn):
+            out.discard(o.name)
+        elif isinstance(o, ops.AlterColumn):
+            if o.type is not None or o.using is not None or o.fill is not None:
+                out.add(o.name)
+            if o.new_name and o.name in out:
+                out = out - {o.name} | {o.new_name}
+    return out & {c.name for c in new.columns}
+
+
+def _texts(c: Constraint) -> list[str]:
+    """The SQL texts of a constraint."""
+    parts = [x for e, _ in c.elements for x in ((e,) if isinstance(e, str) else e)]
+    return [*parts, *(x for x in (c.condition, c.where) if x)]
+
+
+def uses(c: Constraint, t: Table) -> set[str]:
+    """Columns of ``t`` that a constraint of it depends on."""
+    names = [x.name for x in t.columns]
+    return reduce(set.union, (references(x, names) for x in _texts(c)), set(c.columns))
+
+
+def carried(old: Table, batch: ops.Batch, new: Table, names: dict[str, str] | None = None) -> Table:
+    """Constraints, indexes and storage after a batch: what depends on columns that went goes, renamed columns are followed, new ones come."""
+    names = followed(old, batch) if names is None else names
     constraints, indexes = [], []
     for c in old.constraints:
-        if all(x in names for x in c.columns):
-            constraints.append(replace(c, columns=tuple(names[x] for x in c.columns)))
-        elif c.kind == "primary" and any(x in names for x in c.columns):
-            constraints.append(replace(c, columns=tuple(names[x] for x in c.columns if x in names)))
+        columns = tuple(names[x] for x in c.columns if x in names)
+        if uses(c, old) <= set(names):
+            text = lambda x: x and renamed(x, names)
+            elements = tuple(
+                (text(e) if isinstance(e, str) else tuple(map(text, e)), operator) for e, operator in c.elements
+            )
+            refers = c.refers
+            if refers and refers[0] == old.key:
+                refers = refers[0], tuple(names.get(x, x) for x in refers[1])
+            constraints.append(replace(c, columns=columns, condition=text(c.condition), where=text(c.where), elements=elements, refers=refers))
+        elif c.kind == "primary" and columns:
+            constraints.append(replace(c, columns=columns))
     for i in old.indexes:
         if all(x in names for x in i.columns):
             indexes.append(replace(i, columns=tuple(names[x] for x in i.columns)))
@@ -224,18 +405,18 @@ def carried(old: Table, batch: ops.Batch, new: Table) -> Table:
         if isinstance(o, ops.AddConstraint):
             constraints.append(o.constraint)
         elif isinstance(o, ops.DropConstraint):
+            if not o.if_exists and all(c.name != o.name for c in constraints):
+                raise KeyError(f"no constraint {o.name} on {old.key}")
             constraints = [c for c in constraints if c.name != o.name]
         elif isinstance(o, ops.CreateIndex):
             indexes.append(o.index)
         elif isinstance(o, ops.DropIndex):
             indexes = [i for i in indexes if i.name != o.name]
-    return replace(new, constraints=tuple(constraints), indexes=tuple(indexes))
+    return replace(new, constraints=tuple(constraints), indexes=tuple(indexes), storage=old.storage.following(names))
 
 
 def bulk_rows(spark: SparkSession, o: ops.BulkInsert) -> DataFrame:
     """The rows as a DataFrame of the table's columns; what is left out takes the default."""
-    from pyspark.sql import functions as F
-
     given = [c for c in o.table.columns if any(c.name in r for r in o.rows)]
     known = spark.createDataFrame(
         [tuple(r.get(c.name) for c in given) + tuple(c.name in r for c in given) for r in o.rows],

@@ -7,7 +7,8 @@ import functools
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _paths: dict[str, SparkSession] = {}
 
@@ -41,6 +42,13 @@ def settle(df: DataFrame) -> DataFrame:
     return out
 
 
+def settled(df: DataFrame) -> tuple[DataFrame, int]:
+    """``settle``, with the number of rows, which is counted as they are written."""
+    seen = Observation()
+    out = settle(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return out, seen.get["n"]
+
+
 def forget(*frames: DataFrame) -> None:
     """Delete the files of settled ``frames``, which nothing may read any more."""
     for df in frames:

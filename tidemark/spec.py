@@ -58,6 +58,24 @@ class Index:
     unique: bool = False
 
 
+@dataclass(frozen=True)
+class Storage:
+    """How a table's rows lie on disk; ``buckets`` is their number, columns and sort columns."""
+
+    provider: str = "parquet"
+    partitions: tuple[str, ...] = ()
+    buckets: tuple[int, tuple[str, ...], tuple[str, ...]] | None = None
+    options: tuple[tuple[str, str], ...] = ()
+    properties: tuple[tuple[str, str], ...] = ()
+
+    def following(self, names) -> Storage:
+        """With columns called by their new names (``names``: old to new); columns that are not in it go."""
+        kept = lambda columns: tuple(names[c] for c in columns if c in names)
+        buckets = self.buckets and (self.buckets[0], kept(self.buckets[1]), kept(self.buckets[2]))
+        whole = buckets and len(buckets[1]) == len(self.buckets[1])
+        return replace(self, partitions=kept(self.partitions), buckets=buckets if whole else None)
+
+
 @dataclass(frozen=True)
 class Table:
     name: str
@@ -66,6 +84,7 @@ class Table:
     indexes: tuple[Index, ...] = ()
     comment: str | None = None
     schema: str | None = None
+    storage: Storage = field(default=Storage(), compare=False)
 
     @property
     def key(self) -> str:
