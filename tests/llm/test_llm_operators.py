@@ -194,6 +194,77 @@ def test_automaton_encodes_as_the_library(library):
         assert ranked.encode(text) == own.encode(text)
 
 
+def gadget_automaton(letters, merges):
+    """States and arcs by successive merge gadgets, written out: arcs[state][token] = state."""
+    arcs = [{x: 0 for x in letters}]
+    for u, v in merges:
+        held = sorted({a[u] for a in arcs if u in a and v in arcs[a[u]]})
+        copies, led = {}, {q: arcs[q][v] for q in held}
+        for q in held:
+            copies[q] = len(arcs)
+            arcs.append({t: to for t, to in arcs[q].items() if t != v})
+        for a in arcs:
+            if u in a and a[u] in copies:
+                q = a[u]
+                a[u] = copies[q]
+                a[u + v] = led[q]
+    return arcs
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_automaton_of_few_merges(tmp_path, seed):
+    """The subset automaton, the written-out gadgets and plain merging agree on all short words."""
+    import itertools
+    import json
+
+    rnd = random.Random(seed)
+    tokens, merges = ["a", "b", "c"], []
+    while len(merges) < 7:
+        u, v = rnd.choice(tokens), rnd.choice(tokens)
+        if u + v not in tokens and len(u + v) < 6:
+            tokens.append(u + v)
+            merges.append((u, v))
+    spec = {"model": {"vocab": {t: i for i, t in enumerate(tokens)}, "merges": [f"{u} {v}" for u, v in merges]}, "added_tokens": []}
+    (tmp_path / "v.json").write_text(json.dumps(spec))
+    own = bpe.Automaton(str(tmp_path / "v.json"))
+    arcs = gadget_automaton("abc", merges)
+    assert len(arcs) <= 1 + sum(2**k for k in range(len(merges)))
+
+    def merged(word):
+        out = list(word)
+        for u, v in merges:
+            i = 0
+            while i < len(out) - 1:
+                if out[i] == u and out[i + 1] == v:
+                    out[i : i + 2] = [u + v]
+                i += 1
+        return out
+
+    for n in range(1, 8):
+        for word in map("".join, itertools.product("abc", repeat=n)):
+            want = merged(word)
+            assert [tokens[i] for i in own.word(word.encode())] == want
+            state = 0
+            for t in want:  # the canonical encoding is a path of the written-out automaton
+                state = arcs[state][t]
+    for n in range(1, 4):  # and it has no others
+        for path in itertools.product(tokens, repeat=n):
+            state = 0
+            for t in path:
+                state = arcs[state].get(t) if state is not None else None
+            assert (state is not None) == (merged("".join(path)) == list(path)), path
+    assert len(own.subsets) < 400 and len(own.table) <= 3 * len(own.subsets)
+
+
+def test_table_starts_anew(library, monkeypatch):
+    own = bpe.Automaton(VOCABULARY)
+    monkeypatch.setattr(bpe, "STATES", 40)
+    text = "the quick brown fox jumps over the lazy dog, unbelievably"
+    for word in text.split(" "):
+        assert own.word(word.encode()) == library.encode(word, add_special_tokens=False).ids
+    assert len(own.subsets) < 80
+
+
 def test_codec_query(spark, library):
     out = {r.doc_id: r for r in QUERIES["op3_bpe_codec"](spark, SF).collect()}
     for i, text in texts(spark):
@@ -207,6 +278,9 @@ def test_codec_edges(spark):
     out = bpe.op3(spark.createDataFrame([(1, None), (None, ""), (1, None)], DOC), VOCABULARY).collect()
     assert len(out) == 3 and {r.n_tokens for r in out} == {0}
     assert {r.ids_sha256 for r in out} == {hashlib.sha256(b"").hexdigest()}
+    assert bpe.op3(clashing(spark), VOCABULARY).count() == 5 and bpe.op3(clashing(spark).limit(0), VOCABULARY).count() == 0
+    with pytest.raises(ValueError, match="_ids"):
+        bpe.encode(clashing(spark).withColumn("_ids", F.lit(1)), VOCABULARY)
     assert bpe.encode(clashing(spark), VOCABULARY).columns == [c if c != "text" else "_ids" for c in clashing(spark).columns]
 
 

@@ -6,14 +6,19 @@ state with an arc u gets an arc uv to where v led; and the state that u leads to
 leading to a copy without the arc v. So the state after a token is a label with the cuts made in it,
 and a new label starts with the cuts that its right half had by then. Kept like this (cuts by label
 and rank, halves by label) the automaton has as many entries as there are merges, while its arcs,
-written out, would be billions; the arcs that texts use are put into a table as they are met.
+written out, would be billions (``tests/llm`` builds them all for small lists of merges).
 
-A pre-split word is read from the left. After each byte at most one state is reachable, as every byte
-string has one canonical encoding: arcs out of it are looked up by trie and table, and the path to the
-end is the encoding. Decoding writes the labels of the arcs.
+Bytes are read by the deterministic automaton of subsets: a state is the set of pairs (label that ended
+at an earlier place, trie node of the bytes since then). Every prefix of a word has one canonical
+encoding, so that a state has one label that ends just there. States and their 256 transitions go into
+a table when they are first met; a word is then one table step for each byte, with no search and no way
+back, and its arc labels are read off from its end: the last label, then that of the place where it
+began. The table is bounded by ``STATES``, after which it starts anew. Decoding writes the labels.
 
 Edge cases: a null or empty text has no tokens; strings of special tokens in a text become those
-tokens, as the tokenizers library does by default; texts of any length are read piecewise.
+tokens, as the tokenizers library does by default; texts of any length are read piecewise; repeated
+rows are encoded each; extra columns pass through, except that ``encode`` refuses a table that has a
+column _ids; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,8 +38,8 @@ from .common import sliced
 
 #: Fixed value: the word pattern of the byte-level pre-tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Arcs kept in the table at most.
-ARCS = 400_000
+#: States kept in the table at most.
+STATES = 300_000
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -110,14 +115,28 @@ class Automaton(Vocabulary):
         self.made = [never] * size  # rank of the merge that makes a label
         self.left, self.right = [-1] * size, [-1] * size
         self.cut: dict[int, int] = {}  # label << 16 | label: rank at which the gadget takes this arc away
+        sound = [self.made[i] == never for i in range(size)]  # of the bytes
         for rank, (u, v, uv) in enumerate(self.merges):
+            if self.made[uv] != never or self.left[uv] >= 0:
+                raise ValueError(f"two merges make {self.labels[uv]!r}")
+            # the gadget finds no path to bridge where an earlier one has cut v after u
+            sound[uv] = sound[u] and sound[v] and self.arc(u, v, rank)
             self.left[uv], self.right[uv], self.made[uv] = u, v, rank
             self.cut[u << 16 | v] = rank
-        self.arcs: dict[int, bool] = {}
         self.step: dict[int, int] = {}  # trie of labels: node << 8 | byte: node
         self.ends = [-1]
         for i in self.ids.values():
-            self._add(i)
+            if sound[i]:
+                self._add(i)
+        self.sizes = [len(x) for x in self.labels]
+        self._start()
+
+    def _start(self) -> None:
+        """An empty table: state 0 is the start, label -1 at trie node 0."""
+        self.table: dict[int, int] = {}  # state << 8 | byte: state
+        self.subsets = [((-1, 0),)]
+        self.named = {self.subsets[0]: 0}
+        self.last = [-1]  # label that ends at a state
 
     def _add(self, token: int) -> None:
         node = 0
@@ -129,10 +148,10 @@ class Automaton(Vocabulary):
                 self.ends.append(-1)
         self.ends[node] = token
 
-    def arc(self, state: int, token: int) -> bool:
-        """Has the state after label ``state`` an arc ``token``?"""
-        cut, made, left, right, never = self.cut, self.made, self.left, self.right, len(self.cut)
-        until, x = never, state
+    def arc(self, state: int, token: int, before: int | None = None) -> bool:
+        """Has the state after label ``state`` an arc ``token`` (before the merge of that rank)?"""
+        cut, made, left, right, never = self.cut, self.made, self.left, self.right, len(self.merges)
+        until, x = never if before is None else before, state
         while x >= 0:  # the label's own cuts, then those it began with
             since, t = never, token
             while t >= 0:  # an arc is there if its left half was when it was made
@@ -143,46 +162,42 @@ class Automaton(Vocabulary):
             until, x = made[x], right[x]
         return True
 
+    def _met(self, state: int, byte: int) -> int:
+        """A transition for the table: all pairs step in the trie; the one whose label has an arc for what ends here gives the next label."""
+        step, ends = self.step, self.ends
+        on, label = [], None
+        for before, node in self.subsets[state]:
+            node = step.get(node << 8 | byte, 0)
+            if node:
+                on.append((before, node))
+                token = ends[node]
+                if token >= 0 and label is None and (before < 0 or self.arc(before, token)):
+                    label = token
+        subset = (*on, (label, 0))
+        to = self.named.get(subset)
+        if to is None:
+            to = self.named[subset] = len(self.subsets)
+            self.subsets.append(subset)
+            self.last.append(label)
+        self.table[state << 8 | byte] = to
+        return to
+
     def word(self, word: bytes) -> list[int]:
-        """The canonical encoding of one pre-split word.
-
-        Longest arcs are tried first. Every path from the start is a canonical encoding of what it has
-        read, so a place is reached in one way only, and a place found dead stays dead.
-        """
-        whole = self.ids.get(word)
-        if whole is not None:
-            return [whole]
-        step, ends, arcs, size = self.step, self.ends, self.arcs, len(word)
-        path: list[tuple[int, int, list[tuple[int, int]]]] = []  # start, label so far, arcs left to try
-        dead: set[int] = set()
-        at, state = 0, -1
-        while at < size:
-            node, options = 0, []
-            for j in range(at, size):
-                node = step.get(node << 8 | word[j], 0)
-                if not node:
-                    break
-                if ends[node] >= 0:
-                    options.append((j + 1, ends[node]))
-            while True:
-                if options:
-                    to, token = options.pop()
-                    if to in dead:
-                        continue
-                    key = state << 16 | token
-                    there = state < 0 or arcs.get(key)
-                    if there is None:
-                        if len(arcs) > ARCS:
-                            arcs.clear()
-                        there = arcs[key] = self.arc(state, token)
-                    if there:
-                        path.append((at, state, options))
-                        at, state = to, token
-                        break
-                else:
-                    dead.add(at)
-                    at, state, options = path.pop()
-        return [token for _, token, _ in path[1:]] + [state]
+        """The canonical encoding of one pre-split word: a step of the table for each byte, then the labels from the end."""
+        if len(self.subsets) > STATES:
+            self._start()
+        table, state, path = self.table, 0, []
+        for byte in word:
+            to = table.get(state << 8 | byte)
+            state = self._met(state, byte) if to is None else to
+            path.append(state)
+        out, at, last, sizes = [], len(path), self.last, self.sizes
+        while at:
+            label = last[path[at - 1]]
+            out.append(label)
+            at -= sizes[label]
+        out.reverse()
+        return out
 
     def _word(self, word: str) -> bytes:
         out = self.words.get(word)
@@ -294,6 +309,8 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     """``docs`` with its text replaced by _ids, little-endian 16-bit numbers (vocabularies here have under 65,536)."""
     from pyspark.sql.types import BinaryType, StructField, StructType
 
+    if "_ids" in docs.columns:
+        raise ValueError("the table has a column _ids already")
     schema = StructType([StructField("_ids", BinaryType()) if f.name == "text" else f for f in docs.schema.fields])
     return docs.mapInArrow(_Encode(path), schema)
 
