@@ -569,7 +569,7 @@ def slug_names(spark, d):
     return read(spark, d, "part").select("p_partkey", slug(F.concat("p_type", F.lit(" - "), "p_brand"), 12).alias("slug"))
 
 
-@query("""SELECT event_id, epoch(ts)::BIGINT AS epoch, right(sha256(event_id::VARCHAR || chr(31) || event_type), 12) AS rev,
+@query("""SELECT event_id, floor(epoch(ts))::BIGINT AS epoch, right(sha256(event_id::VARCHAR || chr(31) || event_type), 12) AS rev,
   strftime(ts - INTERVAL 5 HOUR, '%Y_%m_%d_%H%M') || '-' || right(sha256(event_id::VARCHAR || chr(31) || event_type), 12) || '_' || lower(event_type) AS name FROM events""")
 def revision_names(spark, d):
     """Ids and file names of revisions, their time in a zone five hours behind."""
