@@ -394,6 +394,8 @@ def test_media_query(spark):
         assert r.payload_sha256 == hashlib.sha256(data).hexdigest() and r.tail_crc32 == zlib.crc32(data[-16:])
         assert r.media_bytes == len(png) and r.media_sha256 == hashlib.sha256(png).hexdigest()
         assert r.caption == f"{len(raw)} bytes"
+        assert [x.kind for x in r.sequence][-1] == "image" and r.sequence[r.pos].ref == f"sha256:{r.payload_sha256}"
+        assert sum(x.chars for x in r.sequence) == len(text) if text.strip() else True
 
 
 def test_media_edges(spark):
@@ -401,6 +403,30 @@ def test_media_edges(spark):
     assert len(out) == 4 and len({r.feature for r in out if r.n_bytes == 0}) == 1
     assert [r.payload_bytes for r in out if r.doc_id is None] == [384]
     assert media.op5(spark.createDataFrame([], DOC)).count() == 0
+    assert media.op5(clashing(spark)).count() == 5
+    long = "wörd " * 300_000
+    (row,) = media.op5(spark.createDataFrame([(1, long)], DOC)).collect()
+    assert row.n_bytes == len(long.encode()) and row.payload_bytes % 192 == 0
+
+
+def test_page_sequences(spark):
+    """Texts, images and captions stay in their order, with what the store has of them."""
+    png = media.to_png(b"abc" * 64)
+    digest = hashlib.sha256(b"abc" * 64).hexdigest()
+    image = f"<figure><img src='sha256:{digest}'><figcaption>cap</figcaption></figure>"
+    rows = [(1, f"<p>one{image}two</p>{image}"), (2, "<img src='sha256:" + "0" * 64 + "' alt='gone'>"), (None, None), (1, f"<p>one{image}two</p>{image}"), (3, "")]
+    pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, html string, elements string")
+    store = spark.createDataFrame([(digest, png)], "digest string, media binary")
+    out = media.sequences(pages, store).collect()
+    assert sorted((str(r.page_id), r.n_texts, r.n_media) for r in out) == [("1", 2, 2), ("1", 2, 2), ("2", 0, 1), ("3", 0, 0), ("None", 0, 0)]
+    first = next(r for r in out if r.page_id == 1)
+    assert [x.kind for x in first.sequence] == ["text", "image", "text", "image"] and [x.pos for x in first.sequence] == [0, 1, 2, 3]
+    assert [x.media and x.media.media_sha256 for x in first.sequence] == [None, hashlib.sha256(png).hexdigest()] * 2
+    assert first.sequence[1].caption == "cap" and next(r for r in out if r.page_id == 2).sequence[0].media is None
+    assert media.sequences(pages.limit(0), store).count() == 0
+    got = {r.page_id: [(x.pos, x.kind, x.text) for x in r.sequence] for r in QUERIES["media_page_sequences"](spark, SF).collect()}
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        assert got[r.page_id] == [(x["pos"], x["kind"], x["text"]) for x in media.elements(r.html)]
 
 
 def test_interleaved_elements(spark):

@@ -62,6 +62,8 @@ class Vocabulary:
         vocab = spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.labels: list[bytes] = [b""] * (max([*vocab.values(), *self.special.values()]) + 1)
+        if len(self.labels) > 1 << 16:
+            raise ValueError(f"{path} has more ids than 16 bits can tell")
         for token, i in vocab.items():
             if token not in self.special:
                 self.labels[i] = bytes(letters[c] for c in token)

@@ -7,9 +7,13 @@ references with what is read back from the store; only small feature rows are jo
 digest, so that a digest that a third of all documents share is a skewed but small join, which
 Spark splits.
 
+``op5`` makes a page of each text and keeps its whole sequence, texts by their length, beside the payload's
+features; ``sequences`` does so for pages as they are.
+
 Edge cases: a null text is an empty one; an empty payload is one row of spaces; repeated rows have
 equal values; references without a stored payload stay, unresolved; a null html has no elements;
-broken HTML is read as the standard library's parser reads it; extra columns are left out.
+broken HTML is read as the standard library's parser reads it; a very long text is one payload in one
+row, as it is in the table; extra columns are left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,13 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, sliced
+from .common import numbered, settle, sliced
 
 ROW, DEEP = 192, 3
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 _ELEMENT = pa.struct(
     [("pos", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("ref", pa.string()), ("caption", pa.string())]
 )
+_PLACE = pa.struct(
+    [("pos", pa.int32()), ("kind", pa.string()), ("chars", pa.int64()), ("ref", pa.string()), ("caption", pa.string())]
+)
+PLACES = "array<struct<pos: int, kind: string, chars: bigint, ref: string, caption: string>>"
 ELEMENTS = "array<struct<pos: int, kind: string, text: string, ref: string, caption: string>>"
 FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 _MEDIA = {"img": "image", "video": "video", "audio": "audio"}
@@ -167,15 +175,16 @@ class _Compose:
                 )
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), pa.array(n_bytes, pa.int64()), self.references(pages),
+                    batch.column(0), pa.array(n_bytes, pa.int64()), self.sequence(pages),
                     pa.array(digests, pa.string()), pa.array(media, pa.binary()),
                 ],
-                names=["doc_id", "n_bytes", "refs", "digest", "media"],
+                names=["doc_id", "n_bytes", "sequence", "digest", "media"],
             )
 
     @staticmethod
-    def references(pages):
-        return pa.array([[x for x in elements(p) if x["ref"] is not None] for p in pages], pa.list_(_ELEMENT))
+    def sequence(pages):
+        out = [[{"pos": x["pos"], "kind": x["kind"], "chars": len(x["text"] or ""), "ref": x["ref"], "caption": x["caption"]} for x in elements(p)] for p in pages]
+        return pa.array(out, pa.list_(_PLACE))
 
 
 class _Parse:
@@ -224,12 +233,38 @@ def resolve(references: DataFrame, features: DataFrame) -> DataFrame:
     return own.join(features, own["_digest"] == features["digest"], "left").drop("_digest", "digest")
 
 
+def sequences(pages: DataFrame, store: DataFrame) -> DataFrame:
+    """``pages`` (page_id, html) to page_id, n_texts, n_media, sequence: ordered structs of texts and of media with what ``store`` has of them.
+
+    Only references go through the join, a page's elements come together again by their places.
+    """
+    own = settle(numbered(interleaved(pages), [F.col("page_id").asc_nulls_first(), F.xxhash64("elements")], "_row"))
+    refs = own.select("_row", F.explode("elements").alias("x")).where("x.ref is not null").select("_row", "x.pos", "x.ref")
+    found = resolve(refs, media_features(store)).where("media_bytes is not null")
+    found = found.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("pos", F.struct("media_bytes", "media_sha256", "feature")))).alias("_found"))
+    known = F.coalesce("_found", F.create_map().cast("map<int, struct<media_bytes: bigint, media_sha256: string, feature: string>>"))
+    whole = F.transform("elements", lambda x: F.struct(
+        x["pos"].alias("pos"), x["kind"].alias("kind"), x["text"].alias("text"), x["ref"].alias("ref"), x["caption"].alias("caption"),
+        F.try_element_at(F.col("_known"), x["pos"]).alias("media"),
+    ))
+    return own.join(found, "_row", "left").withColumn("_known", known).select(
+        "page_id", F.size(F.filter("elements", lambda x: x["kind"] == "text")).alias("n_texts"),
+        F.size(F.filter("elements", lambda x: x["kind"] != "text")).alias("n_media"), whole.alias("sequence"),
+    )
+
+
+def page_sequences(pages: DataFrame) -> DataFrame:
+    """The sequences of ``pages`` without a store: references stay unresolved."""
+    return sequences(pages, pages.sparkSession.createDataFrame([], "digest string, media binary"))
+
+
 def op5(docs: DataFrame) -> DataFrame:
-    """The contract's columns: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature; then pos, caption."""
-    schema = f"doc_id long, n_bytes long, refs {ELEMENTS}, digest string, media binary"
+    """The contract's columns: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature; then pos, caption, sequence."""
+    schema = f"doc_id long, n_bytes long, sequence {PLACES}, digest string, media binary"
     stored = settle(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_Compose(), schema))
     features = media_features(stored.where("media is not null"))
-    refs = stored.select("doc_id", "n_bytes", F.explode("refs").alias("x")).select("doc_id", "n_bytes", "x.pos", "x.caption", "x.ref")
+    refs = stored.select("doc_id", "n_bytes", "sequence", F.explode("sequence").alias("x")).where("x.ref is not null")
+    refs = refs.select("doc_id", "n_bytes", "sequence", "x.pos", "x.caption", "x.ref")
     return resolve(refs, features).select(
-        "doc_id", "n_bytes", *(x.split()[0] for x in FEATURES.split(", ")), "pos", "caption"
+        "doc_id", "n_bytes", *(x.split()[0] for x in FEATURES.split(", ")), "pos", "caption", "sequence"
     )

@@ -35,7 +35,9 @@ class Ranked(Vocabulary):
 
     def __init__(self, path: str):
         super().__init__(path)
-        # Ids in the order of the merges are what it takes as ranks.
+        made = [uv for *_, uv in self.merges]
+        if made != sorted(made):  # ids in the order of the merges are what it takes as ranks
+            raise ValueError(f"the ids of {path} don't follow its merges")
         self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=self.ids, special_tokens={})
         self.sizes = np.array([len(x) for x in self.labels])
 
