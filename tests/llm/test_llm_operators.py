@@ -742,3 +742,21 @@ def test_pipeline(spark):
     out = corpus_pipeline.run(spark, SF).collect()
     assert {r.doc_id: r.doc_tokens for r in out} == sizes
     assert sum(r.length for r in out) == sum(sizes.values())
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Nulls in all columns, repeated rows, clashing names and an empty table go through all stages."""
+    import corpus_pipeline
+
+    extra = [(9, i, None, None, f"w{i} " * 20 + "\n" + "same words in this line\nand in that one too", "r", 1, 3, "s", 1) for i in (40, 41, 41)]
+    docs = clashing(spark).union(spark.createDataFrame(extra, clashing(spark).schema))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    own = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, own, str(tmp_path))
+        assert out.columns == own.columns, name
+        assert stage(spark, own.limit(0), str(tmp_path)).count() == 0, name
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in out} >= {5, 40, 41} and all(r.doc_tokens >= 1 for r in out)
+    assert corpus_pipeline.pack(spark, own.limit(0), str(tmp_path)).count() == 0
