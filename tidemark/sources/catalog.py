@@ -86,7 +86,7 @@ class Database:
         rows = listed.select(
             F.col("tableName").alias("table_name"),
             F.regexp_extract("information", r"(?m)^Provider: (.*)$", 1).alias("provider"),
-            F.get_json_object(F.regexp_extract("information", rf"{PROPERTY}=(\{{.*?\}})[,\]]", 1), "$.not_null").alias("strict"),
+            F.regexp_extract("information", r'"not_null": (\[[^\]]*\])', 1).alias("strict"),
             F.posexplode(lines).alias("place", "line"),
         )
         name = F.regexp_extract("line", r"^(.*): [^:]*$", 1)
@@ -287,8 +287,10 @@ class Database:
             data = _Lazy(self.spark)
             data[new.key] = rows
             asked = [*new.constraints, *(Constraint(i.name, "unique", i.columns) for i in new.indexes if i.unique)]
+            come = {x.constraint.name for x in o.changes if isinstance(x, ops.AddConstraint)}
+            come |= {x.index.name for x in o.changes if isinstance(x, ops.CreateIndex)}
             for c in asked:
-                if uses(c, new) & fresh or c not in old.constraints and c.name not in {i.name for i in old.indexes}:
+                if c.name in come or uses(c, new) & fresh:
                     self._demand(c, new, data)
             for t in children:
                 for c in t.constraints:
