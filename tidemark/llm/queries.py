@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, chat, embedding_dedup, line_dedup, media, packing, quality, simhash, suffix_dedup, url_filter
+from . import bpe, chat, embedding_dedup, line_dedup, media, packing, quality, resampling, sharding, simhash, suffix_dedup, url_filter, vector_codes
 from .common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -21,6 +21,9 @@ QUERIES = {
     "op8_suffix_array_dedup": lambda spark, d: suffix_dedup.op8(table(spark, d, "documents")),
     "op10_embedding_near_dedup": lambda spark, d: embedding_dedup.op10(table(spark, d, "embeddings")),
     "op9_packing": lambda spark, d: packing.pack(table(spark, d, "documents"), VOCABULARY),
+    "op11_importance_resampling": lambda spark, d: resampling.op11(table(spark, d, "documents"), table(spark, d, "benchmark")),
+    "op12_vector_codes": lambda spark, d: vector_codes.op12(table(spark, d, "embeddings")),
+    "op13_sharding": lambda spark, d: sharding.op13(table(spark, d, "documents")),
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -29,4 +32,7 @@ ORACLE_SQL: dict[str, str] = {
     "op7_url_filters": url_filter.ORACLE,
     "op8_suffix_array_dedup": suffix_dedup.ORACLE,
     "op10_embedding_near_dedup": embedding_dedup.ORACLE,
+    "op11_importance_resampling": resampling.ORACLE,
+    "op12_vector_codes": vector_codes.ORACLE,
+    "op13_sharding": sharding.ORACLE,
 }
