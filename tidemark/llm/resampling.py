@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, forget, keyed, numbered, settle, settled, sliced, unfold
+from .common import fold, keyed, numbered, settle, sliced, unfold
 
 BUCKETS, PERCENT, LEAST, SEED = 10_000, 25, 20, 7
 
@@ -193,7 +193,7 @@ def scored(docs: DataFrame, target: DataFrame, seed: int = SEED) -> DataFrame:
 
 def ranked(scores: DataFrame, percent: int = PERCENT, least: int = LEAST) -> DataFrame:
     """``scores`` with ``rank``: 1 and on for the drawn ``percent`` of the documents of ``least`` words and more, else null."""
-    rows, _ = settled(scores.withColumn("_long", F.col("n_words") >= least))
+    rows = settle(scores.withColumn("_long", F.col("n_words") >= least))
     n = rows.where("_long").count()
     order = [F.col("_long").desc(), F.col("score").desc(), F.col("doc_id").asc_nulls_last()]
     placed = numbered(rows, order, "_at")

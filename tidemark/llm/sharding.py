@@ -82,7 +82,7 @@ class SlotMap:
         return replace(self, version=self.version + 1, owners=owners, shards=max(self.shards, *(m + 1 for m in moves.values()), 0))
 
     def grown(self, sizes: Mapping[int, int]) -> SlotMap:
-        """One more shard, which takes slots from the heaviest ones until it has its share; no other slot moves."""
+        """One more shard, which takes from the others, the heaviest first, what they have beyond the new share; no other slot moves."""
         new, loads, moves = self.shards, self.loads(sizes), {}
         share = sum(loads) / (new + 1)
         own = self._by_shard(sizes)
@@ -90,7 +90,7 @@ class SlotMap:
         heapq.heapify(fullest)
         while fullest and got < share:
             load, shard = heapq.heappop(fullest)
-            while own[shard] and own[shard][-1][0] + got > share:  # what doesn't fit now never will
+            while own[shard] and own[shard][-1][0] > min(share - got, -load - share):  # what doesn't fit now never will
                 own[shard].pop()
             if own[shard]:
                 n, slot = own[shard].pop()
