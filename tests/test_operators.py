@@ -95,9 +95,9 @@ def test_diff_tuples():
     assert ops.foreign_key("f", "t", "p", ["a"], ["b"]).diff() == ("add_fk", "t", "f")
 
 
-def test_script():
+def test_spelled():
     table = Table("t", (Column("a", "int", False), Column("b", "string", True, "'x'", "it's")), comment="c")
-    text = ops.script([
+    text = ops.spelled([
         ops.CreateTable(table), ops.AlterColumn("t", "a", type="bigint", new_name="k"),
         ops.foreign_key("f", "t", "p", ["a"], ["b"], on_delete="CASCADE"), ops.check("ck", "t", "a > 0"),
         ops.BulkInsert(table, ({"a": 1}, {"a": 2, "b": None})), ops.DropTable("t", if_exists=True),

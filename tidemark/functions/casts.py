@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 SYNONYMS = (frozenset({"numeric", "decimal"}), frozenset({"int", "integer"}), frozenset({"float", "real"}))
 
 
-def lenient(value: Column, kind: str) -> Column:
-    """The leading number of a text as ``kind``, 0 where there is none; null stays null."""
-    number = r"^\s*([+-]?\d+)" if kind in ("int", "bigint", "smallint") else r"^\s*([+-]?\d+(?:\.\d*)?)"
-    found = F.regexp_extract(value.cast("string"), number, 1)
-    return F.when(value.isNotNull(), F.coalesce(F.nullif(found, F.lit("")).try_cast(kind), F.lit(0).cast(kind)))
+def lenient(value: str, kind: str) -> str:
+    """SQL text: the leading number of a text as ``kind``, 0 where there is none; null stays null."""
+    number = r"^\\s*([+-]?\\d+)" if kind in ("int", "bigint", "smallint") else r"^\\s*([+-]?\\d+(?:\\.\\d*)?)"
+    found = f"regexp_extract(CAST({value} AS STRING), '{number}', 1)"
+    return f"CASE WHEN {value} IS NOT NULL THEN coalesce(try_cast(nullif({found}, '') AS {kind}), CAST(0 AS {kind})) END"
 
 
 def type_name(kind: Column) -> Column:

@@ -9,12 +9,13 @@ from ..sources.scratch import settle
 
 
 def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
-    """``df`` with 1-based row numbers by ``order``: each range partition numbers its own, then what lies before it is added."""
+    """``df`` with 1-based row numbers by ``order``: each range partition numbers its own, then what lies before it is added.
+
+    Without an order rows are numbered as they come, and nothing is shuffled.
+    """
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
     parts = settle(
-        df.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .withColumn("_part", F.spark_partition_id())
-        .withColumn("_seq", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+        dealt.withColumn("_part", F.spark_partition_id()).withColumn("_seq", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     )
     before = F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")  # a row for each partition
     starts = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", before.alias("_before"))

@@ -1,16 +1,34 @@
 """Change operations: what to do, its inverse, and its SQL text.
 
-Operations are values; ``operators.commit`` runs them on a catalog and ``Batch`` folds those on one
-table into one ``Rewrite``.
+Operations are values; ``sources.catalog`` runs them on a catalog and ``Batch`` folds those on one
+table into one ``Rewrite``. ``sql`` spells an operation in the usual words of SQL, for reading; ``plans.script`` makes of
+operations and the tables' definitions a script that Spark runs.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+import json
+from dataclasses import asdict, dataclass, field, replace
 
-from ..spec import Column, Constraint, Index, Table
+from ..spec import Column, Constraint, Identity, Index, Table
 from .rewrite import Rewrite
 
+#: The table property that holds what the session catalog can't, and the end of its text, by which it is found in listings.
+PROPERTY, END = "tidemark.objects", '"end": true'
+
+
+def objects_json(t: Table) -> str:
+    stored = {
+        "constraints": [asdict(c) for c in t.constraints],
+        "indexes": [asdict(i) for i in t.indexes],
+        "not_null": [c.name for c in t.columns if not c.nullable],
+        "columns": {
+            c.name: {"computed": c.computed, "identity": c.identity and asdict(c.identity)} for c in t.columns if c.computed is not None or c.identity
+        },
+        "end": True,
+    }
+    return json.dumps(stored)
+
 
 class Irreversible(ValueError):
     pass
@@ -32,12 +50,25 @@ class Operation:
         raise TypeError(f"{type(self).__name__} is no change of a table's columns")
 
 
+def _identity_sql(i: Identity) -> str:
+    return f"START WITH {i.start} INCREMENT BY {i.step}"
+
+
+def _plain(c: Column) -> Column:
+    """As the session catalog takes it."""
+    return replace(c, computed=None, identity=None)
+
+
 def _column_sql(c: Column) -> str:
     parts = [f"`{c.name}` {c.type}"]
     if not c.nullable:
         parts.append("NOT NULL")
     if c.default is not None:
         parts.append(f"DEFAULT {c.default}")
+    if c.computed is not None:
+        parts.append(f"GENERATED ALWAYS AS ({c.computed})")
+    if c.identity:
+        parts.append(f"GENERATED {'ALWAYS' if c.identity.always else 'BY DEFAULT'} AS IDENTITY ({_identity_sql(c.identity)})")
     if c.comment:
         parts.append(f"COMMENT {literal(c.comment)}")
     return " ".join(parts)
@@ -61,6 +92,8 @@ def _storage_sql(t: Table) -> str:
         out += f" OPTIONS ({pairs(own.options)})"
     if own.partitions:
         out += f" PARTITIONED BY ({listed(own.partitions)})"
+    if own.location and own.external:
+        out += f" LOCATION {literal(own.location)}"
     if own.buckets:
         number, columns, by = own.buckets
         out += f" CLUSTERED BY ({listed(columns)})" + (f" SORTED BY ({listed(by)})" if by else "") + f" INTO {number} BUCKETS"
@@ -81,7 +114,7 @@ class CreateTable(Operation):
         return ("add_table", self.table.key)
 
     def sql(self):
-        body = ", ".join(map(_column_sql, self.table.columns))
+        body = ", ".join(_column_sql(_plain(c)) for c in self.table.columns)
         comment = f" COMMENT {literal(self.table.comment)}" if self.table.comment else ""
         guard = "IF NOT EXISTS " if self.if_not_exists else ""
         return [f"CREATE TABLE {guard}{self.table.key} ({body}){_storage_sql(self.table)}{comment}"]
@@ -89,9 +122,12 @@ class CreateTable(Operation):
 
 @dataclass(frozen=True)
 class DropTable(Operation):
+    """``cascade``: foreign keys of other tables to it go too; without it they keep the table from being dropped."""
+
     table: str
     if_exists: bool = False
     old: Table | None = None
+    cascade: bool = False
 
     def reverse(self):
         if self.old is None:
@@ -136,7 +172,7 @@ class AddColumn(Operation):
         return [f"ALTER TABLE {self.table} ADD COLUMN {_column_sql(self.column)}"]
 
     def change(self, rewrite):
-        if self.if_not_exists and self.column.name in rewrite.columns:
+        if self.if_not_exists and rewrite.find(self.column.name):
             return rewrite
         return rewrite.add(self.column, before=self.before, behind=self.behind, fill=self.fill, strict=False)
 
@@ -167,14 +203,14 @@ class DropColumn(Operation):
         return [f"ALTER TABLE {self.table} DROP COLUMN `{self.name}`"]
 
     def change(self, rewrite):
-        if self.if_exists and self.name not in rewrite.columns:
+        if self.if_exists and not rewrite.find(self.name):
             return rewrite
         return rewrite.drop(self.name)
 
 
 @dataclass(frozen=True)
 class AlterColumn(Operation):
-    """Each attribute that is not None (default, comment: not ...) changes; renaming comes last."""
+    """Each attribute that is not None (default, comment, identity: not ...) changes; renaming comes last."""
 
     table: str
     name: str
@@ -187,6 +223,7 @@ class AlterColumn(Operation):
     mode: str = "strict"
     fill: str | None = None
     old: Column | None = None
+    identity: object = ...
 
     def reverse(self):
         if self.old is None:
@@ -199,17 +236,19 @@ class AlterColumn(Operation):
             type=None if self.type is None else o.type,
             comment=... if self.comment is ... else o.comment,
             new_name=self.name if self.new_name else None,
+            identity=... if self.identity is ... else o.identity,
             old=replace(
                 o, name=self.new_name or self.name, type=self.type or o.type,
                 nullable=o.nullable if self.nullable is None else self.nullable,
                 default=o.default if self.default is ... else self.default,
                 comment=o.comment if self.comment is ... else self.comment,
+                identity=o.identity if self.identity is ... else self.identity,
             ),
         )
 
     def diff(self):
         kinds = [
-            ("modify_nullable", self.nullable is not None), ("modify_default", self.default is not ...),
+            ("modify_nullable", self.nullable is not None), ("modify_default", self.default is not ... or self.identity is not ...),
             ("modify_type", self.type is not None), ("modify_comment", self.comment is not ...),
             ("modify_name", self.new_name is not None),
         ]
@@ -225,6 +264,8 @@ class AlterColumn(Operation):
             out.append(f"{head} TYPE {self.type}")
         if self.comment is not ...:
             out.append(f"{head} COMMENT {literal(self.comment or '')}")
+        if self.identity is not ...:
+            out.append(f"{head} " + (f"ADD GENERATED AS IDENTITY ({_identity_sql(self.identity)})" if self.identity else "DROP IDENTITY"))
         if self.new_name:
             out.append(f"ALTER TABLE {self.table} RENAME COLUMN `{self.name}` TO `{self.new_name}`")
         return out
@@ -285,10 +326,13 @@ def exclude(name, table, key, *elements, where=None):
 
 @dataclass(frozen=True)
 class DropConstraint(Operation):
+    """``kind``, if given, has to be that of the constraint."""
+
     table: str
     name: str
     if_exists: bool = False
     old: Constraint | None = None
+    kind: str | None = None
 
     def reverse(self):
         if self.old is None:
@@ -387,13 +431,15 @@ class Execute(Operation):
 class Batch(Operation):
     """Changes of one table's columns (and constraints), done together in one rewrite.
 
-    ``order``: the columns before, which the inverse puts back in that order.
+    ``order``: the columns before, which the inverse puts back in that order. ``recreate``: "auto" (rows are written again if a
+    change needs it), "always", or "never" (an error if one needs it).
     """
 
     table: str
     changes: tuple[Operation, ...]
     reordering: tuple[tuple[str, ...], ...] = field(default=())
     order: tuple[str, ...] = ()
+    recreate: str = "auto"
 
     def reverse(self):
         return Batch(self.table, tuple(c.reverse() for c in reversed(self.changes)), (self.order,) if self.order else ())
@@ -406,15 +452,15 @@ class Batch(Operation):
 
     def change(self, rewrite):
         for c in self.changes:
-            if not isinstance(c, AddConstraint | DropConstraint | CreateIndex | DropIndex):
+            if not isinstance(c, AddConstraint | DropConstraint | CreateIndex | DropIndex | TableComment):
                 rewrite = c.change(rewrite)
         for names in self.reordering:
             rewrite.reorder(*names)
         return rewrite
 
 
-def script(operations) -> str:
-    """The operations' SQL, a statement a line: for reading or running elsewhere, nothing is executed."""
+def spelled(operations) -> str:
+    """The operations' SQL, a statement a line, in the usual words, for reading: Spark's catalog has no constraints and can't alter all this in place."""
     return "".join(f"{s};\n" for o in operations for s in o.sql())
 
 

@@ -2,12 +2,12 @@
 
 What Spark can do in place is done so (create, drop, rename a table, defaults, comments, columns that
 are appended and may be null). All else is move-and-copy: the new rows are written to a staging table
-of the same format, partitions, buckets, options and properties, then the old table is dropped and the
-staging table renamed. Constraints and indexes are properties of the table, as the session catalog has
-none; what a constraint demands is validated on the new rows wherever a change could break it. Checks and
-exclusions follow renamed columns and go with dropped ones, and so do foreign keys of other tables, except
-that a column which another table refers to can't be dropped. The swap is not atomic: if renaming fails
-after the drop, the rows are in the staging table that the error names.
+of the same format, partitions, buckets, options and properties, and then swapped in (``changes``): the old table goes
+last, an external one keeps its place, and what is cut off half-way is taken up by ``recover``. Constraints, indexes,
+computed and identity columns are properties of the table, as the session catalog has none; what a constraint demands is validated
+on the new rows wherever a change could break it. Checks and exclusions follow renamed columns and go with dropped ones, and so do foreign keys
+of other tables, except that a column which another table refers to can't be dropped. Rows that are inserted, updated or deleted are
+validated too, by looking up their keys only (``operators.writes``); UPDATE, DELETE and MERGE write touched files anew (``changes``).
 """
 
 from __future__ import annotations
@@ -21,11 +21,15 @@ from pyspark.sql import functions as F
 
 from ..functions.names import references, renamed
 from ..operators import ops
-from ..operators.rewrite import Rewrite
+from ..operators.rewrite import Rewrite, quoted, with_computed
 from ..operators.validate import violations
-from ..spec import Catalog, Column, Constraint, Index, Storage, Table
+from ..operators.writes import demands, judged, uses
+from ..spec import Catalog, Column, Constraint, Identity, Index, Storage, Table
+from . import changes, identity
+from .files import Journal
+from .scratch import settle
 
-PROPERTY = "tidemark.objects"
+PROPERTY = ops.PROPERTY
 
 
 class ValidationError(ValueError):
@@ -39,7 +43,9 @@ class Database:
     # reading
 
     def tables(self, database: str | None = None) -> list[str]:
-        return sorted(t.name for t in self.spark.catalog.listTables(database) if not t.isTemporary)
+        """Names of tables; views and the staging tables of changes under way are none."""
+        listed = self.spark.catalog.listTables(database)
+        return sorted(t.name for t in listed if not t.isTemporary and t.tableType != "VIEW" and not t.name.endswith(changes.SUFFIXES))
 
     def reflect(self, name: str) -> Table:
         """Everything from one statement; char and varchar lengths, which it leaves out, from the table's schema."""
@@ -47,17 +53,20 @@ class Database:
         properties = dict(facts.get("table_properties", {}))
         stored = json.loads(properties.pop(PROPERTY, "{}"))
         strict = set(stored.get("not_null", ()))
+        more = stored.get("columns", {})
         columns = [Column.of(f) for f in self.spark.table(name).schema.fields]
         buckets = None
         if facts.get("num_buckets"):
             buckets = int(facts["num_buckets"]), tuple(facts.get("bucket_columns", ())), tuple(facts.get("sort_columns", ()))
+        external = facts.get("type") == "EXTERNAL"
+        options = {k: v for k, v in facts.get("storage_properties", {}).items() if k.lower() not in ("path", "serialization.format")}
         storage = Storage(
             facts.get("provider", "parquet"), tuple(facts.get("partition_columns", ())), buckets,
-            tuple(sorted(facts.get("storage_properties", {}).items())), tuple(sorted(properties.items())),
+            tuple(sorted(options.items())), tuple(sorted(properties.items())), facts.get("location"), external,
         )
         constraints, indexes = _objects(stored)
         return Table(
-            name, tuple(replace(c, nullable=c.name not in strict) for c in columns), constraints, indexes,
+            name, tuple(_column(c, c.name not in strict, more.get(c.name, {})) for c in columns), constraints, indexes,
             facts.get("comment") or None, storage=storage,
         )
 
@@ -75,15 +84,19 @@ class Database:
             ))
         return Catalog(tuple(found))
 
+    def _listed(self, database: str | None = None) -> DataFrame:
+        """Every table's definition as text, from one statement."""
+        listed = self.spark.sql(f"SHOW TABLE EXTENDED {f'IN {database} ' if database else ''}LIKE '*'").where("not isTemporary")
+        return listed.where(~F.col("information").rlike(r"(?m)^Type: VIEW$") & ~F.col("tableName").rlike(f"({'|'.join(changes.SUFFIXES)})$"))
+
     def columns(self, database: str | None = None) -> DataFrame:
         """One row a column of every table of a database (table_name, provider, place, column_name, type, nullable), from one statement.
 
         The listing has every table's definition as text; it is taken apart by DataFrame functions. Lengths of
         char and varchar columns are not in it.
         """
-        listed = self.spark.sql(f"SHOW TABLE EXTENDED {f'IN {database} ' if database else ''}LIKE '*'").where("not isTemporary")
         lines = F.regexp_extract_all("information", F.lit(r"(?m)^ \|-- (.*)$"), 1)
-        rows = listed.select(
+        rows = self._listed(database).select(
             F.col("tableName").alias("table_name"),
             F.regexp_extract("information", r"(?m)^Provider: (.*)$", 1).alias("provider"),
             F.regexp_extract("information", r'"not_null": (\[[^\]]*\])', 1).alias("strict"),
@@ -96,24 +109,46 @@ class Database:
             (~F.coalesce(F.array_contains(F.from_json("strict", "array<string>"), name), F.lit(False))).alias("nullable"),
         )
 
+    def objects(self, database: str | None = None) -> DataFrame:
+        """A row for each constraint and index of a database's tables, from the same one statement.
+
+        table_name, kind (primary, unique, foreign, check, exclude, index, unique index), name, columns (array), refers (table), refers_columns, condition.
+        """
+        text = F.regexp_extract("information", rf"{PROPERTY.replace('.', chr(92) + '.')}=(\{{.*?{ops.END}\}})", 1)
+        shape = (
+            "constraints array<struct<name:string,kind:string,columns:array<string>,refers:string,condition:string>>, "
+            "indexes array<struct<name:string,columns:array<string>,unique:boolean>>"
+        )
+        own = self._listed(database).select(F.col("tableName").alias("table_name"), F.from_json(text, shape).alias("o"))
+        c = own.select("table_name", F.explode("o.constraints").alias("c")).select(
+            "table_name", "c.kind", "c.name", "c.columns", F.get_json_object("c.refers", "$[0]").alias("refers"),
+            F.from_json(F.get_json_object("c.refers", "$[1]"), "array<string>").alias("refers_columns"), "c.condition",
+        )
+        nothing = F.lit(None).cast("string")
+        i = own.select("table_name", F.explode("o.indexes").alias("i")).select(
+            "table_name", F.when(F.col("i.unique"), "unique index").otherwise("index").alias("kind"), "i.name", "i.columns",
+            nothing.alias("refers"), F.lit(None).cast("array<string>").alias("refers_columns"), nothing.alias("condition"),
+        )
+        return c.unionAll(i)
+
     def known(self, o: ops.Operation) -> ops.Operation:
         """``o`` with the definitions and places that its inverse needs, as they are now."""
         if isinstance(o, ops.DropTable):
             return replace(o, old=self.reflect(o.table))
         if isinstance(o, ops.Batch):
             t = self.reflect(o.table)
-            rewrite, changes = Rewrite(t), []
+            rewrite, altered = Rewrite(t), []
             for c in o.changes:
                 if isinstance(c, ops.DropColumn | ops.AlterColumn):
-                    c = replace(c, old=rewrite.columns.get(c.name))
+                    c = replace(c, old=rewrite.columns.get(rewrite.find(c.name) or c.name))
                 elif isinstance(c, ops.DropConstraint):
                     c = replace(c, old=next((x for x in t.constraints if x.name == c.name), None))
                 elif isinstance(c, ops.DropIndex):
                     c = replace(c, old=next((x for x in t.indexes if x.name == c.name), None))
                 if not isinstance(c, _OBJECTS):
                     c.change(rewrite)
-                changes.append(c)
-            return replace(o, changes=tuple(changes), order=tuple(c.name for c in t.columns))
+                altered.append(c)
+            return replace(o, changes=tuple(altered), order=tuple(c.name for c in t.columns))
         if not isinstance(o, ops.DropColumn | ops.AlterColumn | ops.DropConstraint | ops.DropIndex | ops.TableComment):
             return o
         t = self.reflect(o.table)
@@ -123,7 +158,7 @@ class Database:
             have = t.constraints if isinstance(o, ops.DropConstraint) else t.indexes
             return replace(o, old=next((x for x in have if x.name == o.name), None))
         o = replace(o, old=t.column(o.name))
-        place = [c.name for c in t.columns].index(o.name)
+        place = t.columns.index(o.old)
         if isinstance(o, ops.DropColumn) and 0 < place < len(t.columns) - 1:
             o = replace(o, behind=t.columns[place - 1].name)
         return o
@@ -137,13 +172,20 @@ class Database:
         for o in operations:
             getattr(self, f"_{type(o).__name__.lower()}")(o)
 
+    def recover(self, database: str | None = None) -> list[str]:
+        """Take up changes that were cut off: what had been decided is gone through with, the rest is undone. Names of the tables.
+
+        For when no change is under way: one that is would be taken for cut off.
+        """
+        journal, done = Journal(self.spark, database), []
+        for path, entry in journal.pending():
+            (changes.finish if entry["decided"] else changes.undo)(self, entry)
+            journal.end(path)
+            done.append(entry["table"])
+        return done
+
     def _keep_objects(self, t: Table) -> None:
-        stored = {
-            "constraints": [asdict(c) for c in t.constraints],
-            "indexes": [asdict(i) for i in t.indexes],
-            "not_null": [c.name for c in t.columns if not c.nullable],
-        }
-        self.spark.sql(f"ALTER TABLE {t.key} SET TBLPROPERTIES ({ops.literal(PROPERTY)} = {ops.literal(json.dumps(stored))})")
+        self.spark.sql(f"ALTER TABLE {t.key} SET TBLPROPERTIES ({ops.literal(PROPERTY)} = {ops.literal(ops.objects_json(t))})")
 
     def _createtable(self, o: ops.CreateTable) -> None:
         if o.if_not_exists and self.spark.catalog.tableExists(o.table.key):
@@ -153,38 +195,49 @@ class Database:
         self._keep_objects(o.table)
 
     def _droptable(self, o: ops.DropTable) -> None:
+        """Refused while other tables refer to it, unless ``cascade`` drops their foreign keys."""
+        for t in self.children(o.table):
+            if not o.cascade:
+                raise ValueError(f"{o.table} can't be dropped, {t.key}.{_referring(t, o.table)[0].name} refers to it")
+            self._keep_objects(replace(t, constraints=tuple(c for c in t.constraints if c not in _referring(t, o.table))))
         for s in o.sql():
             self.spark.sql(s)
 
     def _renametable(self, o: ops.RenameTable) -> None:
-        children = self._children(o.table)
+        children = self.children(o.table)
         for s in o.sql():
             self.spark.sql(s)
-        self._follow(children, o.table, o.new, {})
-
-    def _children(self, parent: str) -> list[Table]:
-        """Tables with a foreign key to ``parent`` (itself left out)."""
-        found = []
-        for name in self.tables(parent.rpartition(".")[0] or None):
-            name = f"{parent.rpartition('.')[0]}.{name}" if "." in parent else name
-            t = self.reflect(name)
-            if name != parent and any(c.refers and c.refers[0] == parent for c in t.constraints):
-                found.append(t)
-        return found
-
-    def _follow(self, children: list[Table], old: str, new: str, names: dict[str, str]) -> None:
+        self.follow(children, o.table, o.new, {})
+        t = self.reflect(o.new)
+        if own := _referring(t, o.table):
+            moved = tuple(replace(c, refers=(o.new, c.refers[1])) if c in own else c for c in t.constraints)
+            self._keep_objects(replace(t, constraints=moved))
+
+    def children(self, parent: str) -> list[Table]:
+        """Tables with a foreign key to ``parent`` (itself left out): one listing says which, only these are read."""
+        database = parent.rpartition(".")[0]
+        refers = F.lower("information").contains(f'"refers": ["{parent.lower()}",')
+        names = [r[0] for r in self._listed(database or None).where(refers).select("tableName").collect()]
+        names = sorted(f"{database}.{n}" if database else n for n in names)
+        return [t for n in names if n.lower() != parent.lower() and _referring(t := self.reflect(n), parent)]
+
+    def follow(self, children: list[Table], old: str, new: str, names: dict[str, str]) -> None:
         """Foreign keys of ``children`` to ``old``, with its and its columns' new names."""
+        low = {k.lower(): v for k, v in names.items()}
         for t in children:
-            refers = lambda c: (new, tuple(names.get(x, x) for x in c.refers[1]))
-            after = tuple(replace(c, refers=refers(c)) if c.refers and c.refers[0] == old else c for c in t.constraints)
+            refers = lambda c: (new, tuple(low.get(x.lower(), x) for x in c.refers[1]))  # noqa: B023, E731
+            after = tuple(replace(c, refers=refers(c)) if c in _referring(t, old) else c for c in t.constraints)
             if after != t.constraints:
                 self._keep_objects(replace(t, constraints=after))
 
     def _addcolumn(self, o: ops.AddColumn) -> None:
         t = self.reflect(o.table)
-        if o.if_not_exists and any(c.name == o.column.name for c in t.columns):
-            return
-        if o.column.nullable and o.column.default is None and o.fill is None and not (o.before or o.behind):
+        if any(c.name.lower() == o.column.name.lower() for c in t.columns):
+            if o.if_not_exists:
+                return
+            raise ValueError(f"column {o.column.name} is there already")
+        c = o.column
+        if c.nullable and c.default is None and c.computed is None and c.identity is None and o.fill is None and not (o.before or o.behind):
             for s in o.sql():
                 self.spark.sql(s)
         else:
@@ -201,22 +254,22 @@ class Database:
         changed = Rewrite(t).alter(o.name, nullable=o.nullable, default=o.default, comment=o.comment).result()
         if o.nullable is False:
             self._validate_nulls(changed, self.spark.table(o.table))
-        for s in replace(o, nullable=None).sql():
+        for s in replace(o, nullable=None, identity=...).sql():
             self.spark.sql(s)
+        if o.identity is not ...:
+            column = changed.column(o.name)
+            if o.identity is not None and column.type not in ("int", "bigint", "smallint"):
+                raise ValueError(f"{t.key}.{column.name} is {column.type}, an identity has to be a whole number")
+            changed = changed.with_columns(replace(c, identity=o.identity) if c is column else c for c in changed.columns)
         self._keep_objects(changed)
 
     def _addconstraint(self, o: ops.AddConstraint) -> None:
         t = self.reflect(o.table)
         if any(c.name == o.constraint.name for c in t.constraints):
             raise ValueError(f"constraint {o.constraint.name} is there already")
-        self._validate(o.constraint, t)
+        self._demand(o.constraint, t, self.data())
         self._keep_objects(replace(t, constraints=(*t.constraints, o.constraint)))
 
-    def _validate(self, constraint: Constraint, t: Table) -> None:
-        bad = violations(constraint, t, self.data())
-        if not bad.isEmpty():
-            raise ValidationError(f"{t.key} violates {constraint.name}, for example {bad.first()}")
-
     @staticmethod
     def _validate_nulls(t: Table, df: DataFrame) -> None:
         strict = [c.name for c in t.columns if not c.nullable]
@@ -227,10 +280,12 @@ class Database:
 
     def _dropconstraint(self, o: ops.DropConstraint) -> None:
         t = self.reflect(o.table)
-        left = tuple(c for c in t.constraints if c.name != o.name)
-        if len(left) == len(t.constraints) and not o.if_exists:
+        gone = [c for c in t.constraints if c.name == o.name]
+        if not gone and not o.if_exists:
             raise KeyError(f"no constraint {o.name} on {o.table}")
-        self._keep_objects(replace(t, constraints=left))
+        if gone and o.kind not in (None, gone[0].kind):
+            raise KeyError(f"constraint {o.name} on {o.table} is {gone[0].kind}, not {o.kind}")
+        self._keep_objects(replace(t, constraints=tuple(c for c in t.constraints if c not in gone)))
 
     def _createindex(self, o: ops.CreateIndex) -> None:
         t = self.reflect(o.table)
@@ -239,7 +294,9 @@ class Database:
                 return
             raise ValueError(f"index {o.index.name} is there already")
         if o.index.unique:
-            self._validate(Constraint(o.index.name, "unique", o.index.columns), t)
+            self._demand(o.index.constraint(t), t, self.data())
+        else:
+            self.spark.table(t.key).select(*(F.expr(e) for e, _ in o.index.constraint(t).elements))  # columns and expressions are there
         self._keep_objects(replace(t, indexes=(*t.indexes, o.index)))
 
     def _dropindex(self, o: ops.DropIndex) -> None:
@@ -253,12 +310,46 @@ class Database:
         for s in o.sql():
             self.spark.sql(s)
 
+    # rows
+
     def _bulkinsert(self, o: ops.BulkInsert) -> None:
+        """Rows are dicts of values for the operation's columns; what a row leaves out takes the default as the catalog has it now."""
         if o.rows:
-            bulk_rows(self.spark, o).write.insertInto(o.table.key)
+            self.insert(o.table.key, bulk_rows(self.spark, o, self.reflect(o.table.key)), given=frozenset(k for r in o.rows for k in r))
+
+    def insert(self, name: str, rows: DataFrame, refused: str = "raise", given: frozenset[str] | None = None) -> DataFrame:
+        """Append ``rows`` to a table; columns are matched by name, missing ones take their defaults, identities and computed values.
+
+        Rows that break a constraint are looked for before anything is written. ``refused``: "raise" (``ValidationError``, nothing is
+        written) or "skip" (the others are written). The result is what was refused, with the names of what it breaks in ``_refused``.
+        """
+        if refused not in ("raise", "skip"):
+            raise ValueError(f"refused={refused}")
+        t = self.reflect(name)
+        ready = settle(identity.allocated(self, t, whole_rows(t, rows, given)))
+        seen = settle(judged(ready, t, self.data()))
+        bad = seen.where(F.size("_refused") > 0)
+        if refused == "raise" and (example := bad.take(1)):
+            raise ValidationError(f"{t.key} would violate {', '.join(example[0]['_refused'])}, for example {example[0]}")
+        places = self.spark.table(name).columns
+        seen.where(F.size("_refused") == 0).select(*(f"`{c}`" for c in places)).write.insertInto(name)
+        return bad
+
+    def update(self, name: str, values: dict[str, changes.Text], where: changes.Text | None = None, alias: str | None = None) -> int:
+        """Set columns to SQL expressions over the row, where ``where`` is true. The number of rows."""
+        return changes.update(self, name, values, where, alias)
+
+    def delete(self, name: str, where: changes.Text | None = None, alias: str | None = None) -> int:
+        return changes.delete(self, name, where, alias)
+
+    def merge(self, name: str, source: DataFrame, on: changes.Text, *clauses: changes.When, alias: str = "target", source_alias: str = "source") -> int:
+        """The clauses for rows of ``source`` that match and don't match, the first of each kind that holds. The number of rows."""
+        return changes.merge(self, name, source, on, clauses, alias, source_alias)
 
     def _execute(self, o: ops.Execute) -> None:
-        self.spark.sql(o.statement)
+        """INSERT, UPDATE, DELETE and MERGE of tables with constraints are validated; the others go to Spark."""
+        if not changes.statement(self, o.statement):
+            self.spark.sql(o.statement)
 
     def _batch(self, o: ops.Batch, source: Table | None = None) -> None:
         """All column changes in one rewrite; what they touch is checked on the new rows before the swap.
@@ -266,67 +357,85 @@ class Database:
         ``source``: the table's definition, if it is not to be read from the catalog.
         """
         old = source or self.reflect(o.table)
+        if source and not source.storage.location:
+            stored = self.reflect(o.table).storage
+            old = replace(old, storage=replace(old.storage, location=stored.location, external=stored.external))
         rewrite = o.change(Rewrite(old))
         names = followed(old, o)
         new = carried(old, o, rewrite.result(), names)
-        children = self._children(o.table)
+        if o.recreate == "never" and not self._native(o, old):
+            raise ValueError(f"{o.table} can't be changed so without writing its rows again")
+        if o.recreate != "always" and self._native(o, old):
+            return self.run(*o.changes)
+        children = self.children(o.table)
+        low = {k.lower() for k in names}
         for t in children:
-            for c in t.constraints:
-                if c.refers and c.refers[0] == o.table and (lost := [x for x in c.refers[1] if x not in names]):
+            for c in _referring(t, o.table):
+                if lost := [x for x in c.refers[1] if x.lower() not in low]:
                     raise ValueError(f"{t.key}.{c.name} refers to {o.table}.{lost[0]}, which can't be dropped")
-        staging = f"{o.table}__new"[-120:]
-        self.spark.sql(f"DROP TABLE IF EXISTS {staging}")
-        try:
-            for s in ops.CreateTable(replace(new, name=staging)).sql():
-                self.spark.sql(s)
-            places = self.spark.table(staging).columns  # partition columns come last
-            rewrite.apply(self.spark.table(o.table)).select(*(f"`{c}`" for c in places)).write.insertInto(staging)
-            rows = self.spark.table(staging)
-            self._validate_nulls(new, rows)
-            fresh = touched(o, new)
+        rows = rewrite.apply(self.spark.table(o.table))
+        if numbered := [c.column for c in o.changes if isinstance(c, ops.AddColumn) and c.column.identity]:
+            rows, new = identity.backfilled(new, rows, numbered)
+        fresh = rewrite.fresh()
+
+        def check(staged: DataFrame) -> None:
+            self._validate_nulls(new, staged)
             data = _Lazy(self.spark)
-            data[new.key] = rows
-            asked = [*new.constraints, *(Constraint(i.name, "unique", i.columns) for i in new.indexes if i.unique)]
+            data[new.key] = staged
             come = {x.constraint.name for x in o.changes if isinstance(x, ops.AddConstraint)}
             come |= {x.index.name for x in o.changes if isinstance(x, ops.CreateIndex)}
-            for c in asked:
+            for c in demands(new):
                 if c.name in come or uses(c, new) & fresh:
                     self._demand(c, new, data)
+            mine = {k.lower(): v for k, v in names.items()}
             for t in children:
-                for c in t.constraints:
-                    if c.refers and c.refers[0] == o.table and {names[x] for x in c.refers[1]} & fresh:
-                        moved = replace(c, refers=(new.key, tuple(names[x] for x in c.refers[1])))
-                        self._demand(moved, t, data)
-        except Exception:
-            self.spark.sql(f"DROP TABLE IF EXISTS {staging}")
-            raise
-        self.spark.sql(f"DROP TABLE {o.table}")
-        try:
-            self.spark.sql(f"ALTER TABLE {staging} RENAME TO {o.table}")
-        except Exception as e:
-            raise RuntimeError(f"{o.table} was dropped; its rows are in {staging}") from e
-        self._keep_objects(new)
-        self._follow(children, o.table, o.table, names)
+                for c in _referring(t, o.table):
+                    if {mine[x.lower()] for x in c.refers[1]} & fresh:
+                        self._demand(replace(c, refers=(new.key, tuple(mine[x.lower()] for x in c.refers[1]))), t, data)
+
+        changes.swap(self, old, new, rows, check, names)
+
+    @staticmethod
+    def _native(o: ops.Batch, t: Table) -> bool:
+        """Whether all changes are ones that leave the rows as they are."""
+        def plain(c):
+            if isinstance(c, ops.AddColumn):
+                x = c.column
+                return x.nullable and (x.default, x.computed, x.identity, c.fill, c.before, c.behind) == (None,) * 6
+            if isinstance(c, ops.AlterColumn):
+                return c.type is None and c.new_name is None and c.fill is None and c.using is None
+            return isinstance(c, (*_OBJECTS, ops.TableComment))
+
+        return not o.reordering and all(map(plain, o.changes))
 
     def rewrite(self, o: ops.Batch, source: Table | None = None) -> None:
         """``o`` by move-and-copy, with the definition of the table as the caller gives it (constraints it has, storage)."""
-        self._batch(o, source)
+        self._batch(replace(o, recreate="always"), source)
 
     @staticmethod
     def _demand(c: Constraint, t: Table, data) -> None:
-        bad = violations(c, t, data)
-        if not bad.isEmpty():
-            raise ValidationError(f"{t.key} would violate {c.name}, for example {bad.first()}")
+        if bad := violations(c, t, data).take(1):
+            raise ValidationError(f"{t.key} would violate {c.name}, for example {bad[0]}")
 
 
 _OBJECTS = (ops.AddConstraint, ops.DropConstraint, ops.CreateIndex, ops.DropIndex)
 
 
+def _referring(t: Table, parent: str) -> list[Constraint]:
+    return [c for c in t.constraints if c.refers and c.refers[0].lower() == parent.lower()]
+
+
+def _column(c: Column, nullable: bool, more: dict) -> Column:
+    made = more.get("identity")
+    return replace(c, nullable=nullable, computed=more.get("computed"), identity=made and Identity(**made))
+
+
 def _objects(stored: dict) -> tuple[tuple[Constraint, ...], tuple[Index, ...]]:
     constraints = tuple(
         Constraint(
             c["name"], c["kind"], tuple(c["columns"]), c["refers"] and (c["refers"][0], tuple(c["refers"][1])),
-            c["condition"], tuple(map(tuple, c["elements"])), c["where"], tuple(map(tuple, c["options"])),
+            c["condition"], tuple((tuple(e) if isinstance(e, list) else e, operator) for e, operator in c["elements"]), c["where"],
+            tuple(map(tuple, c["options"])),
         )
         for c in stored.get("constraints", ())
     )
@@ -349,60 +458,36 @@ def followed(old: Table, batch: ops.Batch) -> dict[str, str]:
     names = {c.name: c.name for c in old.columns}
     for o in batch.changes:
         if isinstance(o, ops.AlterColumn) and o.new_name:
-            names = {k: o.new_name if v == o.name else v for k, v in names.items()}
+            names = {k: o.new_name if v.lower() == o.name.lower() else v for k, v in names.items()}
         elif isinstance(o, ops.DropColumn):
-            names = {k: v for k, v in names.items() if v != o.name}
+            names = {k: v for k, v in names.items() if v.lower() != o.name.lower()}
     return names
 
 
-def touched(batch: ops.Batch, new: Table) -> set[str]:
-    """Columns of the new table whose values are not simply those of the old one."""
-    out: set[str] = set()
-    for o in batch.changes:
-        if isinstance(o, ops.AddColumn):
-            out.add(o.column.name)
-        elif isinstance(o, ops.DropColumn):
-            out.discard(o.name)
-        elif isinstance(o, ops.AlterColumn):
-            if o.type is not None or o.using is not None or o.fill is not None:
-                out.add(o.name)
-            if o.new_name and o.name in out:
-                out = out - {o.name} | {o.new_name}
-    return out & {c.name for c in new.columns}
-
-
-def _texts(c: Constraint) -> list[str]:
-    """The SQL texts of a constraint."""
-    parts = [x for e, _ in c.elements for x in ((e,) if isinstance(e, str) else e)]
-    return [*parts, *(x for x in (c.condition, c.where) if x)]
-
-
-def uses(c: Constraint, t: Table) -> set[str]:
-    """Columns of ``t`` that a constraint of it depends on."""
-    names = [x.name for x in t.columns]
-    return reduce(set.union, (references(x, names) for x in _texts(c)), set(c.columns))
-
-
 def carried(old: Table, batch: ops.Batch, new: Table, names: dict[str, str] | None = None) -> Table:
     """Constraints, indexes and storage after a batch: what depends on columns that went goes, renamed columns are followed, new ones come."""
     names = followed(old, batch) if names is None else names
+    low = {k.lower(): v for k, v in names.items()}
+    own = {c.name.lower() for c in old.columns}
     constraints, indexes = [], []
     for c in old.constraints:
-        columns = tuple(names[x] for x in c.columns if x in names)
+        columns = tuple(low[x.lower()] for x in c.columns if x.lower() in low)
         if uses(c, old) <= set(names):
             text = lambda x: x and renamed(x, names)
             elements = tuple(
                 (text(e) if isinstance(e, str) else tuple(map(text, e)), operator) for e, operator in c.elements
             )
             refers = c.refers
-            if refers and refers[0] == old.key:
-                refers = refers[0], tuple(names.get(x, x) for x in refers[1])
+            if refers and refers[0].lower() == old.key.lower():
+                refers = refers[0], tuple(low.get(x.lower(), x) for x in refers[1])
             constraints.append(replace(c, columns=columns, condition=text(c.condition), where=text(c.where), elements=elements, refers=refers))
         elif c.kind == "primary" and columns:
             constraints.append(replace(c, columns=columns))
     for i in old.indexes:
-        if all(x in names for x in i.columns):
-            indexes.append(replace(i, columns=tuple(names[x] for x in i.columns)))
+        if reduce(set.union, ({x} if x.lower() in own else references(x, own) for x in i.columns), set()) and all(
+            u.lower() in low for x in i.columns for u in ({x} if x.lower() in own else references(x, own))
+        ):
+            indexes.append(replace(i, columns=tuple(low[x.lower()] if x.lower() in own else renamed(x, names) for x in i.columns)))
     for o in batch.changes:
         if isinstance(o, ops.AddConstraint):
             constraints.append(o.constraint)
@@ -417,15 +502,38 @@ def carried(old: Table, batch: ops.Batch, new: Table, names: dict[str, str] | No
     return replace(new, constraints=tuple(constraints), indexes=tuple(indexes), storage=old.storage.following(names))
 
 
-def bulk_rows(spark: SparkSession, o: ops.BulkInsert) -> DataFrame:
-    """The rows as a DataFrame of the table's columns; what is left out takes the default."""
-    given = [c for c in o.table.columns if any(c.name in r for r in o.rows)]
+def whole_rows(t: Table, rows: DataFrame, given: frozenset[str] | None = None) -> DataFrame:
+    """``rows`` with all columns of ``t``: defaults for those that are missing, computed values, and nulls where identities are to come.
+
+    ``given``: the columns that were named, if ``rows`` has more than these.
+    """
+    have = {c.lower(): c for c in rows.columns}
+    named = set(have) if given is None else {g.lower() for g in given}
+    if odd := named - {c.name.lower() for c in t.columns}:
+        raise KeyError(f"table {t.key} has no column {sorted(odd)[0]}")
+    values = []
+    for c in t.columns:
+        if c.name.lower() in named and c.computed is not None:
+            raise ValueError(f"{t.key}.{c.name} is computed and can't be given values")
+        if c.name.lower() in named and c.identity and c.identity.always:
+            raise ValueError(f"{t.key}.{c.name} is always numbered and can't be given values")
+        if c.computed is None:
+            value = F.col(f"`{have[c.name.lower()]}`") if c.name.lower() in have else F.expr(c.default if c.default is not None else "NULL")
+            values.append(value.cast(c.type).alias(c.name))
+    return with_computed(t.columns, rows.select(*values)).select(*(quoted(c.name) for c in t.columns))
+
+
+def bulk_rows(spark: SparkSession, o: ops.BulkInsert, t: Table | None = None) -> DataFrame:
+    """The rows as a DataFrame of the table's columns; what is left out takes the default. ``t``: the table as it is, if not the operation's."""
+    columns = (t or o.table).columns
+    own = [{k.lower(): v for k, v in r.items()} for r in o.rows]
+    given = [c for c in columns if any(c.name.lower() in r for r in own)]
     known = spark.createDataFrame(
-        [tuple(r.get(c.name) for c in given) + tuple(c.name in r for c in given) for r in o.rows],
+        [tuple(r.get(c.name.lower()) for c in given) + tuple(c.name.lower() in r for c in given) for r in own],
         ", ".join([f"`{c.name}` {c.type}" for c in given] + [f"`has {c.name}` boolean" for c in given]),
     )
     values = []
-    for c in o.table.columns:
+    for c in columns:
         default = F.expr(c.default or "NULL").cast(c.type)
         values.append((F.when(F.col(f"`has {c.name}`"), F.col(f"`{c.name}`")).otherwise(default) if c in given else default).alias(c.name))
     return known.select(*values)

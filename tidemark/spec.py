@@ -8,15 +8,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 
+#: Table property of an identity column: the next number.
+NEXT = "tidemark.next."
+
+
+@dataclass(frozen=True)
+class Identity:
+    """Numbers that rows get where none is given; ``always``: none may be given. ``order``: SQL by which rows that are there are numbered."""
+
+    start: int = 1
+    step: int = 1
+    always: bool = False
+    order: str | None = None
+
+
 @dataclass(frozen=True)
 class Column:
-    """``default`` is a SQL expression text; ``type`` a Spark type string."""
+    """``default`` is a SQL expression text; ``type`` a Spark type string; ``computed`` SQL over the other columns."""
 
     name: str
     type: str
     nullable: bool = True
     default: str | None = None
     comment: str | None = None
+    computed: str | None = None
+    identity: Identity | None = None
 
     def field(self) -> StructField:
         meta = {}
@@ -36,7 +52,7 @@ class Column:
 class Constraint:
     """kind: primary, unique, foreign, check, exclude.
 
-    foreign: ``refers`` is (table, columns). check: ``condition`` is SQL. exclude: ``elements`` are
+    primary, unique: ``columns``, or ``elements`` with "=" for expressions. foreign: ``refers`` is (table, columns). check: ``condition`` is SQL. exclude: ``elements`` are
     (expression, operator) pairs, operators "=" or "&&" (an interval: expression is "low,high") or
     "~n" (numbers closer than n).
     """
@@ -53,27 +69,42 @@ class Constraint:
 
 @dataclass(frozen=True)
 class Index:
+    """``columns`` are names, or SQL expressions over the columns."""
+
     name: str
     columns: tuple[str, ...]
     unique: bool = False
 
+    def constraint(self, t: Table) -> Constraint:
+        """What a unique index demands of ``t``."""
+        names = {c.name.lower() for c in t.columns}
+        return Constraint(self.name, "unique", elements=tuple((f"`{c}`" if c.lower() in names else c, "=") for c in self.columns))
+
 
 @dataclass(frozen=True)
 class Storage:
-    """How a table's rows lie on disk; ``buckets`` is their number, columns and sort columns."""
+    """How a table's rows lie on disk; ``buckets`` is their number, columns and sort columns.
+
+    An ``external`` table's rows stay at ``location`` when it is dropped; of other tables the catalog chooses the place.
+    """
 
     provider: str = "parquet"
     partitions: tuple[str, ...] = ()
     buckets: tuple[int, tuple[str, ...], tuple[str, ...]] | None = None
     options: tuple[tuple[str, str], ...] = ()
     properties: tuple[tuple[str, str], ...] = ()
+    location: str | None = None
+    external: bool = False
 
     def following(self, names) -> Storage:
         """With columns called by their new names (``names``: old to new); columns that are not in it go."""
-        kept = lambda columns: tuple(names[c] for c in columns if c in names)
+        low = {k.lower(): v for k, v in names.items()}
+        kept = lambda columns: tuple(low[c.lower()] for c in columns if c.lower() in low)
         buckets = self.buckets and (self.buckets[0], kept(self.buckets[1]), kept(self.buckets[2]))
         whole = buckets and len(buckets[1]) == len(self.buckets[1])
-        return replace(self, partitions=kept(self.partitions), buckets=buckets if whole else None)
+        marks = {f"{NEXT}{k}": f"{NEXT}{v}" for k, v in names.items()}
+        properties = tuple((marks.get(k, k), v) for k, v in self.properties if not k.startswith(NEXT) or k in marks)
+        return replace(self, partitions=kept(self.partitions), buckets=buckets if whole else None, properties=properties)
 
 
 @dataclass(frozen=True)
@@ -94,8 +125,9 @@ class Table:
         return StructType([c.field() for c in self.columns])
 
     def column(self, name: str) -> Column:
+        """Names are found without case, as Spark does."""
         for c in self.columns:
-            if c.name == name:
+            if c.name.lower() == name.lower():
                 return c
         raise KeyError(f"table {self.name} has no column {name}")
 
