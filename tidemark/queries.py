@@ -578,3 +578,6 @@ def revision_names(spark, d):
         "event_id", stamp_parts(F.col("ts"))["epoch"].alias("epoch"), rev.alias("rev"),
         file_name(rev, F.col("event_type"), F.col("ts"), "-05:00").alias("name"),
     )
+
+
+from . import change_queries  # noqa: E402, F401  (registers its queries here)
