@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import pytest
+
 from tidemark.operators import ops
 from tidemark.plans.diff import compare
 from tidemark.plans.migrate import by_reference, changes
@@ -47,3 +49,46 @@ def test_plan_carried_out(spark):
     assert [tuple(r) for r in spark.table("mig_parent").collect()] == [(1, 3, "new")]
     for n in names:
         spark.sql(f"DROP TABLE {n}")
+
+
+def test_expressions_are_compared_as_they_are_read(spark):
+    from tidemark.functions.expressions import canonical
+
+    columns = {"a": "int", "B": "string", "c": "int"}
+    form = canonical(spark, columns, [
+        "a + c", "C + `a`", "(c)+(A)", "a - c", "c - a", "lower(b)", "LOWER( `B` )", "upper(b)", "a > 1 AND c = 2", "2 = c and (1 < a)", "nothing + 1", "'x'", "('x')", "'X'",
+    ])
+    same = [("a + c", "C + `a`"), ("a + c", "(c)+(A)"), ("lower(b)", "LOWER( `B` )"), ("a > 1 AND c = 2", "2 = c and (1 < a)"), ("'x'", "('x')")]
+    other = [("a - c", "c - a"), ("lower(b)", "upper(b)"), ("'x'", "'X'"), ("a + c", "nothing + 1")]
+    assert all(form[x] == form[y] for x, y in same) and all(form[x] != form[y] for x, y in other)
+
+
+def test_diff_of_expressions_identities_and_schemas(spark):
+    import warnings
+
+    from tidemark.operators import ops
+    from tidemark.plans import diff
+    from tidemark.plans.migrate import changes
+    from tidemark.spec import Catalog, Column, Constraint, Identity, Index, Table
+
+    def table(index, default, condition, computed, identity, nullable=True, **more):
+        columns = (Column("id", "bigint", nullable, identity=identity), Column("a", "int", True, default), Column("b", "int", computed=computed))
+        return Table("t", columns, (Constraint("ck", "check", condition=condition),), (Index("ix", (index, "a")),), **more)
+
+    old = table("a + b", "1 + 2", "a > 0 AND b > 0", "a * 2", Identity(1, 1))
+    same = table("B + a", "(2 + 1)", "(b > 0) and 0 < a", "2 * a", Identity(1, 1, order="a"), False, schema="default")
+    pairs = lambda *t: (Catalog(t[:1]), Catalog(t[1:]))
+    assert diff.compare(spark, *pairs(old, same), compare_defaults=True, compare_conditions=True).collect() == []
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", UserWarning)
+        assert changes(spark, *pairs(old, same)) == []
+    new = table("a - b", "4", "a > 1 AND b > 0", "a * 3", Identity(5, 1))
+    found = {(r.kind, r.object) for r in diff.compare(spark, *pairs(old, new), compare_defaults=True, compare_conditions=True).collect()}
+    assert found == {("remove_index", "ix"), ("add_index", "ix"), ("modify_default", "a"), ("modify_default", "id"), ("remove_constraint", "ck"), ("add_constraint", "ck")}
+    with pytest.warns(UserWarning, match="t.b: computed as a \\* 2"):
+        todo = changes(spark, *pairs(old, new))
+    assert [type(o) for o in todo] == [ops.DropIndex, ops.Batch, ops.CreateIndex]
+    assert todo[1].changes[0].identity == Identity(5, 1) and todo[1].changes[0].reverse().identity == Identity(1, 1)
+    other = Table("t", (), schema="own"), Table("v", (), schema="information_schema")
+    assert diff.schemas(Catalog((same,)), Catalog(other)) == [None, "own"]
+    assert diff.schemas(Catalog((same,)), Catalog(other), only=lambda kind, name: name != "own") == [None]

@@ -1,43 +1,81 @@
 """Schema diff: two catalogs as DataFrames, matched by full outer joins.
 
-A catalog is ``columns`` (tbl, col, type, nullable, default, comment) and ``objects`` (tbl, kind, name,
+A catalog is ``columns`` (tbl, col, type, nullable, default, comment, computed, identity) and ``objects`` (tbl, kind, name,
 signature), kind one of index, unique, foreign, check. A diff is rows (kind, tbl, object, old, new).
-Renames look like drop and add; primary keys are not compared; checks are compared by name only. Foreign
-keys are alike if both ends and their options are; "NO ACTION" is the default and counts as no option.
+Renames look like drop and add; primary keys are not compared; checks are compared by name only, unless conditions are
+asked for. Foreign keys are alike if both ends and their options are; "NO ACTION" is the default and counts as no option.
+Expressions (of indexes, defaults, checks, computed columns) are alike if Catalyst reads them alike. A computed column's expression
+can't be changed in place, so that another one is no difference but a warning (``warned``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.casts import plain_default, types_differ
-from ..spec import Catalog, Constraint
+from ..functions.expressions import canonical
+from ..spec import Catalog, Constraint, Identity, Table
 
-COLUMNS = "tbl string, col string, type string, nullable boolean, default string, comment string"
+COLUMNS = (
+    "tbl string, col string, type string, nullable boolean, default string, comment string, computed string, identity string, "
+    "default_form string, computed_form string"
+)
 OBJECTS = "tbl string, kind string, name string, signature string"
 
 
-def columns_of(spark: SparkSession, catalog: Catalog) -> DataFrame:
-    rows = [(t.key, c.name, c.type, c.nullable, c.default, c.comment) for t in catalog.tables for c in t.columns]
+class Forms(dict):
+    """(table, text) to what the expression is compared by; the text itself where there is none."""
+
+    def __missing__(self, key):
+        return key[1]
+
+    @staticmethod
+    def of(spark: SparkSession, *catalogs: Catalog) -> Forms:
+        """Of all expressions of the catalogs' tables, those of one name read over the columns of all of them."""
+        tables: dict[str, list[Table]] = {}
+        for t in (t for c in catalogs for t in c.tables):
+            tables.setdefault(t.key, []).append(t)
+        out = Forms()
+        for key, same in tables.items():
+            columns = {c.name.lower(): c.type for t in same for c in t.columns}
+            texts = [c.computed for t in same for c in t.columns] + [c.default for t in same for c in t.columns]
+            texts += [x for t in same for i in t.indexes for x in i.columns if x.lower() not in columns]
+            texts += [c.condition for t in same for c in t.constraints]
+            if wanted := {x for x in texts if x is not None}:
+                out |= {(key, text): form for text, form in canonical(spark, columns, wanted).items()}
+        return out
+
+
+def _identity(i: Identity | None) -> str | None:
+    """The options that count."""
+    return i and f"start {i.start} step {i.step}{' always' if i.always else ''}"
+
+
+def columns_of(spark: SparkSession, catalog: Catalog, forms: Mapping = Forms()) -> DataFrame:  # noqa: B008
+    form = lambda t, text: text and forms[t.key, text]
+    rows = [
+        (t.key, c.name, c.type, c.nullable, c.default, c.comment, c.computed, _identity(c.identity), form(t, c.default), form(t, c.computed))
+        for t in catalog.tables for c in t.columns
+    ]
     return spark.createDataFrame(rows, COLUMNS)
 
 
-def objects_of(spark: SparkSession, catalog: Catalog) -> DataFrame:
-    """Signatures: unique by sorted columns, index by uniqueness and ordered columns, foreign by both ends."""
+def objects_of(spark: SparkSession, catalog: Catalog, forms: Mapping = Forms(), conditions: bool = False) -> DataFrame:  # noqa: B008
+    """Signatures: unique by sorted columns, index by uniqueness and ordered columns or expressions, foreign by both ends."""
     rows = []
     for t in catalog.tables:
-        rows += [(t.key, "index", i.name, f"{i.unique}:{','.join(i.columns)}") for i in t.indexes]
+        rows += [(t.key, "index", i.name, f"{i.unique}:{','.join(forms[t.key, x] for x in i.columns)}") for i in t.indexes]
         for c in t.constraints:
             if c.kind == "unique":
                 rows.append((t.key, "unique", c.name, ",".join(sorted(c.columns))))
             elif c.kind == "foreign":
                 rows.append((t.key, "foreign", c.name, foreign_signature(c)))
             elif c.kind == "check":
-                rows.append((t.key, "check", c.name, c.name))
+                rows.append((t.key, "check", c.name, forms[t.key, c.condition] if conditions else c.name))
     return spark.createDataFrame(rows, OBJECTS)
 
 
@@ -84,7 +122,7 @@ def _matched(actual: DataFrame, desired: DataFrame) -> DataFrame:
     """Columns of the tables that both have, with a and d structs."""
     common = actual.select("tbl").distinct().join(desired.select("tbl").distinct(), "tbl", "left_semi")
     side = lambda df, name: df.join(common, "tbl", "left_semi").select(
-        "tbl", "col", F.struct("type", "nullable", "default", "comment").alias(name)
+        "tbl", "col", F.struct(*(c.split()[0] for c in COLUMNS.split(", ")[2:])).alias(name)
     )
     return side(actual, "a").join(side(desired, "d"), ["tbl", "col"], "full_outer")
 
@@ -98,13 +136,16 @@ def columns(actual: DataFrame, desired: DataFrame, *, compare_types: bool = True
         F.when(F.isnull("d"), F.struct(F.lit("remove_column").alias("kind"), F.col("a.type").alias("old"), F.lit(None).cast("string").alias("new"))),
     ]
     attributes = [
-        ("modify_nullable", "nullable", F.col("a.nullable") != F.col("d.nullable")),
+        # an identity is never null whatever is declared, and a computed column may not say whether it is
+        ("modify_nullable", "nullable", (F.col("a.nullable") != F.col("d.nullable")) & F.isnull("d.identity") & ~(F.col("d.computed").isNotNull() & F.col("d.nullable"))),
+        ("modify_default", "identity", ~F.col("a.identity").eqNullSafe(F.col("d.identity"))),
         ("modify_comment", "comment", F.coalesce("a.comment", F.lit("")) != F.coalesce("d.comment", F.lit(""))),
     ]
     if compare_types:
         attributes.append(("modify_type", "type", types_differ(F.col("a.type"), F.col("d.type"))))
     if compare_defaults:
-        attributes.append(("modify_default", "default", ~plain_default(F.col("a.default")).eqNullSafe(plain_default(F.col("d.default")))))
+        plain = lambda side: plain_default(F.col(f"{side}.default_form"))
+        attributes.append(("modify_default", "default", ~plain("a").eqNullSafe(plain("d"))))
     for kind, name, differs in attributes:
         value = F.struct(F.lit(kind).alias("kind"), F.col(f"a.{name}").cast("string").alias("old"), F.col(f"d.{name}").cast("string").alias("new"))
         changes.append(F.when(there & differs, value))
@@ -129,11 +170,42 @@ def objects(actual: DataFrame, desired: DataFrame) -> DataFrame:
     return found.select(*_row(F.col("x.verb"), F.col("id"), F.col("x.old"), F.col("x.new")))
 
 
-def compare(spark: SparkSession, actual: Catalog, desired: Catalog, *, only: Callable[[str, str], bool] | None = None, **options) -> DataFrame:
-    """The whole diff, of what ``only`` lets through. Objects of tables that are added or removed as a whole are not listed."""
+def warned(actual: DataFrame, desired: DataFrame) -> DataFrame:
+    """tbl, object, old, new of columns whose computed expression differs, or that are computed on one side only."""
+    both = _matched(actual, desired).where("a is not null and d is not null")
+    found = both.where(~F.col("a.computed_form").eqNullSafe(F.col("d.computed_form")))
+    return found.select("tbl", F.col("col").alias("object"), F.col("a.computed").alias("old"), F.col("d.computed").alias("new"))
+
+
+#: Schemas that hold no tables of the user's.
+HIDDEN = ("information_schema",)
+
+
+def schemas(actual: Catalog, desired: Catalog, default: str = "default", only: Callable[[str, str], bool] | None = None) -> list[str | None]:
+    """The schemas that are compared: all that either side has tables in, the default one as None; ``only("schema", name)`` leaves some out."""
+    names = {t.schema if t.schema != default else None for c in (actual, desired) for t in c.tables}
+    asked = [n for n in names if n not in HIDDEN and (only is None or n is None or only("schema", n))]
+    return sorted(asked, key=lambda n: n or "")
+
+
+def _normal(catalog: Catalog, default: str) -> Catalog:
+    return Catalog(tuple(replace(t, schema=None) if t.schema == default else t for t in catalog.tables if t.schema not in HIDDEN))
+
+
+def compare(
+    spark: SparkSession, actual: Catalog, desired: Catalog, *, only: Callable[[str, str], bool] | None = None, default_schema: str = "default",
+    compare_conditions: bool = False, **options,
+) -> DataFrame:
+    """The whole diff, of what ``only`` lets through. Objects of tables that are added or removed as a whole are not listed.
+
+    Tables are matched by schema and name; those of the default schema may name it or not.
+    """
+    actual, desired = _normal(actual, default_schema), _normal(desired, default_schema)
     if only is not None:
         actual, desired = filtered(actual, only), filtered(desired, only)
-    ac, dc = columns_of(spark, actual), columns_of(spark, desired)
+    forms = Forms.of(spark, actual, desired)
+    ac, dc = columns_of(spark, actual, forms), columns_of(spark, desired, forms)
+    own = lambda c: objects_of(spark, c, forms, compare_conditions)
     changed = tables(ac, dc)
-    found = comments(spark, actual, desired).unionByName(objects(objects_of(spark, actual), objects_of(spark, desired))).join(changed.select("tbl"), "tbl", "left_anti")
+    found = comments(spark, actual, desired).unionByName(objects(own(actual), own(desired))).join(changed.select("tbl"), "tbl", "left_anti")
     return changed.unionByName(columns(ac, dc, **options)).unionByName(found)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import warnings
 from collections import defaultdict
 
 from pyspark.sql import SparkSession
 
 from ..operators import ops
 from ..spec import Catalog, Table
-from .diff import compare, foreign_signature
+from .diff import Forms, columns_of, compare, foreign_signature, warned
 
 
 def by_reference(tables: list[Table]) -> list[Table]:
@@ -24,8 +25,12 @@ def by_reference(tables: list[Table]) -> list[Table]:
 def changes(spark: SparkSession, actual: Catalog, desired: Catalog, **options) -> list[ops.Operation]:
     """What makes ``actual`` into ``desired``: tables, then one batch of columns a table, then constraints and indexes.
 
-    The diff's rows are read on the driver: they are as many as there are differences between two schemas.
+    The diff's rows are read on the driver: they are as many as there are differences between two schemas. Of computed columns
+    whose expression differs it is only warned.
     """
+    forms = Forms.of(spark, actual, desired)
+    for r in warned(columns_of(spark, actual, forms), columns_of(spark, desired, forms)).collect():
+        warnings.warn(f"{r['tbl']}.{r['object']}: computed as {r['old']}, declared as {r['new']}; this can't be changed in place", stacklevel=2)
     rows = defaultdict(list)
     for r in compare(spark, actual, desired, **options).collect():
         rows[r["tbl"]].append(r)
@@ -52,6 +57,10 @@ def _altered(old: Table, new: Table, rows) -> list[ops.Operation]:
             columns.append(ops.DropColumn(new.key, name, old=old.column(name)))
         elif kind.startswith("modify_"):
             field = kind.removeprefix("modify_")
+            if field == "default" and old.column(name).identity != new.column(name).identity:
+                altered[name]["identity"] = new.column(name).identity
+                if old.column(name).default == new.column(name).default:
+                    continue
             altered[name][field] = getattr(new.column(name), field)
         elif kind.endswith("_index"):
             side, held = (new, after) if kind.startswith("add") else (old, before)
