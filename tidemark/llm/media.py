@@ -8,7 +8,8 @@ digest, so that a digest that a third of all documents share is a skewed but sma
 Spark splits.
 
 ``op5`` makes a page of each text and keeps its whole sequence, texts by their length, beside the payload's
-features; ``sequences`` does so for pages as they are.
+features; ``sequences`` does so for pages as they are, texts and all. ``composed`` makes pages of several paragraphs and media, and
+the store that their references are resolved in, of documents.
 
 Edge cases: a null text is an empty one; an empty payload is one row of spaces; repeated rows have
 equal values; references without a stored payload stay, unresolved; a null html has no elements;
@@ -187,6 +188,44 @@ class _Compose:
         return pa.array(out, pa.list_(_PLACE))
 
 
+#: Of the paragraphs of a document, each so many-th is a media element too.
+FIGURES = 3
+
+
+class _Paragraphs:
+    """page_id, text to page_id, html (its lines as paragraphs, some with a figure of the line's payload) and stored (digest, media)."""
+
+    def __call__(self, batches):
+        kind = pa.list_(pa.struct([("digest", pa.string()), ("media", pa.binary())]))
+        for batch in sliced(batches):
+            pages, stored, seen = [], [], set()
+            for text in batch.column(1).to_pylist():
+                page, own = [], []
+                for i, line in enumerate(x for x in (text or "").split("\n") if x.strip()):
+                    page.append(f"<p>{html.escape(line, quote=False)}</p>")
+                    if i % FIGURES == 0:
+                        data, n = payload(line)
+                        digest = hashlib.sha256(data).hexdigest()
+                        if digest not in seen:
+                            own.append({"digest": digest, "media": to_png(data)})
+                            seen.add(digest)
+                        page.append(f'<figure><img src="sha256:{digest}" alt=""><figcaption>paragraph {i}, {n} bytes</figcaption></figure>')
+                pages.append(f"<article>{''.join(page)}</article>")
+                stored.append(own)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pages, pa.string()), pa.array(stored, kind)], names=["page_id", "html", "stored"])
+
+
+def composed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pages (page_id, html) made of documents (doc_id, text), and the store (digest, media) of their media; a payload may be there more than once."""
+    made = settle(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_Paragraphs(), "page_id long, html string, stored array<struct<digest: string, media: binary>>"))
+    return made.select("page_id", "html"), made.select(F.explode("stored").alias("x")).select("x.*")
+
+
+def document_sequences(docs: DataFrame) -> DataFrame:
+    """The whole sequences of pages composed of ``docs``, with what the store has of each media element."""
+    return sequences(*composed(docs)).withColumnRenamed("page_id", "doc_id")
+
+
 class _Parse:
     """The ``html`` column of a batch replaced by its elements."""
 

@@ -15,6 +15,7 @@ QUERIES = {
     "op3_bpe_codec": lambda spark, d: bpe.op3(table(spark, d, "documents"), VOCABULARY),
     "op4_line_dedup": lambda spark, d: line_dedup.op4(table(spark, d, "documents")),
     "op5_media_columns": lambda spark, d: media.op5(table(spark, d, "documents")),
+    "media_document_sequences": lambda spark, d: media.document_sequences(table(spark, d, "documents")),
     "media_page_sequences": lambda spark, d: media.page_sequences(table(spark, d, "pages")),
     "op6_simhash_near_dedup": lambda spark, d: simhash.op6(table(spark, d, "documents")),
     "op7_url_filters": lambda spark, d: url_filter.judged(table(spark, d, "pages"), table(spark, d, "labels")),
