@@ -10,10 +10,12 @@ With 5 segments the key has two of them, about 26 of 64 bits; with 9, four and 2
 30 bits. More fingerprints take more segments (``segments``), so that a key tells them apart however large
 the table is, for as many rows a fingerprint as segments.
 
-A key shared by more than ``DENSE`` fingerprints, which then is a crowd of alike texts, is not expanded into
-pairs. There, each fingerprint also goes under itself with at most one of the other bits flipped: two
-fingerprints at distance 2 or less share such a key, and any two that share one are at distance 2 or
-less, so that each key links its members to the smallest of them. That is exact and linear.
+A key shared by more than ``DENSE`` fingerprints is lengthened to all segments of the chain but the last: on these the
+chain's budget is one bit, so a fingerprint looks under its own long key and under those one bit of a budgeted segment
+away, and what it meets is checked on the chain and on the full distance. Fingerprints of one long key differ in the last
+segment only, some 4 to 13 bits. Of more than ``DENSE`` such, which are the copies of one text, not all pairs are listed: each goes under itself
+with at most one bit flipped that the key does not hold, and is linked, after the check, to the smallest that it meets
+there. Two that meet are at most two bits apart, and two that are so do meet; that is exact and linear.
 
 Edge cases: null texts and those without words have fingerprint zero and are linked like any other; repeated
 rows fall into one component; very long texts are hashed in parts; a null doc_id is the smallest of a
@@ -32,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, settle, sliced
+from .common import components, forget, settle, sliced
 
 BITS = 2
 SHINGLE = 3
@@ -102,9 +104,10 @@ class _Ring:
         i %= self.m
         return F.shiftrightunsigned(fp, self.starts[i]).bitwiseAND(F.lit((1 << self.widths[i]) - 1))
 
-    def key(self, fp, i: int):
+    def key(self, fp, i: int, n: int | None = None):
+        """The first segments of the chain from segment i: those that are held, or ``n``."""
         out = F.lit(0).cast("long")
-        for j in range(i, i + self.held):
+        for j in range(i, i + (n or self.held)):
             out = F.shiftleft(out, self.widths[j % self.m]).bitwiseOR(self.segment(fp, j))
         return out
 
@@ -116,50 +119,64 @@ class _Ring:
             out = out & (total <= k * BITS // self.m)
         return out
 
-    def flips(self, i: int) -> list:
-        """One-bit flips outside the segments that members of a key share."""
-        held = {j % self.m for j in range(i, i + self.held)}
+    def flips(self, i: int, last: bool = True) -> list:
+        """One-bit flips outside the segments that members of a key share; without the chain's ``last`` segment if so."""
+        spared = range(i, i + self.held) if last else [*range(i, i + self.held), i + self.m - 1]
+        held = {j % self.m for j in spared}
         bits = [self.starts[j] + b for j in range(self.m) if j not in held for b in range(self.widths[j])]
         return [F.lit(((1 << b) + (1 << 63)) % (1 << 64) - (1 << 63)).cast("long") for b in bits]
 
+    def by_ring(self, value):
+        """``value(i)`` of the column ring."""
+        return F.coalesce(*(F.when(F.col("ring") == i, value(i)) for i in range(self.m)))
+
 
 def links(fps: DataFrame, m: int | None = None) -> DataFrame:
     """Of distinct fingerprints ``fps`` (fp long): links (a, b), enough to connect all that differ in ``BITS`` bits or fewer.
 
-    Every link is a true one; in sparse keys all true ones are there, in dense keys a star for each flip key.
+    Every link is a true one; all true ones are there but those within a crowded long key, which are a star for each flip.
     """
+    found = _links(fps, m)
+    return found.select("a", "b").distinct()
+
+
+def _links(fps: DataFrame, m: int | None = None) -> DataFrame:
+    """a, b and by: chain (of a sparse key), long (of a lengthened one), star."""
     m = m or segments(fps.count())
     ring = _Ring(m)
     keys = [F.struct(F.lit(i).alias("ring"), ring.key(F.col("fp"), i).alias("key")) for i in range(m)]
     ringed = settle(fps.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.ring", "k.key"))
     counts = settle(ringed.groupBy("ring", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
     shared = settle(ringed.join(counts, ["ring", "key"]))
-
-    few = shared.where(F.col("size") <= DENSE).select("ring", "key", "fp")
-    near = few.select("ring", "key", F.col("fp").alias("other"))
+    forget(ringed, counts)
     differ = F.col("fp").bitwiseXOR(F.col("other"))
-    chain = F.lit(False)
-    for i in range(m):
-        chain = F.when(F.col("ring") == i, ring.chain(differ, i)).otherwise(chain)
-    sparse = (
-        few.join(near, ["ring", "key"])
-        .where((F.col("fp") < F.col("other")) & chain & (F.bit_count(differ) <= BITS))
-        .select(F.col("fp").alias("a"), F.col("other").alias("b"))
-    )
+    near = ring.by_ring(lambda i: ring.chain(differ, i)) & (F.bit_count(differ) <= BITS)
+    pair = F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")
 
-    dense = shared.where(F.col("size") > DENSE).select("ring", "key", "fp")
-    flips = [F.when(F.col("ring") == i, F.array(F.lit(0).cast("long"), *ring.flips(i))) for i in range(m)]
-    flipped = (
-        dense.withColumn("flip", F.explode(F.coalesce(*flips)))
-        .withColumn("at", F.col("fp").bitwiseXOR(F.col("flip")))
-        .drop("flip", "key")
-    )
-    flipped = settle(flipped)
+    few = shared.where(F.col("size") <= DENSE).select("ring", "key", "fp")
+    others = few.select("ring", "key", F.col("fp").alias("other"))
+    sparse = few.join(others, ["ring", "key"]).where((F.col("fp") < F.col("other")) & near).select(*pair, F.lit("chain").alias("by"))
+
+    dense = shared.where(F.col("size") > DENSE).select("ring", "fp")
+    dense = settle(dense.withColumn("long", ring.by_ring(lambda i: ring.key(F.col("fp"), i, m - 1))))
+    cells = settle(dense.groupBy("ring", "long").agg(F.count(F.lit(1)).alias("size")))
+    celled = settle(dense.join(cells, ["ring", "long"]))
+    forget(dense, cells)
+    none = F.lit(0).cast("long")
+    asking = celled.where(F.col("size") <= DENSE).withColumn("flip", F.explode(ring.by_ring(lambda i: F.array(none, *ring.flips(i, False)))))
+    asking = asking.withColumn("flipped", F.col("fp").bitwiseXOR(F.col("flip")))
+    asking = settle(asking.select("ring", "fp", ring.by_ring(lambda i: ring.key(F.col("flipped"), i, m - 1)).alias("long")))
+    asked = celled.select("ring", "long", F.col("fp").alias("other"), (F.col("size") > DENSE).alias("crowd"))
+    longer = asking.join(asked, ["ring", "long"]).where((F.col("crowd") | (F.col("fp") < F.col("other"))) & near).select(*pair, F.lit("long").alias("by"))
+
+    crowd = celled.where(F.col("size") > DENSE).select("ring", "fp")
+    crowd = crowd.withColumn("flip", F.explode(ring.by_ring(lambda i: F.array(none, *ring.flips(i)))))
+    flipped = settle(crowd.withColumn("at", F.col("fp").bitwiseXOR(F.col("flip"))).drop("flip"))
     heads = settle(
-        flipped.groupBy("ring", "at").agg(F.min("fp").alias("head"), F.max("fp").alias("last")).where("head < last").drop("last")
+        flipped.groupBy("ring", "at").agg(F.min("fp").alias("other"), F.max("fp").alias("last")).where("other < last").drop("last")
     )
-    stars = flipped.join(heads, ["ring", "at"]).where("fp <> head").select(F.col("head").alias("a"), F.col("fp").alias("b"))
-    return sparse.unionAll(stars).distinct()
+    stars = flipped.join(heads, ["ring", "at"]).where((F.col("fp") != F.col("other")) & (F.bit_count(differ) <= BITS))
+    return sparse.unionAll(longer).unionAll(stars.select(*pair, F.lit("star").alias("by")))
 
 
 def grouped(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
@@ -174,6 +191,7 @@ def grouped(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
     rooted = settle(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     lowest = settle(rooted.groupBy("root").agg(F.min("least").alias("_component")))
     classes = settle(rooted.join(lowest, "root").select(F.col("fp").alias("_fp"), "_component"))
+    forget(nodes, roots, rooted, lowest)
     return prints.join(classes, "_fp")
 
 
