@@ -21,7 +21,7 @@ def canonical(spark: SparkSession, columns: Mapping[str, str], texts: Iterable[s
     fields = []
     for name, kind in columns.items():
         try:
-            fields.append(StructField(name, _parse_datatype_string(kind)))
+            fields.append(StructField(name, _parse_datatype_string(re.sub(r"\b(var)?char\(\d+\)", "string", kind, flags=re.I))))
         except Exception:
             continue
     base = spark.createDataFrame([], StructType(fields))

@@ -23,7 +23,10 @@ def objects_json(t: Table) -> str:
         "indexes": [asdict(i) for i in t.indexes],
         "not_null": [c.name for c in t.columns if not c.nullable],
         "columns": {
-            c.name: {"computed": c.computed, "identity": c.identity and asdict(c.identity)} for c in t.columns if c.computed is not None or c.identity
+            c.name: {
+                "type": c.type, "default": c.default, "comment": c.comment, "computed": c.computed, "identity": c.identity and asdict(c.identity),
+            }
+            for c in t.columns
         },
         "end": True,
     }

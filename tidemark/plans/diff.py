@@ -11,14 +11,16 @@ can't be changed in place, so that another one is no difference but a warning (`
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from dataclasses import replace
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.casts import plain_default, types_differ
 from ..functions.expressions import canonical
-from ..spec import Catalog, Constraint, Identity, Table
+from ..sources.catalog import stored
+from ..sources.scratch import settle
+from ..spec import Catalog, Column, Constraint, Identity, Table
 
 COLUMNS = (
     "tbl string, col string, type string, nullable boolean, default string, comment string, computed string, identity string, "
@@ -96,10 +98,9 @@ def filtered(catalog: Catalog, only: Callable[[str, str], bool]) -> Catalog:
     return Catalog(tuple(out))
 
 
-def comments(spark: SparkSession, actual: Catalog, desired: Catalog) -> DataFrame:
-    """add_table_comment (also where another was there) and remove_table_comment, of tables that both have."""
-    own = lambda c, name: spark.createDataFrame([(t.key, t.comment or None) for t in c.tables], f"tbl string, {name} string")
-    both = own(actual, "a").join(own(desired, "d"), "tbl").where(~F.col("a").eqNullSafe(F.col("d")))
+def comments(actual: DataFrame, desired: DataFrame) -> DataFrame:
+    """add_table_comment (also where another was there) and remove_table_comment, of tables (tbl, comment) that both have."""
+    both = actual.withColumnRenamed("comment", "a").join(desired.withColumnRenamed("comment", "d"), "tbl").where(~F.col("a").eqNullSafe(F.col("d")))
     kind = F.when(F.isnull("d"), "remove_table_comment").otherwise("add_table_comment")
     return both.select(*_row(kind, None, F.col("a"), F.col("d")))
 
@@ -111,7 +112,7 @@ def _row(kind, object_, old, new):
 
 
 def tables(actual: DataFrame, desired: DataFrame) -> DataFrame:
-    """add_table and remove_table, of ``columns`` frames."""
+    """add_table and remove_table."""
     a = actual.select("tbl").distinct().withColumn("a", F.lit(True))
     d = desired.select("tbl").distinct().withColumn("d", F.lit(True))
     both = a.join(d, "tbl", "full_outer").where("a is null or d is null")
@@ -192,6 +193,20 @@ def _normal(catalog: Catalog, default: str) -> Catalog:
     return Catalog(tuple(replace(t, schema=None) if t.schema == default else t for t in catalog.tables if t.schema not in HIDDEN))
 
 
+@dataclass(frozen=True)
+class Frames:
+    """A catalog as DataFrames: columns and objects as above, tables (tbl, comment)."""
+
+    columns: DataFrame
+    objects: DataFrame
+    tables: DataFrame
+
+
+def frames_of(spark: SparkSession, catalog: Catalog, forms: Mapping, conditions: bool = False) -> Frames:
+    tables = spark.createDataFrame([(t.key, t.comment or None) for t in catalog.tables], "tbl string, comment string")
+    return Frames(columns_of(spark, catalog, forms), objects_of(spark, catalog, forms, conditions), tables)
+
+
 def compare(
     spark: SparkSession, actual: Catalog, desired: Catalog, *, only: Callable[[str, str], bool] | None = None, default_schema: str = "default",
     compare_conditions: bool = False, **options,
@@ -204,8 +219,68 @@ def compare(
     if only is not None:
         actual, desired = filtered(actual, only), filtered(desired, only)
     forms = Forms.of(spark, actual, desired)
-    ac, dc = columns_of(spark, actual, forms), columns_of(spark, desired, forms)
-    own = lambda c: objects_of(spark, c, forms, compare_conditions)
-    changed = tables(ac, dc)
-    found = comments(spark, actual, desired).unionByName(objects(own(actual), own(desired))).join(changed.select("tbl"), "tbl", "left_anti")
-    return changed.unionByName(columns(ac, dc, **options)).unionByName(found)
+    return compared(*(frames_of(spark, c, forms, compare_conditions) for c in (actual, desired)), **options)
+
+
+def compared(actual: Frames, desired: Frames, **options) -> DataFrame:
+    changed = tables(actual.tables, desired.tables)
+    found = comments(actual.tables, desired.tables).unionByName(objects(actual.objects, desired.objects)).join(changed.select("tbl"), "tbl", "left_anti")
+    return changed.unionByName(columns(actual.columns, desired.columns, **options)).unionByName(found)
+
+
+def compare_live(db, desired: Catalog, database: str | None = None, *, only: str | None = None, compare_conditions: bool = False, **options) -> DataFrame:
+    """The diff of a database as it is: however many tables it has, its definitions come from one statement and stay DataFrames.
+
+    Only expressions are looked at on the driver. ``only``: SQL over tbl, for tables that are compared; ``database`` is the tables' schema.
+    """
+    spark = db.spark
+    desired = _normal(desired, database or "default")
+    columns, found = settle(db.definitions(database)), settle(stored(db._listed(database)))
+    if only is not None:
+        keep = F.expr(only.replace("tbl", "table_name"))
+        columns, found = columns.where(keep), found.where(keep)
+        names = {r[0] for r in spark.createDataFrame([(t.key,) for t in desired.tables], "tbl string").where(only).collect()}
+        desired = Catalog(tuple(t for t in desired.tables if t.key in names))
+    texts = found.select("table_name", F.explode(F.concat(
+        F.coalesce(F.flatten("o.indexes.columns"), F.array().cast("array<string>")), F.coalesce("o.constraints.condition", F.array().cast("array<string>")),
+    )).alias("text")).unionAll(columns.select("table_name", F.explode(F.array("default", "computed"))))
+    texts = [tuple(r) for r in texts.where("text is not null").distinct().collect()]
+    wide = {k for k, _ in texts} | {t.key for t in desired.tables if any(c.default or c.computed for c in t.columns) or t.indexes or t.constraints}
+    typed: dict[str, dict[str, str]] = {}
+    for r in columns.where(F.col("table_name").isin(sorted(wide))).select("table_name", "name", "type").collect():
+        typed.setdefault(r[0], {})[r[1].lower()] = r[2]
+    have = Catalog(tuple(
+        Table(k, tuple(Column(c, kind) for c, kind in own.items()), tuple(Constraint("", "check", condition=x) for key, x in texts if key == k)) for k, own in typed.items()
+    ))
+    forms = Forms.of(spark, have, desired)
+    listed = spark.createDataFrame([(k, x, forms[k, x]) for k, x in texts], "tbl string, text string, form string")
+    by_table = listed.groupBy("tbl").agg(F.map_from_entries(F.collect_list(F.struct("text", "form"))).alias("forms"))
+    actual = _live(columns.withColumnRenamed("table_name", "tbl"), found.withColumnRenamed("table_name", "tbl"), by_table, compare_conditions)
+    return compared(actual, frames_of(spark, desired, forms, compare_conditions), **options)
+
+
+def _live(columns: DataFrame, found: DataFrame, forms: DataFrame, conditions: bool) -> Frames:
+    """A listing's definitions in the form of ``frames_of``."""
+    form = lambda x: F.coalesce(F.try_element_at("forms", x), x)
+    i = F.col("identity")
+    identity = F.when(i.isNotNull(), F.concat(F.lit("start "), i["start"], F.lit(" step "), i["step"], F.when(i["always"], " always").otherwise("")))
+    own = columns.join(forms, "tbl", "left").select(
+        "tbl", F.col("name").alias("col"), "type", "nullable", "default", "comment", "computed", identity.alias("identity"),
+        form(F.col("default")).alias("default_form"), form(F.col("computed")).alias("computed_form"),
+    )
+    held = found.join(forms, "tbl", "left")
+    c, x = F.col("c"), F.explode("o.constraints").alias("c")
+    options = F.transform(F.filter(c["options"], lambda p: F.lower(p[1]) != "no action"), lambda p: F.concat(F.lit(" "), F.lower(p[0]), F.lit(" "), F.lower(p[1])))
+    parent, keys = F.get_json_object(c["refers"], "$[0]"), F.from_json(F.get_json_object(c["refers"], "$[1]"), "array<string>")
+    foreign = F.concat(F.array_join(c["columns"], ","), F.lit("->"), parent, F.lit("("), F.array_join(keys, ","), F.lit(")"), F.array_join(F.array_sort(options), ""))
+    signature = (
+        F.when(c["kind"] == "unique", F.array_join(F.array_sort(c["columns"]), ",")).when(c["kind"] == "foreign", foreign)
+        .when(c["kind"] == "check", form(c["condition"]) if conditions else c["name"])
+    )
+    constraints = held.select("tbl", "forms", x).where(c["kind"].isin("unique", "foreign", "check")).select("tbl", "c.kind", "c.name", signature.alias("signature"))
+    indexes = held.select("tbl", "forms", F.explode("o.indexes").alias("i")).select(
+        "tbl", F.lit("index").alias("kind"), "i.name",
+        F.concat(F.initcap(F.col("i.unique").cast("string")), F.lit(":"), F.array_join(F.transform("i.columns", form), ",")).alias("signature"),
+    )
+    tables = columns.groupBy("tbl").agg(F.first("table_comment").alias("comment"))
+    return Frames(own, constraints.unionAll(indexes), tables)

@@ -6,6 +6,7 @@ expects (branches stay together); ``plans.graph`` answers the same questions for
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
@@ -13,6 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import SparkSession
 
 from ..functions.casts import check_revision_id
+from ..sources.files import Busy, Files, Journal
 
 
 class RevisionError(ValueError):
@@ -73,10 +75,12 @@ class History:
         self.parents = {
             r.rev: list(dict.fromkeys([*r.down, *(labelled.get(d, d) for d in r.depends)])) for r in self.revisions.values()
         }
+        self.children: dict[str, list[str]] = {r: [] for r in self.revisions}
         for r, parents in self.parents.items():
             for p in parents:
                 if p not in self.revisions:
                     raise RevisionError(f"revision {p}, which {r} refers to, is not there")
+                self.children[p].append(r)
         if len(self.order(self.revisions)) < len(self.revisions):
             whole = self.parents
             self.parents = {r.rev: list(r.down) for r in self.revisions.values()}
@@ -108,8 +112,13 @@ class History:
         return seen
 
     def descendants(self, revs: Iterable[str]) -> set[str]:
-        targets = set(revs)
-        return {r for r in self.revisions if self.ancestors([r]) & targets}
+        todo, seen = list(revs), set()
+        while todo:
+            r = todo.pop()
+            if r not in seen:
+                seen.add(r)
+                todo += self.children[r]
+        return seen
 
     def order(self, revs: Iterable[str]) -> list[str]:
         """Descendants before ancestors, a branch followed down as long as nothing else needs its next revision."""
@@ -249,26 +258,53 @@ class History:
 
 
 class VersionTable:
-    """The applied heads, one row each, in a table of the session catalog."""
+    """The applied heads, one row each, in a table of the session catalog.
+
+    What counts are the states behind it: small files numbered from 1, each created exclusively. Who writes a state has to have read the
+    one before; of two that have read the same one writes the next, and the other gets an error before its step is recorded. The
+    table shows the last state.
+    """
 
     def __init__(self, spark: SparkSession, name: str = "tidemark_version"):
         self.spark, self.name = spark, name
+        self._files = Files(spark)
+        self._folder = f"{Journal(spark, name.rpartition('.')[0] or None).folder}/versions/{name.rpartition('.')[2].lower()}"
 
-    def ensure(self) -> None:
+    def ensure(self, purge: bool = False) -> None:
+        """Make the table if it is not there; ``purge``: and record that nothing is applied."""
         self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name} (version_num STRING) USING parquet")
+        if purge:
+            self.write([], self.heads())
+
+    def state(self) -> tuple[int, list[str]]:
+        """The last state's number and heads; 0 and what the table holds, if no state was written yet."""
+        numbers = [int(n.removesuffix(".json")) for n in self._files.names(self._folder) if re.fullmatch(r"\d+\.json", n)]
+        if numbers:
+            return max(numbers), json.loads(self._files.read(f"{self._folder}/{max(numbers)}.json"))
+        there = self.spark.catalog.tableExists(self.name)
+        return 0, sorted(r[0] for r in self.spark.table(self.name).collect()) if there else []  # a few heads
 
     def heads(self) -> list[str]:
-        if not self.spark.catalog.tableExists(self.name):
-            return []
-        return sorted(r[0] for r in self.spark.table(self.name).collect())  # a few heads
+        return self.state()[1]
 
-    def write(self, heads: Iterable[str], expected: Iterable[str]) -> None:
-        """``heads`` instead of what is there, if that is as ``expected``."""
+    def write(self, heads: Iterable[str], expected: Iterable[str], after: int | None = None) -> int:
+        """``heads`` instead of what is there, if that is as ``expected`` (and still the state of number ``after``). The new state's number."""
         self.ensure()
-        if (there := self.heads()) != sorted(expected):
-            raise RevisionError(f"the version table holds {there}, not {sorted(expected)}")
+        number, there = self.state()
+        if there != sorted(expected) or after not in (None, number):
+            raise RevisionError(f"the version table holds {there}, not {sorted(expected)}: another migration has written it")
+        heads = sorted(heads)
+        try:
+            self._files.write_new(f"{self._folder}/{number + 1}.json", json.dumps(heads))
+        except Busy as e:
+            raise RevisionError(f"another migration has written the state after {there}") from e
         rows = self.spark.createDataFrame([(h,) for h in heads], "version_num string")
         rows.coalesce(1).write.insertInto(self.name, overwrite=True)
+        return number + 1
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        self._files.delete(self._folder)
 
 
 class Migrator:
@@ -278,13 +314,13 @@ class Migrator:
         self.history, self.versions = history, versions or VersionTable(spark)
 
     def _step(self, rev: str, up: bool, database) -> None:
-        current = self.versions.heads()
+        number, current = self.versions.state()
         own = self.history.revisions[rev]
         work = own.upgrade if up else own.downgrade
         if work is not None and database is not None:
             work(database)
         after = self.history.heads_after(current, [rev] if up else [], [] if up else [rev])
-        self.versions.write(after, current)
+        self.versions.write(after, current, number)
 
     def upgrade(self, target: str, database=None) -> list[str]:
         run = self.history.upgrade(self.versions.heads(), target)

@@ -114,12 +114,7 @@ class Database:
 
         table_name, kind (primary, unique, foreign, check, exclude, index, unique index), name, columns (array), refers (table), refers_columns, condition.
         """
-        text = F.regexp_extract("information", rf"{PROPERTY.replace('.', chr(92) + '.')}=(\{{.*?{ops.END}\}})", 1)
-        shape = (
-            "constraints array<struct<name:string,kind:string,columns:array<string>,refers:string,condition:string>>, "
-            "indexes array<struct<name:string,columns:array<string>,unique:boolean>>"
-        )
-        own = self._listed(database).select(F.col("tableName").alias("table_name"), F.from_json(text, shape).alias("o"))
+        own = stored(self._listed(database))
         c = own.select("table_name", F.explode("o.constraints").alias("c")).select(
             "table_name", "c.kind", "c.name", "c.columns", F.get_json_object("c.refers", "$[0]").alias("refers"),
             F.from_json(F.get_json_object("c.refers", "$[1]"), "array<string>").alias("refers_columns"), "c.condition",
@@ -131,6 +126,24 @@ class Database:
         )
         return c.unionAll(i)
 
+    def definitions(self, database: str | None = None) -> DataFrame:
+        """All tables of a database from one statement: table_name, comment, place and name of each column with its type, nullable, default, comment, computed, identity.
+
+        What this library has stored of a column counts where the column is still there; else there is its type as the listing has it.
+        """
+        listed = self._listed(database)
+        lines = F.regexp_extract_all("information", F.lit(r"(?m)^ \|-- (.*)$"), 1)
+        rows = stored(listed, "information").select("table_name", "o", "information", F.posexplode(lines).alias("place", "line"))
+        name, plain = F.regexp_extract("line", r"^(.*): [^:]*$", 1), F.regexp_extract("line", r": (\S+) \(nullable", 1)
+        short = F.create_map(*(F.lit(x) for pair in _NAMES.items() for x in pair))
+        own = lambda field: F.try_element_at("o.columns", F.col("name"))[field]
+        return rows.withColumns({"name": name, "plain": F.coalesce(F.try_element_at(short, plain), plain)}).select(
+            "table_name", F.nullif(F.regexp_extract("information", r"(?m)^Comment: (.*)$", 1), F.lit("")).alias("table_comment"), "place", "name",
+            F.coalesce(own("type"), "plain").alias("type"),
+            (~F.coalesce(F.array_contains("o.not_null", F.col("name")), F.lit(False))).alias("nullable"),
+            own("default").alias("default"), own("comment").alias("comment"), own("computed").alias("computed"), own("identity").alias("identity"),
+        )
+
     def known(self, o: ops.Operation) -> ops.Operation:
         """``o`` with the definitions and places that its inverse needs, as they are now."""
         if isinstance(o, ops.DropTable):
@@ -240,6 +253,7 @@ class Database:
         if c.nullable and c.default is None and c.computed is None and c.identity is None and o.fill is None and not (o.before or o.behind):
             for s in o.sql():
                 self.spark.sql(s)
+            self._keep_objects(t.with_columns((*t.columns, c)))
         else:
             self._batch(ops.Batch(o.table, (o,)))
 
@@ -418,6 +432,22 @@ class Database:
             raise ValidationError(f"{t.key} would violate {c.name}, for example {bad[0]}")
 
 
+#: Types as listings call them, where that is not their name in SQL.
+_NAMES = {"integer": "int", "long": "bigint", "short": "smallint", "byte": "tinyint"}
+
+_SHAPE = (
+    "constraints array<struct<name:string,kind:string,columns:array<string>,refers:string,condition:string,options:array<array<string>>,elements:string>>, "
+    "indexes array<struct<name:string,columns:array<string>,unique:boolean>>, not_null array<string>, columns map<string,struct<type:string,"
+    "default:string,comment:string,computed:string,identity:struct<start:bigint,step:bigint,always:boolean>>>"
+)
+
+
+def stored(listed: DataFrame, *more: str) -> DataFrame:
+    """table_name and what this library has stored of each table of a listing, as the struct o."""
+    text = F.regexp_extract("information", rf"{PROPERTY.replace('.', chr(92) + '.')}=(\{{.*?{ops.END}\}})", 1)
+    return listed.select(F.col("tableName").alias("table_name"), F.from_json(text, _SHAPE).alias("o"), *more)
+
+
 _OBJECTS = (ops.AddConstraint, ops.DropConstraint, ops.CreateIndex, ops.DropIndex)
 
 
