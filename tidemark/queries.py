@@ -13,6 +13,7 @@ from .functions.casts import file_name, revision_id, slug, stamp_parts, types_di
 from .operators import ops, validate
 from .operators.rewrite import Rewrite
 from .plans import diff, graph
+from .plans.growing import Growing
 from .sources.catalog import Database, ValidationError, bulk_rows
 from .sources.scratch import settle
 from .spec import Catalog, Column, Constraint, Index, Storage, Table
@@ -381,6 +382,23 @@ def version_state_stamp(spark, d):
     return graph.stamped(_graph(spark, d)[1], _revs(spark, "8", "14", "33"), _revs(spark, "6"))
 
 
+@query(f"""WITH RECURSIVE {_EDGES}, v AS (SELECT rev, down FROM edges WHERE kind = 'down'), deep AS (SELECT rev, 0 AS depth FROM nodes WHERE rev NOT IN (SELECT rev FROM v)
+UNION SELECT v.rev, t.depth + 1 FROM deep t JOIN v ON v.down = t.rev)
+SELECT rev, max(depth)::INTEGER AS depth, rev NOT IN (SELECT down FROM v) AS is_head, rev NOT IN (SELECT rev FROM v) AS is_base FROM deep GROUP BY rev""")
+def dag_growing(spark, d):
+    """Depths, heads and bases of a graph to which its upper half was added."""
+    nodes, edges = _graph(spark, d)
+    edges = graph.versioned(edges)
+    key = lambda c: F.col(c).cast("long")
+    half = nodes.agg(F.max(key("rev"))).first()[0] // 2
+    labels = spark.createDataFrame([], "rev string, label string")
+    state = Growing.built(nodes.where(key("rev") <= half), edges.where(key("rev") <= half), labels)
+    state = state.added(nodes.where(key("rev") > half), edges.where(key("rev") > half))
+    marked = lambda df, name: df.select("rev", F.lit(True).alias(name))
+    out = state.depths.join(marked(state.heads, "is_head"), "rev", "left").join(marked(state.bases, "is_base"), "rev", "left")
+    return out.select("rev", "depth", F.coalesce("is_head", F.lit(False)).alias("is_head"), F.coalesce("is_base", F.lit(False)).alias("is_base"))
+
+
 # tables of the session catalog: each query makes its own, changes it, keeps the rows and drops it
 
 
