@@ -53,3 +53,15 @@ def test_few_rows_for_a_crowd(spark):
     fps = {base ^ (1 << rnd.randrange(64)) ^ (1 << rnd.randrange(64)) for _ in range(600)}
     found = simhash._links(spark.createDataFrame([(signed(x),) for x in fps], "fp long"))
     assert found.count() < 600 * 64 * 2
+
+
+def test_columns_of_the_results_names(spark):
+    from pyspark.sql import functions as F
+
+    from tests.llm.test_llm_operators import clashing
+    from tidemark.llm import quality
+
+    docs = clashing(spark).withColumns({"_fp": F.lit("x"), "_component": F.lit(1)})
+    out = simhash.grouped(docs)
+    assert sorted(out.columns) == sorted(c for c in docs.columns if c != "text") and dict(out.dtypes)["_fp"] == "bigint"
+    assert quality.scored(clashing(spark), quality.Model.__new__(quality.Model)).columns.count("_score") == 1

@@ -215,7 +215,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with _score (0 to 1)."""
+    """``docs`` with _score (0 to 1), which replaces a column of that name."""
+    docs = docs.drop("_score")
     return docs.mapInArrow(_Score(model), StructType([*docs.schema.fields]).add("_score", "double"))
 
 

@@ -183,8 +183,9 @@ def grouped(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
     """``docs`` (doc_id, text and others): doc_id and other columns but text, _fp, _component (smallest doc_id reachable).
 
     Null and wordless texts have fingerprint 0 and are linked like any other. Repeated rows fall into
-    one component; a null doc_id is never the smallest unless all are null.
+    one component; a null doc_id is never the smallest unless all are null. Columns called _fp or _component are replaced.
     """
+    docs = docs.drop("_fp", "_component")
     prints = settle(fingerprints(docs, words))
     nodes = settle(prints.groupBy(F.col("_fp").alias("fp")).agg(F.min("doc_id").alias("least")))
     roots = components(links(nodes.select("fp")))
