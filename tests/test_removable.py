@@ -13,6 +13,7 @@ HERE = Path(__file__).resolve().parent.parent
 def test_without_the_llm_folders(tmp_path):
     hide = shutil.ignore_patterns(".git", "__pycache__", "llm", "spark-warehouse", "metastore_db")
     shutil.copytree(HERE, tmp_path / "repo", ignore=hide)
+    assert not (tmp_path / "repo/tests/llm").exists()
     code = "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q); print(len(q), any(n.startswith('op') for n in q), 'pipeline' in q)"
     for gone in ((), ("corpus_pipeline.py",)):
         for name in gone:
@@ -20,3 +21,7 @@ def test_without_the_llm_folders(tmp_path):
         run = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", capture_output=True, text=True, timeout=120)
         assert run.returncode == 0, run.stderr
         assert run.stdout.split()[1:] == ["False", "False"] and int(run.stdout.split()[0]) > 45
+    tests = ["tests/test_versions.py::test_migrator", "tests/test_operators.py::test_database_round_trip"]
+    tests += [f"tests/test_queries.py::test_query[{n}]" for n in ("validate_exclude", "insert_validated", "dag_heads", "diff_catalogs")]
+    run = subprocess.run([sys.executable, "-m", "pytest", "-q", *tests], cwd=tmp_path / "repo", capture_output=True, text=True, timeout=600)
+    assert run.returncode == 0, run.stdout[-2000:]
