@@ -13,7 +13,8 @@ validated too, by looking up their keys only (``operators.writes``); UPDATE, DEL
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, replace
+from contextlib import nullcontext
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -336,10 +337,17 @@ class Database:
 
         Rows that break a constraint are looked for before anything is written. ``refused``: "raise" (``ValidationError``, nothing is
         written) or "skip" (the others are written). The result is what was refused, with the names of what it breaks in ``_refused``.
+        A table with constraints or identities takes one insert at a time (``files.Busy``), so that two can't bring the same key.
         """
         if refused not in ("raise", "skip"):
             raise ValueError(f"refused={refused}")
         t = self.reflect(name)
+        alone = demands(t) or any(c.identity for c in t.columns)
+        with changes.guard(self, t) if alone else nullcontext():
+            return self._inserted(self.reflect(name) if alone else t, rows, refused, given)
+
+    def _inserted(self, t: Table, rows: DataFrame, refused: str, given: frozenset[str] | None) -> DataFrame:
+        name = t.key
         ready = settle(identity.allocated(self, t, whole_rows(t, rows, given)))
         seen = settle(judged(ready, t, self.data()))
         bad = seen.where(F.size("_refused") > 0)

@@ -310,6 +310,11 @@ def _lock(db, name: str) -> dict:
     return {"kind": "files", "location": db.reflect(name).storage.location}
 
 
+def guard(db, t: Table) -> _Change:
+    """The journal of a table whose files are only added to."""
+    return _Change(db, t.key, {"kind": "files", "location": t.storage.location})
+
+
 def merge(db, name: str, source: DataFrame, on: Text, clauses: Iterable[When], alias: str = "target", source_alias: str = "source") -> int:
     clauses = list(clauses)
     with _Change(db, name, _lock(db, name)) as change:
