@@ -333,3 +333,31 @@ def test_constraint_kinds():
         from tidemark.operators.validate import violations
 
         violations(Constraint("c", "odd"), Table("t", ()), {"t": None})
+
+
+def test_operations_of_the_users_own(spark, database):
+    from dataclasses import dataclass
+
+    @dataclass(frozen=True)
+    class Truncate(ops.Operation):
+        table: str
+
+    @Database.implementation_for(Truncate)
+    def truncate(db, o):
+        db.spark.sql(f"TRUNCATE TABLE {o.table}")
+
+    try:
+        table = Table("acct", (Column("id", "int"),))
+        database.run(ops.CreateTable(table), ops.BulkInsert(table, ({"id": 1},)), Truncate("acct"))
+        assert spark.table("acct").count() == 0
+        for kind in (Truncate, ops.DropTable):
+            with pytest.raises(ValueError, match="has an implementation"):
+                Database.implementation_for(kind)(truncate)
+    finally:
+        del Database.implementations[Truncate]
+
+
+def test_naming_convention():
+    t = Table("t", (Column("a", "int"),), (Constraint("", "unique", ("a", "b")), Constraint("own", "unique", ("a",)), Constraint("", "foreign", ("a",), ("p", ("k",)))), (Index("", ("a",)),))
+    named = ops.conventional(t, {"unique": "uq_{table}_{columns}", "foreign": "fk_{table}_{columns}_{parent}", "index": "ix_{columns}"})
+    assert [c.name for c in named.constraints] == ["uq_t_a_b", "own", "fk_t_a_p"] and named.indexes[0].name == "ix_a"

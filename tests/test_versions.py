@@ -245,3 +245,28 @@ def test_normalized(spark):
     edges = [(a, b, "down") for a, b in rows] + [("b2", "a3", "dep"), ("b4", "a3", "dep")]
     out = graph.normalized(spark.createDataFrame(edges, "rev string, down string, kind string"))
     assert {tuple(r) for r in out.where("kind = 'dep'").collect()} == {("b2", "a3", "dep")}
+
+
+def test_getting_and_walking():
+    h = BRANCHES
+    assert [r.rev for r in h.get("a", "cb1")] == ["a", "cb1"] and plain().current_head() is None and DIAMOND.current_head() == "d"
+    with pytest.raises(RevisionError):
+        h.current_head()
+    assert h.walk("cb1", -1) == "b1" and h.walk("cb1", -9) == "base" and h.walk("d1cb1", 1) is None and h.walk("d1cb1", 3, stay=True) == "d1cb1"
+    with pytest.raises(RevisionError, match="ambiguous"):
+        h.walk("a", 1)
+    with pytest.raises(RevisionError, match="ambiguous"):
+        h.walk("cb2", 1)
+    assert h.walk("d1cb2", 1) == "d1d2cb2"
+
+
+def test_walking_and_overlaps_in_frames(spark):
+    nodes, edges = DIAMOND.frames(spark)
+    at = lambda *revs: nodes.where(nodes.rev.isin(*revs))
+    got = lambda df: sorted(r[0] for r in df.collect())
+    assert got(graph.walk(edges, at("c"), -1)) == ["b1", "b2"] and got(graph.walk(edges, at("c", "a"), 2)) == ["c"]
+    assert got(graph.walk(edges, at("c", "a"), 2, stay=True)) == ["c", "d"] and got(graph.walk(edges, at("b1"), -5)) == []
+    assert got(graph.overlapping(edges, at("b1", "b2"))) == [] and got(graph.overlapping(edges, at("b1", "d", "a"))) == ["a", "b1"]
+    with pytest.raises(graph.OverlapError):
+        graph.ancestors(edges, at("b1", "d"), check=True)
+    assert got(graph.ancestors(edges, at("b1", "b2"), check=True)) == ["a", "b1", "b2"]

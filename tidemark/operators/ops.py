@@ -462,6 +462,19 @@ class Batch(Operation):
         return rewrite
 
 
+def conventional(t: Table, convention: dict[str, str]) -> Table:
+    """``t`` with names for constraints and indexes that have none, by kind: a pattern of {table}, {columns} and {parent}."""
+    def named(x, kind, columns, parent=""):
+        if x.name or kind not in convention:
+            return x
+        return replace(x, name=convention[kind].format(table=t.name, columns="_".join(columns), parent=parent))
+
+    return replace(
+        t, constraints=tuple(named(c, c.kind, c.columns, c.refers[0] if c.refers else "") for c in t.constraints),
+        indexes=tuple(named(i, "index", i.columns) for i in t.indexes),
+    )
+
+
 def spelled(operations) -> str:
     """The operations' SQL, a statement a line, in the usual words, for reading: Spark's catalog has no constraints and can't alter all this in place."""
     return "".join(f"{s};\n" for o in operations for s in o.sql())

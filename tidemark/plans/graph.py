@@ -66,7 +66,14 @@ def _reach(steps: DataFrame, seeds: DataFrame, *origin: str) -> DataFrame:
     return reduce(DataFrame.unionAll, seen)
 
 
-def ancestors(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+class OverlapError(ValueError):
+    """Targets of one question are on one line of descent."""
+
+
+def ancestors(edges: DataFrame, seeds: DataFrame, check: bool = False) -> DataFrame:
+    """``seeds`` and all above them; ``check``: an error if one of them is an ancestor of another."""
+    if check and (bad := overlapping(edges, seeds).take(1)):
+        raise OverlapError(f"revision {bad[0][0]} is an ancestor of another that was asked for")
     return _reach(edges.select(F.col("rev").alias("at"), F.col("down").alias("to")), seeds)
 
 
@@ -74,6 +81,11 @@ def descendants(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return _reach(edges.select(F.col("down").alias("at"), F.col("rev").alias("to")), seeds)
 
 
+def overlapping(edges: DataFrame, targets: DataFrame) -> DataFrame:
+    """Those of ``targets`` that are an ancestor of another of them."""
+    return targets.select("rev").distinct().join(branch_heads(edges, targets), "rev", "left_anti")
+
+
 def lineage(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """All that share a line of descent with ``seeds``."""
     return ancestors(edges, seeds).union(descendants(edges, seeds)).distinct()
@@ -173,15 +185,17 @@ def topological(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return numbered(ranks(nodes, edges), ["depth", "rev"], "place")
 
 
-def walk(edges: DataFrame, start: DataFrame, steps: int) -> DataFrame:
-    """Revisions ``steps`` versioned edges above (negative: below) the start."""
+def walk(edges: DataFrame, start: DataFrame, steps: int, stay: bool = False) -> DataFrame:
+    """Revisions ``steps`` versioned edges above (negative: below) the start.
+
+    A line that ends before is dropped (the empty result below all bases is what is called base), or with ``stay`` left where it ends.
+    """
     at = start.select("rev")
     own = versioned(edges).select("rev", "down")
+    moves = own.select("rev", F.col("down").alias("next")) if steps < 0 else own.select(F.col("down").alias("rev"), F.col("rev").alias("next"))
     for _ in range(abs(steps)):
-        if steps < 0:
-            at = at.join(own, "rev").select(F.col("down").alias("rev")).distinct()
-        else:
-            at = at.join(own.select(F.col("rev").alias("child"), F.col("down").alias("rev")), "rev").select(F.col("child").alias("rev")).distinct()
+        on = at.join(moves, "rev").select(F.col("next").alias("rev"))
+        at = (on.union(at.join(moves.select("rev"), "rev", "left_anti")) if stay else on).distinct()
     return at
 
 

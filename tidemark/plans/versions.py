@@ -155,6 +155,40 @@ class History:
             raise RevisionError(f"{name} is {'no revision' if not found else 'ambiguous: ' + ', '.join(found[:3])}")
         return found[0]
 
+    def get(self, *names: str) -> list[Revision]:
+        """Revisions by what ``resolve`` understands; an error where a name stands for several heads."""
+        out = []
+        for name in names:
+            found = self.resolve(name)
+            if len(found) > 1 and name.rpartition("@")[2] != "heads":
+                raise RevisionError(f"{name} is ambiguous: {', '.join(found)}")
+            out += [self.revisions[r] for r in found]
+        return out
+
+    def current_head(self) -> str | None:
+        """The only head, None of no revisions; an error if there are several."""
+        found = self.heads()
+        if len(found) > 1:
+            raise RevisionError(f"several heads: {', '.join(found)}")
+        return found[0] if found else None
+
+    def walk(self, start: str, steps: int, label: str | None = None, stay: bool = False) -> str | None:
+        """The revision so many steps above (negative: below) ``start``, on a label's branch if one is given; "base" below the bases.
+
+        Above the heads: None, or with ``stay`` the last one. An error where the way parts.
+        """
+        branch = self.on_branch(label) if label else set(self.revisions)
+        at = self.find(start)
+        for _ in range(abs(steps)):
+            own = self.revisions[at].down if steps < 0 else [r for r in self.children[at] if at in self.revisions[r].down]
+            on = [r for r in dict.fromkeys(own) if r in branch]
+            if len(on) > 1:
+                raise RevisionError(f"ambiguous step: {', '.join(on)}")
+            if not on:
+                return "base" if steps < 0 else at if stay else None
+            at = on[0]
+        return at
+
     def resolve(self, target: str, current: Iterable[str] = ()) -> list[str]:
         """Revisions of ``[label@](base|head|heads|id|label)[±n]``, or ``[label@]±n`` from the current heads."""
         label, at, rest = target.rpartition("@")

@@ -13,6 +13,7 @@ validated too, by looking up their keys only (``operators.writes``); UPDATE, DEL
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from contextlib import nullcontext
 from dataclasses import replace
 from functools import reduce
@@ -182,9 +183,24 @@ class Database:
 
     # changing
 
+    #: What runs operations of the user's own, or instead of what is here.
+    implementations: dict[type, Callable[[Database, ops.Operation], None]] = {}
+
+    @classmethod
+    def implementation_for(cls, kind: type, replacing: bool = False):
+        """Decorator of the function (database, operation) that runs operations of a class."""
+        def register(f):
+            if not replacing and (kind in cls.implementations or hasattr(cls, f"_{kind.__name__.lower()}")):
+                raise ValueError(f"{kind.__name__} has an implementation")
+            cls.implementations[kind] = f
+            return f
+
+        return register
+
     def run(self, *operations: ops.Operation) -> None:
         for o in operations:
-            getattr(self, f"_{type(o).__name__.lower()}")(o)
+            own = next((self.implementations[k] for k in type(o).__mro__ if k in self.implementations), None)
+            own(self, o) if own else getattr(self, f"_{type(o).__name__.lower()}")(o)
 
     def recover(self, database: str | None = None) -> list[str]:
         """Take up changes that were cut off: what had been decided is gone through with, the rest is undone. Names of the tables.
