@@ -202,6 +202,36 @@ def test_changes_of_any_storage(spark, db, storage):
     assert db.reflect("acct").storage.partitions == storage.partitions and bool(db.reflect("acct").storage.buckets) == bool(storage.buckets)
 
 
+@pytest.mark.parametrize("external", [False, True])
+def test_partitions_of_any_name_keep_their_rows(spark, db, tmp_path, external):
+    storage = Storage(partitions=("p", "q d"), location=f"file:{tmp_path}/place" if external else None, external=external)
+    columns = (Column("a.b", "int"), Column("ch", "char(4)"), Column("p", "string"), Column("q d", "date"))
+    db.run(ops.CreateTable(Table("acct", columns, (Constraint("uc", "unique", ("ch",)), Constraint("pk", "primary", ("a.b",))), storage=storage)))
+    rows = spark.sql("SELECT id AS `a.b`, 'c' || id AS ch, p, d AS `q d` FROM VALUES (1, 'x y/z%', DATE'2024-01-01'), (2, NULL, NULL), (3, 'n=1', DATE'2024-01-02') t(id, p, d)")
+    db.insert("acct", rows)
+    name, want = "acct", {1: "x y/z%", 2: None, 3: "n=1"}
+
+    def same():
+        key = spark.table(name).columns[0]
+        assert {r[key]: r.p for r in spark.table(name).collect()} == want and spark.table(name).where("ch = 'c1  '").count() == 1
+
+    same()
+    for step in (
+        lambda: db.update("acct", {"p": "'a: b'", "q d": "null"}, "`a.b` = 3"), lambda: db.run(ops.AlterColumn("acct", "a.b", new_name="odd `k`", type="bigint")),
+        lambda: db.update("acct", {"p": "'2 %20'"}, "p is null"), lambda: db.run(ops.AddColumn("acct", Column("z", "int", False, "1"))),
+        lambda: db.delete("acct", "p like 'none%'"), lambda: db.run(ops.RenameTable("acct", "acct2")),
+    ):
+        step()
+        want[3] = "a: b"
+        if step.__code__.co_consts and any("2 %20" in str(c) for c in step.__code__.co_consts):
+            want[2] = "2 %20"
+        name = "acct2" if spark.catalog.tableExists("acct2") else "acct"
+        same()
+    with pytest.raises(ValidationError, match="uc"):
+        db.insert("acct2", spark.createDataFrame([(9, "c1")], "`odd ``k``` long, ch string"))
+    assert db.reflect("acct2").constraints[1].columns == ("odd `k`",)
+
+
 def test_merge_statement(spark, db):
     acct = accounts(db)
     db.run(ops.Execute("""MERGE INTO acct t USING (SELECT * FROM VALUES (1, 'a2'), (2, NULL), (7, 'n') AS s(id, name)) s ON t.id = s.id

@@ -18,6 +18,22 @@ def lenient(value: str, kind: str) -> str:
     return f"CASE WHEN {value} IS NOT NULL THEN coalesce(try_cast(nullif({found}, '') AS {kind}), CAST(0 AS {kind})) END"
 
 
+_CHARS = re.compile(r"\b(var)?char\s*\(\s*(\d+)\s*\)", re.I)
+
+
+def plain_type(kind: str) -> str:
+    """A type that values can have: char and varchar are declarations of columns."""
+    return _CHARS.sub("string", kind)
+
+
+def stored_as(value: Column, kind: str) -> Column:
+    """``value`` as a column of that type holds it: char is filled up with spaces."""
+    out, fixed = value.cast(plain_type(kind)), _CHARS.fullmatch(kind.strip())
+    if not fixed or fixed[1]:
+        return out
+    return F.when(F.length(out) < int(fixed[2]), F.rpad(out, int(fixed[2]), " ")).otherwise(out)
+
+
 def type_name(kind: Column) -> Column:
     """First word of a type text, lower case, synonyms made one."""
     name = F.lower(F.regexp_extract(kind, r"^\s*([\w\-]+)", 1))

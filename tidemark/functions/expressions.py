@@ -9,6 +9,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
+from .casts import plain_type
+
 
 def canonical(spark: SparkSession, columns: Mapping[str, str], texts: Iterable[str]) -> dict[str, str]:
     """A form of each text over ``columns`` (name to type): equal forms are the same expression.
@@ -21,7 +23,7 @@ def canonical(spark: SparkSession, columns: Mapping[str, str], texts: Iterable[s
     fields = []
     for name, kind in columns.items():
         try:
-            fields.append(StructField(name, _parse_datatype_string(re.sub(r"\b(var)?char\(\d+\)", "string", kind, flags=re.I))))
+            fields.append(StructField(name, _parse_datatype_string(plain_type(kind))))
         except Exception:
             continue
     base = spark.createDataFrame([], StructType(fields))

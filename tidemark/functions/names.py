@@ -26,6 +26,6 @@ def renamed(text: str, names: Mapping[str, str]) -> str:
 
     def swap(m: re.Match) -> str:
         name = _named(m)
-        return f"`{new[name.lower()]}`" if name and name.lower() in new else m[0]
+        return "`" + new[name.lower()].replace("`", "``") + "`" if name and name.lower() in new else m[0]
 
     return _TOKEN.sub(swap, text)

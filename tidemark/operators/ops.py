@@ -11,7 +11,7 @@ import json
 from dataclasses import asdict, dataclass, field, replace
 
 from ..spec import Column, Constraint, Identity, Index, Table
-from .rewrite import Rewrite
+from .rewrite import Rewrite, quoted
 
 #: The table property that holds what the session catalog can't, and the end of its text, by which it is found in listings.
 PROPERTY, END = "tidemark.objects", '"end": true'
@@ -63,7 +63,7 @@ def _plain(c: Column) -> Column:
 
 
 def _column_sql(c: Column) -> str:
-    parts = [f"`{c.name}` {c.type}"]
+    parts = [f"{quoted(c.name)} {c.type}"]
     if not c.nullable:
         parts.append("NOT NULL")
     if c.default is not None:
@@ -88,7 +88,7 @@ def literal(value) -> str:
 
 
 def _storage_sql(t: Table) -> str:
-    own, listed = t.storage, lambda names: ", ".join(f"`{n}`" for n in names)
+    own, listed = t.storage, lambda names: ", ".join(map(quoted, names))
     pairs = lambda items: ", ".join(f"{literal(k)} = {literal(v)}" for k, v in items)
     out = f" USING {own.provider}"
     if own.options:
@@ -203,7 +203,7 @@ class DropColumn(Operation):
         return ("remove_column", self.table, self.name)
 
     def sql(self):
-        return [f"ALTER TABLE {self.table} DROP COLUMN `{self.name}`"]
+        return [f"ALTER TABLE {self.table} DROP COLUMN {quoted(self.name)}"]
 
     def change(self, rewrite):
         if self.if_exists and not rewrite.find(self.name):
@@ -258,7 +258,7 @@ class AlterColumn(Operation):
         return tuple((k, self.table, self.name) for k, on in kinds if on)
 
     def sql(self):
-        head, out = f"ALTER TABLE {self.table} ALTER COLUMN `{self.name}`", []
+        head, out = f"ALTER TABLE {self.table} ALTER COLUMN {quoted(self.name)}", []
         if self.nullable is not None:
             out.append(f"{head} {'DROP' if self.nullable else 'SET'} NOT NULL")
         if self.default is not ...:
@@ -270,7 +270,7 @@ class AlterColumn(Operation):
         if self.identity is not ...:
             out.append(f"{head} " + (f"ADD GENERATED AS IDENTITY ({_identity_sql(self.identity)})" if self.identity else "DROP IDENTITY"))
         if self.new_name:
-            out.append(f"ALTER TABLE {self.table} RENAME COLUMN `{self.name}` TO `{self.new_name}`")
+            out.append(f"ALTER TABLE {self.table} RENAME COLUMN {quoted(self.name)} TO {quoted(self.new_name)}")
         return out
 
     def change(self, rewrite):

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.casts import lenient
+from ..functions.casts import lenient, stored_as
 from ..functions.names import references, renamed
 from ..spec import Column, Table
 
@@ -219,5 +219,5 @@ def computed_levels(columns) -> list[list[Column]]:
 def with_computed(columns, df: DataFrame) -> DataFrame:
     """``df`` with the computed ones of ``columns``."""
     for level in computed_levels(columns):
-        df = df.withColumns({c.name: F.expr(c.computed).cast(c.type) for c in level})
+        df = df.withColumns({c.name: stored_as(F.expr(c.computed), c.type) for c in level})
     return df

@@ -15,31 +15,32 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import settle
 from ..spec import Constraint, Table
+from .rewrite import quoted
 
 
 def null_violations(df: DataFrame, columns) -> DataFrame:
     """Rows with a null in one of the columns."""
-    return df.where(~reduce(and_, (F.col(c).isNotNull() for c in columns)))
+    return df.where(~reduce(and_, (F.col(quoted(c)).isNotNull() for c in columns)))
 
 
 def unique_violations(df: DataFrame, columns) -> DataFrame:
     """Keys that occur more than once, with n; keys with a null don't count, as in SQL."""
-    whole = reduce(and_, (F.col(c).isNotNull() for c in columns))
-    return df.where(whole).groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    whole = reduce(and_, (F.col(quoted(c)).isNotNull() for c in columns))
+    return df.where(whole).groupBy(*map(quoted, columns)).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
 def primary_violations(df: DataFrame, columns) -> DataFrame:
     """Keys that occur more than once or have a null, with n."""
-    missing = ~reduce(and_, (F.col(c).isNotNull() for c in columns))
-    return df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | missing)
+    missing = ~reduce(and_, (F.col(quoted(c)).isNotNull() for c in columns))
+    return df.groupBy(*map(quoted, columns)).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | missing)
 
 
 def foreign_violations(child: DataFrame, columns, parent: DataFrame, parent_columns) -> DataFrame:
     """Keys of ``child`` that ``parent`` doesn't have, with n; keys with a null pass."""
-    whole = reduce(and_, (F.col(c).isNotNull() for c in columns))
-    keys = child.where(whole).groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
-    known = parent.select(*(F.col(p).alias(f"_{i}") for i, p in enumerate(parent_columns))).distinct()
-    return keys.join(known, reduce(and_, (F.col(c) == F.col(f"_{i}") for i, c in enumerate(columns))), "left_anti")
+    whole = reduce(and_, (F.col(quoted(c)).isNotNull() for c in columns))
+    keys = child.where(whole).groupBy(*map(quoted, columns)).agg(F.count(F.lit(1)).alias("n"))
+    known = parent.select(*(F.col(quoted(p)).alias(f"_{i}") for i, p in enumerate(parent_columns))).distinct()
+    return keys.join(known, reduce(and_, (F.col(quoted(c)) == F.col(f"_{i}") for i, c in enumerate(columns))), "left_anti")
 
 
 def check_violations(df: DataFrame, condition: str) -> DataFrame:
@@ -64,7 +65,7 @@ def exclude_violations(df: DataFrame, key: str, elements, where: str | None = No
     ``fresh``: SQL that holds for new rows; then pairs of old rows are not looked for.
     """
     own = df if where is None else df.where(where)
-    fields, keys, rest, cell = [F.col(f"`{key}`").alias("key")], [], [], None
+    fields, keys, rest, cell = [F.col(quoted(key)).alias("key")], [], [], None
     for i, (text, operator) in enumerate(elements):
         if operator == "=":
             fields.append(F.expr(text).alias(f"e{i}"))
@@ -200,7 +201,7 @@ def report(table: Table, data: Mapping[str, DataFrame]) -> DataFrame:
     The null and check counts of the table are one pass; only keys need shuffles of their own.
     """
     df = data[table.key]
-    rows = [("not_null", f"{table.name}.{c.name}", F.count_if(F.col(c.name).isNull())) for c in table.columns if not c.nullable]
+    rows = [("not_null", f"{table.name}.{c.name}", F.count_if(F.col(quoted(c.name)).isNull())) for c in table.columns if not c.nullable]
     rows += [
         ("check", c.name, F.count_if(~F.coalesce(F.expr(c.condition), F.lit(True))))
         for c in table.constraints if c.kind == "check"

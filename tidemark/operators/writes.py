@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import references
 from ..spec import Constraint, Table
+from .rewrite import quoted
 from .validate import exclude_violations
 
 #: So many different keys are looked for one by one; more, by their range.
@@ -40,7 +41,7 @@ def demands(t: Table) -> list[Constraint]:
 
 def keys_of(c: Constraint) -> list[str]:
     """The SQL of a key's parts."""
-    return [e for e, _ in c.elements] if c.elements else [f"`{n}`" for n in c.columns]
+    return [e for e, _ in c.elements] if c.elements else [quoted(n) for n in c.columns]
 
 
 def near(there: DataFrame, columns: list[str], keys: DataFrame) -> DataFrame:
@@ -77,7 +78,7 @@ def judged(rows: DataFrame, t: Table, data: Mapping[str, DataFrame], only: set[s
     asked = [c for c in demands(t) if only is None or uses(c, t) & only]
     strict = [c.name for c in t.columns if not c.nullable and (only is None or c.name in only)]
     numbered = rows.withColumn("_row", F.monotonically_increasing_id())
-    plain = [F.when(F.col(f"`{n}`").isNull(), F.lit(f"{t.name}.{n}")) for n in strict]
+    plain = [F.when(F.col(quoted(n)).isNull(), F.lit(f"{t.name}.{n}")) for n in strict]
     plain += [F.when(~F.coalesce(F.expr(c.condition), F.lit(True)), F.lit(c.name)) for c in asked if c.kind == "check"]
     plain += [F.when(_null(keys_of(c)), F.lit(c.name)) for c in asked if c.kind == "primary"]
     bad = []
@@ -87,7 +88,7 @@ def judged(rows: DataFrame, t: Table, data: Mapping[str, DataFrame], only: set[s
         elif c.kind == "foreign":
             parent = data[c.refers[0]]
             if c.refers[0].lower() == t.key.lower():
-                parent = parent.select(*(f"`{n}`" for n in c.refers[1])).unionAll(rows.select(*(f"`{n}`" for n in c.refers[1])))
+                parent = parent.select(*map(quoted, c.refers[1])).unionAll(rows.select(*map(quoted, c.refers[1])))
             bad.append(_orphans(numbered, c, parent))
         elif c.kind == "exclude":
             bad.append(_clashes(numbered, c, data[t.key], [x.name for x in t.columns]))
@@ -116,14 +117,14 @@ def _taken(rows: DataFrame, c: Constraint, there: DataFrame) -> DataFrame:
 
 
 def _orphans(rows: DataFrame, c: Constraint, parent: DataFrame) -> DataFrame:
-    own, names = _keyed(rows, [f"`{n}`" for n in c.columns])
-    known = found(parent, [f"`{n}`" for n in c.refers[1]], own.select(*names).distinct())
+    own, names = _keyed(rows, [quoted(n) for n in c.columns])
+    known = found(parent, [quoted(n) for n in c.refers[1]], own.select(*names).distinct())
     return _named(own.join(known, names, "left_anti"), c)
 
 
 def _clashes(rows: DataFrame, c: Constraint, there: DataFrame, columns: list[str]) -> DataFrame:
     """New rows that clash with an old or a new one; rows are their own keys here."""
-    quoted = [f"`{n}`" for n in columns]
-    both = there.select(*quoted, F.lit(None).cast("bigint").alias("_row")).unionByName(rows.select(*quoted, "_row"))
+    own = [quoted(n) for n in columns]
+    both = there.select(*own, F.lit(None).cast("bigint").alias("_row")).unionByName(rows.select(*own, "_row"))
     pairs = exclude_violations(both, "_row", c.elements, c.where, fresh="_row is not null")
     return _named(pairs.select(F.explode(F.array("left_key", "right_key")).alias("_row")).where("_row is not null").distinct(), c)

@@ -21,6 +21,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.casts import plain_type, stored_as
 from ..functions.names import references, renamed
 from ..operators import ops
 from ..operators.rewrite import Rewrite, quoted, with_computed
@@ -239,6 +240,8 @@ class Database:
             self.spark.sql(s)
         self.follow(children, o.table, o.new, {})
         t = self.reflect(o.new)
+        if t.storage.partitions:
+            self.spark.sql(f"ALTER TABLE {o.new} RECOVER PARTITIONS")  # the catalog may keep their old places
         if own := _referring(t, o.table):
             moved = tuple(replace(c, refers=(o.new, c.refers[1])) if c in own else c for c in t.constraints)
             self._keep_objects(replace(t, constraints=moved))
@@ -305,7 +308,7 @@ class Database:
     def _validate_nulls(t: Table, df: DataFrame) -> None:
         strict = [c.name for c in t.columns if not c.nullable]
         if strict:  # one pass for all columns
-            counts = df.agg(*(F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in strict)).first()
+            counts = df.agg(*(F.count_if(F.col(quoted(c)).isNull()).alias(c) for c in strict)).first()
             if bad := [c for c in strict if counts[c]]:
                 raise ValidationError(f"{t.key}.{bad[0]} may not be null and has {counts[bad[0]]} nulls")
 
@@ -370,7 +373,7 @@ class Database:
         if refused == "raise" and (example := bad.take(1)):
             raise ValidationError(f"{t.key} would violate {', '.join(example[0]['_refused'])}, for example {example[0]}")
         places = self.spark.table(name).columns
-        seen.where(F.size("_refused") == 0).select(*(f"`{c}`" for c in places)).write.insertInto(name)
+        seen.where(F.size("_refused") == 0).select(*map(quoted, places)).write.insertInto(name)
         return bad
 
     def update(self, name: str, values: dict[str, changes.Text], where: changes.Text | None = None, alias: str | None = None) -> int:
@@ -572,8 +575,8 @@ def whole_rows(t: Table, rows: DataFrame, given: frozenset[str] | None = None) -
         if c.name.lower() in named and c.identity and c.identity.always:
             raise ValueError(f"{t.key}.{c.name} is always numbered and can't be given values")
         if c.computed is None:
-            value = F.col(f"`{have[c.name.lower()]}`") if c.name.lower() in have else F.expr(c.default if c.default is not None else "NULL")
-            values.append(value.cast(c.type).alias(c.name))
+            value = F.col(quoted(have[c.name.lower()])) if c.name.lower() in have else F.expr(c.default if c.default is not None else "NULL")
+            values.append(stored_as(value, c.type).alias(c.name))
     return with_computed(t.columns, rows.select(*values)).select(*(quoted(c.name) for c in t.columns))
 
 
@@ -584,10 +587,10 @@ def bulk_rows(spark: SparkSession, o: ops.BulkInsert, t: Table | None = None) ->
     given = [c for c in columns if any(c.name.lower() in r for r in own)]
     known = spark.createDataFrame(
         [tuple(r.get(c.name.lower()) for c in given) + tuple(c.name.lower() in r for c in given) for r in own],
-        ", ".join([f"`{c.name}` {c.type}" for c in given] + [f"`has {c.name}` boolean" for c in given]),
+        ", ".join([f"{quoted(c.name)} {plain_type(c.type)}" for c in given] + [f"{quoted('has ' + c.name)} boolean" for c in given]),
     )
     values = []
     for c in columns:
-        default = F.expr(c.default or "NULL").cast(c.type)
-        values.append((F.when(F.col(f"`has {c.name}`"), F.col(f"`{c.name}`")).otherwise(default) if c in given else default).alias(c.name))
+        default = F.expr(c.default or "NULL").cast(plain_type(c.type))
+        values.append((F.when(F.col(quoted("has " + c.name)), F.col(quoted(c.name))).otherwise(default) if c in given else default).alias(c.name))
     return known.select(*values)

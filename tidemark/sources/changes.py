@@ -5,7 +5,8 @@ then writes what it is going to do: that decides it. What follows can be done ag
 row is lost whenever the driver ends; readers in between may see the table missing for a moment. Undecided changes leave
 nothing but files that are passed over.
 
-Swap: a managed table is renamed aside, the staging table takes its name, and then the old one is dropped. An external table keeps
+Swap: a managed table is renamed aside, the staging table takes its name, and then the old one is dropped (a partitioned one is
+dropped first, see ``_swap_names``). An external table keeps
 its place: folders are renamed instead, and the definition is made anew at the old location.
 
 UPDATE, DELETE and MERGE are copy-on-write by file: the rows that change are written down first, with their file and
@@ -24,6 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.casts import stored_as
 from ..functions.names import references
 from ..operators import ops
 from ..operators.rewrite import computed_levels, quoted, with_computed
@@ -145,6 +147,7 @@ def swap(db, old: Table, new: Table, rows: DataFrame, check, names: Mapping[str,
         change.decide({
             "kind": "table", "staging": staging, "aside": aside, "external": external, "location": location, "names": [key],
             "create": ops.CreateTable(final).sql(), "objects": ops.objects_json(new), "partitioned": bool(new.storage.partitions),
+            "was_partitioned": bool(old.storage.partitions),
             "children": _following(db, key, names or {}),
         })
 
@@ -164,9 +167,15 @@ def _swap_names(db, entry: dict) -> None:
     spark, table, staging, aside = db.spark, entry["table"], entry["staging"], entry["aside"]
     there = spark.catalog.tableExists
     if there(staging):
-        if there(table):
+        if there(table) and entry["was_partitioned"]:
+            # The catalog may hold its partitions by their old places after a renaming: dropped later, it would take the new table's files
+            # along. All rows are in the staging table, which is decided to be the table.
+            spark.sql(f"DROP TABLE {table}")
+        elif there(table):
             spark.sql(f"ALTER TABLE {table} RENAME TO {aside}")
         spark.sql(f"ALTER TABLE {staging} RENAME TO {table}")
+    if entry["partitioned"]:
+        spark.sql(f"ALTER TABLE {table} RECOVER PARTITIONS")  # of which the catalog keeps the places before the renaming, or misspelled ones
     spark.sql(f"DROP TABLE IF EXISTS {aside}")
 
 
@@ -195,9 +204,20 @@ def _swap_files(db, part: dict) -> None:
     for path in part["remove"]:
         files.delete(path)
     files.delete(staged)
+    if part["partitions"]:
+        specs = " ".join(f"PARTITION ({', '.join(f'{quoted(k)} = {ops.literal(v)}' for k, v in spec)})" for spec in part["partitions"])
+        db.spark.sql(f"ALTER TABLE {part['table']} ADD IF NOT EXISTS {specs}")
     db.spark.catalog.refreshTable(part["table"])
-    if part["partitioned"]:
-        db.spark.sql(f"ALTER TABLE {part['table']} RECOVER PARTITIONS")
+
+
+def _partitions(spark, names: Iterable[str]) -> list[list[tuple[str, str | None]]]:
+    """Partitions of files by their folders, as the catalog is told them."""
+    plain = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    out = []
+    for folder in sorted({n.rpartition("/")[0] for n in names} - {""}):
+        pairs = [x.partition("=")[::2] for x in folder.split("/")]
+        out.append([(plain(k), None if v == "__HIVE_DEFAULT_PARTITION__" else plain(v)) for k, v in pairs])
+    return out
 
 
 # rows
@@ -216,6 +236,20 @@ class When:
     condition: Text | None = None
 
 
+#: Spark fills up char columns as it reads them, in a projection above the scan that hides where rows come from; they are stored filled up.
+PADDING = "spark.sql.readSideCharPadding"
+
+
+def _placed(spark, name: str) -> DataFrame:
+    """A table's rows with FILE and PLACE."""
+    before = spark.conf.get(PADDING)
+    spark.conf.set(PADDING, "false")
+    try:  # the plan is analysed here and now
+        return spark.table(name).withColumns({FILE: F.col("_metadata.file_path"), PLACE: F.col("_metadata.row_index")})
+    finally:
+        spark.conf.set(PADDING, before)
+
+
 class _Part:
     """A table in a change: its rows with their places, and those that change (FILE, PLACE, OLD, NEW; NEW null: the row goes)."""
 
@@ -225,7 +259,7 @@ class _Part:
         self.by_file = self.t.storage.provider.lower() == "parquet" and not self.t.storage.buckets
         df = db.spark.table(name)
         if self.by_file:
-            self.rows = df.withColumns({FILE: F.col("_metadata.file_path"), PLACE: F.col("_metadata.row_index")})
+            self.rows = _placed(db.spark, name)
         else:  # its rows as they are now, numbered
             self.rows = settle(df.withColumns({FILE: F.lit(""), PLACE: F.monotonically_increasing_id()}))
         self.changed: DataFrame | None = None
@@ -270,7 +304,7 @@ def _set(part: _Part, rows: DataFrame, values: Mapping[str, Text], qualify=lambd
         c = t.column(name)
         if c.computed is not None or c.identity and c.identity.always:
             raise ValueError(f"{t.key}.{c.name} can't be given values")
-    own = {c.name: _expr(low.get(c.name.lower(), qualify(c.name))).cast(c.type) for c in t.columns if c.computed is None}
+    own = {c.name: stored_as(_expr(low.get(c.name.lower(), qualify(c.name))), c.type) for c in t.columns if c.computed is None}
     made = with_computed(t.columns, rows.select(FILE, PLACE, OLD, *(v.alias(n) for n, v in own.items())))
     changed = {t.column(n).name for n in values}
     for level in computed_levels(t.columns):
@@ -389,7 +423,8 @@ def _apply(change: _Change, root: _Part) -> int:
         writer = rows.write.format(part.t.storage.provider).options(**dict(part.t.storage.options)).mode("overwrite")
         (writer.partitionBy(*part.t.storage.partitions) if part.t.storage.partitions else writer).save(f"{place}/{STAGED}")
         files = Files(db.spark)
-        entries.append({"table": part.t.key, "location": place, "remove": [files.url(x) for x in names], "partitioned": bool(part.t.storage.partitions)})
+        come = _partitions(db.spark, files.below(f"{place}/{STAGED}")) if part.t.storage.partitions else []
+        entries.append({"table": part.t.key, "location": place, "remove": [files.url(x) for x in names], "partitions": come})
     staged = [(p, settle(_union(p))) for p in whole]
     if entries:
         change.decide({"kind": "files", "parts": entries})
@@ -508,7 +543,7 @@ def _acted(child: Table, part: _Part, c: Constraint, rows: DataFrame, rule: str,
             return F.lit(None)
         raise ValueError(f"{child.key}.{c.name}: {rule}")
 
-    made = rows.select(*kept, was, *(value(x).cast(x.type).alias(x.name) for x in child.columns if x.computed is None))
+    made = rows.select(*kept, was, *(stored_as(value(x), x.type).alias(x.name) for x in child.columns if x.computed is None))
     return with_computed(child.columns, made).select(*kept, part.struct().alias(NEW), "_was")
 
 

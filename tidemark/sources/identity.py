@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbering import numbered
+from ..operators.rewrite import quoted
 from ..spec import NEXT, Column, Table
 from .scratch import settled
 
@@ -26,13 +27,13 @@ def allocated(db, t: Table, rows: DataFrame) -> DataFrame:
     for c in (c for c in t.columns if c.identity):
         marks = dict(t.storage.properties)
         base = int(marks.get(NEXT + c.name, c.identity.start))
-        lacking, n = settled(rows.where(F.col(f"`{c.name}`").isNull()))
+        lacking, n = settled(rows.where(F.col(quoted(c.name)).isNull()))
         if not n:
             continue
         order = [F.expr(c.identity.order)] if c.identity.order else []
         db.spark.sql(f"ALTER TABLE {t.key} SET TBLPROPERTIES ('{NEXT}{c.name}' = '{base + n * c.identity.step}')")
-        given = numbered(lacking, order, "_rank").withColumn(c.name, _number(c, base, F.col("_rank"))).select(*(f"`{x.name}`" for x in t.columns))
-        rows = given.unionAll(rows.where(F.col(f"`{c.name}`").isNotNull()))
+        given = numbered(lacking, order, "_rank").withColumn(c.name, _number(c, base, F.col("_rank"))).select(*(quoted(x.name) for x in t.columns))
+        rows = given.unionAll(rows.where(F.col(quoted(c.name)).isNotNull()))
     return rows
 
 
@@ -41,7 +42,7 @@ def backfilled(new: Table, rows: DataFrame, columns: list[Column]) -> tuple[Data
     names = [c.name for c in new.columns]
     for c in columns:
         rows, n = settled(numbered(rows, [F.expr(c.identity.order)] if c.identity.order else [], "_rank"))
-        rows = rows.withColumn(c.name, _number(c, c.identity.start, F.col("_rank"))).select(*(f"`{x}`" for x in names))
+        rows = rows.withColumn(c.name, _number(c, c.identity.start, F.col("_rank"))).select(*map(quoted, names))
         marks = dict(new.storage.properties) | {NEXT + c.name: str(c.identity.start + n * c.identity.step)}
         new = replace(new, storage=replace(new.storage, properties=tuple(sorted(marks.items()))))
     return rows, new

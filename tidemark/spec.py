@@ -78,7 +78,7 @@ class Index:
     def constraint(self, t: Table) -> Constraint:
         """What a unique index demands of ``t``."""
         names = {c.name.lower() for c in t.columns}
-        return Constraint(self.name, "unique", elements=tuple((f"`{c}`" if c.lower() in names else c, "=") for c in self.columns))
+        return Constraint(self.name, "unique", elements=tuple(("`" + c.replace("`", "``") + "`" if c.lower() in names else c, "=") for c in self.columns))
 
 
 @dataclass(frozen=True)
