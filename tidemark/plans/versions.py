@@ -332,10 +332,22 @@ class VersionTable:
             self._files.write_new(f"{self._folder}/{number + 1}.json", json.dumps(heads))
         except Busy as e:
             raise RevisionError(f"another migration has written the state after {there}") from e
-        rows = self.spark.createDataFrame([(h,) for h in heads], "version_num string")
-        rows.coalesce(1).write.insertInto(self.name, overwrite=True)
+        self._show()
         return number + 1
 
+    def _show(self) -> None:
+        """The last state in the table; again if another one has come meanwhile."""
+        while True:
+            number, heads = self.state()
+            rows = self.spark.createDataFrame([(h,) for h in heads], "version_num string")
+            try:
+                rows.coalesce(1).write.insertInto(self.name, overwrite=True)
+            except Exception:  # who has written the next state may be writing the table too
+                if self.state()[0] == number:
+                    raise
+            if self.state()[0] == number:
+                return
+
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
         self._files.delete(self._folder)
