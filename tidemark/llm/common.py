@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,10 +20,16 @@ BATCH = 2000
 
 
 def sliced(batches):
-    """The rows of ``batches``, ``BATCH`` at a time."""
+    """The rows of ``batches``, ``BATCH`` at a time.
+
+    Arrow keeps what it has freed for itself; a worker lives on after its task, beside the next stages' memory, and so gives it back.
+    """
+    pool = pa.default_memory_pool()
     for batch in batches:
         for i in range(0, batch.num_rows, BATCH):
             yield batch.slice(i, BATCH)
+        del batch
+        pool.release_unused()
 
 
 def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
