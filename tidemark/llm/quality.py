@@ -8,10 +8,11 @@ small blocks, and beside it the same difference between no dictionary and the go
 small and large blocks (how far the text repeats itself). Nothing but such differences, held to the
 range they were fitted on, and their squares go into the score: no length, no ratio to the raw size.
 
-Bounds: at most ``SAMPLE`` labelled documents of each class are used, those with the smallest hash of
-their id; half of them give the dictionaries (at most ``BLOCKS`` blocks of ``BLOCK`` bytes a class
-come to the driver), the other half the curve (a few numbers a document come to the driver). Classes
-are weighted by their counts over all labels.
+Every labelled document that is not held out counts: one half of them (by a hash of the id) gives the
+dictionaries, the other the curve. Blocks of whole texts are dealt to groups of about ``BLOCKS``; each group
+trains a dictionary in its task, and the dictionaries' own blocks go the same way until one a class is left.
+The curve is fitted by Newton's method on sums that Spark adds up, a pass a step. Only the two dictionaries and
+these sums come to the driver. Classes are weighted by their counts over all labels.
 
 Edge cases: null texts count as empty; an empty text has difference 0 and gets a score
 like any other; repeated rows get the same score (of rows
@@ -33,9 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import fold, sliced, unfold
+from .common import fold, forget, settle, sliced, unfold
 
-BLOCK, BLOCKS, SAMPLE, DICTIONARY, LEVEL = 2048, 3000, 6000, 112_640, 3
+BLOCK, BLOCKS, DICTIONARY, LEVEL = 2048, 3000, 112_640, 3
+#: Rows of features that one task sums.
+POINTS = 100_000
 FOLDS, THRESHOLD = 5, 0.3
 SMALL = 256
 FEATURES = 7
@@ -95,25 +98,32 @@ def _design(x: np.ndarray, low, high) -> np.ndarray:
     return np.c_[np.ones(len(z)), z, z * z]
 
 
-def _logistic(design: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    """Newton's method with halved steps where a full one would not lower the loss."""
-    w = np.zeros(design.shape[1])
+def _sums(design: np.ndarray, y: np.ndarray, weight: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Loss of the logistic curve ``w`` with its slope and curvature, one after the other."""
+    m = design @ w
+    p = 1 / (1 + np.exp(-np.clip(m, -30, 30)))
+    loss = float((weight * (np.logaddexp(0, m) - y * m)).sum())
+    return np.concatenate([[loss], design.T @ (weight * (p - y)), (design.T @ (design * (weight * p * (1 - p))[:, None])).ravel()])
 
-    def loss(v):
-        m = design @ v
-        return float((weight * (np.logaddexp(0, m) - y * m)).sum() + ridge / 2 * v @ v)
 
-    now = loss(w)
+def _logistic(sums, size: int, ridge: float = 1e-2) -> np.ndarray:
+    """Newton's method, with halved steps where a full one would not lower the loss; ``sums`` gives those of ``_sums`` at a place."""
+
+    def at(v):
+        s = sums(v)
+        return s[0] + ridge / 2 * v @ v, s[1 : 1 + size] + ridge * v, s[1 + size :].reshape(size, size) + ridge * np.eye(size)
+
+    w = np.zeros(size)
+    now, slope, curve = at(w)
     for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        slope = design.T @ (weight * (p - y)) + ridge * w
-        curve = design.T @ (design * (weight * p * (1 - p))[:, None]) + ridge * np.eye(len(w))
-        step, size = np.linalg.solve(curve, slope), 1.0
-        while (then := loss(w - size * step)) > now and size > 1e-6:
-            size /= 2
-        if now - then < 1e-9 * max(1.0, now):
+        step, part = np.linalg.solve(curve, slope), 1.0
+        then = at(w - step)
+        while then[0] > now and part > 1e-6:
+            part /= 2
+            then = at(w - part * step)
+        if now - then[0] < 1e-9 * max(1.0, now):
             break
-        w, now = w - size * step, then
+        w, (now, slope, curve) = w - part * step, then
     return w
 
 
@@ -122,15 +132,14 @@ def held_out():
 
 
 class _Blocks:
-    """Labelled texts to at most four blocks of each, spread over the text."""
+    """Labelled texts to their blocks."""
 
     def __call__(self, batches):
         for batch in sliced(batches):
             kind, order, block = [], [], []
             for i, text, quality in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 raw = (text or "").encode()
-                n = -(-len(raw) // BLOCK)
-                for j in sorted({int(x) for x in np.linspace(0, max(0, n - 1), 4)}) if n else ():
+                for j in range(-(-len(raw) // BLOCK)):
                     kind.append(quality)
                     order.append(f"{i}-{j}")
                     block.append(raw[j * BLOCK : (j + 1) * BLOCK])
@@ -151,6 +160,21 @@ class _Features:
             yield pa.RecordBatch.from_arrays([batch.column(1), *columns], names=["quality", *COLUMNS])
 
 
+class _Sums:
+    """Rows quality, features to the parts (place, value) of their ``_sums``."""
+
+    def __init__(self, low, high, weights: dict, w: np.ndarray):
+        self.low, self.high, self.weights, self.w = low, high, weights, w
+
+    def __call__(self, batches):
+        total = 0
+        for batch in batches:
+            y, *x = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(1 + FEATURES))
+            total += _sums(_design(np.stack(x, 1), self.low, self.high), y, np.where(y == 1, self.weights[1], self.weights[0]), self.w)
+        if not isinstance(total, int):
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["place", "value"])
+
+
 class _Score:
     """A batch with _score appended."""
 
@@ -176,7 +200,34 @@ def _dictionary(blocks: list[bytes]) -> bytes:
         return b"".join(blocks)[-DICTIONARY:]
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+def _group(table: pa.Table) -> pa.Table:
+    """A group's dictionary."""
+    rows = sorted(zip(table.column("place").to_pylist(), table.column("block").to_pylist()))
+    own = _dictionary([block for _, block in rows])
+    return pa.table({"quality": table.column("quality")[:1], "part": table.column("part")[:1], "dictionary": pa.array([own], pa.binary())})
+
+
+def _dictionaries(blocks: DataFrame) -> dict[int, bytes]:
+    """A dictionary for each class of ``blocks`` (quality, place, block), from all of them."""
+    while True:
+        blocks = settle(blocks)
+        parts = {q: -(-n // BLOCKS) for q, n in blocks.groupBy("quality").count().collect()}  # at most two rows
+        part = F.pmod(F.xxhash64("place"), F.when(F.col("quality") == 1, parts.get(1, 1)).otherwise(parts.get(0, 1)))
+        made = blocks.withColumn("part", part).groupBy("quality", "part").applyInArrow(_group, "quality int, part long, dictionary binary")
+        if max(parts.values(), default=1) == 1:
+            return {r.quality: bytes(r.dictionary) for r in made.collect()}
+        # of a class with one part the blocks go on as they are
+        single = [q for q, n in parts.items() if n == 1]
+        cut = made.where(~F.col("quality").isin(single)) if single else made
+        at = F.explode(F.sequence(F.lit(0), ((F.length("dictionary") - 1) / BLOCK).cast("int")))
+        cut = cut.where("length(dictionary) > 0").select("quality", "part", "dictionary", at.alias("j")).select(
+            "quality", F.concat_ws("-", "part", "j").alias("place"), F.substring("dictionary", F.col("j") * BLOCK + 1, F.lit(BLOCK)).alias("block")
+        )
+        before, blocks = blocks, settle(cut.unionAll(blocks.where(F.col("quality").isin(single))) if single else cut)
+        forget(before)
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from the labelled rows that are not held out."""
     known = (
         labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
@@ -185,33 +236,31 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     counts = dict(known.groupBy("quality").count().collect())  # at most two rows
     if len(counts) < 2:
         return Model(constant=counts.get(1, 0) / sum(counts.values()) if counts else 0.5)
-    order = F.xxhash64("doc_id")
-    chosen = [known.where(F.col("quality") == q).orderBy(order, "doc_id").limit(sample) for q in (0, 1)]
-    chosen = F.broadcast(chosen[0].unionAll(chosen[1]).withColumn("half", F.shiftrightunsigned(order, 7) % 2))
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id")  # twice ``sample`` small rows are broadcast
-    rows = rows.groupBy("doc_id", "quality", "half").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    blocks = (
-        rows.where("half = 0").select("doc_id", "text", "quality")
-        .mapInArrow(_Blocks(), "quality int, place string, block binary")
-    )
-    dictionaries = {}
-    for q in (0, 1):
-        own = blocks.where(F.col("quality") == q).orderBy(F.xxhash64("place"), "place").limit(BLOCKS)
-        dictionaries[q] = _dictionary([bytes(r["block"]) for r in own.select("block").collect()])
-    if not all(dictionaries.values()):
-        return Model(constant=counts[1] / sum(counts.values()))
+    known = known.withColumn("half", F.shiftrightunsigned(F.xxhash64("doc_id"), 7) % 2)
+    rows = docs.select("doc_id", "text").join(known, "doc_id")
+    rows = settle(rows.groupBy("doc_id", "quality", "half").agg(F.min_by("text", F.xxhash64("text")).alias("text")))
+    blocks = rows.where("half = 0").select("doc_id", "text", "quality").mapInArrow(_Blocks(), "quality int, place string, block binary")
+    dictionaries = _dictionaries(blocks)
+    constant = Model(constant=counts[1] / sum(counts.values()))
+    if not (dictionaries.get(0) and dictionaries.get(1)):
+        return constant
     schema = "quality int, " + ", ".join(f"{c} double" for c in COLUMNS)
-    points = np.array(
-        rows.where("half = 1").select("text", "quality").mapInArrow(_Features(dictionaries[1], dictionaries[0]), schema)
-        .orderBy("quality", *COLUMNS).collect(), dtype=np.float64,
-    ).reshape(-1, 1 + FEATURES)
-    y, x = points[:, 0], points[:, 1:]
-    if len(np.unique(y)) < 2:
-        return Model(constant=counts[1] / sum(counts.values()))
-    weight = np.where(y == 1, counts[1] / max(1, (y == 1).sum()), counts[0] / max(1, (y == 0).sum()))
-    low, high = np.quantile(x, 0.002, axis=0), np.quantile(x, 0.998, axis=0)
-    w = _logistic(_design(x, low, high), y, weight * len(y) / weight.sum())
-    return Model(dictionaries[1], dictionaries[0], tuple(low.tolist()), tuple(high.tolist()), tuple(w.tolist()))
+    points = rows.where("half = 1").select("text", "quality").mapInArrow(_Features(dictionaries[1], dictionaries[0]), schema)
+    points = settle(points.repartition(1 + sum(counts.values()) // POINTS))
+    there = dict(points.groupBy("quality").count().collect())
+    if len(there) < 2:
+        return constant
+    total = sum(there.values())
+    weights = {q: counts[q] / there[q] * total / sum(counts.values()) for q in there}
+    low, high = zip(*points.approxQuantile(list(COLUMNS), [0.002, 0.998], 1e-5))
+
+    def sums(w):
+        made = points.mapInArrow(_Sums(low, high, weights, w), "place int, value double")
+        return np.array([r[1] for r in made.groupBy("place").agg(F.sum("value")).sort("place").collect()])  # a few hundred numbers
+
+    w = _logistic(sums, 1 + 2 * FEATURES)
+    forget(rows, points)
+    return Model(dictionaries[1], dictionaries[0], tuple(low), tuple(high), tuple(w.tolist()))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
