@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,14 +24,16 @@ BATCH = 2000
 def sliced(batches):
     """The rows of ``batches``, ``BATCH`` at a time.
 
-    Arrow keeps what it has freed for itself; a worker lives on after its task, beside the next stages' memory, and so gives it back.
+    Arrow and the C library keep what was freed; a worker lives on after its task, beside the next stages' memory, and so gives it back.
     """
-    pool = pa.default_memory_pool()
+    pool, trim = pa.default_memory_pool(), getattr(ctypes.CDLL(None), "malloc_trim", None)
     for batch in batches:
         for i in range(0, batch.num_rows, BATCH):
             yield batch.slice(i, BATCH)
         del batch
         pool.release_unused()
+        if trim:  # of glibc
+            trim(0)
 
 
 def numbered(df: DataFrame, order: list, name: str) -> DataFrame:

@@ -12,7 +12,7 @@ import numpy as np
 
 U = np.uint64
 #: Bytes that one pass over a buffer takes at most.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
