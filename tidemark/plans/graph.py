@@ -18,6 +18,13 @@ from ..sources.scratch import forget, settle, settled
 
 #: Rounds after which the tables of what has been seen become one.
 MERGE = 8
+#: Rows up to which a round's table may be broadcast. What is larger is shuffled, so that the driver gets little of a round however large the graph is.
+SMALL = 1 << 15
+
+
+def _sized(df: DataFrame, n: int) -> DataFrame:
+    """``df`` of ``n`` rows as a join's side: broadcast if it is small, else shuffled."""
+    return F.broadcast(df) if n <= SMALL else df.hint("merge")
 
 
 class CycleError(ValueError):
@@ -53,11 +60,12 @@ def _reach(steps: DataFrame, seeds: DataFrame, *origin: str) -> DataFrame:
     key = ["rev", *origin]
     steps = settle(steps.distinct())
     frontier, n = settled(seeds.select(*key).distinct())
-    seen = [frontier]
+    seen, total = [frontier], n
     while n:
-        met = frontier.join(steps, F.col("rev") == F.col("at")).select(F.col("to").alias("rev"), *origin).distinct()
-        frontier, n = settled(met.join(reduce(DataFrame.unionAll, seen), key, "left_anti"))
+        met = steps.join(_sized(frontier, n), F.col("rev") == F.col("at")).select(F.col("to").alias("rev"), *origin).distinct()
+        frontier, n = settled(met.join(_sized(reduce(DataFrame.unionAll, seen), total), key, "left_anti"))
         seen.append(frontier)
+        total += n
         if len(seen) > MERGE:
             one = settle(reduce(DataFrame.unionAll, seen))
             forget(*seen[:-1])
