@@ -24,3 +24,21 @@ def test_rounds_of_many_rows_are_not_broadcast(spark, monkeypatch):
     got = rows(graph.descendants(edges, spark.createDataFrame([("r",)], "rev string")))
     assert got == sorted([("r",), *((f"a{i}",) for i in range(3)), *((f"{k}{i}",) for k in "bc" for i in range(12))])
     assert any("SortMergeJoin" in p and "BroadcastHashJoin" not in p for p in plans)
+
+
+def test_peeling_writes_what_it_meets(spark, monkeypatch):
+    written, settle = [], graph.settle
+
+    def watched(df):
+        out = settle(df)
+        written.append(out.count())
+        return out
+
+    chain = [(f"{i:02}", f"{i - 1:02}", "down") for i in range(1, 10)]
+    edges = spark.createDataFrame(chain + [(f"leaf{i}", "09", "down") for i in range(200)] + [("x", "y", "down"), ("y", "x", "down"), ("x", "00", "down")], EDGE)
+    nodes = edges.select("rev").union(edges.select("down")).distinct()
+    monkeypatch.setattr(graph, "settle", watched)
+    out, left = graph._peeled(edges, nodes)
+    assert rows(out) == sorted([(f"{i:02}", i) for i in range(10)] + [(f"leaf{i}", 10) for i in range(200)])
+    assert rows(left) == [("x", "y"), ("y", "x")]
+    assert sum(written) < 4 * 212

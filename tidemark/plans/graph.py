@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.numbering import numbered
@@ -144,28 +144,43 @@ def normalized(edges: DataFrame) -> DataFrame:
     return own.unionByName(deps.join(inherited, ["rev", "down"], "left_anti"))
 
 
-def _peeled(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """rev, depth by peeling off what has no parents left; and the links (rev, down) that can't be peeled.
+def levels(links: DataFrame, start: DataFrame) -> DataFrame:
+    """rev, depth: ``start``, and what has links (rev, down) to such rows only, one above the highest of them.
 
-    Every revision that is left has a link left, so links alone are kept from round to round.
+    A round meets only the links to what the round before has found; of revisions with other links left it keeps how many were met.
     """
-    links = settle(edges.select("rev", "down").distinct())
-    free, n = settled(nodes.select("rev").distinct().join(links.select("rev").distinct(), "rev", "left_anti"))
-    levels, depth = [free.withColumn("depth", F.lit(0))], 0
-    tables = [free]
+    need = links.select("rev", "down").distinct()
+    need = need.join(need.groupBy("rev").agg(F.count(F.lit(1)).alias("need")), "rev")
+    need = settle(need)
+    free, n = settled(start.select("rev", "depth"))
+    tables, out, waiting = [], [free], None
     while n:
-        depth += 1
-        rest = settle(links.join(free.select(F.col("rev").alias("down")), "down", "left_anti").select("rev", "down"))
-        free, n = settled(links.select("rev").distinct().join(rest.select("rev").distinct(), "rev", "left_anti"))
-        forget(links)
-        links = rest
-        levels.append(free.withColumn("depth", F.lit(depth)))
-        tables.append(free)
-        if len(levels) > MERGE:
-            one = settle(reduce(DataFrame.unionAll, levels))
+        met = need.join(_sized(free.withColumnRenamed("rev", "down"), n), "down").groupBy("rev").agg(
+            F.count(F.lit(1)).alias("n"), F.max("need").alias("need"), F.max("depth").alias("top")
+        )
+        if waiting is not None:
+            met = met.unionAll(waiting).groupBy("rev").agg(F.sum("n").alias("n"), F.max("need").alias("need"), F.max("top").alias("top"))
+        seen = Observation()
+        now = settle(met.observe(seen, F.count_if(F.col("n") == F.col("need")).alias("free")))
+        n = seen.get["free"]
+        free = now.where("n = need").select("rev", (F.col("top") + 1).alias("depth"))
+        waiting = now.where("n < need")
+        out.append(free)
+        tables.append(now)
+        if len(out) > MERGE:
+            one = settle(reduce(DataFrame.unionAll, out))
             forget(*tables[:-1])
-            levels, tables = [one], [one, free]
-    return reduce(DataFrame.unionAll, levels), links
+            out, tables = [one], [one, now]
+    forget(need)
+    return reduce(DataFrame.unionAll, out)
+
+
+def _peeled(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rev, depth by peeling off what has no parents left; and the links (rev, down) that can't be peeled."""
+    links = settle(edges.select("rev", "down").distinct())
+    free = nodes.select("rev").distinct().join(links.select("rev").distinct(), "rev", "left_anti")
+    out = levels(links, free.withColumn("depth", F.lit(0)))
+    return out, links.join(out.select(F.col("rev").alias("down")), "down", "left_anti").select("rev", "down")
 
 
 def ranks(nodes: DataFrame, edges: DataFrame, check: bool = True) -> DataFrame:

@@ -81,22 +81,11 @@ class Growing:
         """Of the new revisions: as they are peeled, each is one above its highest parent."""
         parents = edges.select("rev", "down").distinct()
         old = self.depths.join(parents.select(F.col("down").alias("rev")).distinct(), "rev", "left_semi")
-        found = old.select(F.col("rev").alias("down"), "depth")
-        waiting, out = settle(nodes), []
-        while True:
-            have = parents.join(found, "down", "left")
-            ready = have.groupBy("rev").agg(F.max("depth").alias("top"), F.count_if(F.isnull("depth")).alias("open")).where("open = 0")
-            bare = waiting.join(parents.select("rev").distinct(), "rev", "left_anti").select("rev", F.lit(0).alias("depth"))
-            level, n = settled(waiting.join(ready, "rev").select("rev", (F.col("top") + 1).alias("depth")).unionAll(bare if not out else bare.where("false")))
-            if not n:
-                break
-            out.append(level)
-            found = found.unionAll(level.select(F.col("rev").alias("down"), "depth"))
-            before, waiting = waiting, settle(waiting.join(level, "rev", "left_anti"))
-            forget(before)
-        if bad := waiting.take(1):
+        bare = nodes.join(parents.select("rev"), "rev", "left_anti").select("rev", F.lit(0).alias("depth"))
+        found = settle(graph.levels(parents, old.select("rev", "depth").unionAll(bare)))
+        if bad := nodes.join(found, "rev", "left_anti").take(1):
             raise graph.CycleError(f"revisions form a cycle, among them {bad[0][0]}")
-        return reduce(DataFrame.unionAll, out).select("rev", "depth") if out else self.depths.where("false")
+        return found.join(nodes, "rev", "left_semi").select("rev", "depth")
 
     def _labels(self, edges: DataFrame, labels: DataFrame) -> DataFrame:
         """Labels after new edges; only lines through the new revisions and their parents are followed."""
