@@ -26,6 +26,17 @@ def test_rounds_of_many_rows_are_not_broadcast(spark, monkeypatch):
     assert any("SortMergeJoin" in p and "BroadcastHashJoin" not in p for p in plans)
 
 
+def test_dependencies_that_none_shares_are_not_followed(spark, monkeypatch):
+    edges = spark.createDataFrame([("b", "a", "down"), ("c", "b", "down"), ("b", "x", "dep"), ("c", "y", "dep")], EDGE)
+    with monkeypatch.context() as m:
+        m.setattr(graph, "_reach", None)
+        assert rows(graph.normalized(edges)) == rows(edges)
+    shared = edges.union(spark.createDataFrame([("c", "x", "dep"), ("d", "x", "dep")], EDGE))
+    assert rows(graph.normalized(shared)) == sorted(set(rows(shared)) - {("c", "x", "dep")})
+    ring = edges.union(spark.createDataFrame([("a", "c", "down")], EDGE))
+    assert rows(graph.normalized(ring)) == sorted(r for r in rows(ring) if r[2] == "down")
+
+
 def test_peeling_writes_what_it_meets(spark, monkeypatch):
     written, settle = [], graph.settle
 

@@ -135,12 +135,22 @@ def branch_heads(edges: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def normalized(edges: DataFrame) -> DataFrame:
-    """``edges`` without the dependencies that a versioned ancestor has already."""
+    """``edges`` without the dependencies that a versioned ancestor has already.
+
+    An ancestor can only have one that several revisions have, or on a cycle its own; revisions without such are not followed up.
+    """
     deps = edges.where("kind = 'dep'")
     own = versioned(edges)
-    seeds = own.join(deps.select("rev").distinct(), "rev").select(F.col("rev").alias("origin"), F.col("down").alias("rev"))
+    shared = deps.groupBy("down").agg(F.countDistinct("rev").alias("n")).where("n > 1").select("down")
+    turned = own.select(F.col("down").alias("rev"), F.col("rev").alias("down"))
+    turning = _peeled(turned, turned.select("rev").union(turned.select("down")))[1].select(F.col("down").alias("rev"))
+    open_ = deps.join(shared, "down", "left_semi").select("rev", "down").union(deps.join(turning, "rev", "left_semi").select("rev", "down"))
+    open_, n = settled(open_.distinct())
+    if not n:
+        return own.unionByName(deps)
+    seeds = own.join(open_.select("rev").distinct(), "rev").select(F.col("rev").alias("origin"), F.col("down").alias("rev"))
     above = _reach(own.select(F.col("rev").alias("at"), F.col("down").alias("to")), seeds, "origin")
-    inherited = above.join(deps.select("rev", "down"), "rev").select(F.col("origin").alias("rev"), "down").distinct()
+    inherited = above.join(open_, "rev").select(F.col("origin").alias("rev"), "down").distinct()
     return own.unionByName(deps.join(inherited, ["rev", "down"], "left_anti"))
 
 
