@@ -53,3 +53,32 @@ def test_peeling_writes_what_it_meets(spark, monkeypatch):
     assert rows(out) == sorted([(f"{i:02}", i) for i in range(10)] + [(f"leaf{i}", 10) for i in range(200)])
     assert rows(left) == [("x", "y"), ("y", "x")]
     assert sum(written) < 4 * 212
+
+
+def below(edges):
+    """Descendants by walking, of all that have any."""
+    children, out = {}, {}
+    for rev, down in {(r, d) for r, d, _ in edges}:
+        children.setdefault(down, set()).add(rev)
+    for top in children:
+        seen, todo = set(), list(children[top])
+        while todo:
+            if (x := todo.pop()) not in seen:
+                seen.add(x)
+                todo += children.get(x, ())
+        out[top] = len(seen)
+    return sorted(out.items())
+
+
+def test_descendants_are_counted_without_pairs(spark, monkeypatch):
+    made = [(str(k), str((k - 1) // 2), "down") for k in range(1, 120)] + [(str(k), str(k - 4), "down") for k in range(12, 120, 9)]
+    made += [(str(k), str(k - 7), "dep") for k in range(10, 120, 5)] + [(f"leaf{k}", "3", "down") for k in range(80)] + made[:5]
+    edges = spark.createDataFrame(made, EDGE)
+    with monkeypatch.context() as m:
+        m.setattr(graph, "closure", None)
+        m.setattr(graph, "HUB", 16)
+        m.setattr(graph, "SMALL", 40)
+        assert rows(graph.descendant_counts(edges)) == below(made)
+    ring = [("a", "b", "down"), ("b", "c", "down"), ("c", "a", "down"), ("x", "a", "down"), ("y", "x", "dep"), ("c", "t", "down"), ("t", "s", "dep"), ("z", "s", "down"), ("q", "q", "down")]
+    more = [*ring, *made[:20], ("0", "a", "down")]
+    assert rows(graph.descendant_counts(spark.createDataFrame([*more, (None, "a", "down"), ("a", None, "down")], EDGE))) == below(more)

@@ -3,14 +3,14 @@
 kind is ``down`` for versioned edges and ``dep`` for dependencies. Closures are loops of a frontier
 joined with the edges, an anti-join with what has been seen, and a lineage cut; so diamonds don't
 multiply paths, and the work of a round is that of its frontier. Only ``closure`` makes all pairs; the
-other questions are asked from their seeds, or by peeling.
+other questions are asked from their seeds, or by peeling. All descendants of all revisions are counted in sets of intervals.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbering import numbered
@@ -20,6 +20,8 @@ from ..sources.scratch import forget, settle, settled
 MERGE = 8
 #: Rows up to which a round's table may be broadcast. What is larger is shuffled, so that the driver gets little of a round however large the graph is.
 SMALL = 1 << 15
+#: Children up to which a revision's intervals are merged at once; those of one with more are merged by blocks of so many places before.
+HUB = 1 << 15
 
 
 def _sized(df: DataFrame, n: int) -> DataFrame:
@@ -117,6 +119,130 @@ def closure(edges: DataFrame) -> DataFrame:
         pairs, jumps, size = all_, further, now
 
 
+def descendant_counts(edges: DataFrame) -> DataFrame:
+    """rev, n_descendants of all revisions that have any; one on a cycle is among its own. Edges with a null are none.
+
+    Descendants are kept as intervals of the places of a spanning forest: a tree's are one interval, and others come for each way out of it. They
+    are handed from children to parents as these have all of theirs, so that each goes once over each link and pairs are never made. What lies on or
+    above a cycle takes what it needs by the closure of these alone.
+    """
+    links = settle(edges.select("rev", "down").where("rev is not null and down is not null").distinct())
+    nodes = settle(links.select("rev").union(links.select("down")).distinct().withColumn("id", F.monotonically_increasing_id()))
+    places = _placed(nodes, links)
+    total = places.count()
+    known = links.join(places.select("rev", F.col("place").alias("child")), "rev").join(places.select(F.col("rev").alias("down"), F.col("place").alias("at")), "down")
+    known = settle(known.select("child", "at"))
+    counts = known.groupBy("at").agg(F.count(F.lit(1)).alias("need"))
+    hub = (counts.agg(F.max("need")).first()[0] or 0) > HUB
+    steps = settle(known.join(counts, "at"))
+    leaves = places.select(F.col("place").alias("at")).join(counts, "at", "left_anti")
+    free, n = settled(leaves.select("at", F.col("at").alias("start"), F.col("at").alias("stop"), F.lit(1).cast("long").alias("n")))
+    left, tables, out, waiting = total - n, [free], [], None
+    while n and left:
+        own = F.struct("start", "stop", "n")
+        self_ = F.struct(F.col("at").alias("start"), F.col("at").alias("stop"), F.lit(0).cast("long").alias("n"))
+        met = steps.join(_sized(free.withColumnRenamed("at", "child"), n), "child")
+        # of a child's rows one has n = 1, and brings the parent itself along
+        met = met.select("at", "need", F.explode(F.when(F.col("n") == 1, F.array(own, self_)).otherwise(F.array(own))).alias("x")).select("at", "need", "x.*")
+        met = met if waiting is None else met.unionByName(waiting)
+        seen = Observation()
+        now = _merged(met, hub).withColumn("all", F.sum("n").over(Window.partitionBy("at")))
+        done = F.col("all") == F.col("need")
+        now = settle(now.observe(seen, F.count_if(done).alias("rows"), F.count_if(done & (F.col("island") == 1)).alias("revs")))
+        n, left = seen.get["rows"], left - seen.get["revs"]
+        free = now.where(done).select("at", "start", "stop", (F.col("island") == 1).cast("long").alias("n"))
+        waiting = now.where(F.col("all") < F.col("need")).select("at", "need", "start", "stop", "n")
+        out.append(_lengths(free, F.lit(-1)))
+        tables.append(now)
+        if len(tables) > MERGE:
+            one = settle(reduce(DataFrame.unionAll, out))
+            forget(*tables[:-1])
+            out, tables = [one], [now]
+    if left:
+        out.append(_turning(steps, waiting, reduce(DataFrame.unionAll, [leaves, *(x.select("at") for x in out)]), hub))
+    found = settle(reduce(DataFrame.unionAll, out or [_lengths(free, F.lit(-1))]))
+    forget(links, nodes, known, steps, *tables)
+    return found.join(places.select(F.col("place").alias("at"), "rev"), "at").where("n_descendants > 0").select("rev", "n_descendants")
+
+
+def _lengths(intervals: DataFrame, more) -> DataFrame:
+    return intervals.groupBy("at").agg((F.sum(F.col("stop") - F.col("start") + 1) + more).alias("n_descendants"))
+
+
+def _merged(rows: DataFrame, hub: bool = False) -> DataFrame:
+    """at, start, stop, n, need, island: ``rows`` without the last, the intervals of one ``at`` merged that overlap or touch. Islands count from 1."""
+
+    def once(rows, *block):
+        w = Window.partitionBy("at", *block).orderBy("start", "stop")
+        before = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
+        fresh = rows.withColumn("_new", F.when(F.col("start") <= before + 1, 0).otherwise(1))
+        apart = fresh.withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        ends = F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("n").alias("n"), F.max("need").alias("need")
+        return apart.groupBy("at", *block, "island").agg(*ends).select("at", "start", "stop", "n", "need", "island")
+
+    if hub:
+        rows = once(rows.withColumn("_block", F.floor(F.col("start") / HUB)), "_block").drop("island")
+    return once(rows)
+
+
+def _turning(steps: DataFrame, waiting: DataFrame | None, free: DataFrame, hub: bool) -> DataFrame:
+    """at, n_descendants of what has no end below: what ``waiting`` has got of the others, for each that is reached within."""
+    inner = settle(steps.join(free.select(F.col("at").alias("child")), "child", "left_anti").select("child", "at"))
+    pairs = settle(closure(inner.select(F.col("child").alias("rev"), F.col("at").alias("down"))))
+    rows = inner.select("at").union(inner.select("child")).distinct().select("at", F.col("at").alias("start"), F.col("at").alias("stop"))
+    rows = rows if waiting is None else rows.unionAll(waiting.select("at", "start", "stop"))
+    ways = pairs.select(F.col("rev").alias("at"), "up").unionAll(inner.select("at", F.col("at").alias("up")).distinct()).distinct()
+    have = rows.join(ways, "at").select(F.col("up").alias("at"), "start", "stop", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("need"))
+    own = pairs.where("rev = up").select(F.col("up").alias("at"), F.lit(1).alias("own"))
+    counted = _lengths(_merged(have, hub), F.lit(-1)).join(own, "at", "left")
+    return counted.select("at", (F.col("n_descendants") + F.coalesce("own", F.lit(0))).alias("n_descendants"))
+
+
+def _placed(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """rev, place: numbers of ``nodes`` (rev, id) by which those below one in a spanning forest follow it without a gap.
+
+    A revision hangs on one of its parents. Sizes and places come by doubling: a round adds up twice as many generations.
+    """
+    up = links.groupBy("rev").agg(F.min("down").alias("down"))
+    tree = nodes.join(up, "rev", "left").join(nodes.select(F.col("rev").alias("down"), F.col("id").alias("up")), "down", "left")
+    tree = settle(tree.select("rev", "id", "up"))
+    tab, live = _counted(tree.select("id", "up", F.lit(1).cast("long").alias("size")))
+    while live:
+        more = tab.where("up is not null").groupBy(F.col("up").alias("id")).agg(F.sum("size").alias("more"))
+        on = tab.select(F.col("id").alias("up"), F.col("up").alias("next"))
+        after, now = _counted(tab.join(more, "id", "left").join(on, "up", "left").select("id", F.col("next").alias("up"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")))
+        forget(tab)
+        tab = after
+        if now == live:  # what is left hangs on a ring
+            break
+        live = now
+    # each below one of a ring stands alone
+    whole = tree.join(tab.select("id", F.col("up").alias("_ring"), "size"), "id").select(
+        "rev", "id", F.when(F.col("_ring").isNull(), F.col("up")).alias("up"), F.when(F.col("_ring").isNull(), F.col("size")).otherwise(1).alias("size")
+    )
+    dealt = settle(whole.repartitionByRange("up", "id").withColumn("_part", F.spark_partition_id()))
+    sums = dealt.groupBy("_part").agg(F.sum("size").alias("_all"))
+    sums = sums.select("_part", (F.sum("_all").over(Window.orderBy("_part")) - F.col("_all")).alias("_before"))  # a row for each partition
+    within = F.sum("size").over(Window.partitionBy("_part").orderBy(F.col("up").asc_nulls_first(), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    run = settle(dealt.withColumn("_run", within - F.col("size")).join(F.broadcast(sums), "_part").select("rev", "id", "up", (F.col("_run") + F.col("_before")).alias("run")))
+    first = run.where("up is not null").groupBy("up").agg(F.min("run").alias("_first"))
+    tab, live = _counted(run.join(first, "up", "left").select("rev", "id", "up", F.when(F.col("up").isNull(), F.col("run")).otherwise(F.col("run") - F.col("_first") + 1).alias("place")))
+    forget(tree, dealt, run)
+    while live:
+        on = tab.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("place").alias("more"))
+        after, live = _counted(tab.join(on, "up", "left").select("rev", "id", F.col("next").alias("up"), (F.col("place") + F.coalesce("more", F.lit(0))).alias("place")))
+        forget(tab)
+        tab = after
+    return tab.select("rev", "place")
+
+
+def _counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``settle``, with the number of rows that have an ``up``."""
+    seen = Observation()
+    out = settle(df.observe(seen, F.count("up").alias("n")))
+    return out, seen.get["n"]
+
+
 def upgrade_set(edges: DataFrame, current: DataFrame, target: DataFrame) -> DataFrame:
     """What an upgrade from ``current`` to ``target`` runs."""
     return ancestors(edges, target).join(ancestors(edges, current), "rev", "left_anti")

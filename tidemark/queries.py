@@ -294,7 +294,7 @@ _PAIRS = "pairs AS (SELECT rev, down AS up FROM edges {0} UNION SELECT p.rev, e.
 
 @query(f"WITH RECURSIVE {_EDGES}, {_PAIRS.format('', '')} SELECT DISTINCT up AS rev, count(*) OVER (PARTITION BY up) AS n_descendants FROM pairs")
 def dag_closure_sizes(spark, d):
-    return graph.closure(_graph(spark, d)[1]).groupBy(F.col("up").alias("rev")).agg(F.count(F.lit(1)).alias("n_descendants"))
+    return graph.descendant_counts(_graph(spark, d)[1])
 
 
 @query(f"""WITH RECURSIVE {_EDGES}, {_PAIRS.format('', '')}, t AS (SELECT unnest(['6', '14', '30', '8', '33', '40']) AS rev)
