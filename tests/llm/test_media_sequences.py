@@ -101,3 +101,19 @@ def test_odd_documents(spark):
     assert found(media.document_sequences(df)) == sorted(((i, expected(t)) for i, t in rows), key=str)
     assert media.document_sequences(df.where("false")).count() == 0
     assert media.document_sequences(clashing(spark)).count() == 5
+
+
+def test_pages_are_parsed_once(spark, monkeypatch):
+    parsed, own = spark.sparkContext.accumulator(0), media._Parse
+
+    class Counting:
+        def __call__(self, batches):
+            for batch in own()(batches):
+                parsed.add(batch.num_rows)
+                yield batch
+
+    monkeypatch.setattr(media, "_Parse", Counting)
+    rows = [(i % 70, f"line {i}\nother {i % 3}") for i in range(100)]
+    df = spark.createDataFrame(rows, DOC).repartition(3)
+    assert found(media.document_sequences(df)) == sorted(((i, expected(t)) for i, t in rows), key=str)
+    assert parsed.value == 100

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, settle, sliced
+from .common import settle, sliced
 
 ROW, DEEP = 192, 3
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -275,9 +275,9 @@ def resolve(references: DataFrame, features: DataFrame) -> DataFrame:
 def sequences(pages: DataFrame, store: DataFrame) -> DataFrame:
     """``pages`` (page_id, html) to page_id, n_texts, n_media, sequence: ordered structs of texts and of media with what ``store`` has of them.
 
-    Only references go through the join, a page's elements come together again by their places.
+    A page is parsed once, and numbered as it is written. Only references go through the join, a page's elements come together again by their places.
     """
-    own = settle(numbered(interleaved(pages), [F.col("page_id").asc_nulls_first(), F.xxhash64("elements")], "_row"))
+    own = settle(interleaved(pages).withColumn("_row", F.monotonically_increasing_id()))
     refs = own.select("_row", F.explode("elements").alias("x")).where("x.ref is not null").select("_row", "x.pos", "x.ref")
     found = resolve(refs, media_features(store)).where("media_bytes is not null")
     found = found.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("pos", F.struct("media_bytes", "media_sha256", "feature")))).alias("_found"))
