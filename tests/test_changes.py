@@ -286,6 +286,31 @@ def test_deletes_set_values(spark, db, rule, value):
     assert spark.table("grp").count() == 18
 
 
+def test_cascades_write_what_changes_once(spark, db, monkeypatch):
+    referring(db, "CASCADE")
+    db.run(ops.BulkInsert(db.reflect("acct"), ({"id": 20, "o": None}, {"id": 21, "o": 1})))
+    written, settle = [], changes.settle
+
+    def counted(df):
+        out = settle(df)
+        if changes.FILE in df.columns:
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(changes, "settle", counted)
+    if hasattr(changes, "settled"):
+        monkeypatch.setattr(changes, "settled", lambda df: (lambda out: (out, out.count()))(counted(df)))
+    rest, asked = changes._Part.rest, []
+    monkeypatch.setattr(changes._Part, "rest", lambda part, rows=None: asked.append(rest(part, rows)) or asked[-1])
+    db.delete("owner", "k = 1")
+    assert sorted((r.id, r.o) for r in spark.table("acct").where("o is not null").collect()) == [(i, i % 3 + 1) for i in range(9) if i % 3]
+    assert [r.id for r in spark.table("acct").where("o is null").collect()] == [20]
+    assert sorted({r.a for r in spark.table("grp").collect()}) == [1, 2, 4, 5, 7, 8]
+    assert written == [1, 4, 6]  # of owner, acct and grp
+    joins = [line for x in asked for line in x._jdf.queryExecution().analyzed().toString().splitlines() if "LeftAnti" in line]
+    assert joins and not any(changes.PLACE in line for line in joins)  # by keys
+
+
 def test_deletes_are_refused(spark, db):
     referring(db, "RESTRICT")
     for change in (lambda: db.delete("owner", "k = 1"), lambda: db.update("owner", {"k": "9"}, "k = 1"), lambda: db.run(ops.DropTable("owner"))):

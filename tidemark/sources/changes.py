@@ -22,7 +22,7 @@ from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.casts import stored_as
@@ -32,7 +32,7 @@ from ..operators.rewrite import computed_levels, quoted, with_computed
 from ..operators.writes import demands, judged, near
 from ..spec import Constraint, Table
 from .files import Busy, Files, Journal
-from .scratch import settle
+from .scratch import settle, settled
 
 #: Of the staging table while it is written, and of the old table until it goes.
 SUFFIXES = ("__tidemark_new", "__tidemark_old")
@@ -266,6 +266,7 @@ class _Part:
         self.inserts: DataFrame | None = None
         self.touched: set[str] = set()
         self.kept: Column | None = None
+        self.lost: tuple[list[str], DataFrame] | None = None
 
     def struct(self) -> Column:
         return F.struct(*map(quoted, self.columns))
@@ -275,6 +276,8 @@ class _Part:
         rows = self.rows if rows is None else rows
         if self.kept is not None:
             return rows.where(self.kept)
+        if self.lost is not None:  # a key is narrower than a file's name and a place, and there are fewer of them
+            return rows.join(self.lost[1], _equal(*self.lost), "left_anti")
         return rows if self.changed is None else rows.join(self.changed.select(FILE, PLACE), [FILE, PLACE], "left_anti")
 
     def fresh(self) -> DataFrame | None:
@@ -288,12 +291,12 @@ class _Part:
         kept = self.rest().select(FILE, PLACE, self.struct().alias(OLD), self.struct().alias(NEW))
         return kept if self.changed is None else kept.unionAll(self.changed.where(F.col(NEW).isNotNull()))
 
-    def change(self, more: DataFrame, columns: Iterable[str] | None) -> None:
-        """``more`` (like ``changed``) comes on top of what has changed before."""
-        self.kept = None
+    def change(self, more: DataFrame, columns: Iterable[str] | None, stored: bool = False) -> None:
+        """``more`` (like ``changed``; ``stored``: columns of a settled table) comes on top of what has changed before."""
+        self.kept = self.lost = None
         if self.changed is not None:
-            more = self.changed.join(more.select(FILE, PLACE), [FILE, PLACE], "left_anti").unionAll(more)
-        self.changed = settle(more)
+            more, stored = self.changed.join(more.select(FILE, PLACE), [FILE, PLACE], "left_anti").unionAll(more), False
+        self.changed = more if stored else settle(more)
         self.touched |= set(self.columns if columns is None else columns)
 
 
@@ -378,7 +381,7 @@ def merge(db, name: str, source: DataFrame, on: Text, clauses: Iterable[When], a
             changed = settle(reduce(DataFrame.unionAll, pieces))
             if twice := changed.groupBy(FILE, PLACE).count().where("count > 1").take(1):
                 raise ValueError(f"a row of {t.key} is matched by {twice[0]['count']} rows of the source")
-            part.change(changed, columns)
+            part.change(changed, columns, stored=True)
         missing = [c for c in clauses if c.kind == "missing"]
         if missing:
             part.inserts = settle(_inserted(db, t, s.join(own, _expr(on), "left_anti"), missing, star))
@@ -470,32 +473,34 @@ def _spread(change: _Change, parts: dict[str, _Part], root: _Part) -> None:
         if depth > DEPTH:
             raise ValidationError(f"foreign keys beyond {parent.key} go round")
         for child, c in _referring(db, parts, parent):
+            seen = Observation()
             lost = _lost(parts[parent.key.lower()], delta, c)
-            keys = lost.select(*(f"k{i}" for i in range(len(c.columns)))).distinct()
+            lost = settle(lost.observe(seen, F.count_if(F.col("_gone")).alias("gone"), F.count_if(~F.col("_gone")).alias("moved")))
             part = parts.get(child.key.lower()) or _Part(db, child.key)
-            at = part.now() if part.changed is not None else near(part.rows, [quoted(x) for x in c.columns], keys).select(
-                FILE, PLACE, part.struct().alias(OLD), part.struct().alias(NEW)
-            )
-            same = reduce(lambda a, b: a & b, (F.col(f"{NEW}.{quoted(x)}") == F.col(f"k{i}") for i, x in enumerate(c.columns)))
-            hits = settle(at.join(lost, same))
-            if not (example := hits.take(1)):
-                continue
             rules = {k.upper(): v.upper() for k, v in c.options}
-            made = []
-            for gone, rule in ((True, rules.get("ON DELETE", "NO ACTION")), (False, rules.get("ON UPDATE", "NO ACTION"))):
-                mine = hits.where(F.col("_gone") == gone)
-                if rule in ("NO ACTION", "RESTRICT"):
-                    if example := mine.take(1):
+            acts = []
+            for gone, rule, n in ((True, rules.get("ON DELETE", "NO ACTION"), seen.get["gone"]), (False, rules.get("ON UPDATE", "NO ACTION"), seen.get["moved"])):
+                if n and rule in ("NO ACTION", "RESTRICT"):
+                    if example := _hits(part, c, lost.where(F.col("_gone") == gone)).take(1):
                         raise ValidationError(f"{child.key}.{c.name} refers to a key of {parent.key} that would go, for example {example[0][NEW]}")
-                    continue
-                made.append(_acted(child, part, c, mine, rule, gone))
+                elif n:
+                    acts.append((gone, rule))
+            if not acts:
+                continue
+            lost = lost.where(F.col("_gone").isin([gone for gone, _ in acts]))
+            hits = _hits(part, c, lost) if len(acts) == 1 else settle(_hits(part, c, lost))
+            level, n = settled(reduce(DataFrame.unionAll, [_acted(child, part, c, hits.where(F.col("_gone") == gone), rule, gone) for gone, rule in acts]))
+            if not n:
+                continue
             if child.key.lower() not in parts:
                 change.take(child.key, {"kind": "files", "location": child.storage.location})
                 parts[child.key.lower()] = part
-            level = settle(reduce(DataFrame.unionAll, made))
             # the old side of the next level is what the row was until now, not what is stored
             step = level.select(FILE, PLACE, F.col("_was").alias(OLD), NEW)
-            part.change(level.select(FILE, PLACE, OLD, NEW), None)
+            first = part.changed is None
+            part.change(level.select(FILE, PLACE, OLD, NEW), None, stored=True)
+            if first:
+                part.lost = [quoted(x) for x in c.columns], _apart(lost.select(*(f"k{i}" for i in range(len(c.columns)))))
             queue.append((child, step, depth + 1))
 
 
@@ -523,6 +528,25 @@ def _lost(part: _Part, delta: DataFrame, c: Constraint) -> DataFrame:
     return rows.join(still.distinct(), keys, "left_anti")
 
 
+def _apart(lost: DataFrame) -> DataFrame:
+    """``lost`` by names that no table's columns have."""
+    return lost.select(*(F.col(x).alias(f"_tm_{x}") for x in lost.columns))
+
+
+def _equal(columns: list[str], lost: DataFrame) -> Column:
+    return reduce(lambda a, b: a & b, (F.col(x) == F.col(f"_tm_k{i}") for i, x in enumerate(columns)))
+
+
+def _hits(part: _Part, c: Constraint, lost: DataFrame) -> DataFrame:
+    """FILE, PLACE, OLD, NEW of the rows that refer to ``lost`` keys, with these. A row goes through the join once, not as OLD and as NEW."""
+    names = [quoted(x) for x in c.columns]
+    if part.changed is not None:
+        return part.now().join(lost, reduce(lambda a, b: a & b, (F.col(f"{NEW}.{x}") == F.col(f"k{i}") for i, x in enumerate(names))))
+    rows = near(part.rows, names, lost.select(*(f"k{i}" for i in range(len(names)))))
+    own = part.struct()
+    return rows.join(_apart(lost), _equal(names, lost)).select(FILE, PLACE, own.alias(OLD), own.alias(NEW), *(F.col(f"_tm_{x}").alias(x) for x in lost.columns))
+
+
 def _acted(child: Table, part: _Part, c: Constraint, rows: DataFrame, rule: str, gone: bool) -> DataFrame:
     """FILE, PLACE, OLD, NEW and _was of the rows that refer, after the rule."""
     kept = [F.col(x) for x in (FILE, PLACE, OLD)]
